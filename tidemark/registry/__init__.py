@@ -2,6 +2,6 @@
 
 from tidemark.registry.base import QUERIES, SQL
 
-from tidemark.registry import basics, joins, pairs  # noqa: F401  (each module registers its queries)
+from tidemark.registry import basics, joins, pairs, seasons  # noqa: F401  (each module registers its queries)
 
 __all__ = ["QUERIES", "SQL"]
