@@ -27,8 +27,8 @@ def gram(rows: DataFrame, keys: list, cols: list) -> DataFrame:
     Both ways combine before the shuffle, so a key with a third of all rows arrives as one small matrix per task.
     """
     if len(cols) <= WIDE:
-        sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(cols) for b in cols[i:]]
-        return rows.groupBy(*keys).agg(F.array(*sums).alias("gram"), F.count(F.lit(1)).alias("n"))
+        sums = ", ".join(f"sum({a} * {b})" for i, a in enumerate(cols) for b in cols[i:])
+        return rows.groupBy(*keys).agg(F.expr(f"array({sums})").alias("gram"), F.count(F.lit(1)).alias("n"))
     schema = StructType([rows.schema[k] for k in keys]).add("g", VECTOR).add("m", LongType())
     upper = np.triu_indices(len(cols))
 

@@ -7,6 +7,7 @@ from tidemark import fixed
 from tidemark.config import GATES
 from tidemark.functions import coerce
 from tidemark.operators import windows as W
+from tidemark.operators.series import small_table
 
 ROW = ["source", "sheet", "row_ref"]
 
@@ -86,7 +87,7 @@ def issue_totals(report: DataFrame) -> DataFrame:
 
 def coverage_table(series: DataFrame, expected) -> DataFrame:
     """Rows, span and status of every expected dataset, found or not."""
-    spec = series.sparkSession.createDataFrame([(e,) for e in expected], "series_id string")
+    spec = small_table(series.sparkSession, "series_id string", [(e,) for e in expected])
     found = series.where(F.col("value").isNotNull()).groupBy("series_id").agg(
         F.count("value").alias("rows"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
     return spec.join(found, "series_id", "left").select(

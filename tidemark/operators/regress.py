@@ -28,7 +28,7 @@ def granger(pairs: DataFrame, max_lag: int = GATES.granger_max_lag, on_changes:
     base = differenced(pairs) if on_changes else pairs
     order, whole = by_pair(), Window.partitionBy("a", "b")
     row = F.row_number().over(order)
-    lagged = [F.coalesce(F.lag(c, k).over(order), F.lit(0.0)).alias(f"{c}{k}") for c in ("y", "x") for k in range(1, max_lag + 1)]
+    lagged = [F.expr(f"coalesce(lag({c}, {k}) over (partition by a, b order by ts), 0D) as {c}{k}") for c in ("y", "x") for k in range(1, max_lag + 1)]
     rows = base.select("a", "b", F.col("y").alias("y0"), F.lit(1.0).alias("one"), *lagged, F.least(row, F.lit(max_lag + 1)).alias("h"),
                        F.count(F.lit(1)).over(whole).alias("total"))
     cols = ["y0", "one"] + [f"{c}{k}" for c in ("y", "x") for k in range(1, max_lag + 1)]
@@ -129,7 +129,8 @@ def dickey_fuller(series: DataFrame, keys=("series_id",), constant: bool = True,
     known = series.where(F.col("value").isNotNull()).select(*keys, "ts", "value")
     change = F.col("value") - F.lag("value").over(order)
     base = known.select(*keys, "ts", "value", change.alias("d"), F.row_number().over(order).alias("_t"), F.count(F.lit(1)).over(whole).alias("total"))
-    lagged = [F.coalesce(F.lag("d", k).over(order), F.lit(0.0)).alias(f"d{k}") for k in range(1, max_lag + 1)]
+    by = f"partition by {', '.join(keys)} order by ts"
+    lagged = [F.expr(f"coalesce(lag(d, {k}) over ({by}), 0D) as d{k}") for k in range(1, max_lag + 1)]
     rows = base.select(*keys, "total", "d", F.lit(1.0).alias("one"), F.lag("value").over(order).alias("level"), *lagged,
                        F.least(F.col("_t"), F.lit(max_lag + 2)).alias("h")).where("d is not null")
     cols = ["d", "one", "level"] + [f"d{k}" for k in range(1, max_lag + 1)]
@@ -142,13 +143,18 @@ def dickey_fuller(series: DataFrame, keys=("series_id",), constant: bool = True,
                       F.col("nobs").alias("observations"), (p < GATES.alpha).alias("rejects_unit_root"))
 
 
+def _lag_products(most: int) -> Column:
+    """The product of a deviation with each of its own lags, as (k, p) pairs."""
+    return F.expr("array(" + ", ".join(f"named_struct('k', {k}, 'p', e * lag(e, {k}) over (partition by series_id order by ts))" for k in range(most + 1)) + ")")
+
+
 def kpss(series: DataFrame, max_lag: int = 120) -> DataFrame:
     """KPSS test around a constant with the data-driven number of autocovariances; stays in the JVM."""
     order, whole = Window.partitionBy("series_id").orderBy("ts"), Window.partitionBy("series_id")
     known = series.where(F.col("value").isNotNull())
     dev = known.select("series_id", "ts", (F.col("value") - F.avg("value").over(whole)).alias("e"), F.count(F.lit(1)).over(whole).alias("n"))
     walk = dev.where(F.col("n") >= GATES.stationarity).withColumn("s", F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lags = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("e") * F.lag("e", k).over(order)).alias("p")) for k in range(max_lag + 1)])
+    lags = _lag_products(max_lag)
     sums = (walk.withColumn("_l", lags).select("series_id", "n", "s", F.explode("_l").alias("_l"))
             .groupBy("series_id", "n", F.col("_l.k").alias("k")).agg(F.sum("_l.p").alias("g"), F.sum(F.col("s") * F.col("s")).alias("ss")))
     packed = sums.groupBy("series_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("g", F.lit(0.0)).alias("g")))), lambda e: e["g"]).alias("g"),
@@ -190,10 +196,10 @@ def stationarity(series: DataFrame) -> DataFrame:
 
 def autocorrelation(series: DataFrame, nlags: int = 40) -> DataFrame:
     """ACF (biased, full-sample mean) and Yule-Walker PACF with the 95 % band."""
-    order, whole = Window.partitionBy("series_id").orderBy("ts"), Window.partitionBy("series_id")
+    whole = Window.partitionBy("series_id")
     known = series.where(F.col("value").isNotNull())
     dev = known.select("series_id", "ts", (F.col("value") - F.avg("value").over(whole)).alias("e"), F.count(F.lit(1)).over(whole).alias("n")).where("n >= 20")
-    lags = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("e") * F.lag("e", k).over(order)).alias("p")) for k in range(nlags + 1)])
+    lags = _lag_products(nlags)
     sums = (dev.withColumn("_l", lags).select("series_id", "n", F.explode("_l").alias("_l")).groupBy("series_id", "n", F.col("_l.k").alias("k"))
             .agg(F.sum("_l.p").alias("g"))).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") / 2) - 1))
     packed = sums.groupBy("series_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda e: e["g"]).alias("g")).where("g[0] > 0")

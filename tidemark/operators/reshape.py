@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce
+from tidemark.operators.series import small_table
 
 SHEET = ["source", "sheet"]
 OBS = ["source", "sheet", "row_ref", "id", "ts", "group_key", "metric", "role", "year_label", "is_estimate", "raw"]
@@ -81,7 +82,7 @@ def _obs(rows: DataFrame, **cols) -> DataFrame:
 
 def _column_spec(cells: DataFrame, spec: SheetSpec) -> DataFrame:
     rows = [(h.strip().lower(), name, role) for h, (name, role) in spec.columns.items()]
-    return cells.sparkSession.createDataFrame(rows, "_key string, metric string, role string")
+    return small_table(cells.sparkSession, "_key string, metric string, role string", rows)
 
 
 def parse_long(cells: DataFrame, spec: SheetSpec) -> DataFrame:
@@ -125,8 +126,7 @@ def parse_merged_header(cells: DataFrame, spec: SheetSpec) -> DataFrame:
     groups = filled_header(cells, spec.header_row)
     metrics = filled_header(cells, spec.metric_row, "metric_label") if spec.metric_row != spec.header_row else groups.withColumnRenamed("group_key", "metric_label")
     plan = groups.join(metrics, SHEET + ["c"], "full").where(F.col("c") != spec.id_col).withColumn("_key", F.lower(F.trim("metric_label")))
-    spark = cells.sparkSession
-    over = spark.createDataFrame([(c, n, ro, g) for c, (n, ro, g) in spec.overrides.items()], "c int, _n string, _ro string, _g string")
+    over = small_table(cells.sparkSession, "c int, _n string, _ro string, _g string", [(c, n, ro, g) for c, (n, ro, g) in spec.overrides.items()])
     plan = plan.join(_column_spec(cells, spec), "_key", "left").join(over, "c", "left")
     chosen = F.col("_n").isNotNull()
     plan = plan.select(
@@ -170,7 +170,7 @@ def parse(cells: DataFrame, specs) -> DataFrame:
 def sheet_status(cells: DataFrame, specs) -> DataFrame:
     """Each configured or found sheet with what happened to it: parsed, skipped with a reason, or unconfigured."""
     rows = [(s.sheet, s.layout, s.reason or "derived sheet, not read as a source") for s in specs]
-    spec = cells.sparkSession.createDataFrame(rows, "sheet string, layout string, _why string")
+    spec = small_table(cells.sparkSession, "sheet string, layout string, _why string", rows)
     found = cells.groupBy("sheet").agg(F.count_distinct("source").alias("sources"))
     both = found.join(spec, "sheet", "full")
     status = (F.when(F.col("layout").isNull(), "unconfigured").when(F.col("sources").isNull(), "skipped")

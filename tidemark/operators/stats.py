@@ -7,7 +7,7 @@ from tidemark.config import GATES
 from tidemark.functions import tails
 from tidemark.functions.coerce import refusal, strength_label
 from tidemark.operators import windows as W
-from tidemark.operators.series import by_pair, by_series
+from tidemark.operators.series import by_pair, by_series, small_table
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -139,7 +139,7 @@ def pair_summary(pairs: DataFrame, gate: int = GATES.correlation) -> DataFrame:
 def symmetric_matrix(pairs: DataFrame, value: str, names) -> DataFrame:
     """Both halves and the unit diagonal of a one-sided pair table, one column per name."""
     both = pairs.select("a", "b", value).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), value))
-    diag = pairs.sparkSession.createDataFrame([(n, n, 1.0) for n in names], f"a string, b string, {value} double")
+    diag = small_table(pairs.sparkSession, f"a string, b string, {value} double", [(n, n, 1.0) for n in names])
     return both.unionByName(diag).groupBy("a").pivot("b", list(names)).agg(F.first(value))
 
 
@@ -153,7 +153,7 @@ def rolling_corr(pairs: DataFrame, n: int) -> DataFrame:
 def _at_lags(pairs: DataFrame, lags) -> DataFrame:
     """Each row once per lag with the y of that lag: all lags come out of one sort, and the aggregate that follows
     combines before anything is shuffled."""
-    options = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead("y", k) if k >= 0 else F.lag("y", -k)).over(by_pair()).alias("y")) for k in lags])
+    options = F.expr("array(" + ", ".join(f"named_struct('lag', {k}, 'y', lead(y, {k}) over (partition by a, b order by ts))" for k in lags) + ")")
     return (pairs.withColumn("_l", options).select("a", "b", "ts", "x", F.explode("_l").alias("_l"))
             .select("a", "b", "ts", "x", "_l.lag", "_l.y").where(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
@@ -230,7 +230,7 @@ def _simple_ols(grouped_rows: DataFrame, keys: list, y: str, x: str, gate: int)
 def _lagged(pairs: DataFrame, x: Column, y: Column, max_lag: int) -> DataFrame:
     """Change of x ``lag`` rows earlier next to the change of y, for every lag."""
     base = pairs.select("a", "b", "ts", x.alias("_dx"), y.alias("dy"))
-    options = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("_dx", k).over(by_pair()).alias("dx")) for k in range(max_lag + 1)])
+    options = F.expr("array(" + ", ".join(f"named_struct('lag', {k}, 'dx', lag(_dx, {k}) over (partition by a, b order by ts))" for k in range(max_lag + 1)) + ")")
     return base.withColumn("_l", options).select("a", "b", "dy", F.explode("_l").alias("_l")).select("a", "b", "dy", "_l.lag", "_l.dx").where(
         F.col("dy").isNotNull() & F.col("dx").isNotNull())
 

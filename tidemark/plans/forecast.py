@@ -170,7 +170,7 @@ def boosted_forecast(model, feature_rows: DataFrame, cuts: DataFrame) -> DataFra
 
 def importances(spark, model, top: int = 6) -> DataFrame:
     pairs = sorted(zip(FEATURES, (float(v) for v in model.featureImportances.toArray())), key=lambda p: (-p[1], p[0]))[:top]
-    return spark.createDataFrame([(n, 100 * v) for n, v in pairs if v > 0], "feature string, importance_pct double")
+    return S.small_table(spark, "feature string, importance_pct double", [(n, 100 * v) for n, v in pairs if v > 0])
 
 
 # ---- backtest ---------------------------------------------------------------------------------------------------

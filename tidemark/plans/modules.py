@@ -116,7 +116,7 @@ def balance_vs_price(balance: DataFrame, price: DataFrame, categories, varieties
 
 def storage_module(series: DataFrame, regions) -> DataFrame:
     """Newest stock per region; trends of a sparse tracker are always refused."""
-    spec = series.sparkSession.createDataFrame([(n,) for n in regions], "series_id string")
+    spec = S.small_table(series.sparkSession, "series_id string", [(n,) for n in regions])
     known = series.where(F.col("value").isNotNull()).groupBy("series_id").agg(
         F.max_by("value", "ts").alias("latest"), F.max("ts").alias("latest_ts"), F.count("value").alias("observations"))
     out = spec.join(known, "series_id", "left")
@@ -144,7 +144,7 @@ def exogenous(series: DataFrame, freq: str, names, monthly=()) -> DataFrame:
 
 def exogenous_candidates(series: DataFrame, freq: str, names, monthly=()) -> DataFrame:
     """Which drivers can serve at a frequency, with coverage and the reason when not."""
-    spec = series.sparkSession.createDataFrame([(n, n in monthly and freq not in ("ME", "MS")) for n in names], "series_id string, _coarse boolean")
+    spec = S.small_table(series.sparkSession, "series_id string, _coarse boolean", [(n, n in monthly and freq not in ("ME", "MS")) for n in names])
     have = S.resample(series, freq).groupBy("series_id").agg(F.count("value").alias("periods"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
     reason = F.when(F.col("_coarse"), "monthly source, not spread over shorter periods").when(F.col("periods").isNull(), "no data")
     return spec.join(have, "series_id", "left").select("series_id", "periods", "from_ts", "to_ts", F.when(reason.isNull(), "ok").otherwise("insufficient_evidence").alias("status"),

@@ -20,6 +20,9 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
     """New files of a landing folder; half-written and temporary files do not match the pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        path, glob = where.getParent().toString(), where.getName()
     rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     plain = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"]
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in plain})  # event time needs an instant; sessions run in UTC
