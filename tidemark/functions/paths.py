@@ -16,68 +16,79 @@ GRID = np.array([(a, b, g) for a in (0.05, 0.1, 0.2, 0.35, 0.5, 0.8) for b in (0
 
 
 def smooth(y: np.ndarray, m: int, steps: int, grid: np.ndarray = GRID):
-    """Additive trend and season for every weight triple at once; the triple with the least squared error forecasts."""
-    level = np.full(len(grid), y[:m].mean())
-    trend = np.full(len(grid), (y[m:2 * m].mean() - y[:m].mean()) / m)
-    season = np.tile(y[:m] - y[:m].mean(), (len(grid), 1))
+    """Additive trend and season for every row of ``y`` and every weight triple at once.
+
+    Returns the path, the weights and the squared error of the best triple of each row.
+    """
+    first = y[:, :m].mean(axis=1)
+    shape = (len(y), len(grid))
+    level = np.broadcast_to(first[:, None], shape)
+    trend = np.broadcast_to(((y[:, m:2 * m].mean(axis=1) - first) / m)[:, None], shape)
+    season = np.repeat((y[:, :m] - first[:, None])[:, None, :], len(grid), axis=1)
     a, b, g = grid.T
-    sse = np.zeros(len(grid))
-    for t in range(m, len(y)):
-        i = t % m
-        err = y[t] - (level + trend + season[:, i])
+    sse = np.zeros(shape)
+    for t in range(m, y.shape[1]):
+        i, now = t % m, y[:, t:t + 1]
+        past = season[:, :, i]
+        ahead = level + trend
+        err = now - ahead - past
         sse += err * err
-        last = level
-        level = a * (y[t] - season[:, i]) + (1 - a) * (level + trend)
-        trend = b * (level - last) + (1 - b) * trend
-        season[:, i] = g * (y[t] - level) + (1 - g) * season[:, i]
-    k = int(np.argmin(sse))
+        last, level = level, ahead + a * (now - past - ahead)
+        trend = trend + b * (level - last - trend)
+        season[:, :, i] = past + g * (now - level - past)
+    k, rows = sse.argmin(axis=1), np.arange(len(y))
     h = np.arange(1, steps + 1)
-    return level[k] + h * trend[k] + season[k, (len(y) + h - 1) % m], grid[k], float(sse[k]), len(y) - m
+    path = level[rows, k][:, None] + h * trend[rows, k][:, None] + season[rows, k][:, (y.shape[1] + h - 1) % m]
+    return path, grid[k], sse[rows, k]
 
 
 @F.pandas_udf(_struct(path=VECTOR, alpha=DoubleType(), beta=DoubleType(), gamma=DoubleType(), sse=DoubleType(), n=LongType()))
 def holt_winters_path(values: pd.Series, period: pd.Series, steps: pd.Series) -> pd.DataFrame:
-    """Forecast path from the ordered values of one series."""
-    rows = []
-    for y, m, h in zip(values, period, steps):
-        y, m = np.asarray(y, dtype=float), int(m)
-        if len(y) < 2 * m:
-            rows.append((None,) * 6)
-            continue
-        path, weights, sse, n = smooth(y, m, int(h))
-        rows.append((path.tolist(), *map(float, weights), sse, n))
+    """Forecast paths from the ordered values of each series; series of the same length are smoothed together."""
+    rows = [(None,) * 6] * len(values)
+    m, h = int(period.iloc[0]) if len(period) else 1, int(steps.iloc[0]) if len(steps) else 1
+    sizes = {}
+    for i, y in enumerate(values):
+        if len(y) >= 2 * m:
+            sizes.setdefault(len(y), []).append(i)
+    for n, members in sizes.items():
+        for at in range(0, len(members), 64):
+            part = members[at:at + 64]
+            path, weights, sse = smooth(np.stack([np.asarray(values.iloc[i], dtype=float) for i in part]), m, h)
+            for i, p, w, e in zip(part, path, weights, sse):
+                rows[i] = (p.tolist(), *map(float, w), float(e), n - m)
     return pd.DataFrame(rows, columns=["path", "alpha", "beta", "gamma", "sse", "n"])
 
 
 @F.pandas_udf(_struct(path=VECTOR, lags=ArrayType(LongType()), aic=DoubleType(), sigma=DoubleType()))
-def autoregressive_path(grams: pd.Series, n: pd.Series, last: pd.Series, recent: pd.Series, lags: pd.Series, drivers: pd.Series, steps: pd.Series) -> pd.DataFrame:
-    """Best of the nested lag sets by AIC, iterated forward; drivers are held, so their changes are zero.
+def autoregressive_path(values: pd.Series, drivers: pd.Series, lags: pd.Series, steps: pd.Series) -> pd.DataFrame:
+    """Changes regressed on their own lags and on driver changes; the nested lag set with the lowest AIC is iterated.
 
-    Moment columns are change, 1, lagged changes, driver changes; ``recent`` holds the newest changes first.
+    Drivers are held at their last value over the horizon, so their future changes are zero.
     """
     rows = []
-    for flat, count, level, past, order, extra, h in zip(grams, n, last, recent, lags, drivers, steps):
-        g, order = square(flat), [int(v) for v in order]
-        best = None
-        for p in range(1, len(order) + 1):
-            x = [1] + list(range(2, 2 + p)) + list(range(2 + len(order), 2 + len(order) + int(extra)))
-            if count <= len(x) + 1:
-                continue
-            beta, _, sse = least_squares(g, 0, x)
-            aic = count * np.log(max(sse, 1e-300) / count) + 2 * len(x)
-            if best is None or aic < best[0]:
-                best = (aic, beta[:1 + p], order[:p], np.sqrt(sse / (count - len(x))))
+    for y, extra, order, h in zip(values, drivers, lags, steps):
+        d, order = np.diff(np.asarray(y, dtype=float)), [int(k) for k in order]
+        top, best = max(order), None
+        count = len(d) - top
+        if count >= 30:
+            cols = [d[top:], np.ones(count)] + [d[top - k:len(d) - k] for k in order] + [np.diff(np.asarray(x, dtype=float))[top:] for x in extra]
+            z = np.column_stack(cols)
+            g = z.T @ z
+            for p in range(1, len(order) + 1):
+                x = list(range(1, 2 + p)) + list(range(2 + len(order), z.shape[1]))
+                beta, _, sse = least_squares(g, 0, x)
+                aic = count * np.log(max(sse, 1e-300) / count) + 2 * len(x)
+                if best is None or aic < best[0]:
+                    best = (aic, beta[:1 + p], order[:p], np.sqrt(sse / (count - len(x))))
         if best is None:
             rows.append((None,) * 4)
             continue
         aic, beta, used, sigma = best
-        changes, path = list(np.nan_to_num(np.asarray(past, dtype=float)))[::-1], []
+        changes = list(d[-top:])
         for _ in range(int(h)):
-            nxt = float(beta[0] + sum(b * changes[-k] for b, k in zip(beta[1:], used)))
-            changes.append(nxt)
-            level = level + nxt
-            path.append(level)
-        rows.append((path, used, float(aic), float(sigma)))
+            changes.append(float(beta[0] + sum(b * changes[-k] for b, k in zip(beta[1:], used))))
+        rows.append((list(float(y[-1]) + np.cumsum(changes[top:])), used, float(aic), float(sigma)))
     return pd.DataFrame(rows, columns=["path", "lags", "aic", "sigma"])
 
 

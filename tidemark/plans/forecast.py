@@ -75,10 +75,26 @@ def folds(periods: DataFrame, horizon: int, count: int = 5) -> DataFrame:
     return hit.select("series_id", (usable - back).cast("int").alias("cut"), F.col("ts").alias("origin"), F.col("value").alias("anchor"))
 
 
+def history(periods: DataFrame, cuts: DataFrame, names=()) -> DataFrame:
+    """The ordered periods of each series up to each cut, as one short array (``names`` are further columns to carry).
+
+    A series is collected once; the cuts take prefixes of it, so more folds do not mean more shuffled rows.
+    """
+    entry = F.struct("ts", "value", *[F.col(f"`{n}`").alias(f"x{i}") for i, n in enumerate(names)])
+    whole = periods.dropna(subset=["value", *names]).groupBy("series_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    return cuts.join(whole, "series_id").select("series_id", "cut", "origin", F.filter("_all", lambda e: e["ts"] <= F.col("origin")).alias("hist"))
+
+
 def training(series: DataFrame, cuts: DataFrame, freq: str) -> DataFrame:
-    """Period means of what lies before each cut; the last period only holds the days up to it."""
-    seen = series.where(F.col("value").isNotNull()).join(cuts, "series_id").where(F.col("ts") <= F.col("origin"))
-    return seen.groupBy("series_id", "cut", "origin", S.period_label("ts", freq).alias("ts")).agg(F.avg("value").alias("value"))
+    """Period means of what lies before each cut, as ``history``; the last period only holds the days up to the cut."""
+    label = S.period_label("ts", freq)
+    cut_label = cuts.withColumn("_p", S.period_label("origin", freq))
+    before = history(S.resample(series, freq), cut_label.select("series_id", "cut", F.date_sub("_p", 1).alias("origin"))).select("series_id", "cut", "hist")
+    days = series.where(F.col("value").isNotNull()).withColumn("_p", label).join(cut_label, ["series_id", "_p"]).where(F.col("ts") <= F.col("origin"))
+    partial = days.groupBy("series_id", "cut", F.col("_p").alias("ts")).agg(F.avg("value").alias("value"))
+    rows = cuts.select("series_id", "cut", "origin").join(before, KEYS, "left").join(partial, KEYS, "left")
+    last = F.when(F.col("value").isNotNull(), F.array(F.struct("ts", "value"))).otherwise(F.filter(F.array(F.struct("ts", "value")), lambda e: F.lit(False)))
+    return rows.select("series_id", "cut", "origin", F.concat(F.coalesce("hist", F.filter(F.array(F.struct("ts", "value")), lambda e: F.lit(False))), last).alias("hist"))
 
 
 # ---- models ------------------------------------------------------------------------------------------------------
@@ -89,40 +105,32 @@ def seasonal_naive(series: DataFrame, points: DataFrame) -> DataFrame:
     return S.nearest(asked, series, "_t", 3, "pred").drop("_t")
 
 
-def _ordered(train: DataFrame) -> DataFrame:
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda e: e["value"])
-    return train.groupBy(*KEYS).agg(values.alias("_y"))
+def _values(column: str) -> Column:
+    return F.transform("hist", lambda e: e[column])
 
 
-def holt_winters(train: DataFrame, period: int, steps: int) -> DataFrame:
-    """Additive Holt-Winters per cut.  A series has at most one value per period, so its array is short."""
-    fit = _ordered(train).withColumn("_f", paths.holt_winters_path("_y", F.lit(period).cast("bigint"), F.lit(steps).cast("bigint")))
+def holt_winters(hist: DataFrame, period: int, steps: int) -> DataFrame:
+    """Additive Holt-Winters per cut over a grid of weights."""
+    fit = hist.withColumn("_f", paths.holt_winters_path(_values("value"), F.lit(period).cast("bigint"), F.lit(steps).cast("bigint")))
     sigma = F.sqrt(F.try_divide("_f.sse", "_f.n"))
     return fit.where("_f.path is not null").select(*KEYS, F.posexplode("_f.path").alias("step", "pred"), "_f.alpha", "_f.beta", "_f.gamma", sigma.alias("sigma")).withColumn(
         "step", F.col("step") + 1)
 
 
-def autoregression(train: DataFrame, steps: int, lags=(1, 2, 4), drivers: DataFrame | None = None, names=()) -> DataFrame:
-    """Regression of the change on its own lags (and driver changes) per cut, iterated forward."""
-    rows = train
-    if names:
-        rows = rows.join(S.panel(drivers, names), "ts")
-    order = Window.partitionBy(*KEYS).orderBy("ts")
-    change = F.col("value") - F.lag("value").over(order)
-    diffs = rows.select(*KEYS, "ts", "value", change.alias("d"), *[(F.col(f"`{n}`") - F.lag(f"`{n}`").over(order)).alias(f"x{i}") for i, n in enumerate(names)])
-    longest = max(lags)
-    wide = diffs.select("*", F.lit(1.0).alias("one"), *[F.lag("d", k).over(order).alias(f"d{k}") for k in range(1, longest)] if longest > 1 else [],
-                        *([F.lag("d", longest).over(order).alias(f"d{longest}")]))
-    recent = F.array("d", *[f"d{k}" for k in range(1, longest)])
-    state = wide.groupBy(*KEYS).agg(F.max_by("value", "ts").alias("_last"), F.max_by(recent, "ts").alias("_recent"))
-    cols = ["d", "one"] + [f"d{k}" for k in lags] + [f"x{i}" for i in range(len(names))]
-    g = linalg.gram(wide.dropna(subset=cols), KEYS, cols).where(F.col("n") >= 30)
-    fit = g.join(state, KEYS).withColumn("_f", paths.autoregressive_path(
-        "gram", "n", "_last", "_recent", F.array(*[F.lit(k).cast("bigint") for k in lags]), F.lit(len(names)).cast("bigint"), F.lit(steps).cast("bigint")))
+def autoregression(hist: DataFrame, steps: int, lags=(1, 2, 4), drivers: int = 0) -> DataFrame:
+    """Regression of the change on its own lags and the changes of the carried drivers per cut, iterated forward."""
+    extra = F.array(*[_values(f"x{i}") for i in range(drivers)]).cast("array<array<double>>")
+    order = F.array(*[F.lit(k).cast("bigint") for k in lags])
+    fit = hist.withColumn("_f", paths.autoregressive_path(_values("value"), extra, order, F.lit(steps).cast("bigint")))
     return fit.where("_f.path is not null").select(*KEYS, F.posexplode("_f.path").alias("step", "pred"), F.col("_f.lags").alias("lags_used"), F.col("_f.aic").alias("aic"),
                                                    F.col("_f.sigma").alias("sigma")).withColumn("step", F.col("step") + 1)
 
 
+def with_drivers(periods: DataFrame, drivers: DataFrame, names) -> DataFrame:
+    """Periods next to the drivers of the same date."""
+    return periods.join(S.panel(drivers, names), "ts")
+
+
 def vector_autoregression(series: DataFrame, names, steps: int, depth: int = 2, correct: bool = False) -> DataFrame:
     """Joint forecast of a named panel; ``correct`` adds last period's deviation of the first member from the others."""
     k, order = len(names), Window.partitionBy("panel").orderBy("ts")
@@ -224,12 +232,14 @@ def rolling_backtest(periods: DataFrame, horizon: int, freq: str, drivers: DataF
     ends = f.join(numbered.select("series_id", F.col("ts").alias("origin"), F.col("_i").alias("_e")), ["series_id", "origin"])
     tests = numbered.join(ends, "series_id").withColumn("step", F.col("_i") - F.col("_e")).where(F.col("step").between(1, horizon)).select(
         *KEYS, "anchor", "step", F.col("value").alias("actual"))
-    train = periods.where(F.col("value").isNotNull()).join(f.select(*KEYS, "origin"), "series_id").where(F.col("ts") <= F.col("origin"))
+    cuts = f.select(*KEYS, "origin")
+    train = history(periods, cuts)
     hw = holt_winters(train, fixed.PERIODS_PER_YEAR[freq], horizon).select(*KEYS, "step", "pred").withColumn("model", F.lit("holt_winters"))
     ar = autoregression(train, horizon).select(*KEYS, "step", "pred").withColumn("model", F.lit("autoregression"))
     both = hw.unionByName(ar)
     if names:
-        both = both.unionByName(autoregression(train, horizon, drivers=drivers, names=names).select(*KEYS, "step", "pred").withColumn("model", F.lit("autoregression_drivers")))
+        driven = history(with_drivers(periods, drivers, names), cuts, names)
+        both = both.unionByName(autoregression(driven, horizon, drivers=len(names)).select(*KEYS, "step", "pred").withColumn("model", F.lit("autoregression_drivers")))
     return tests.join(both, KEYS + ["step"])
 
 

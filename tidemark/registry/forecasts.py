@@ -7,6 +7,7 @@ from tidemark.operators import regress, seasonal as M, series as S
 from tidemark.plans import forecast as K, modules as X, scores as Z
 from tidemark.registry.base import DRIVER, MARKET, PRICE, VOLUME, W, longs, query, r, rounded
 from tidemark.sources import tables as T
+from tidemark.sources.store import landed
 
 
 def _f(agg: str, c: str, n: int, need: int) -> str:
@@ -87,22 +88,28 @@ def empirical_interval(spark, sf):
 
 @query("backtest_points")
 def backtest_points(spark, sf):
-    return rounded(longs(K.backtest(T.prices(spark, sf))))
+    return rounded(longs(K.backtest(landed(T.prices(spark, sf)))))
 
 
 @query("backtest_metrics")
 def backtest_metrics(spark, sf):
-    return rounded(longs(K.error_metrics(K.backtest(T.prices(spark, sf)))))
+    return rounded(longs(K.error_metrics(K.backtest(landed(T.prices(spark, sf))))))
+
+
+@query("backtest_suppliers")
+def backtest_suppliers(spark, sf):
+    """The walk-forward backtest over every supplier's series at once."""
+    return rounded(longs(K.error_metrics(K.backtest(landed(T.supplier_prices(spark, sf))))))
 
 
 @query("select_best")
 def select_best(spark, sf):
-    return rounded(longs(K.select_best(K.error_metrics(K.backtest(T.prices(spark, sf))))))
+    return rounded(longs(K.select_best(K.error_metrics(K.backtest(landed(T.prices(spark, sf)))))))
 
 
 @query("forecast")
 def forecast(spark, sf):
-    return rounded(longs(K.forecast(T.prices(spark, sf))))
+    return rounded(longs(K.forecast(landed(T.prices(spark, sf)))))
 
 
 @query("holt_winters_grid")
@@ -121,7 +128,9 @@ def ar_ols(spark, sf):
 def ar_ols_drivers(spark, sf):
     p = T.prices(spark, sf)
     drivers = S.resample(T.volumes(spark, sf), "W", "sum").unionByName(S.resample(T.driver(spark, sf), "W"))
-    return rounded(longs(K.autoregression(K.training(p, K.present(p), "W"), 26, drivers=drivers, names=["arrivals", "driver"])))
+    names = ["arrivals", "driver"]
+    hist = K.history(K.with_drivers(S.resample(p, "W"), drivers, names), K.present(p).withColumn("origin", F.date_add("origin", 6)), names)
+    return rounded(longs(K.autoregression(hist, 26, drivers=len(names))))
 
 
 @query("var_ols")

@@ -11,6 +11,7 @@ def local_session(name: str = "tidemark", cores: str | int = 8, shuffle: int = 8
             .config("spark.sql.shuffle.partitions", str(shuffle))
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")  # small data, several cores
             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))

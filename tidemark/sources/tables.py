@@ -14,8 +14,15 @@ BENCHMARK = "1-URGENT"
 MARKETS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
+_SCHEMAS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; its schema is inferred from the footers once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def prices(spark, sf_dir) -> DataFrame:
@@ -46,6 +53,13 @@ def market_prices(spark, sf_dir) -> DataFrame:
             .agg((F.sum("total").cast("double") / F.sum("n")).alias("value")))
 
 
+def supplier_prices(spark, sf_dir) -> DataFrame:
+    """Unit value per supplier and day: as many series as there are suppliers."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("ts")).agg(
+        (exact_sum("l_extendedprice") / F.sum("l_quantity")).alias("value"))
+
+
 def volumes(spark, sf_dir) -> DataFrame:
     """Arrivals (everything shipped) and offtake (status F) per ship day."""
     li = read(spark, sf_dir, "lineitem")
