@@ -15,7 +15,9 @@ from pyspark.sql.types import DoubleType
 # Ship these helpers with the task, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _log_gamma(values):
+    return np.array([math.lgamma(v) for v in values])
 
 
 def _fraction(a, b, x, rounds=400):
