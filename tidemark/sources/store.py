@@ -30,8 +30,11 @@ def landed(df: DataFrame) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(CELLS)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    """Landed cells.  A sheet delivered again replaces its earlier cells: the newest file wins per cell."""
+    reader = spark.read.schema(CELLS).option("pathGlobFilter", f"*.{fmt}")
+    cells = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    newest = F.max_by(F.struct("v"), F.col("_metadata.file_modification_time"))
+    return cells.groupBy("source", "sheet", "r", "c").agg(newest.alias("_n")).select("source", "sheet", "r", "c", F.col("_n.v").alias("v"))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

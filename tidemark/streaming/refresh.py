@@ -50,7 +50,7 @@ def watch(spark: SparkSession, landing: str, specs, base: str, interval: str | N
     """Refresh whenever new cell files land: once over what is there, or every interval."""
     def on_batch(batch: DataFrame, batch_id: int):
         new = batch.select("source", "sheet").distinct()
-        whole = spark.read.schema(store.CELLS).option("pathGlobFilter", "*.parquet").parquet(landing)
+        whole = store.read_cells(spark, landing)
         if not new.isEmpty():
             status = refresh(spark, whole, specs, base, f"batch{batch_id:08d}", then)
             spark.createDataFrame([(status["refresh_id"], status["status"], status.get("error"))], "refresh_id string, status string, error string").write.mode("append").json(f"{base}/refreshes")
