@@ -15,6 +15,11 @@ def _flag(ok: Column) -> Column:
     return F.when(ok, "ok").otherwise("insufficient_evidence")
 
 
+def the_row(df: DataFrame, *cols: str) -> Column:
+    """A one-row table as a struct value for every row of another plan; null when it is empty."""
+    return df.agg(F.first(F.struct(*cols)).alias("row")).scalar()
+
+
 def variety_scores(price: DataFrame) -> DataFrame:
     """Market strength, stability, risk and confidence from the price module."""
     regimes = F.create_map(*[F.lit(x) for k, v in fixed.REGIME_SCORES.items() for x in (k, v)])
@@ -34,8 +39,8 @@ def variety_scores(price: DataFrame) -> DataFrame:
 def votes(price: DataFrame, deviations: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Share of bullish and bearish votes among the signals that exist."""
     latest = deviations.groupBy("series_id").agg(F.max_by("deviation_pct", "ts").alias("deviation_pct"))
-    supply = arrivals.where("series_id = 'arrivals'").select(F.col("yoy_pct").alias("arrivals_yoy"), F.lit("all").alias("_m"))
-    rows = price.join(latest, "series_id", "left").withColumn("_m", F.lit("all")).join(supply, "_m", "left")
+    supply = the_row(arrivals.where("series_id = 'arrivals'"), "yoy_pct")
+    rows = price.join(latest, "series_id", "left").withColumn("arrivals_yoy", supply["yoy_pct"])
 
     def vote(c, up, down):
         return F.when(F.col(c).isNull(), None).when(F.col(c) > up, "bullish").when(F.col(c) < down, "bearish").otherwise("neutral")
@@ -53,11 +58,11 @@ def votes(price: DataFrame, deviations: DataFrame, arrivals: DataFrame) -> DataF
 
 def market_scores(arrivals: DataFrame, months: DataFrame, surplus: DataFrame) -> DataFrame:
     """Supply pressure, arrival pressure and demand of the whole market: one row."""
-    a = arrivals.where("series_id = 'arrivals'").select(F.col("yoy_pct").alias("yoy"), "mean_30", "mean_90", F.month("as_of").alias("month"), F.lit("all").alias("_m"))
-    o = arrivals.where("series_id = 'offtake'").select(F.col("yoy_pct").alias("off_yoy"), F.col("mom_pct").alias("off_mom"), F.lit("all").alias("_m"))
+    a = arrivals.where("series_id = 'arrivals'").select(F.col("yoy_pct").alias("yoy"), "mean_30", "mean_90", F.month("as_of").alias("month"))
+    o = the_row(arrivals.where("series_id = 'offtake'"), "yoy_pct", "mom_pct")
     seas = months.where("series_id = 'arrivals' and position is not null").select("month", shown("mean_total", 0).alias("norm"), "position")
-    s = surplus.agg(shown(F.max_by("surplus", "ts"), 2).alias("surplus")).withColumn("_m", F.lit("all"))
-    rows = a.join(seas, "month", "left").join(o, "_m", "left").join(s, "_m", "left")
+    s = surplus.agg(shown(F.max_by("surplus", "ts"), 2).alias("surplus")).scalar()
+    rows = a.join(seas, "month", "left").withColumn("_o", o).withColumn("surplus", s).withColumn("off_yoy", F.col("_o.yoy_pct")).withColumn("off_mom", F.col("_o.mom_pct"))
     ratio = F.try_divide(F.col("mean_30") * 30, F.col("norm"))
     place = F.when(F.col("position") == "peak", 80.0).when(F.col("position") == "lean", 20.0).when(F.col("position").isNotNull(), 50.0)
     rows = (rows.withColumn("p1", scaled("yoy", *B["arrival_yoy"])).withColumn("p2", scaled(ratio, *B["arrival_ratio"])).withColumn("p3", scaled("surplus", *B["surplus"]))
@@ -69,7 +74,7 @@ def market_scores(arrivals: DataFrame, months: DataFrame, surplus: DataFrame) ->
 
 def composite(variety: DataFrame, market: DataFrame) -> DataFrame:
     """Weighted blend of strength, inverted supply pressure, demand and stability over the parts that exist."""
-    rows = variety.withColumn("market", F.lit("all")).join(market, "market", "left")
+    rows = variety.withColumn("_m", the_row(market, "supply_pressure", "demand")).select("*", "_m.*")
     parts = {"market_strength": F.col("market_strength"), "supply_pressure_inverted": 100 - F.col("supply_pressure"), "demand": F.col("demand"), "stability": F.col("stability")}
     num = sum((F.coalesce(c * fixed.COMPOSITE_WEIGHTS[k], F.lit(0.0)) for k, c in parts.items()), F.lit(0.0))
     den = sum((F.when(c.isNotNull(), fixed.COMPOSITE_WEIGHTS[k]).otherwise(0.0) for k, c in parts.items()), F.lit(0.0))
@@ -94,9 +99,9 @@ def sentiment(price: DataFrame, arrivals: DataFrame) -> DataFrame:
         "_nm", F.count(F.lit(1)).over(whole))
     same = vol.where(F.col("m") == F.month("_end"))
     prior = F.when(F.col("ts") < F.col("_end"), F.col("value"))
-    supply = same.groupBy(F.lit("all").alias("_m")).agg(F.avg(prior).alias("norm"), F.count(prior).alias("prior_years"), F.max_by("value", "ts").alias("recent_volume"), F.max("_nm").alias("n_vol"))
+    supply = same.agg(F.avg(prior).alias("norm"), F.count(prior).alias("prior_years"), F.max_by("value", "ts").alias("recent_volume"), F.max("_nm").alias("n_vol"))
     season = M.month_table(price).select("series_id", "month", F.col("index").alias("season_index"))
-    joined = (facts.join(move, "series_id", "left").withColumn("_m", F.lit("all")).join(supply, "_m", "left").withColumn("month", F.month(F.add_months("as_of", 1)))
+    joined = (facts.join(move, "series_id", "left").withColumn("_m", the_row(supply, *supply.columns)).select("*", "_m.*").withColumn("month", F.month(F.add_months("as_of", 1)))
               .join(season, ["series_id", "month"], "left"))
     span = F.when((F.col("n_year") >= 20) & (F.col("hi") > F.col("lo")), (F.col("latest") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     excess = F.when((F.col("n_vol") >= 24) & (F.col("prior_years") >= 3) & (F.col("norm") > 0), (F.col("recent_volume") - F.col("norm")) / F.col("norm"))

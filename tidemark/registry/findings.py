@@ -1,81 +1,103 @@
 """Insights and streaming."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality as Q, regress as G, seasonal as M, series as S, stats, windows as W
+from tidemark.operators import quality as Q, regress as G, reshape, seasonal as M, series as S, stats, windows as W
 from tidemark.plans import insights as I, modules as X
 from tidemark.registry.base import DRIVER, MARKET, PAIRS, PRICE, longs, query
 from tidemark.registry.landing import STOCK
-from tidemark.registry.pairs import market_pairs, weekly_supply_pairs
 from tidemark.sources import grids, store, tables as T
 from tidemark.streaming import live
 
 
-def _weekly_markets(spark, sf):
-    return S.align(S.resample(T.market_prices(spark, sf), "W"), S.all_pairs(T.MARKETS))
+class Inputs:
+    """Series of one data set, each landed once and shared by every generator that reads it."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def prices(self):
+        return store.landed(T.prices(self.spark, self.sf))
+
+    @cached_property
+    def markets(self):
+        return store.landed(T.market_prices(self.spark, self.sf))
+
+    @cached_property
+    def volumes(self):
+        return store.landed(T.volumes(self.spark, self.sf))
 
+    @cached_property
+    def arrivals(self):
+        return self.volumes.where("series_id = 'arrivals'")
 
-def _verdicts(spark, sf):
-    pairs = _weekly_markets(spark, sf)
-    return G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6)
+    @cached_property
+    def market_pairs(self):
+        return S.align(self.markets, S.all_pairs(T.MARKETS))
 
+    @cached_property
+    def verdicts(self):
+        pairs = store.landed(S.align(S.resample(self.markets, "W"), S.all_pairs(T.MARKETS)))
+        return store.landed(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6))
 
-def _months(spark, sf, name, rows):
-    both = S.resample(T.prices(spark, sf), "ME").unionByName(S.resample(rows, "ME"))
-    return S.align(both, [(name, v) for v in T.VARIETIES])
+    def months(self, name, rows):
+        both = S.resample(self.prices, "ME").unionByName(S.resample(rows, "ME"))
+        return store.landed(S.align(both, [(name, v) for v in T.VARIETIES]))
 
 
-def leadership(spark, sf):
-    return I.leadership(G.leadership(_verdicts(spark, sf))).unionByName(I.sentiment_proxy(stats.pearson(market_pairs(spark, sf))))
+def leadership(d):
+    return I.leadership(G.leadership(d.verdicts)).unionByName(I.sentiment_proxy(stats.pearson(d.market_pairs)))
 
 
-def integration(spark, sf):
-    return I.integration(_verdicts(spark, sf), G.johansen(S.resample(T.market_prices(spark, sf), "W"), T.MARKETS), "ASIA")
+def integration(d):
+    return I.integration(d.verdicts, G.johansen(S.resample(d.markets, "W"), T.MARKETS), "ASIA")
 
 
-def arrivals(spark, sf):
-    p = weekly_supply_pairs(spark, sf)
+def arrivals(d):
+    both = S.resample(d.prices, "W").unionByName(S.resample(d.arrivals, "W", "sum"))
+    p = store.landed(S.align(both, [("arrivals", v) for v in T.VARIETIES]))
     return I.arrivals(stats.elasticity_by_lag(p), stats.thresholds(p), stats.threshold_test(p), stats.lagged_impact(p))
 
 
-def seasonality(spark, sf):
-    p = T.prices(spark, sf)
-    return I.seasonality(M.month_table(p), M.variance_shares(M.decompose(p, "ME")), M.season_profile(T.arrivals(spark, sf)))
+def seasonality(d):
+    return I.seasonality(M.month_table(d.prices), M.variance_shares(M.decompose(d.prices, "ME")), M.season_profile(d.arrivals))
 
 
-def exports(spark, sf):
-    p = _months(spark, sf, "exports", T.exports(spark, sf))
+def exports(d):
+    p = d.months("exports", T.exports(d.spark, d.sf))
     return I.relation(stats.pair_summary(p), stats.lead_lag(stats.cross_correlation(p, 12)), stats.rolling_corr(p, 24), "Exports", "exports")
 
 
-def currency(spark, sf):
-    rate = T.driver(spark, sf)
-    p = _months(spark, sf, "driver", rate)
+def currency(d):
+    rate = store.landed(T.driver(d.spark, d.sf))
+    p = d.months("driver", rate)
     return I.currency(W.coverage_gaps(rate, 4), stats.pair_summary(p), G.granger(p, 6), "driver")
 
 
-def balance(spark, sf):
-    b = T.balance(spark, sf)
-    flat = b.groupBy("year", "is_estimate").agg(F.max(F.when(F.col("category") == "Total Supply", F.col("value"))).alias("s"), F.max(F.when(F.col("category") == "Total Demand", F.col("value"))).alias("d"))
+def balance(d):
+    b = T.balance(d.spark, d.sf)
+    flat = store.landed(b.groupBy("year", "is_estimate").agg(F.max(F.when(F.col("category") == "Total Supply", F.col("value"))).alias("s"), F.max(F.when(F.col("category") == "Total Demand", F.col("value"))).alias("d")))
     stock = flat.select("year", "is_estimate", (F.try_divide(F.col("s") - F.col("d"), F.col("d")) * 100).alias("value")).where("value is not null")
     ratio = stock.select(F.lit("stock").alias("series_id"), F.make_date("year", F.lit(1), F.lit(1)).alias("ts"), "value")
-    yearly = S.align(ratio.unionByName(S.resample(T.prices(spark, sf), "YS")), [("stock", v) for v in T.VARIETIES])
+    yearly = S.align(ratio.unionByName(S.resample(d.prices, "YS")), [("stock", v) for v in T.VARIETIES])
     return I.balance(stock, yearly, flat.select("year", F.col("s").alias("value")))
 
 
-def storage(spark, sf):
-    from tidemark.operators import reshape
-    records = reshape.sparse_records(reshape.parse_tracker(store.landed(grids.tracker_sheet(spark, sf)), STOCK))
-    return I.storage(records, X.premium_profile(market_pairs(spark, sf)))
+def storage(d):
+    records = reshape.sparse_records(reshape.parse_tracker(store.landed(grids.tracker_sheet(d.spark, d.sf)), STOCK))
+    return I.storage(records, X.premium_profile(d.market_pairs))
 
 
-def volatility(spark, sf):
-    w = S.resample(T.prices(spark, sf), "W")
+def volatility(d):
+    w = S.resample(d.prices, "W")
     return I.volatility(W.bands(w, 30), W.outliers(w, 30))
 
 
-def data_quality(spark, sf):
-    return I.data_quality(Q.quality_notes(T.market_prices(spark, sf), 4))
+def data_quality(d):
+    return I.data_quality(Q.quality_notes(d.markets, 4))
 
 
 GENERATORS = {"Price leadership": leadership, "Market integration": integration, "Arrivals impact": arrivals, "Seasonality": seasonality, "Exports": exports,
@@ -90,25 +112,26 @@ for _name, _fn in GENERATORS.items():
     if _fn not in (data_quality,):
         @query("insights_" + _fn.__name__)
         def _one(spark, sf, fn=_fn):
-            return _flat(fn(spark, sf))
+            return _flat(fn(Inputs(spark, sf)))
 
 
 @query("insights_data_quality", f"""WITH {MARKET}, g AS (SELECT series_id, lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS f, ts AS t FROM market), d AS (SELECT *, date_diff('day', f, t) AS days FROM g WHERE date_diff('day', f, t) > 4)
  SELECT 'Data quality' AS category, series_id || ' has a coverage limitation' AS headline, series_id || ': ' || count(*) || ' coverage gap(s) over 4 days; the largest spans ' || max(days) || ' days (' || arg_max(f, struct_pack(a := days, b := f)) || ' to ' || arg_max(t, struct_pack(a := days, b := f)) || ')' AS detail,
  'data gap' AS strength, 'n/a' AS direction, '' AS evidence FROM d GROUP BY series_id""")
 def insights_data_quality(spark, sf):
-    return _flat(data_quality(spark, sf))
+    return _flat(data_quality(Inputs(spark, sf)))
 
 
 @query("insights_storage_premium", f"""WITH {MARKET}, {PAIRS}, p AS (SELECT a, b, quantile_cont(x-y, 0.5) AS m, avg(CASE WHEN x-y > 0 THEN 1.0 ELSE 0.0 END) AS s, count(*) AS n FROM pr GROUP BY 1, 2)
  SELECT 'Cold storage' AS category, a || ' trades at a median premium of ' || printf('%.0f', m) || ' over ' || b AS headline, 'dearer on ' || printf('%.0f', s*100) || ' % of ' || n || ' common days' AS detail, 'strong' AS strength, 'n/a' AS direction FROM p""")
 def insights_storage_premium(spark, sf):
-    return storage(spark, sf).where("headline like '%median premium%'").drop("evidence")
+    return storage(Inputs(spark, sf)).where("headline like '%median premium%'").drop("evidence")
 
 
 @query("insights")
 def insights(spark, sf):
-    found, failed = I.generate_all({n: (lambda f=f: f(spark, sf)) for n, f in GENERATORS.items()})
+    d = Inputs(spark, sf)
+    found, failed = I.generate_all({n: (lambda f=f: f(d)) for n, f in GENERATORS.items()})
     if failed:
         raise RuntimeError(str(failed))
     return longs(_flat(found))
@@ -116,7 +139,8 @@ def insights(spark, sf):
 
 @query("executive_highlights")
 def executive_highlights(spark, sf):
-    found = I.together([fn(spark, sf) for fn in (arrivals, seasonality, exports, balance, volatility, data_quality)])
+    d = Inputs(spark, sf)
+    found = I.together([fn(d) for fn in (arrivals, seasonality, exports, balance, volatility, data_quality)])
     return longs(_flat(I.highlights(found)))
 
 

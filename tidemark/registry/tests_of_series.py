@@ -6,6 +6,7 @@ from tidemark.operators import regress as G, series as S, stats
 from tidemark.registry.base import DRIVER, MARKET, PAIRS, PRICE, VOLUME, W, f_sql, longs, query, r, rounded, student_sql
 from tidemark.registry.pairs import market_pairs
 from tidemark.sources import tables as T
+from tidemark.sources.store import landed
 
 WEEKLY_PRICE = "wp AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM price GROUP BY 1, 2)"
 
@@ -33,19 +34,19 @@ def granger_lag_1(spark, sf):
 
 @query("influence")
 def influence(spark, sf):
-    pairs = _weekly_markets(spark, sf)
+    pairs = landed(_weekly_markets(spark, sf))
     return rounded(longs(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6)), 6)
 
 
 @query("influence_edges")
 def influence_edges(spark, sf):
-    pairs = _weekly_markets(spark, sf)
+    pairs = landed(_weekly_markets(spark, sf))
     return rounded(G.influence_edges(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6)), 6)
 
 
 @query("leadership")
 def leadership(spark, sf):
-    pairs = _weekly_markets(spark, sf)
+    pairs = landed(_weekly_markets(spark, sf))
     return rounded(longs(G.leadership(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6))), 6)
 
 
