@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.operators import regress, seasonal as M, series as S
 from tidemark.plans import forecast as K, modules as X, scores as Z
-from tidemark.registry.base import DRIVER, MARKET, PRICE, VOLUME, W, longs, query, r, rounded
+from tidemark.registry import modules as _modules  # noqa: F401  (its SQL is reused below)
+from tidemark.registry.base import DRIVER, MARKET, PRICE, SQL, VOLUME, W, longs, query, r, rounded
 from tidemark.sources import tables as T
 from tidemark.sources.store import landed
 
@@ -112,7 +113,17 @@ def forecast(spark, sf):
     return rounded(longs(K.forecast(landed(T.prices(spark, sf)))))
 
 
-@query("holt_winters_grid")
+_SMOOTH = f"""wk AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM price GROUP BY 1, 2), wn AS (SELECT *, row_number() OVER {W} AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM wk),
+ fi AS (SELECT series_id, max(n) AS n, avg(value) FILTER (rn <= 52) AS l0, avg(value) FILTER (rn BETWEEN 53 AND 104) AS l1, list(value ORDER BY rn) FILTER (rn <= 52) AS f FROM wn GROUP BY 1),
+ gr AS (SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS gi FROM (SELECT unnest([0.05,0.1,0.2,0.35,0.5,0.8])::DOUBLE AS a), (SELECT unnest([0.0,0.02,0.1])::DOUBLE AS b), (SELECT unnest([0.0,0.05,0.2,0.4])::DOUBLE AS g)),
+ hw AS (SELECT series_id, gi, a, b, g, 52::BIGINT AS t, l0 AS lev, (l1-l0)/52 AS tre, list_transform(f, lambda x: x-l0) AS sea, 0.0::DOUBLE AS sse FROM fi, gr UNION ALL
+  SELECT series_id, gi, a, b, g, t+1, nl, tre+b*(nl-lev-tre), list_transform(sea, lambda s, i: CASE WHEN i = t%52+1 THEN past+g*(y-nl-past) ELSE s END), sse+pow(y-lev-tre-past, 2) FROM (
+   SELECT q.*, lev+tre+a*(y-past-lev-tre) AS nl FROM (SELECT hw.*, wn.value AS y, sea[t%52+1] AS past FROM hw JOIN wn ON wn.series_id = hw.series_id AND wn.rn = hw.t+1) q)),
+ hb AS (SELECT hw.*, fi.n FROM hw JOIN fi USING (series_id) WHERE hw.t = fi.n QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, gi) = 1)"""
+
+
+@query("holt_winters_grid", f"""WITH RECURSIVE {PRICE}, {_SMOOTH} SELECT series_id, -1::BIGINT AS cut, h AS step, {r('lev+h*tre+sea[(n+h-1)%52+1]')} AS pred, {r('a')} AS alpha, {r('b')} AS beta, {r('g')} AS gamma, {r('sqrt(sse/(n-52))')} AS sigma
+ FROM hb, (SELECT unnest(generate_series(1, 26)) AS h)""")
 def holt_winters_grid(spark, sf):
     p = T.prices(spark, sf)
     return rounded(longs(K.holt_winters(K.training(p, K.present(p), "W"), 52, 26)))
@@ -224,11 +235,15 @@ def companions(spark, sf):
     return rounded(K.companions(T.market_prices(spark, sf), "ASIA"), 6)
 
 
-@query("key_drivers")
+_KEY = "list_filter([CASE WHEN trend <> 'neutral' THEN 'trend: ' || trend END, CASE WHEN momentum <> 'neutral' THEN 'momentum: ' || momentum END, CASE WHEN season <> 'neutral' THEN 'season: ' || season END, CASE WHEN arrivals <> 'neutral' THEN 'arrivals: ' || arrivals END, 'trend regime = ' || regime, printf('momentum over 30 = %.2f %%', roc_30)], lambda x: x IS NOT NULL)"
+
+
+@query("key_drivers", SQL["score_votes"].replace("SELECT *, (CASE", "SELECT series_id, array_to_string(" + _KEY + ", '; ') AS statements, (CASE", 1).replace(", 4::BIGINT AS signals FROM s", ", 'ok' AS status FROM s JOIN (SELECT series_id, regime, roc_30 FROM pm) USING (series_id)") if "score_votes" in SQL else None)
 def key_drivers(spark, sf):
     p = T.prices(spark, sf)
     module = X.price_module(p)
-    return rounded(K.key_drivers(Z.votes(module, M.same_month_comparison(p), X.arrival_module(T.volumes(spark, sf))), Z.variety_scores(module)))
+    out = K.key_drivers(Z.votes(module, M.same_month_comparison(p), X.arrival_module(T.volumes(spark, sf))), Z.variety_scores(module))
+    return rounded(out.withColumn("statements", F.array_join("statements", "; ")))
 
 
 @query("explanation")

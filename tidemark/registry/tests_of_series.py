@@ -81,7 +81,13 @@ def acf(spark, sf):
     return rounded(longs(G.autocorrelation(S.resample(T.prices(spark, sf), "W"), 40).drop("pacf")), 6)
 
 
-@query("pacf")
+@query("pacf", f"""WITH RECURSIVE {PRICE}, {WEEKLY_PRICE}, dv AS (SELECT series_id, value - avg(value) OVER (PARTITION BY series_id) AS e, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY series_id) AS n FROM wp),
+ ga AS (SELECT p.series_id, p.n, p.i - q.i AS lag, sum(p.e*q.e) AS g FROM dv p JOIN dv q ON p.series_id = q.series_id AND p.i - q.i BETWEEN 0 AND 40 GROUP BY 1, 2, 3),
+ rh AS (SELECT series_id, n, list(g ORDER BY lag) AS g FROM ga GROUP BY 1, 2), rr AS (SELECT series_id, n, list_transform(g, lambda x: x/g[1]) AS rho FROM rh),
+ lv AS (SELECT series_id, n, rho, 0::BIGINT AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS er, 1.0::DOUBLE AS re FROM rr UNION ALL
+  SELECT series_id, n, rho, k, list_append(list_transform(phi, lambda x, i: x - re*phi[len(phi)-i+1]), re), er*(1-re*re), re FROM (
+   SELECT series_id, n, rho, k+1 AS k, phi, er, (rho[k+2] - coalesce(list_sum(list_transform(phi, lambda x, i: x*rho[k+1-i+1])), 0))/er AS re FROM lv WHERE k < 40))
+ SELECT series_id, k AS lag, {r('re', 6)} AS pacf, {r('1.96/sqrt(n)', 6)} AS band FROM lv""")
 def pacf(spark, sf):
     return rounded(longs(G.autocorrelation(S.resample(T.prices(spark, sf), "W"), 40).drop("acf")), 6)
 
@@ -106,9 +112,25 @@ def _drivers(spark, sf):
     return w.unionByName(S.resample(T.driver(spark, sf), "W"))
 
 
-@query("driver_ols")
+_OLS3 = f"""{WEEKLY_PRICE}, va AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, sum(value) AS value FROM volume WHERE value IS NOT NULL GROUP BY 1, 2),
+ vb AS (SELECT series_id, min(ts) lo, max(ts) hi FROM va GROUP BY 1), vg AS (SELECT series_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS ts FROM vb),
+ vw AS (SELECT g.series_id, g.ts, coalesce(va.value, 0) AS value FROM vg g LEFT JOIN va ON va.series_id = g.series_id AND va.ts = g.ts), dw AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM driver GROUP BY 1),
+ j AS (SELECT p.series_id, p.ts, p.value AS y, a.value AS x1, o.value AS x2, d.value AS x3 FROM wp p JOIN vw a ON a.ts = p.ts AND a.series_id='arrivals' JOIN vw o ON o.ts = p.ts AND o.series_id='offtake' JOIN dw d ON d.ts = p.ts),
+ df AS (SELECT series_id, y-lag(y) OVER {W} AS y, x1-lag(x1) OVER {W} AS x1, x2-lag(x2) OVER {W} AS x2, x3-lag(x3) OVER {W} AS x3 FROM j),
+ m AS (SELECT series_id, count(*) AS n, avg(y) my, avg(x1) m1, avg(x2) m2, avg(x3) m3, var_pop(y)*count(*) yy, var_pop(x1)*count(*) a, covar_pop(x1,x2)*count(*) b, covar_pop(x1,x3)*count(*) c, var_pop(x2)*count(*) d, covar_pop(x2,x3)*count(*) e,
+   var_pop(x3)*count(*) f, covar_pop(x1,y)*count(*) s1, covar_pop(x2,y)*count(*) s2, covar_pop(x3,y)*count(*) s3 FROM df WHERE y IS NOT NULL GROUP BY 1),
+ iv AS (SELECT *, a*(d*f-e*e)-b*(b*f-c*e)+c*(b*e-c*d) AS det FROM m), i2 AS (SELECT *, (d*f-e*e)/det AS i11, (c*e-b*f)/det AS i12, (b*e-c*d)/det AS i13, (a*f-c*c)/det AS i22, (b*c-a*e)/det AS i23, (a*d-b*b)/det AS i33 FROM iv),
+ co AS (SELECT *, i11*s1+i12*s2+i13*s3 AS b1, i12*s1+i22*s2+i23*s3 AS b2, i13*s1+i23*s2+i33*s3 AS b3, n-4 AS v FROM i2), er AS (SELECT *, (yy-b1*s1-b2*s2-b3*s3) AS sse FROM co),
+ st AS (SELECT *, sse/v AS s2e, 1-sse/yy AS r2, my-b1*m1-b2*m2-b3*m3 AS b0, 1.0/n+m1*m1*i11+m2*m2*i22+m3*m3*i33+2*(m1*m2*i12+m1*m3*i13+m2*m3*i23) AS i00 FROM er),
+ tm AS (SELECT st.*, t.* FROM st, LATERAL (VALUES ('const', b0, i00, NULL::DOUBLE), ('arrivals', b1, i11, sqrt(a/yy)), ('offtake', b2, i22, sqrt(d/yy)), ('driver', b3, i33, sqrt(f/yy))) AS t(term, co, iv, sc)),
+ tt AS (SELECT *, co/sqrt(s2e*iv) AS t, (r2/3)/((1-r2)/v) AS ff FROM tm)"""
+
+
+@query("driver_ols", f"""WITH {PRICE}, {VOLUME}, {DRIVER}, {_OLS3} SELECT series_id, term, {r('co')} AS coefficient, {r('sqrt(s2e*iv)')} AS se, {r('t')} AS t, {r(student_sql('t', 'v'), 6)} AS p_value, {r('co*sc', 6)} AS standardised, {r('r2', 6)} AS r_squared,
+ {r('1-(1-r2)*(n-1)/v', 6)} AS adj_r_squared, {r(f_sql('ff', '3', 'v'), 6)} AS f_p_value, n FROM tt""")
 def driver_ols(spark, sf):
-    return rounded(G.driver_regression(S.resample(T.prices(spark, sf), "W"), _drivers(spark, sf), ["arrivals", "offtake", "driver"]), 6)
+    out = G.driver_regression(S.resample(T.prices(spark, sf), "W"), _drivers(spark, sf), ["arrivals", "offtake", "driver"])
+    return rounded(out, 6, coefficient=4, se=4, t=4)
 
 
 @query("driver_ols_single", f"""WITH {PRICE}, {VOLUME}, {WEEKLY_PRICE}, wv AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, sum(value) AS v FROM volume WHERE series_id='arrivals' GROUP BY 1),
