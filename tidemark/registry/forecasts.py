@@ -87,12 +87,48 @@ def empirical_interval(spark, sf):
     return rounded(longs(K.with_interval(base, K.residual_table(_naive(spark, sf)))))
 
 
-@query("backtest_points")
+_KW = "(PARTITION BY series_id, cut ORDER BY ts)"
+_PRESENT = "tw AS (SELECT series_id, -1::BIGINT AS cut, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM price GROUP BY 1, 2, 3)"
+_TRAIN = "tw AS (SELECT p.series_id, og.cut, CAST(date_trunc('week', p.ts) AS DATE) + 6 AS ts, avg(p.value) AS value FROM price p JOIN og ON og.series_id = p.series_id AND p.ts <= og.origin GROUP BY 1, 2, 3)"
+
+# Smoothing over the weight grid for every (series_id, cut) of tw, up to the best triple in hb.
+def _smooth(m: int) -> str:
+    return f"""wn AS (SELECT *, row_number() OVER {_KW} AS rn, count(*) OVER (PARTITION BY series_id, cut) AS n FROM tw),
+ fi AS (SELECT series_id, cut, max(n) AS n, avg(value) FILTER (rn <= {m}) AS l0, avg(value) FILTER (rn BETWEEN {m + 1} AND {2 * m}) AS l1, list(value ORDER BY rn) FILTER (rn <= {m}) AS f FROM wn WHERE n >= {2 * m} GROUP BY 1, 2),
+ gr AS (SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS gi FROM (SELECT unnest([0.05,0.1,0.2,0.35,0.5,0.8])::DOUBLE AS a), (SELECT unnest([0.0,0.02,0.1])::DOUBLE AS b), (SELECT unnest([0.0,0.05,0.2,0.4])::DOUBLE AS g)),
+ hw AS (SELECT series_id, cut, gi, a, b, g, {m}::BIGINT AS t, l0 AS lev, (l1-l0)/{m} AS tre, list_transform(f, lambda x: x-l0) AS sea, 0.0::DOUBLE AS sse FROM fi, gr UNION ALL
+  SELECT series_id, cut, gi, a, b, g, t+1, nl, tre+b*(nl-lev-tre), list_transform(sea, lambda s, i: CASE WHEN i = t%{m}+1 THEN past+g*(y-nl-past) ELSE s END), sse+pow(y-lev-tre-past, 2) FROM (
+   SELECT q.*, lev+tre+a*(y-past-lev-tre) AS nl FROM (SELECT hw.*, wn.value AS y, sea[t%{m}+1] AS past FROM hw JOIN wn ON wn.series_id = hw.series_id AND wn.cut = hw.cut AND wn.rn = hw.t+1) q)),
+ hb AS (SELECT hw.*, fi.n FROM hw JOIN fi USING (series_id, cut) WHERE hw.t = fi.n QUALIFY row_number() OVER (PARTITION BY series_id, cut ORDER BY sse, gi) = 1)"""
+
+
+_SMOOTH = _smooth(52)
+
+# Autoregression on changes at lags 1, 2, 4 for every (series_id, cut) of tw, iterated 27 steps in ap.
+_AR = f"""ad AS (SELECT series_id, cut, ts, value, value - lag(value) OVER {_KW} AS d FROM tw), al AS (SELECT *, lag(d,1) OVER {_KW} AS x1, lag(d,2) OVER {_KW} AS x2, lag(d,3) OVER {_KW} AS x3, lag(d,4) OVER {_KW} AS x4 FROM ad),
+ am AS (SELECT series_id, cut, count(*) AS n, avg(d) my, avg(x1) m1, avg(x2) m2, avg(x4) m3, var_pop(d)*count(*) yy, var_pop(x1)*count(*) a, covar_pop(x1,x2)*count(*) b, covar_pop(x1,x4)*count(*) c, var_pop(x2)*count(*) d, covar_pop(x2,x4)*count(*) e,
+   var_pop(x4)*count(*) f, covar_pop(x1,d)*count(*) s1, covar_pop(x2,d)*count(*) s2, covar_pop(x4,d)*count(*) s3 FROM al WHERE x4 IS NOT NULL GROUP BY 1, 2),
+ ai AS (SELECT *, a*d-b*b AS d2, a*(d*f-e*e)-b*(b*f-c*e)+c*(b*e-c*d) AS d3 FROM am WHERE n >= 30),
+ ab AS (SELECT ai.*, t.* FROM ai, LATERAL (VALUES (1, s1/a, 0.0::DOUBLE, 0.0::DOUBLE), (2, (d*s1-b*s2)/d2, (a*s2-b*s1)/d2, 0.0::DOUBLE), (3, ((d*f-e*e)*s1+(c*e-b*f)*s2+(b*e-c*d)*s3)/d3, ((c*e-b*f)*s1+(a*f-c*c)*s2+(b*c-a*e)*s3)/d3,
+   ((b*e-c*d)*s1+(b*c-a*e)*s2+(a*d-b*b)*s3)/d3)) AS t(p, b1, b2, b3)), ac AS (SELECT *, yy-b1*s1-b2*s2-b3*s3 AS sse FROM ab),
+ af AS (SELECT *, n*ln(sse/n)+2*(p+1) AS aic, my-b1*m1-b2*m2-b3*m3 AS b0, sqrt(sse/(n-p-1)) AS sigma FROM ac QUALIFY row_number() OVER (PARTITION BY series_id, cut ORDER BY n*ln(sse/n)+2*(p+1), p) = 1),
+ an AS (SELECT series_id, cut, arg_max(value, ts) AS lev, arg_max([x3, x2, x1, d], ts) AS ch FROM al GROUP BY 1, 2),
+ ap AS (SELECT series_id, cut, 0::BIGINT AS step, lev AS pred, ch FROM an UNION ALL SELECT ap.series_id, ap.cut, step+1, pred + (b0+b1*ch[4]+b2*ch[3]+b3*ch[1]), [ch[2], ch[3], ch[4], b0+b1*ch[4]+b2*ch[3]+b3*ch[1]] FROM ap JOIN af ON af.series_id = ap.series_id AND af.cut = ap.cut WHERE step < 27)"""
+
+_POINTS = f"""st AS (SELECT *, CASE horizon WHEN 7 THEN 1 WHEN 14 THEN 2 WHEN 30 THEN 4 WHEN 60 THEN 9 WHEN 90 THEN 13 WHEN 120 THEN 17 ELSE 26 END AS step FROM oh),
+ pr AS (SELECT series_id, cut, horizon, 'seasonal_naive' AS model, pred FROM nv WHERE pred IS NOT NULL UNION ALL SELECT st.series_id, st.cut, horizon, 'holt_winters', lev+step*tre+sea[(n+step-1)%52+1] FROM st JOIN hb ON hb.series_id = st.series_id AND hb.cut = st.cut
+  UNION ALL SELECT st.series_id, st.cut, horizon, 'autoregression', ap.pred FROM st JOIN ap ON ap.series_id = st.series_id AND ap.cut = st.cut AND ap.step = st.step),
+ bt AS (SELECT oh.series_id, oh.cut, oh.horizon, oh.origin, oh.target_ts, pr.model, pr.pred, nv.actual FROM oh JOIN nv ON nv.series_id = oh.series_id AND nv.cut = oh.cut AND nv.horizon = oh.horizon JOIN pr ON pr.series_id = oh.series_id AND pr.cut = oh.cut AND pr.horizon = oh.horizon WHERE nv.actual IS NOT NULL),
+ mt AS (SELECT series_id, model, CAST(horizon AS BIGINT) AS horizon, sqrt(avg(pow(actual-pred,2))) AS rmse, avg(abs(actual-pred)) AS mae, avg(abs((actual-pred)/actual))*100 AS mape, avg(abs(actual-pred)/((abs(actual)+abs(pred))/2))*100 AS smape, count(*) AS n FROM bt GROUP BY 1, 2, 3)"""
+_BACKTEST = f"WITH RECURSIVE {PRICE}, {_ORIGINS}, {_NAIVE}, {_TRAIN}, {_SMOOTH}, {_AR}, {_POINTS}"
+
+
+@query("backtest_points", f"{_BACKTEST} SELECT series_id, CAST(cut AS BIGINT) AS cut, CAST(horizon AS BIGINT) AS horizon, origin, target_ts, model, {r('pred')} AS pred, {r('actual')} AS actual FROM bt")
 def backtest_points(spark, sf):
     return rounded(longs(K.backtest(landed(T.prices(spark, sf)))))
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", f"{_BACKTEST} SELECT series_id, model, horizon, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('smape')} AS smape, n FROM mt")
 def backtest_metrics(spark, sf):
     return rounded(longs(K.error_metrics(K.backtest(landed(T.prices(spark, sf))))))
 
@@ -103,33 +139,39 @@ def backtest_suppliers(spark, sf):
     return rounded(longs(K.error_metrics(K.backtest(landed(T.supplier_prices(spark, sf))))))
 
 
-@query("select_best")
+@query("select_best", f"""{_BACKTEST}, rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS k FROM mt)
+ SELECT a.series_id, a.horizon, a.model, {r('a.rmse')} AS rmse, {r('a.mape')} AS mape, a.n AS n_folds, b.model AS runner_up, {r('(b.rmse-a.rmse)/a.rmse*100')} AS gap_pct FROM rk a LEFT JOIN rk b ON b.series_id = a.series_id AND b.horizon = a.horizon AND b.k = 2 WHERE a.k = 1""")
 def select_best(spark, sf):
     return rounded(longs(K.select_best(K.error_metrics(K.backtest(landed(T.prices(spark, sf)))))))
 
 
-@query("forecast")
-def forecast(spark, sf):
-    return rounded(longs(K.forecast(landed(T.prices(spark, sf)))))
+_FORECAST = f"""{_BACKTEST.replace(_TRAIN, _TRAIN + " UNION ALL SELECT series_id, -1, CAST(date_trunc('week', ts) AS DATE) + 6, avg(value) FROM price GROUP BY 1, 2, 3".replace("UNION ALL SELECT", "UNION ALL SELECT")).replace("GROUP BY 1, 2, 3) UNION ALL", "GROUP BY 1, 2, 3 UNION ALL").replace("FROM price GROUP BY 1, 2, 3,", "FROM price GROUP BY 1, 2, 3),")},
+ rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS k FROM mt), lt AS (SELECT series_id, max(ts) AS as_of, arg_max(value, ts) AS current FROM price GROUP BY 1),
+ oh2 AS (SELECT lt.*, h AS horizon, CAST(as_of + h AS DATE) AS target_ts, CAST(as_of + h - 365 AS DATE) AS back, CASE h WHEN 7 THEN 1 WHEN 14 THEN 2 WHEN 30 THEN 4 WHEN 60 THEN 9 WHEN 90 THEN 13 WHEN 120 THEN 17 ELSE 26 END AS step FROM lt, (SELECT unnest([7,14,30,60,90,120,180]) AS h)),
+ pw AS (SELECT oh.series_id, oh.horizon, 'seasonal_naive' AS model, {_near('oh.back', 3)} AS point FROM oh2 oh UNION ALL SELECT o.series_id, o.horizon, 'holt_winters', lev+step*tre+sea[(n+step-1)%52+1] FROM oh2 o JOIN hb ON hb.series_id = o.series_id AND hb.cut = -1
+  UNION ALL SELECT o.series_id, o.horizon, 'autoregression', ap.pred FROM oh2 o JOIN ap ON ap.series_id = o.series_id AND ap.cut = -1 AND ap.step = o.step),
+ rs AS (SELECT series_id, model, horizon, quantile_cont(actual-pred, 0.05) AS lo, quantile_cont(actual-pred, 0.95) AS hi, list(actual-pred) AS res, count(*) AS n FROM bt GROUP BY 1, 2, 3),
+ fc AS (SELECT rk.series_id, as_of, rk.horizon, target_ts, rk.model, point, current, rk.rmse, rk.mape, rk.n AS n_folds, lo, hi, res, rs.n AS m FROM rk JOIN oh2 ON oh2.series_id = rk.series_id AND oh2.horizon = rk.horizon JOIN pw ON pw.series_id = rk.series_id AND pw.horizon = rk.horizon AND pw.model = rk.model
+  JOIN rs ON rs.series_id = rk.series_id AND rs.horizon = rk.horizon AND rs.model = rk.model WHERE k = 1 AND point IS NOT NULL)"""
 
 
-_SMOOTH = f"""wk AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM price GROUP BY 1, 2), wn AS (SELECT *, row_number() OVER {W} AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM wk),
- fi AS (SELECT series_id, max(n) AS n, avg(value) FILTER (rn <= 52) AS l0, avg(value) FILTER (rn BETWEEN 53 AND 104) AS l1, list(value ORDER BY rn) FILTER (rn <= 52) AS f FROM wn GROUP BY 1),
- gr AS (SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS gi FROM (SELECT unnest([0.05,0.1,0.2,0.35,0.5,0.8])::DOUBLE AS a), (SELECT unnest([0.0,0.02,0.1])::DOUBLE AS b), (SELECT unnest([0.0,0.05,0.2,0.4])::DOUBLE AS g)),
- hw AS (SELECT series_id, gi, a, b, g, 52::BIGINT AS t, l0 AS lev, (l1-l0)/52 AS tre, list_transform(f, lambda x: x-l0) AS sea, 0.0::DOUBLE AS sse FROM fi, gr UNION ALL
-  SELECT series_id, gi, a, b, g, t+1, nl, tre+b*(nl-lev-tre), list_transform(sea, lambda s, i: CASE WHEN i = t%52+1 THEN past+g*(y-nl-past) ELSE s END), sse+pow(y-lev-tre-past, 2) FROM (
-   SELECT q.*, lev+tre+a*(y-past-lev-tre) AS nl FROM (SELECT hw.*, wn.value AS y, sea[t%52+1] AS past FROM hw JOIN wn ON wn.series_id = hw.series_id AND wn.rn = hw.t+1) q)),
- hb AS (SELECT hw.*, fi.n FROM hw JOIN fi USING (series_id) WHERE hw.t = fi.n QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, gi) = 1)"""
+@query("forecast", f"""{_FORECAST} SELECT series_id, as_of, horizon, target_ts, model, {r('point')} AS point, {r('current')} AS current, {r('rmse')} AS rmse, {r('mape')} AS mape, n_folds, {r('CASE WHEN m >= 3 THEN point+lo END')} AS lower, {r('CASE WHEN m >= 3 THEN point+hi END')} AS upper,
+ {r('CASE WHEN m >= 5 THEN len(list_filter(res, lambda e: point+e > current))*100.0/m END')} AS bullish_pct, {r('CASE WHEN m >= 5 THEN 100-len(list_filter(res, lambda e: point+e > current))*100.0/m END')} AS bearish_pct, m AS residuals_used, {r('(point-current)/current*100')} AS change_pct,
+ array_to_string(list_filter([CASE WHEN horizon >= 90 THEN horizon || ' days ahead: read the interval, not the point' END, CASE WHEN n_folds < 6 THEN 'only ' || n_folds || ' folds behind the error estimate' END, CASE WHEN mape > 10 THEN printf('past error of %.1f %% at this horizon', mape) END,
+  CASE model WHEN 'seasonal_naive' THEN 'repeats last year and cannot react to a new shock' WHEN 'holt_winters' THEN 'horizon rounded to whole weeks, up to three days off' ELSE 'models short memory only, no yearly season' END], lambda x: x IS NOT NULL), '; ') AS risks FROM fc""")
+def forecast(spark, sf):
+    out = K.forecast(landed(T.prices(spark, sf)))
+    return rounded(longs(out.withColumn("risks", F.array_join("risks", "; "))))
 
 
-@query("holt_winters_grid", f"""WITH RECURSIVE {PRICE}, {_SMOOTH} SELECT series_id, -1::BIGINT AS cut, h AS step, {r('lev+h*tre+sea[(n+h-1)%52+1]')} AS pred, {r('a')} AS alpha, {r('b')} AS beta, {r('g')} AS gamma, {r('sqrt(sse/(n-52))')} AS sigma
+@query("holt_winters_grid", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_SMOOTH} SELECT series_id, cut, h AS step, {r('lev+h*tre+sea[(n+h-1)%52+1]')} AS pred, {r('a')} AS alpha, {r('b')} AS beta, {r('g')} AS gamma, {r('sqrt(sse/(n-52))')} AS sigma
  FROM hb, (SELECT unnest(generate_series(1, 26)) AS h)""")
 def holt_winters_grid(spark, sf):
     p = T.prices(spark, sf)
     return rounded(longs(K.holt_winters(K.training(p, K.present(p), "W"), 52, 26)))
 
 
-@query("ar_ols")
+@query("ar_ols", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_AR} SELECT ap.series_id, ap.cut, step, {r('pred')} AS pred, ([1,2,4]::BIGINT[])[:p] AS lags_used, {r('aic')} AS aic, {r('sigma')} AS sigma FROM ap JOIN af USING (series_id, cut) WHERE step BETWEEN 1 AND 26""")
 def ar_ols(spark, sf):
     p = T.prices(spark, sf)
     return rounded(longs(K.autoregression(K.training(p, K.present(p), "W"), 26)))
@@ -167,12 +209,19 @@ def _rolling(spark, sf):
     return K.rolling_backtest(S.resample(T.prices(spark, sf), "ME"), 6, "ME")
 
 
-@query("rolling_backtest")
+_ROLL = f"""WITH RECURSIVE {PRICE}, {_FOLD}, fo AS (SELECT series_id, CAST(u-b AS BIGINT) AS cut, ts AS origin, value AS anchor, i AS e FROM us WHERE b = floor(b) AND b BETWEEN 1 AND u AND i >= greatest(20, floor(n*0.5))),
+ tw AS (SELECT m.series_id, fo.cut, m.ts, m.value FROM me m JOIN fo ON fo.series_id = m.series_id AND m.ts <= fo.origin), {_smooth(12)}, {_AR},
+ ts AS (SELECT nm.series_id, fo.cut, fo.anchor, nm.i - fo.e AS step, nm.value AS actual FROM nm JOIN fo ON fo.series_id = nm.series_id WHERE nm.i - fo.e BETWEEN 1 AND 6),
+ rb AS (SELECT ts.*, 'holt_winters' AS model, lev+step*tre+sea[(n+step-1)%12+1] AS pred FROM ts JOIN hb ON hb.series_id = ts.series_id AND hb.cut = ts.cut UNION ALL SELECT ts.*, 'autoregression', ap.pred FROM ts JOIN ap ON ap.series_id = ts.series_id AND ap.cut = ts.cut AND ap.step = ts.step)"""
+
+
+@query("rolling_backtest", f"{_ROLL} SELECT series_id, cut, step, {r('anchor')} AS anchor, {r('actual')} AS actual, {r('pred')} AS pred, model FROM rb")
 def rolling_backtest(spark, sf):
     return rounded(longs(_rolling(spark, sf)))
 
 
-@query("rolling_metrics")
+@query("rolling_metrics", f"""{_ROLL} SELECT series_id, model, {r('sqrt(avg(pow(actual-pred,2)))')} AS rmse, {r('avg(abs(actual-pred))')} AS mae, {r('avg(abs((actual-pred)/actual))*100')} AS mape, {r('1-sum(pow(actual-pred,2))/(var_pop(actual)*count(*))')} AS r2,
+ {r('avg(CASE WHEN actual <> anchor THEN CASE WHEN sign(actual-anchor) = sign(pred-anchor) THEN 1.0 ELSE 0.0 END END)*100')} AS directional_accuracy, count(DISTINCT cut) AS folds, count(*) AS points FROM rb GROUP BY 1, 2""")
 def rolling_metrics(spark, sf):
     return rounded(longs(K.pooled_metrics(_rolling(spark, sf))))
 
