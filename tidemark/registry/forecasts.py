@@ -120,7 +120,14 @@ _POINTS = f"""st AS (SELECT *, CASE horizon WHEN 7 THEN 1 WHEN 14 THEN 2 WHEN 30
   UNION ALL SELECT st.series_id, st.cut, horizon, 'autoregression', ap.pred FROM st JOIN ap ON ap.series_id = st.series_id AND ap.cut = st.cut AND ap.step = st.step),
  bt AS (SELECT oh.series_id, oh.cut, oh.horizon, oh.origin, oh.target_ts, pr.model, pr.pred, nv.actual FROM oh JOIN nv ON nv.series_id = oh.series_id AND nv.cut = oh.cut AND nv.horizon = oh.horizon JOIN pr ON pr.series_id = oh.series_id AND pr.cut = oh.cut AND pr.horizon = oh.horizon WHERE nv.actual IS NOT NULL),
  mt AS (SELECT series_id, model, CAST(horizon AS BIGINT) AS horizon, sqrt(avg(pow(actual-pred,2))) AS rmse, avg(abs(actual-pred)) AS mae, avg(abs((actual-pred)/actual))*100 AS mape, avg(abs(actual-pred)/((abs(actual)+abs(pred))/2))*100 AS smape, count(*) AS n FROM bt GROUP BY 1, 2, 3)"""
-_BACKTEST = f"WITH RECURSIVE {PRICE}, {_ORIGINS}, {_NAIVE}, {_TRAIN}, {_SMOOTH}, {_AR}, {_POINTS}"
+
+
+def _backtest(train: str) -> str:
+    return f"WITH RECURSIVE {PRICE}, {_ORIGINS}, {_NAIVE}, {train}, {_SMOOTH}, {_AR}, {_POINTS}"
+
+
+_BACKTEST = _backtest(_TRAIN)
+_TRAIN_AND_NOW = _TRAIN[:-1] + " UNION ALL SELECT series_id, -1, CAST(date_trunc('week', ts) AS DATE) + 6, avg(value) FROM price GROUP BY 1, 2, 3)"
 
 
 @query("backtest_points", f"{_BACKTEST} SELECT series_id, CAST(cut AS BIGINT) AS cut, CAST(horizon AS BIGINT) AS horizon, origin, target_ts, model, {r('pred')} AS pred, {r('actual')} AS actual FROM bt")
@@ -145,7 +152,7 @@ def select_best(spark, sf):
     return rounded(longs(K.select_best(K.error_metrics(K.backtest(landed(T.prices(spark, sf)))))))
 
 
-_FORECAST = f"""{_BACKTEST.replace(_TRAIN, _TRAIN + " UNION ALL SELECT series_id, -1, CAST(date_trunc('week', ts) AS DATE) + 6, avg(value) FROM price GROUP BY 1, 2, 3".replace("UNION ALL SELECT", "UNION ALL SELECT")).replace("GROUP BY 1, 2, 3) UNION ALL", "GROUP BY 1, 2, 3 UNION ALL").replace("FROM price GROUP BY 1, 2, 3,", "FROM price GROUP BY 1, 2, 3),")},
+_FORECAST = f"""{_backtest(_TRAIN_AND_NOW)},
  rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS k FROM mt), lt AS (SELECT series_id, max(ts) AS as_of, arg_max(value, ts) AS current FROM price GROUP BY 1),
  oh2 AS (SELECT lt.*, h AS horizon, CAST(as_of + h AS DATE) AS target_ts, CAST(as_of + h - 365 AS DATE) AS back, CASE h WHEN 7 THEN 1 WHEN 14 THEN 2 WHEN 30 THEN 4 WHEN 60 THEN 9 WHEN 90 THEN 13 WHEN 120 THEN 17 ELSE 26 END AS step FROM lt, (SELECT unnest([7,14,30,60,90,120,180]) AS h)),
  pw AS (SELECT oh.series_id, oh.horizon, 'seasonal_naive' AS model, {_near('oh.back', 3)} AS point FROM oh2 oh UNION ALL SELECT o.series_id, o.horizon, 'holt_winters', lev+step*tre+sea[(n+step-1)%52+1] FROM oh2 o JOIN hb ON hb.series_id = o.series_id AND hb.cut = -1
@@ -226,13 +233,25 @@ def rolling_metrics(spark, sf):
     return rounded(longs(K.pooled_metrics(_rolling(spark, sf))))
 
 
-@query("scoreboard")
+_ROLL_METRICS = f"""{_ROLL}, rm AS (SELECT series_id, model, sqrt(avg(pow(actual-pred,2))) AS rmse, avg(abs(actual-pred)) AS mae, avg(abs((actual-pred)/actual))*100 AS mape, 1-sum(pow(actual-pred,2))/(var_pop(actual)*count(*)) AS r2,
+ avg(CASE WHEN actual <> anchor THEN CASE WHEN sign(actual-anchor) = sign(pred-anchor) THEN 1.0 ELSE 0.0 END END)*100 AS da, count(DISTINCT cut) AS folds, count(*) AS points FROM rb GROUP BY 1, 2)"""
+
+
+@query("scoreboard", f"""{_ROLL_METRICS}, op AS (SELECT s.series_id, m.model FROM (SELECT DISTINCT series_id FROM price) s, (SELECT unnest(['holt_winters','autoregression','autoregression_drivers']) AS model) m)
+ SELECT op.series_id, op.model, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('r2')} AS r2, {r('da')} AS directional_accuracy, folds, points, CASE WHEN rmse IS NOT NULL THEN row_number() OVER (PARTITION BY op.series_id ORDER BY rmse NULLS LAST, op.model) END AS rank,
+ CASE WHEN rmse IS NULL THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN rmse IS NULL THEN 'too little history for this model' END AS reason FROM op LEFT JOIN rm ON rm.series_id = op.series_id AND rm.model = op.model""")
 def scoreboard(spark, sf):
     p = S.resample(T.prices(spark, sf), "ME")
     return rounded(longs(K.scoreboard(K.pooled_metrics(_rolling(spark, sf)), p, ["holt_winters", "autoregression", "autoregression_drivers"])))
 
 
-@query("prediction_bands")
+_BANDS = f"""{_ROLL.replace("tw AS (SELECT m.series_id", "tw AS (SELECT series_id, -1::BIGINT AS cut, ts, value FROM me UNION ALL SELECT m.series_id")}, sr AS (SELECT series_id, step, sqrt(avg(pow(actual-pred,2))) AS rmse FROM rb WHERE model = 'holt_winters' GROUP BY 1, 2),
+ sl AS (SELECT series_id, max(step) AS s, arg_max(rmse, step) AS q FROM sr GROUP BY 1), pb AS (SELECT hb.series_id, h AS step, lev+h*tre+sea[(n+h-1)%12+1] AS pred, sqrt(sse/(n-12)) AS sigma, sqrt(sse/(n-12))*sqrt(h) AS own FROM hb, (SELECT unnest(generate_series(1, 8)) AS h) WHERE hb.cut = -1),
+ pc AS (SELECT pb.*, coalesce(sr.rmse, q*sqrt(pb.step::DOUBLE/s)) AS seen FROM pb LEFT JOIN sr ON sr.series_id = pb.series_id AND sr.step = pb.step LEFT JOIN sl ON sl.series_id = pb.series_id)"""
+
+
+@query("prediction_bands", f"""{_BANDS} SELECT series_id, step, 'holt_winters' AS model, {r('pred')} AS pred, {r('sigma')} AS sigma, {r('pred-1.2815515655446004*own')} AS conf_lower, {r('pred+1.2815515655446004*own')} AS conf_upper, {r('pred-1.959963984540054*sqrt(own*own+seen*seen)')} AS pred_lower,
+ {r('pred+1.959963984540054*sqrt(own*own+seen*seen)')} AS pred_upper FROM pc""")
 def prediction_bands(spark, sf):
     p = S.resample(T.prices(spark, sf), "ME")
     path = K.holt_winters(K.training(p, K.present(p), "ME"), 12, 8).select("series_id", "step", "pred", "sigma").withColumn("model", F.lit("holt_winters"))
@@ -303,7 +322,8 @@ def explanation(spark, sf):
     return rounded(longs(K.explanation(K.forecast(p), M.variance_shares(M.decompose(p, "ME")), fit)))
 
 
-@query("model_notes")
+@query("model_notes", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_SMOOTH}, {_AR} SELECT series_id, cut, 'holt_winters' AS model, printf('level weight %.2f, trend weight %.2f, season weight %.2f', a, b, g) AS structure FROM hb
+ UNION ALL SELECT series_id, cut, 'autoregression', 'changes on lags ' || array_to_string(([1,2,4]::BIGINT[])[:p], ', ') || printf(', AIC %.1f', aic) FROM af""")
 def model_notes(spark, sf):
     p = T.prices(spark, sf)
     train = K.training(p, K.present(p), "W")
