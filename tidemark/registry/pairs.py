@@ -83,7 +83,9 @@ def best_lag(spark, sf):
 
 _CCF = f"""df AS (SELECT a, b, ts, x - lag(x) OVER {P} AS x, y - lag(y) OVER {P} AS y FROM pr), i AS (SELECT *, row_number() OVER {P} AS rn, date_diff('day', lag(ts) OVER {P}, ts) AS g FROM df WHERE x IS NOT NULL),
  sp AS (SELECT a, b, quantile_cont(g, 0.5) AS days_per_lag FROM i GROUP BY 1, 2), g AS (SELECT unnest(generate_series(-20, 20)) AS lag),
- cv AS (SELECT i.a, i.b, g.lag, covar_pop(i.x,j.y)/(stddev_pop(i.x)*stddev_pop(j.y)) AS r, count(*) AS n FROM i, g, i j WHERE j.a = i.a AND j.b = i.b AND j.rn = i.rn + g.lag GROUP BY 1, 2, 3)"""
+ tn AS (SELECT a, b, count(*) AS total FROM i GROUP BY 1, 2),
+ cu AS (SELECT i.a, i.b, g.lag, covar_pop(i.x,j.y)/(stddev_pop(i.x)*stddev_pop(j.y)) AS r, count(*) AS n FROM i, g, i j WHERE j.a = i.a AND j.b = i.b AND j.rn = i.rn + g.lag GROUP BY 1, 2, 3),
+ cv AS (SELECT cu.* FROM cu JOIN tn USING (a, b) WHERE total >= 30 AND n >= 10 AND NOT isnan(r) AND abs(lag) <= CASE WHEN total < 60 THEN greatest(1, least(20, total // 4)) ELSE 20 END)"""
 
 
 @query("ccf_diff", f"WITH {MARKET}, {PAIRS}, {_CCF} SELECT a, b, lag, {r('r', 6)} AS r, n, {r('1.96/sqrt(n)', 6)} AS band, abs(r) > 1.96/sqrt(n) AS significant, {r('days_per_lag')} AS days_per_lag FROM cv JOIN sp USING (a, b)")
