@@ -131,7 +131,6 @@ def decompose(series: DataFrame, freq: str = "ME", period: int | None = None) ->
     """Classical additive split into trend, seasonal and residual on the regular grid of the frequency."""
     m = period or fixed.PERIODS_PER_YEAR[freq]
     grid = interpolate(resample(series, freq, "mean", empty="keep"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     known = F.count(F.when(~F.col("interpolated"), F.lit(1))).over(Window.partitionBy("series_id"))
     rows = grid.withColumn("_n", known).where(F.col("_n") >= 2 * m + 1).withColumn("_i", F.row_number().over(by_series()) - 1)
     half = m // 2
