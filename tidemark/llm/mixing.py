@@ -38,6 +38,9 @@ def source_targets(sizes: DataFrame, cycle=(1, 2, 3), most: float = 3.0) -> Data
     return levelled.select("source", "source_size", F.coalesce(F.least("limit", F.col("weight") * held), F.col("limit")).alias("target"))
 
 
+RESERVE = 4  # blocks of each size class that wait for what larger classes leave
+
+
 #: The unit interval drawn from a hash: a rerun with the same rows draws the same numbers.
 def _draw(*parts, seed: int):
     return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / F.lit(float(1 << 52)))
@@ -79,10 +82,10 @@ def pivotal_rounding(units: DataFrame, block: int = 64, seed: int = 11) -> DataF
 
     A reduction tree: units of a stratum and size class (powers of 4) are dealt into blocks of about ``block``; a block is
     folded by the pivotal rule and leaves at most one fraction; fractions meet in blocks again until a class has at most
-    ``block``.  A round shuffles a ``block``-th of the rows before it, so the tree has log_block(n) levels.  One block per class is
-    set aside, and in the last fold of a stratum, largest sizes first, it takes up what the larger classes leave; so
-    the one fraction that remains belongs to a small unit.  It is drawn by its probability.  No task ever holds more than a
-    block, or two blocks per size class.
+    ``block``.  A round shuffles a ``block``-th of the rows before it, so the tree has log_block(n) levels.  RESERVE blocks per class
+    are set aside, and in the last fold of a stratum, largest sizes first, they take up what the larger classes leave; so
+    the one fraction that remains nearly always belongs to a small unit.  It is drawn by its probability.  No task ever holds
+    more than a block, or RESERVE + 1 blocks per size class.
     """
     won, pool = [], []
     level = units.withColumn("kind", F.floor(F.log2("size") / 2).cast("int"))
@@ -93,7 +96,7 @@ def pivotal_rounding(units: DataFrame, block: int = 64, seed: int = 11) -> DataF
         counts = level.groupBy("stratum", "kind").agg(F.count(F.lit(1)).alias("n"))
         cuts = counts.select("stratum", "kind", F.ceil(F.col("n") / block).alias("blocks"))
         dealt = level.join(cuts, ["stratum", "kind"]).withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "print"), F.col("blocks")))
-        aside = (F.col("deal") == 0) if depth == 0 else (F.col("blocks") <= 1)
+        aside = (F.col("deal") < RESERVE) if depth == 0 else (F.col("blocks") <= 1)
         dealt = land(dealt.select(*fields, "deal", aside.alias("aside")), "mix-dealt")
         pool.append(dealt.where("aside").select("stratum", "uid", "print", "p", "size"))
         folded = dealt.where("NOT aside").groupBy("stratum", "kind", "deal").agg(members.alias("units"))
@@ -118,26 +121,50 @@ def pivotal_rounding(units: DataFrame, block: int = 64, seed: int = 11) -> DataF
     return out
 
 
+def _copies(slim: DataFrame, cycle, most: float, block: int, seed: int) -> DataFrame:
+    """``slim``: source, size, print and any other columns; adds source_size, target, copies and taken."""
+    # order and draws hang on the content alone, so another layout of the files changes nothing; the number only names rows
+    slim = land(slim.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
+    sizes = land(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    targets = source_targets(sizes, cycle, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    targets = land(targets.withColumn("stratum", F.xxhash64("source")).withColumnRenamed("source", "of"), "mix-targets")
+    rated = slim.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    units = rated.where("size > 0").select("stratum", "uid", "print", (F.col("rate") - F.floor("rate")).alias("p"), "size")
+    winners = pivotal_rounding(units.where(F.col("p").between(1e-9, 1 - 1e-9)), block, seed).withColumn("extra", F.lit(1))
+    whole = F.floor("rate") + F.when(F.col("rate") - F.floor("rate") > 1 - 1e-9, 1).otherwise(0)  # a rate that is integral but for rounding
+    copies = F.when(F.col("size") > 0, whole + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
+    out = rated.join(winners, "uid", "left").withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("uid", "extra", "rate", "stratum")
+
+
 def mix_to_targets(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle=(1, 2, 3), most: float = 3.0, block: int = 64,
                    seed: int = 11) -> DataFrame:
     """Copies per row so that each source's words meet its target: columns key, source, ``size``, ``source_size``,
     ``target``, ``copies`` and ``taken`` = copies * size.
 
     Every row of a source has the same expected number of copies, target over source size (at most ``most``); its whole
-    part is given, its fraction is rounded together with the other rows' by the pivotal method.
+    part is given, its fraction is rounded together with the other rows' by the pivotal method, so a source's words miss
+    their target by less than one (usually small) text.  Nothing depends on how the rows are laid out in files.
 
     A null text has size 0, and rows without words take no part (0 copies, 0 taken).  A null source is a source of its
-    own, ordered last.  Repeated rows and repeated keys are rounded row by row.  An empty table gives no rows.
+    own, ordered last.  Repeated rows and repeated keys are rounded row by row.  An empty table gives no rows.  Other
+    columns are ignored.
     """
     slim = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(key), F.col(source), F.col(text)).alias("print"))
-    # order and draws hang on the content alone, so another layout of the files changes nothing; the number only names rows
-    slim = land(slim.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
-    sizes = land(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    targets = source_targets(sizes, cycle, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    targets = land(targets.withColumn("stratum", F.xxhash64("source")), "mix-targets")
-    rated = slim.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.rate", "t.stratum")
-    units = rated.where("size > 0").select("stratum", "uid", "print", (F.col("rate") - F.floor("rate")).alias("p"), "size")
-    winners = pivotal_rounding(units.where("p > 1e-9"), block, seed).withColumn("extra", F.lit(1))
-    out = rated.join(winners, "uid", "left")
-    copies = F.when(F.col("size") > 0, F.floor("rate") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
-    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = _copies(slim, cycle, most, block, seed)
+    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", "taken")
+
+
+def repeated_to_targets(docs: DataFrame, text: str = "text", source: str = "source", cycle=(1, 2, 3), most: float = 3.0, block: int = 64, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them: not at all, or up to ceil(``most``) times.
+
+    Rows without words weigh nothing in any target and stay once.  Rows equal in every column share their copies: the sum
+    of what each was given comes back.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*docs.columns).alias("print"))
+    slim = docs.select(F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(*docs.columns).alias("print"))
+    given = _copies(slim, cycle, most, block, seed).groupBy("print").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("times"), F.count(F.lit(1)).alias("equal"))
+    joined = rows.join(given.where("times > 0"), "print")
+    once = joined.where("equal = 1").select("row", "times")
+    several = joined.where("equal > 1").groupBy("print").agg(F.first("row").alias("row"), F.first("times").alias("times")).select("row", "times")
+    return once.unionByName(several).select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .textvec import WORD, lower_ascii, mix, ngram_hashes, text_chunks
 
 BITS = 20
+PAIR = 1 << (BITS - 1)   # buckets from here on are those of word pairs
+PAIR_VALUE = 0.5         # what a pair counts beside a word: pairs are many and mostly met once
 
 
 def _features(texts, keep=None):
@@ -16,19 +18,19 @@ def _features(texts, keep=None):
     Features: words, their first four and first six bytes (so that unseen endings meet known stems), pairs of neighbours, and
     pairs with one word left out.  Yields (first text, number of texts, text of each bucket, bucket).
     """
-    shift = np.uint64(64 - BITS)
+    shift = np.uint64(64 - BITS + 1)
     for c in text_chunks(texts):
         c.split(WORD)
         c.prefix_hash(lower_ascii(c.buf))
         words = c.word_hashes()
-        parts = [(words, c.doc)]
+        parts = [(words, c.doc, 0)]
         for length, salt in ((4, 0x51), (6, 0x52)):
             long = c.end - c.start > length
-            parts.append((mix(c.span_hash(c.start[long], c.start[long] + length) + np.uint64(salt)), c.doc[long]))
-        parts += [ngram_hashes(words, c.doc, 2), ngram_hashes(words, c.doc, 2, gap=1)]
+            parts.append((mix(c.span_hash(c.start[long], c.start[long] + length) + np.uint64(salt)), c.doc[long], 0))
+        parts += [(*ngram_hashes(words, c.doc, 2, gap), PAIR) for gap in (0, 1)]
         docs, buckets = [], []
-        for h, d in parts:
-            b = (h >> shift).astype(np.int64)
+        for h, d, half in parts:
+            b = (h >> shift).astype(np.int64) | half
             if keep is not None:
                 k = keep[b]
                 b, d = b[k], d[k]
@@ -41,7 +43,7 @@ def _features(texts, keep=None):
 class Ftrl:
     """Per-coordinate FTRL-proximal: each weight has its own learning rate and is exactly 0 until its evidence passes l1."""
 
-    def __init__(self, alpha=0.15, beta=1.0, l1=2.0, l2=1.0):
+    def __init__(self, alpha=1.0, beta=1.0, l1=4.0, l2=1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -52,21 +54,24 @@ class Ftrl:
 
     def learn(self, buckets, label):
         at = np.append(buckets, 1 << BITS)  # the last coordinate is the intercept
+        x = np.where((at & PAIR) > 0, PAIR_VALUE, 1.0)
         w = self.weights(at)
-        p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35)))
-        g = p - label
+        p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
+        g = (p - label) * x
         n = self.n[at]
         sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] = n + g * g
 
     def sparse(self):
+        """Buckets with a weight, and the weight times the value of its feature."""
         w = self.weights(np.arange((1 << BITS) + 1))
+        w[PAIR:1 << BITS] *= PAIR_VALUE
         at = np.flatnonzero(w)
         return at, w[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, sample: int = 24_000, passes: int = 2, seed: int = 5):
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, sample: int = 24_000, passes: int = 4, seed: int = 5):
     """Weights (buckets, values) learned from a sample of about ``sample`` labelled rows; that bound is the model's size.
 
     The sample is drawn by a hash of the key over all labelled rows, so it is spread evenly whatever the table's size.
@@ -104,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, weights, text: str = "text", column: str = "score") -> DataFrame:
     """All columns of ``docs`` and the probability that a text is toxic; a null text counts as empty, an empty one gets the
-    probability of the intercept alone."""
+    probability of the intercept alone.  A column that already has the name ``column`` is replaced."""
     at, w = weights
     model = docs.sparkSession.sparkContext.broadcast((at, w))
 
