@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from tidemark.llm.scratch import scratch_path
+from tidemark.llm.scratch import free_name, scratch_path
 
 TOXIC = 0.3     # documents scored at or above this are rejected
 SHARDS = 24
@@ -13,7 +13,8 @@ SHARDS = 24
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, does not hold for toxic; empty texts are judged by the intercept."""
     weights = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, weights, column="_score").where(F.col("_score") < TOXIC).drop("_score")
+    score = free_name(docs, "_score")
+    return toxicity.score(docs, weights, column=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +31,8 @@ def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: up to three times, or not at all.  Documents without words weigh nothing in
-    any target and stay once."""
-    columns = docs.columns
-    copies = mixing.mix_to_targets(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("_copies"))
-    # rows that share id and source share their copies evenly enough: the sum is dealt to one of them
-    dealt = copies.groupBy("_id", "_source").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    rate = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    times = F.expr("_copies div _rows").cast("int")
-    return rate.withColumn("_n", times).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)
+    """Every document as often as the mix takes it: up to three times, or not at all.  Documents without words stay once."""
+    return mixing.repeated_to_targets(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name
 from .textvec import WORD, lower_ascii, ngram_hashes, text_chunks
 
 BLOCK = 8       # items per block of a posting list
@@ -229,5 +230,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The rows of ``docs`` that hold no test item (as ``contaminated`` finds them), with all their columns and in place:
     no shuffle.  Null and empty texts stay."""
     for find in finders(benchmark, item, item_text, threshold, overlap, index_bytes):
-        docs = docs.withColumn("_hits", find(F.col(text))).where(F.col("_hits").isNull()).drop("_hits")
+        new = free_name(docs, "_hits")
+        docs = docs.withColumn(new, find(F.col(text))).where(F.col(new).isNull()).drop(new)
     return docs

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name
 from .textvec import LETTER, lower_ascii, mix, text_chunks
 
 BITS = 17
@@ -195,6 +196,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", penalty:
     the words with ``penalty`` (nats) for each change of language, and equal labels in a row make a span.  The text gets
     the language with most letters (the smaller name among equals), ``score`` is that language's share of the letters.
     A null text, or one without any letter, is ``und`` with score 0 and has no spans, as is every text when there is no model.
+    Columns of the result's names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = f"struct<lang:string,score:double,spans:{SPANS}>" if spans else "struct<lang:string,score:double>"
@@ -231,6 +233,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", penalty:
             out["spans"] = pa.array(marked, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
         return pa.StructArray.from_arrays(list(out.values()), names=list(out))
 
-    named = docs.withColumn("_label", label(F.col(text)))
-    named = named.withColumn("lang_pred", F.col("_label.lang")).withColumn("score", F.col("_label.score"))
-    return (named.withColumn("spans", F.col("_label.spans")) if spans else named).drop("_label")
+    new = free_name(docs, "_label")
+    named = docs.withColumn(new, label(F.col(text)))
+    named = named.withColumn("lang_pred", F.col(f"{new}.lang")).withColumn("score", F.col(f"{new}.score"))
+    return (named.withColumn("spans", F.col(f"{new}.spans")) if spans else named).drop(new)

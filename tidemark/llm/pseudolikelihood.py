@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import land
+from .scratch import free_name, land
 from .textvec import SPACE, lower_ascii, mix, text_chunks
 
 CODE = 6                 # a word is one of 64 classes and one of 64 members in it, both from its hash
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, r
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``log_likelihood`` (sum over all words of the log-probability given both sides)
-    and ``mean_log_likelihood`` (null without words).  Null and empty texts have 0 words and sum 0."""
+    and ``mean_log_likelihood`` (null without words).  Null and empty texts have 0 words and sum 0.  Columns of these names are replaced."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("struct<n:bigint,total:double>")
@@ -215,5 +215,6 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 total[c.first:c.first + c.n] = np.bincount(c.doc, weights=model.value.log_probability(tokens, _windows(tokens, c.doc)), minlength=c.n)
         return pa.StructArray.from_arrays([pa.array(n), pa.array(total)], names=["n", "total"])
 
-    out = docs.withColumn("_lm", likelihood(F.col(text))).withColumn("n_words", F.col("_lm.n")).withColumn("log_likelihood", F.col("_lm.total"))
-    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop("_lm")
+    new = free_name(docs, "_lm")
+    out = docs.withColumn(new, likelihood(F.col(text))).withColumn("n_words", F.col(f"{new}.n")).withColumn("log_likelihood", F.col(f"{new}.total"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop(new)

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder of the session, and empty-safe input columns."""
+"""Intermediate tables in the shared folder of the session, and column names no caller uses."""
 
 import uuid
 
@@ -31,10 +31,9 @@ def land(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns) -> DataFrame:
-    """Only the named columns, under their own names: extra columns of a caller's table never meet an operator's."""
-    return df.select(*[F.col(c) if isinstance(c, str) else c for c in columns])
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
