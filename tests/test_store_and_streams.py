@@ -38,25 +38,51 @@ def test_refresh_writes_every_tier_and_reports(spark, folder, rows):
 
 def test_watching_two_deliveries_equals_one(spark, folder, rows):
     landing, base = f"{folder}/landing", f"{folder}/base"
-    cells(spark, "2024-01-01", "1").write.mode("append").parquet(landing)
-    live.run_to_end(job.watch(spark, landing, SPECS, base))
-    cells(spark, "2024-01-02", "2", row=3).write.mode("append").parquet(landing)
+    first = cells(spark, "2024-01-01", "1")
+    first.write.parquet(f"{landing}/d1")
     live.run_to_end(job.watch(spark, landing, SPECS, base))
+    first.unionByName(cells(spark, "2024-01-02", "2", row=3).where("r > 1")).write.parquet(f"{landing}/d2")
+    live.run_to_end(job.watch(spark, landing, SPECS, base, then=[("analytics", lambda s, b, r: None), ("broken", lambda s, b, r: 1 / 0)]))
     assert [r["value"] for r in rows(store.read_clean(spark, f"{base}/clean", "Daily"), "ts")] == [1.0, 2.0]
-    assert spark.read.json(f"{base}/refreshes").where("status = 'ok'").count() == 2
+    seen = {(r["refresh_id"], r["step"]): r["status"] for r in spark.read.json(f"{base}/refreshes").collect()}
+    assert seen["batch00000000", "refresh"] == seen["batch00000001", "refresh"] == seen["batch00000001", "analytics"] == "ok"
+    assert seen["batch00000001", "broken"].startswith("failed")
+
+
+def test_a_shorter_delivery_replaces_the_longer_one(spark, folder, rows):
+    landing = f"{folder}/landing"
+    long = cells(spark, "2024-01-01", "1").unionByName(cells(spark, "2024-01-02", "2", row=3).where("r > 1"))
+    long.unionByName(cells(spark, "2024-01-01", "9", source="other")).repartition(3).write.parquet(f"{landing}/a")
+    cells(spark, "2024-01-03", "3").repartition(2).write.parquet(f"{landing}/b")
+    got = store.read_cells(spark, landing)
+    assert sorted(r["v"] for r in got.where("source = 'w'").collect()) == ["2024-01-03", "3", "Date", "Price"]
+    assert got.where("source = 'other'").count() == 4
+
+
+def test_a_repeated_refresh_replaces_itself(spark, folder):
+    c = cells(spark, "2024-01-01", "5")
+    for rid in ("r1", "r1", "r2", "r3", "r3"):
+        assert job.refresh(spark, c, SPECS, folder, rid)["status"] == "ok"
+    assert store.finished(spark, f"{folder}/clean") == ["r2", "r3"] and store.read_clean(spark, f"{folder}/clean", "Daily").count() == 1
+    assert spark.read.parquet(f"{folder}/quality").groupBy("refresh_id").count().where("count > 1").isEmpty()
+    assert spark.read.parquet(f"{folder}/sheets").count() == 3
 
 
-def test_live_periods_over_two_batches_equal_a_batch(spark, folder, rows):
+def test_out_of_order_files_lose_nothing(spark, folder, rows):
+    """Files whose events lie years apart, in no order, one per micro-batch, with a row delivered twice: default settings."""
     schema = "event_id long, ts timestamp, event_type string, value double"
-    data = [(i, datetime(2024, 1, 1 + i % 5, i % 24), "ab"[i % 2], float(i)) for i in range(60)]
-    landing, out = f"{folder}/in", f"{folder}/out"
-    for part in (data[:30], data[30:]):
-        spark.createDataFrame(part, schema).write.mode("append").parquet(landing)
-        stream = live.file_stream(spark, landing, spark.read.parquet(landing).schema)
-        live.run_to_end(live.write_batches(live.live_periods(stream, "event_type", late="30 days"), out))
-    got = rows(live.current(spark, out, ["series_id", "ts"]), "series_id", "ts")
-    batch = spark.createDataFrame(data, schema).groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("ts")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+    data = [(i, datetime(2024 - i % 3, 1 + i % 5, 1 + i % 4, i % 24), "ab"[i % 2], i + 0.123456) for i in range(60)]
+    landing, out, last = f"{folder}/in", f"{folder}/out", f"{folder}/last"
+    for part in (data[30:], data[:31], data[:1]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+    stream = lambda: live.file_stream(spark, landing, spark.read.parquet(landing).schema, files_per_batch=1)
+    live.run_to_end(live.write_batches(stream(), last))
+    once = live.without_repeats(spark, last, ["event_id"])
+    assert sorted(r["event_id"] for r in once.collect()) == list(range(60))
+    live.run_to_end(live.write_batches(stream(), out, lambda batch: live.period_parts(batch, "event_type")))
+    got = rows(live.live_periods(spark, out), "series_id", "ts")
+    batch = spark.createDataFrame(data + data[30:31] + data[:1], schema).groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("ts")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(38,10)")).cast("double").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
     assert got == rows(batch, "series_id", "ts")
 
 

@@ -74,7 +74,7 @@ def unpivot(cells: DataFrame, spec: SheetSpec) -> DataFrame:
 
 
 def _obs(rows: DataFrame, **cols) -> DataFrame:
-    kinds = {"ts": "date", "is_estimate": "boolean", "row_ref": "int"}
+    kinds = {"ts": "date", "is_estimate": "boolean", "row_ref": "bigint"}
     filled = {c: cols.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in OBS if c not in ("source", "sheet")}
     filled["is_estimate"] = F.coalesce(cols.get("is_estimate", F.lit(False)), F.lit(False)).alias("is_estimate")
     return rows.select(*SHEET, *[filled[c] for c in OBS if c not in ("source", "sheet")])

@@ -140,7 +140,9 @@ def insights(spark, sf):
 @query("executive_highlights")
 def executive_highlights(spark, sf):
     d = Inputs(spark, sf)
-    found = I.together([fn(d) for fn in (arrivals, seasonality, exports, balance, volatility, data_quality)])
+    found, failed = I.generate_all({n: (lambda f=f: f(d)) for n, f in GENERATORS.items()})
+    if failed:
+        raise RuntimeError(str(failed))
     return longs(_flat(I.highlights(found)))
 
 
@@ -155,17 +157,47 @@ def _events(spark, sf):
 def stream_daily_totals(spark, sf):
     """The live period table after the stream has caught up equals the batch aggregate."""
     out = live.workspace(spark, "daily-totals")
-    live.run_to_end(live.write_batches(live.live_periods(_events(spark, sf), "event_type"), out))
-    return live.current(spark, out, ["series_id", "ts"])
+    live.run_to_end(live.write_batches(_events(spark, sf), out, lambda batch: live.period_parts(batch, "event_type")))
+    return live.live_periods(spark, out)
 
 
 @query("stream_last_wins", """SELECT event_type AS series_id, CAST(ts AS DATE) AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
 def stream_last_wins(spark, sf):
     """Corrections arrive as new rows; the newest one per series and day counts."""
     out = live.workspace(spark, "last-wins")
-    live.run_to_end(live.write_batches(live.without_repeats(_events(spark, sf), "event_id").select(
-        F.col("event_type").alias("series_id"), F.to_date("ts").alias("ts"), "value", "event_id"), out, mode="append"))
-    return S.keep_last(spark.read.parquet(f"{out}/data"), "event_id")
+    live.run_to_end(live.write_batches(_events(spark, sf).select(F.col("event_type").alias("series_id"), F.to_date("ts").alias("ts"), "value", "event_id"), out))
+    return S.keep_last(live.without_repeats(spark, out, ["event_id"]), "event_id")
+
+
+def _periods(width: str, start: str) -> str:
+    return f"""SELECT event_type AS series_id, CAST({start} AS DATE) AS ts, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS total, min(value) AS low, max(value) AS high
+FROM events GROUP BY 1, 2"""
+
+
+@query("stream_weekly_totals", _periods("week", "date_trunc('week', ts)"))
+def stream_weekly_totals(spark, sf):
+    """Weeks from Monday, kept live from daily parts."""
+    return _from_daily_parts(spark, sf, F.date_trunc("week", F.col("period")))
+
+
+@query("stream_half_month_totals", _periods("half", "date_trunc('month', ts) + CASE WHEN day(ts) > 15 THEN INTERVAL 15 DAY ELSE INTERVAL 0 DAY END"))
+def stream_half_month_totals(spark, sf):
+    """Halves of months, from the 1st and the 16th, kept live from daily parts."""
+    return _from_daily_parts(spark, sf, F.date_add(F.trunc(F.to_date("period"), "month"), F.when(F.dayofmonth("period") > 15, 15).otherwise(0)))
+
+
+@query("stream_monthly_totals", _periods("month", "date_trunc('month', ts)"))
+def stream_monthly_totals(spark, sf):
+    return _from_daily_parts(spark, sf, F.date_trunc("month", F.col("period")))
+
+
+def _from_daily_parts(spark, sf, start):
+    """Longer periods need no state of their own: they are sums of the daily parts."""
+    out = live.workspace(spark, "period-totals")
+    live.run_to_end(live.write_batches(_events(spark, sf), out, lambda batch: live.period_parts(batch, "event_type")))
+    parts = spark.read.parquet(f"{out}/data").withColumn("ts", start.cast("date"))
+    total = parts.groupBy("series_id", "ts").agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return total.select("series_id", "ts", "n", "total", "low", "high")
 
 
 @query("retrain_gate", f"WITH {PRICE} SELECT max(ts) AS trained_through, false AS again FROM price")

@@ -12,7 +12,7 @@ from tidemark.sources import tables as T
 
 def _cells(rows: DataFrame, source, sheet: str, r: Column, c: Column, v: Column) -> DataFrame:
     return rows.select(F.col(source).alias("source") if isinstance(source, str) else source.alias("source"), F.lit(sheet).alias("sheet"),
-                       r.cast("int").alias("r"), c.cast("int").alias("c"), v.cast("string").alias("v"))
+                       r.cast("bigint").alias("r"), c.cast("int").alias("c"), v.cast("string").alias("v"))
 
 
 def _header(sources: DataFrame, sheet: str, r: int, labels: dict) -> DataFrame:
@@ -138,6 +138,6 @@ def dirty_cells(spark, sf_dir) -> DataFrame:
            .when(k == 4, "TBD").when(k == 5, F.concat(F.lit("-"), plain)).when(k == 6, "").when(k == 7, " see note ").when(k == 8, F.lit(None)).otherwise(plain))
     day = F.when(F.pmod("event_id", F.lit(97)) == 0, "not a date").otherwise(F.date_format("ts", "yyyy-MM-dd"))
     return e.select(F.concat(F.lit("book"), F.col("user_id").cast("string")).alias("source"), F.col("event_type").alias("sheet"),
-                    F.col("event_id").cast("int").alias("row_ref"), day.alias("id"), F.to_date("ts").alias("ts"), F.lit(None).cast("string").alias("group_key"),
+                    F.col("event_id").cast("bigint").alias("row_ref"), day.alias("id"), F.to_date("ts").alias("ts"), F.lit(None).cast("string").alias("group_key"),
                     F.col("event_type").alias("metric"), F.when(F.col("event_type") == "error", "note").otherwise("price").alias("role"),
                     F.lit(None).cast("string").alias("year_label"), (F.col("event_type") == "signup").alias("is_estimate"), raw.alias("raw"))

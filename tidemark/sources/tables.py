@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prices(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    return daily(o, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"))
+    return daily(o, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"), scale=2)
 
 
 def quotes(spark, sf_dir) -> DataFrame:
@@ -35,7 +35,7 @@ def quotes(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     v = F.col("o_totalprice")
     return o.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("ts")).agg(
-        F.min(v).alias("low"), F.max(v).alias("high"), (exact_sum(v) / F.count(v)).alias("avg"))
+        F.min(v).alias("low"), F.max(v).alias("high"), (exact_sum(v, 2) / F.count(v)).alias("avg"))
 
 
 def market_prices(spark, sf_dir) -> DataFrame:
@@ -57,7 +57,7 @@ def supplier_prices(spark, sf_dir) -> DataFrame:
     """Unit value per supplier and day: as many series as there are suppliers."""
     li = read(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("ts")).agg(
-        (exact_sum("l_extendedprice") / F.sum("l_quantity")).alias("value"))
+        (exact_sum("l_extendedprice", 2) / F.sum("l_quantity")).alias("value"))
 
 
 def volumes(spark, sf_dir) -> DataFrame:
@@ -76,7 +76,7 @@ def driver(spark, sf_dir) -> DataFrame:
     """A rate with gaps and its own calendar: value per unit of the returned goods of a day."""
     li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     return li.groupBy(F.to_date("l_shipdate").alias("ts")).agg(
-        (exact_sum("l_extendedprice") / F.sum("l_quantity")).alias("value")).select(
+        (exact_sum("l_extendedprice", 2) / F.sum("l_quantity")).alias("value")).select(
         F.lit("driver").alias("series_id"), "ts", "value")
 
 

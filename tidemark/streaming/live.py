@@ -1,7 +1,7 @@
 """Structured Streaming over quote events: live period tables, last-wins corrections, file-driven refreshes.
 
 Micro-batches write with their batch id as partition and overwrite it when repeated, so a restarted query neither
-loses nor doubles anything.
+loses nor doubles anything.  Files may arrive in any order of event time: readers add up what the batches left.
 """
 
 from uuid import uuid4
@@ -18,12 +18,12 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int = 100, nested: bool = False) -> DataFrame:
     """New files of a landing folder; half-written and temporary files do not match the pattern."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         path, glob = where.getParent().toString(), where.getName()
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", nested).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     plain = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"]
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in plain})  # event time needs an instant; sessions run in UTC
 
@@ -33,30 +33,33 @@ def trigger(interval: str | None) -> dict:
     return {"availableNow": True} if interval is None else {"processingTime": interval}
 
 
-def write_batches(stream: DataFrame, out: str, mode: str = "update", interval: str | None = None):
-    """Each micro-batch to its own partition of ``out``."""
+def write_batches(stream: DataFrame, out: str, reduce=None, interval: str | None = None):
+    """Each micro-batch, reduced by ``reduce``, to its own partition of ``out``.  Nothing is ever too late: there is no watermark and no
+    state, a late row is part of the batch it arrives in, and a repeated batch replaces its own partition."""
     def put(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(put).trigger(**trigger(interval)).start()
+        (reduce(batch) if reduce else batch).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+    return stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").foreachBatch(put).trigger(**trigger(interval)).start()
 
 
-def live_periods(stream: DataFrame, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Count, exact sum and range per key and period; rows later than the watermark are left to the batch tables."""
-    return (stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col(key).alias("series_id"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
-            .select("series_id", F.to_date("w.start").alias("ts"), "n", F.col("total").cast("double").alias("total"), "low", "high"))
+def period_parts(batch: DataFrame, key: str, width: str = "1 day", scale: int = 10) -> DataFrame:
+    """Count, exact sum and range of one batch per key and period: parts that ``live_periods`` adds up."""
+    start = F.window("ts", width)["start"]
+    return (batch.where(F.col("ts").isNotNull()).groupBy(F.col(key).alias("series_id"), start.alias("period"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast(f"decimal(38,{scale})")).alias("total"), F.min("value").alias("low"), F.max("value").alias("high")))
 
 
-def without_repeats(stream: DataFrame, key: str, late: str = "2 days") -> DataFrame:
-    """Rows delivered twice within the watermark are kept once."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def live_periods(spark: SparkSession, out: str) -> DataFrame:
+    """The period table so far: the parts of all batches added up."""
+    parts = spark.read.parquet(f"{out}/data")
+    total = parts.groupBy("series_id", "period").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return total.select("series_id", F.to_date("period").alias("ts"), "n", F.col("total").cast("double").alias("total"), "low", "high")
 
 
-def current(spark: SparkSession, out: str, keys: list) -> DataFrame:
-    """Newest version of every row of a table written by ``write_batches``."""
+def without_repeats(spark: SparkSession, out: str, keys: list) -> DataFrame:
+    """Rows of all batches; of rows delivered more than once the first delivery counts, however far apart they arrived."""
     table = spark.read.parquet(f"{out}/data")
     rest = [c for c in table.columns if c not in keys + ["batch"]]
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return table.groupBy(*keys).agg(F.min_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
 def run_to_end(query) -> None:

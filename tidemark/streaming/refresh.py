@@ -17,32 +17,34 @@ def refresh_id() -> str:
 def refresh(spark: SparkSession, cells: DataFrame, specs, base: str, rid: str | None = None, then=()) -> dict:
     """Rebuild the tiers under ``base`` from landed cells and run the follow-up steps (analytics, forecasts).
 
+    Everything is written under the refresh id, so a refresh repeated after a failure replaces what it left.
+
     ``then`` holds (name, function(spark, base, rid)).  A failing step is reported by name and the others still run.
     """
     rid = rid or refresh_id()
     status = {"refresh_id": rid, "status": "ok"}
     try:
         obs = reshape.parse(cells, specs)
-        store.write_tier(obs, f"{base}/raw")
-        raw = spark.read.schema(obs.schema).parquet(f"{base}/raw")
+        store.write_tier(obs, f"{base}/raw", rid)
+        raw = spark.read.schema(obs.schema).parquet(f"{base}/raw/refresh_id={rid}")
         report = quality.validation_report(raw)
         store.append_result(report, f"{base}/quality", rid)
         clean = quality.cleaned(raw)
         rowwise = [s.sheet for s in specs if s.layout in ("long", "sparse_tracker")]
         kept = quality.without_blank_rows(clean.where(F.col("sheet").isin(rowwise))).unionByName(clean.where(~F.col("sheet").isin(rowwise)))
-        store.write_tier(kept, f"{base}/clean")
-        store.append_json(quality.cleaning_log(clean).withColumn("refresh_id", F.lit(rid)), f"{base}/cleaning_log")
+        store.write_tier(kept, f"{base}/clean", rid)
+        store.append_json(quality.cleaning_log(clean), f"{base}/cleaning_log", rid)
         store.append_result(reshape.sheet_status(cells, specs), f"{base}/sheets", rid)
-        totals = quality.issue_totals(store.read_result(spark, f"{base}/quality").drop("refresh_id")).first()
+        totals = quality.issue_totals(spark.read.parquet(f"{base}/quality/refresh_id={rid}")).first()
         status.update(sheets_validated=totals["sheets_validated"], total_issues=totals["total_issues"])
     except Exception as error:  # a watching process must outlive one bad delivery
-        return {**status, "status": "failed", "error": f"{type(error).__name__}: {error}"[:500]}
+        return {**status, "status": "failed", "error": f"{type(error).__name__}: {error}"}
     for name, step in then:
         try:
             step(spark, base, rid)
             status[name] = "ok"
         except Exception as error:
-            status[name] = f"failed: {error}"[:300]
+            status[name] = f"failed: {error}"
     return status
 
 
@@ -53,6 +55,8 @@ def watch(spark: SparkSession, landing: str, specs, base: str, interval: str | N
         whole = store.read_cells(spark, landing)
         if not new.isEmpty():
             status = refresh(spark, whole, specs, base, f"batch{batch_id:08d}", then)
-            spark.createDataFrame([(status["refresh_id"], status["status"], status.get("error"))], "refresh_id string, status string, error string").write.mode("append").json(f"{base}/refreshes")
-    stream = live.file_stream(spark, landing, store.CELLS)
+            rows = [(name, outcome, status.get("error") if name == "refresh" else None) for name, outcome in
+                    [("refresh", status["status"])] + [(name, status[name]) for name, _ in then if name in status]]
+            store.append_json(spark.createDataFrame(rows, "step string, status string, error string"), f"{base}/refreshes", status["refresh_id"])
+    stream = live.file_stream(spark, landing, store.CELLS, nested=True)
     return stream.writeStream.option("checkpointLocation", f"{base}/watch").foreachBatch(on_batch).trigger(**live.trigger(interval)).start()
