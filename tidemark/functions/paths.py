@@ -117,3 +117,5 @@ def vector_path(grams: pd.Series, levels: pd.Series, recent: pd.Series, size: pd
     return pd.Series(out)
 
 
+# evaluated once per row: filters on their results are not pushed below and computed again
+holt_winters_path, autoregressive_path, vector_path = (f.asNondeterministic() for f in (holt_winters_path, autoregressive_path, vector_path))

@@ -14,7 +14,6 @@ from tidemark.functions import linalg, tails
 from tidemark.operators.series import by_pair, panel
 from tidemark.operators.stats import differenced
 
-UNIT_ROOT_LAGS = 30
 
 
 def _packed(grams: DataFrame, keys: list) -> DataFrame:
@@ -118,13 +117,16 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
-def dickey_fuller(series: DataFrame, keys=("series_id",), constant: bool = True, n_series: int = 1, max_lag: int = UNIT_ROOT_LAGS) -> DataFrame:
+def dickey_fuller(series: DataFrame, keys=("series_id",), constant: bool = True, n_series: int = 1, max_lag: int | None = None) -> DataFrame:
     """ADF test of ``value`` per key with the lag order of lowest AIC.
 
-    ``max_lag`` bounds the columns built; the search limit of a series, 12 (n/100)^(1/4), stays below 30 up to about
-    3,900 observations.  Raise it for longer ones.
+    A series searches up to 12 (n/100)^(1/4) lags; as many columns are built as the longest series needs, which is one
+    row asked for beforehand, unless ``max_lag`` states the search limit for all.
     """
     keys = list(keys)
+    if max_lag is None:
+        longest = series.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.count("value").alias("n")).agg(F.max("n")).first()[0] or 0
+        max_lag = max(1, int(12 * (longest / 100) ** 0.25) + 1)
     order, whole = Window.partitionBy(*keys).orderBy("ts"), Window.partitionBy(*keys)
     known = series.where(F.col("value").isNotNull()).select(*keys, "ts", "value")
     change = F.col("value") - F.lag("value").over(order)
@@ -148,27 +150,37 @@ def _lag_products(most: int) -> Column:
     return F.expr("array(" + ", ".join(f"named_struct('k', {k}, 'p', e * lag(e, {k}) over (partition by series_id order by ts))" for k in range(most + 1)) + ")")
 
 
-def kpss(series: DataFrame, max_lag: int = 120) -> DataFrame:
-    """KPSS test around a constant with the data-driven number of autocovariances; stays in the JVM."""
+def _autocovariances(walk: DataFrame, most: int) -> DataFrame:
+    """Sums of lag products 0..most per series as an array ``g``, with ``ss``, the sum of squares of the running sum."""
+    sums = (walk.withColumn("_l", _lag_products(most)).select("series_id", "n", "s", F.explode("_l").alias("_l"))
+            .groupBy("series_id", "n", F.col("_l.k").alias("k")).agg(F.sum("_l.p").alias("g"), F.sum(F.col("s") * F.col("s")).alias("ss")))
+    return sums.groupBy("series_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("g", F.lit(0.0)).alias("g")))), lambda e: e["g"]).alias("g"),
+                                              F.max("ss").alias("ss"))
+
+
+def kpss(series: DataFrame) -> DataFrame:
+    """KPSS test around a constant with the data-driven number of autocovariances; stays in the JVM.
+
+    The number of lags comes from the first n^(2/9) autocovariances; then exactly the autocovariances the longest choice
+    needs are formed.  Both depths are one row asked for beforehand.
+    """
     order, whole = Window.partitionBy("series_id").orderBy("ts"), Window.partitionBy("series_id")
     known = series.where(F.col("value").isNotNull())
     dev = known.select("series_id", "ts", (F.col("value") - F.avg("value").over(whole)).alias("e"), F.count(F.lit(1)).over(whole).alias("n"))
     walk = dev.where(F.col("n") >= GATES.stationarity).withColumn("s", F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lags = _lag_products(max_lag)
-    sums = (walk.withColumn("_l", lags).select("series_id", "n", "s", F.explode("_l").alias("_l"))
-            .groupBy("series_id", "n", F.col("_l.k").alias("k")).agg(F.sum("_l.p").alias("g"), F.sum(F.col("s") * F.col("s")).alias("ss")))
-    packed = sums.groupBy("series_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("g", F.lit(0.0)).alias("g")))), lambda e: e["g"]).alias("g"),
-                                                F.max("ss").alias("ss"))
     nn = F.col("n").cast("double")
     covered = F.floor(F.pow(nn, F.lit(2.0 / 9.0))).cast("int")
 
     def total(weight, upto):
         return F.aggregate(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), F.lit(0.0),
                            lambda acc, i: acc + F.when(i <= upto, weight(i) * F.element_at("g", i + 1)).otherwise(0.0))
+    longest = known.groupBy("series_id").agg(F.count("value").alias("n")).agg(F.max("n")).first()[0] or 0
     s0 = F.element_at("g", 1) / nn + 2.0 / nn * total(lambda i: F.lit(1.0), covered)
     s1 = 2.0 / nn * total(lambda i: i.cast("double"), covered)
     pick = F.floor(1.1447 * F.pow(F.pow(s1 / s0, F.lit(2.0)), F.lit(1.0 / 3.0)) * F.pow(nn, F.lit(1.0 / 3.0))).cast("int")
-    rows = packed.withColumn("lags_used", F.least(pick, F.col("n").cast("int") - 1, F.lit(max_lag)))
+    chosen = _autocovariances(walk, int(longest ** (2 / 9)) + 1).select("series_id", F.least(pick, F.col("n").cast("int") - 1).alias("lags_used"))
+    deepest = chosen.agg(F.max("lags_used")).first()[0] or 0
+    rows = _autocovariances(walk, max(deepest, 1)).join(chosen, "series_id")
     bart = total(lambda i: 1.0 - i / (F.col("lags_used") + 1.0), F.col("lags_used"))
     rows = rows.withColumn("statistic", F.try_divide(F.col("ss") / (nn * nn), (F.element_at("g", 1) + 2.0 * bart) / nn))
     crit, ps = fixed.KPSS_CRITICAL, fixed.KPSS_P

@@ -33,7 +33,9 @@ def month_table(series: DataFrame) -> DataFrame:
 
 
 def month_boxes(series: DataFrame) -> DataFrame:
-    """Five-number summary per calendar month."""
+    """Five-number summary per calendar month; from 24 observations."""
+    n = series.where(F.col("value").isNotNull()).groupBy("series_id").agg(F.count("value").alias("_n"))
+    series = series.join(n.where(F.col("_n") >= 24).select("series_id"), "series_id", "left_semi")
     q = F.percentile("value", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
     box = resample(series, "ME").groupBy("series_id", F.month("ts").alias("month")).agg(
         F.min("value").alias("minimum"), q.alias("_q"), F.max("value").alias("maximum"), F.count("value").alias("n"))
@@ -87,11 +89,11 @@ def season_profile(series: DataFrame) -> DataFrame:
     return ranked.withColumn("season", season).drop("_rank", "_n")
 
 
-def harvest_behaviour(volume: DataFrame, price: DataFrame) -> DataFrame:
-    """Average price index in the three heaviest and the three lightest arrival months, by the arrivals' own index."""
-    by_volume = ratio_index(volume).select("month", F.col("index_100").alias("_v"))
-    order = Window.orderBy(F.desc("_v"), "month")  # twelve rows
-    ranked = by_volume.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+def harvest_behaviour(volume: DataFrame, price: DataFrame, arrivals: str = "arrivals") -> DataFrame:
+    """Average price index in the three heaviest and the three lightest months of the named arrivals series, by its own index."""
+    by_volume = ratio_index(volume.where(F.col("series_id") == arrivals)).select("series_id", "month", F.col("index_100").alias("_v"))
+    order = Window.partitionBy("series_id").orderBy(F.desc("_v"), "month")
+    ranked = by_volume.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("series_id")))
     tagged = ranked.withColumn("part", F.when(F.col("_k") <= 3, "harvest").when(F.col("_k") > F.col("_n") - 3, "off_season")).where("part is not null")
     return (ratio_index(price).join(tagged.select("month", "part"), "month").groupBy("series_id")
             .agg(F.avg(F.when(F.col("part") == "harvest", F.col("index_100"))).alias("harvest_index"),

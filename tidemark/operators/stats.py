@@ -272,8 +272,9 @@ def thresholds(pairs: DataFrame, buckets: int = GATES.threshold_buckets) -> Data
 
 
 def threshold_test(pairs: DataFrame, buckets: int = GATES.threshold_buckets) -> DataFrame:
-    """Welch test of the next-period change between the heaviest and the lightest bucket."""
-    rows = W.quantile_bucket(_with_changes(pairs), "x", buckets, ["a", "b"])
+    """Welch test of the next-period change between the heaviest and the lightest bucket; as ``thresholds``, not below 10 rows a bucket."""
+    sized = pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("a", "b"))).where(F.col("_n") >= 10 * buckets)
+    rows = W.quantile_bucket(_with_changes(sized), "x", buckets, ["a", "b"])
     top, low = F.col("bucket") == F.col("n_buckets"), F.col("bucket") == 1
 
     def part(cond):

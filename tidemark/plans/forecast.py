@@ -11,6 +11,7 @@ from tidemark import fixed
 from tidemark.functions import linalg, paths
 from tidemark.operators import series as S, stats, windows as W
 from tidemark.operators.regress import panel_rows
+from tidemark.sources.store import landed
 
 KEYS = ["series_id", "cut"]
 FEATURES = (["price_lag_0"] + [f"price_lag_{k}" for k in fixed.PRICE_LAGS] + [f"price_mean_{w}" for w in fixed.FEATURE_WINDOWS]
@@ -377,7 +378,7 @@ def model_notes(hw: DataFrame, ar: DataFrame) -> DataFrame:
 def forecast(series: DataFrame, horizons=tuple(fixed.HORIZONS)) -> DataFrame:
     """The selected model's point per horizon with interval, probability and risks, for every series at once."""
     tests = origins(series)
-    every = predictions(series, tests.unionByName(present(series)), horizons)
+    every = landed(predictions(series, tests.unionByName(present(series)), horizons))  # read three times below
     actual = S.nearest(with_horizons(tests, horizons), series, "target_ts", 2, "actual").where("actual is not null")
     points = every.where("cut >= 0").join(actual.select("series_id", "cut", "horizon", "actual"), ["series_id", "cut", "horizon"])
     chosen = select_best(error_metrics(points))

@@ -57,7 +57,7 @@ def adf(spark, sf):
 
 _KPSS = f"""dv AS (SELECT series_id, ts, value - avg(value) OVER (PARTITION BY series_id) AS e, count(*) OVER (PARTITION BY series_id) AS n FROM wp),
  rw AS (SELECT *, row_number() OVER {W} AS i, sum(e) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM dv),
- ga AS (SELECT p.series_id, p.i - q.i AS k, sum(p.e*q.e) AS g FROM rw p JOIN rw q ON p.series_id = q.series_id AND p.i - q.i BETWEEN 0 AND 120 GROUP BY 1, 2),
+ ga AS (SELECT p.series_id, p.i - q.i AS k, sum(p.e*q.e) AS g FROM rw p JOIN rw q ON p.series_id = q.series_id AND p.i >= q.i GROUP BY 1, 2),
  nn AS (SELECT series_id, max(n) AS n, sum(s*s) AS ss FROM rw GROUP BY 1),
  a0 AS (SELECT series_id, n, ss, (sum(CASE WHEN k=0 THEN g END) + 2*sum(CASE WHEN k BETWEEN 1 AND floor(pow(n,2.0/9)) THEN g ELSE 0 END))/n AS s0, 2*sum(CASE WHEN k BETWEEN 1 AND floor(pow(n,2.0/9)) THEN k*g ELSE 0 END)/n AS s1 FROM nn JOIN ga USING (series_id) GROUP BY series_id, n, ss),
  lg AS (SELECT *, least(CAST(floor(1.1447*pow(pow(s1/s0,2),1.0/3)*pow(n,1.0/3)) AS BIGINT), n-1) AS l FROM a0),
