@@ -183,3 +183,11 @@ def test_whole_forecast_and_trees(spark, series, rows):
 def test_companions_need_enough_shared_dates(series, rows):
     s = series({"t": [1] * 10, "a": [1] * 9 + [None], "b": [1] * 3 + [None] * 7})
     assert [r["series_id"] for r in rows(K.companions(s, "t"))] == ["a"]
+
+
+def test_each_model_runs_once(spark):
+    """Filters on a model's result must not be pushed below it and evaluate it again."""
+    from tidemark.plans import forecast as K
+    from tidemark.sources import tables as T
+    plan = K.backtest(T.prices(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2

@@ -140,7 +140,12 @@ def backtest_metrics(spark, sf):
     return rounded(longs(K.error_metrics(K.backtest(landed(T.prices(spark, sf))))))
 
 
-@query("backtest_suppliers")
+_SUPPLIERS = """price AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / sum(l_quantity) AS value
+ FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("backtest_suppliers", f"""WITH RECURSIVE {_SUPPLIERS}, {_ORIGINS}, {_NAIVE}, {_TRAIN}, {_SMOOTH}, {_AR}, {_POINTS}
+ SELECT series_id, model, horizon, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('smape')} AS smape, n FROM mt""")
 def backtest_suppliers(spark, sf):
     """The walk-forward backtest over every supplier's series at once."""
     return rounded(longs(K.error_metrics(K.backtest(landed(T.supplier_prices(spark, sf))))))

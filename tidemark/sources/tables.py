@@ -39,18 +39,16 @@ def quotes(spark, sf_dir) -> DataFrame:
 
 
 def market_prices(spark, sf_dir) -> DataFrame:
-    """Price per market.  Orders shrink to one row per customer and day before the join, so a customer holding a
-    third of all orders meets the join as at most one row per calendar day."""
-    o = read(spark, sf_dir, "orders")
-    per_day = o.groupBy("o_custkey", F.to_date("o_orderdate").alias("ts")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), F.count("o_totalprice").alias("n"))
+    """Price per market.  Orders take their customer's market in a join that adaptive execution broadcasts when the customers are
+    few and splits where one customer has very many orders; then one aggregate per market and day, combined before its shuffle."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
     place = (read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
              .select("n_nationkey", "r_name"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(
         place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
-    return (per_day.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return (o.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(F.col("r_name").alias("series_id"), "ts")
-            .agg((F.sum("total").cast("double") / F.sum("n")).alias("value")))
+            .agg((F.sum("total").cast("double") / F.count("total")).alias("value")))
 
 
 def supplier_prices(spark, sf_dir) -> DataFrame:
@@ -101,7 +99,7 @@ def balance(spark, sf_dir) -> DataFrame:
         per_type.groupBy("year").agg(F.sum("supply").alias("value")).select(F.lit("Total Supply").alias("category"), "year", "value")
     ).unionByName(
         per_type.groupBy("year").agg(F.sum("demand").alias("value")).select(F.lit("Total Demand").alias("category"), "year", "value"))
-    last = li.agg(F.max(F.year("l_shipdate")).alias("y")).scalar()
+    last = per_type.agg(F.max("year")).scalar()
     est = F.col("year") == last
     return lines.select("category", F.when(est, F.format_string("%d(exp)", "year")).otherwise(F.col("year").cast("string")).alias("year_label"),
                         "year", (F.col("value") / 1000.0).alias("value"), est.alias("is_estimate"))
