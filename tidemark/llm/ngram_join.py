@@ -437,6 +437,52 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
+def _cells_of(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each ``key`` in blocks of about BLOCK, each row in the cells (bi <= bj) of its block with every block."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+
+
+def _between_families(placed: DataFrame, sketches: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
+    """Pairs a, b that join families: members of one list, from different families, whose sketches do not rule out a link.
+
+    All such pairs of a list are looked at, block by block; a cell names as few as join what can be joined.
+    """
+    known = sketches.select(F.col("sig").alias("node"), "n", "sketch")
+    cells = _cells_of(placed.join(known, "node"), "list").select("list", "bi", "bj", "block", "node", "root", "flags", "n", "sketch")
+
+    def run(batches):
+        for (_, bi, bj), table in _groups(batches, ("list", "bi", "bj")):
+            node, root, flags, n, block = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "root", "flags", "n", "block"))
+            raw = table.column("sketch").to_pylist()
+            width = min(map(len, raw))
+            bits = np.concatenate([_fold(np.frombuffer(x, np.uint8)[None, :], width) for x in raw])
+            left, right = (np.arange(len(node)),) * 2 if bi == bj else (np.flatnonzero(block == bi), np.flatnonzero(block == bj))
+            joined = {r: r for r in root.tolist()}
+
+            def find(v, joined=joined):
+                while joined[v] != v:
+                    joined[v] = joined[joined[v]]
+                    v = joined[v]
+                return v
+            a, b = [], []
+            for x in left.tolist():
+                apart = np.bitwise_count(bits[right] ^ bits[x]).sum(1)
+                meets = ((flags[x] & PROBE > 0) & (flags[right] & INDEX > 0)) | ((flags[x] & INDEX > 0) & (flags[right] & PROBE > 0))
+                for y in right[meets & (root[right] != root[x]) & (apart <= (n[right] + n[x]) * (den - num) // (den + num))].tolist():
+                    p, q = find(int(root[x])), find(int(root[y]))
+                    if p != q:
+                        joined[p] = q
+                        a.append(node[x])
+                        b.append(node[y])
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.repartition(tasks, "list", "bi", "bj").sortWithinPartitions("list", "bi", "bj").mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Linked groups of texts: key, ``n_shingles``, ``component_id`` (smallest key reachable by links, the row's own included).
 
@@ -446,7 +492,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     1. One pass over the texts emits per set its segment entries in blobs per bucket, and a small sketch; equal sets are emitted
        once per task.  One shuffle brings the entries of a segment together.
     2. Short lists name their pairs, long lists a star.  Sketches rule out what cannot link (they never rule out a link) and pairs
-       that are alike form families.  Long lists that still hold several families name the pairs between them.
+       that are alike form families.  Long lists that still hold several families are searched, in blocks, for pairs between them.
     3. Families hold every link.  They are compared in blocks of at most BLOCK sets: each block with itself, then blocks with each
        other for the sets not yet in the family's main component.  A cell returns a spanning forest, so rows stay linear.
 
@@ -471,10 +517,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mixed = placed.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list")
     placed = land(placed.join(mixed, "list", "left_semi"), "join-mixed")
     if not placed.isEmpty():
-        x, y = placed.alias("x"), placed.alias("y")
-        meets = F.expr("((x.flags & 1) > 0 AND (y.flags & 2) > 0) OR ((y.flags & 1) > 0 AND (x.flags & 2) > 0)")
-        cross = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root")) & meets).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        more = land(_plausible(cross, reps, num, den), "join-alike")
+        more = land(_between_families(placed, reps, tasks, num, den), "join-alike")
         if not more.isEmpty():
             family = land(components(alike.unionByName(more)), "join-family")
 
