@@ -16,7 +16,7 @@ from .textvec import SPACE, lower_ascii, mix, ngram_hashes, text_chunks
 
 SMALL = 8            # members of a segment list whose pairs are named at once
 BLOCK = 384          # sets compared with each other in one task
-FLUSH = 1 << 20      # segment entries a task gathers before it hands them on
+FLUSH = 1 << 19      # segment entries a task gathers before it hands them on
 WATCH = 20           # bits of the counter that tells long lists from short ones
 LONG = 4             # entries seen in a task that make a list long
 PROBE, INDEX = 1, 2
@@ -246,7 +246,7 @@ def _emit(n: int, num: int, den: int, buckets: int):
             for s in shingle_sets(batch.column(1), n):
                 sets.append(s)
                 words += len(s)
-                if words >= 1 << 19:
+                if words >= 1 << 18:
                     yield handle(sets, first)
                     first, sets, words = first + len(sets), [], 0
                     if held >= FLUSH:

@@ -8,7 +8,7 @@ probability about 2**-64.
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes handled at once; one longer text makes a chunk of its own
+CHUNK = 2 << 20  # bytes handled at once; one longer text makes a chunk of its own
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = {"n": 0}
