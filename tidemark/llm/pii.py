@@ -111,7 +111,7 @@ def term_disclosure(near: DataFrame, docs: DataFrame, text: str, support: int) -
     return rated.select("term", "kind", "n_near", "n_all", (F.log(share / p_kind) / -F.log(p_kind)).alias("disclosure"))
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, support: int = 20, width: int = 48, words: int = 3,
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, support: int = 5, width: int = 48, words: int = 3,
                   keep_text: bool = False) -> DataFrame:
     """Spans of personal data and of the terms that disclose it, per row: key, ``email``, ``ip``, ``card``, ``phone``
     (array<struct<s, e, m>>) and ``terms`` (array<struct<s, e, term, kind, action>>, by start); ``text`` on request.
