@@ -25,7 +25,8 @@ def test_toxicity_learns_marked_words(spark):
     weights = toxicity.fit(docs, marks, held_out=held)
     assert 0 < len(weights[0]) < 4000
     got = toxicity.score(docs, weights).join(marks, "doc_id").where("doc_id % 4 = 2").select("score", "toxic").collect()
-    assert all((r["score"] >= 0.3) == bool(r["toxic"]) for r in got) and len(got) == 300
+    low, high = [r["score"] for r in got if not r["toxic"]], [r["score"] for r in got if r["toxic"]]
+    assert len(got) == 300 and max(low) < 0.1 < min(high) and sum(s >= 0.3 for s in high) >= 0.95 * len(high)
     unseen = toxicity.score(spark.createDataFrame([("what snarkfacery",)], "text string"), weights).first()["score"]
     assert unseen > toxicity.score(spark.createDataFrame([("what music",)], "text string"), weights).first()["score"]
     again = toxicity.fit(docs.repartition(7), marks.repartition(3), held_out=held)

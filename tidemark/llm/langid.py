@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", penalty:
             texts = texts.combine_chunks()
         langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
         marked = [[] for _ in range(len(texts))]
-        for c in text_chunks(texts) if model is not None else ():
+        for c in text_chunks(texts, 4 << 20) if model is not None else ():  # texts that advance together
             w = Words(c)
             if not len(w.unique):
                 continue

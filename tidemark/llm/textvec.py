@@ -8,7 +8,7 @@ probability about 2**-64.
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes handled at once; one longer text makes a chunk of its own
+CHUNK = 1 << 20  # bytes handled at once; one longer text makes a chunk of its own
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = {"n": 0}
@@ -92,8 +92,9 @@ class Chunk:
         return self.span_hash(self.start, self.end)
 
 
-def text_chunks(texts: pa.Array | pa.ChunkedArray):
-    """Chunks of about CHUNK bytes that cover all texts in order; a null is an empty text."""
+def text_chunks(texts: pa.Array | pa.ChunkedArray, size: int | None = None):
+    """Chunks of about ``size`` (CHUNK) bytes that cover all texts in order; a null is an empty text."""
+    size = size or CHUNK
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
@@ -106,7 +107,7 @@ def text_chunks(texts: pa.Array | pa.ChunkedArray):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         j = min(j, len(texts))
         yield Chunk(i, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
         i = j

@@ -71,7 +71,7 @@ class Ftrl:
         return at, w[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, sample: int = 24_000, passes: int = 4, seed: int = 5):
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, sample: int = 8_000, passes: int = 4, seed: int = 5):
     """Weights (buckets, values) learned from a sample of about ``sample`` labelled rows; that bound is the model's size.
 
     The sample is drawn by a hash of the key over all labelled rows, so it is spread evenly whatever the table's size.
@@ -88,17 +88,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     draw = F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = usable.where(draw < min(1.0, sample / n))  # about `sample` rows: small whatever the table
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
-    turns = rows.withColumn("_turn", F.explode(F.array(*[F.lit(i) for i in range(passes)]))).withColumn("_order", F.xxhash64(F.lit(seed), "_turn", "_key"))
-    one = turns.repartition(1).sortWithinPartitions("_turn", "_order", "_text").select("_text", "_y")
+
+    def features(batches):
+        for batch in batches:
+            for first, count, doc, bucket in _features(batch.column(1)):
+                cut = np.searchsorted(doc, np.arange(count + 1))
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count).cast(pa.int64()), batch.column(2).slice(first, count), lists], names=["k", "y", "f"])
+
+    turns = rows.select("_key", "_text", "_y").mapInArrow(features, "k long, y int, f array<int>").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(passes))))
+    one = turns.withColumn("order", F.xxhash64(F.lit(seed), "turn", "k")).repartition(1).sortWithinPartitions("turn", "order", "f").select("y", "f")
 
     def train(batches):
         model = Ftrl()
         for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, count, doc, bucket in _features(batch.column(0)):
-                cut = np.searchsorted(doc, np.arange(count + 1))
-                for i in range(count):
-                    model.learn(bucket[cut[i]:cut[i + 1]], y[first + i])
+            lists = batch.column(1)
+            cut, bucket = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, y in enumerate(batch.column(0).to_numpy(zero_copy_only=False)):
+                model.learn(bucket[cut[i]:cut[i + 1]], y)
         at, w = model.sparse()
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "w": pa.array(w, pa.float64())})
 
