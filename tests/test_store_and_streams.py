@@ -68,6 +68,29 @@ def test_a_repeated_refresh_replaces_itself(spark, folder):
     assert spark.read.parquet(f"{folder}/sheets").count() == 3
 
 
+def test_tokens_duplicates_and_broken_sheets(spark, folder, monkeypatch):
+    """A sheet's own token, an exact repeat of a row, a label that is no date, and a sheet that cannot be read."""
+    def sheet(name, *rows):
+        grid = [("Date", "Price"), *rows]
+        return [("w", name, r + 1, c + 1, v) for r, row in enumerate(grid) for c, v in enumerate(row)]
+    data = sheet("A", ("2024-01-01", "#DIV/0!"), ("2024-01-02", "5"), ("2024-01-02", "5"), ("soon", "7")) + sheet("B", ("2024-01-01", "#DIV/0!")) + sheet("C", ("2024-01-01", "1"))
+    columns = {"Price": ("price", "price")}
+    specs = [R.SheetSpec("A", "long", columns=columns, tokens=("#DIV/0!",)), R.SheetSpec("B", "long", columns=columns), R.SheetSpec("C", "broken", columns=columns)]
+
+    def broken(cells, spec):
+        raise ValueError("unreadable")
+    monkeypatch.setitem(R.LAYOUTS, "broken", broken)
+    status = job.refresh(spark, spark.createDataFrame(data, store.CELLS), specs, folder, "r1")
+    assert status["status"] == "ok" and status["failed_sheets"] == 1
+    a, b = (store.read_clean(spark, f"{folder}/clean", x).collect() for x in "AB")
+    assert sorted((r["row_ref"], r["value"], r["text"]) for r in a if r["value"] is not None) == [(3, 5.0, None), (5, 7.0, None)]
+    assert [(r["value"], r["text"]) for r in b] == [(None, "#DIV/0!")]
+    log = spark.read.json(f"{folder}/cleaning_log")
+    assert [(r["row_ref"], r["new_value"]) for r in log.where("action = 'duplicate_row_dropped'").collect()] == [(4, "row 3")]
+    sheets = {r["sheet"]: (r["status"], r["newly_null_dates"]) for r in spark.read.parquet(f"{folder}/sheets").collect()}
+    assert sheets == {"A": ("parsed", 1), "B": ("parsed", 0), "C": ("failed", 0)}
+
+
 def test_out_of_order_files_lose_nothing(spark, folder, rows):
     """Files whose events lie years apart, in no order, one per micro-batch, with a row delivered twice: default settings."""
     schema = "event_id long, ts timestamp, event_type string, value double"

@@ -12,18 +12,27 @@ from tidemark.operators.series import small_table
 ROW = ["source", "sheet", "row_ref"]
 
 
-def _is_token(text: Column, tokens) -> Column:
-    return (text == "") | F.lower(text).isin([t.lower() for t in tokens])
+def _is_token(text: Column, tokens, by_sheet: dict | None = None) -> Column:
+    """Whether a text means "no observation": one of the tokens, or of those ``by_sheet`` adds for its own sheet."""
+    known = (text == "") | F.lower(text).isin([t.lower() for t in tokens])
+    for sheet, more in (by_sheet or {}).items():
+        known = known | ((F.col("sheet") == sheet) & F.lower(text).isin([t.lower() for t in more]))
+    return known
 
 
-def cleaned(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS)) -> DataFrame:
+def sheet_tokens(specs) -> dict:
+    """The tokens that sheets add to the common ones."""
+    return {s.sheet: s.tokens for s in specs if s.tokens}
+
+
+def cleaned(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS), by_sheet: dict | None = None) -> DataFrame:
     """Each raw cell as value or text, with the action taken and the original kept beside it.
 
     Order: a known token becomes missing, a numeric text a number, anything else is only trimmed.
     """
     text = F.trim("raw")
     number = coerce.numeric_text("raw")
-    token = _is_token(text, tokens)
+    token = _is_token(text, tokens, by_sheet)
     action = (F.when(F.col("raw").isNull(), None).when(token, "token_to_null").when(number.isNotNull(), "numeric_string_converted")
               .when(text != F.col("raw"), "trimmed_whitespace"))
     return (obs.withColumn("value", F.when(~token, number)).withColumn("text", F.when(~token & number.isNull(), text)).withColumn("action", action))
@@ -46,10 +55,32 @@ def without_blank_rows(clean: DataFrame) -> DataFrame:
     return clean.withColumn("_n", n).where("_n > 0").drop("_n")
 
 
-def scan_values(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS), keys=("source", "sheet", "metric", "role")) -> DataFrame:
+def without_duplicate_rows(clean: DataFrame):
+    """(kept, dropped): of a sheet's rows equal in every cell the first stays; one row of the log per row dropped.
+
+    A row's content is one checksum over its cells, of which a spreadsheet's width bounds the number; the first of equal rows is
+    an aggregate combined before its shuffle, so a row repeated very often piles up nowhere.
+    """
+    cell = F.struct("id", "group_key", "metric", "value", "text")
+    content = clean.groupBy(*ROW).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(cell))), 256).alias("_content"))
+    first = content.groupBy("source", "sheet", "_content").agg(F.min("row_ref").alias("row_ref"))
+    kept = first.select(*ROW)
+    gone = content.join(kept, ROW, "left_anti").join(first.withColumnRenamed("row_ref", "first_row"), ["source", "sheet", "_content"])
+    log = gone.select(*ROW, F.lit(None).cast("string").alias("metric"), F.lit("duplicate_row_dropped").alias("action"), F.lit(None).cast("string").alias("original_value"),
+                      F.concat(F.lit("row "), "first_row").alias("new_value"))
+    return clean.join(kept, ROW, "left_semi"), log
+
+
+def newly_null_dates(obs: DataFrame) -> DataFrame:
+    """Rows per sheet whose label is no date although it should be one."""
+    rows = obs.where(F.col("id").isNotNull() & F.col("ts").isNull()).select(*ROW).distinct()
+    return rows.groupBy("source", "sheet").agg(F.count(F.lit(1)).alias("newly_null_dates"))
+
+
+def scan_values(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS), keys=("source", "sheet", "metric", "role"), by_sheet: dict | None = None) -> DataFrame:
     """Missing, text contamination and forbidden negatives per column, one map-side combined aggregate."""
     text, number = F.trim("raw"), coerce.numeric_text("raw")
-    missing = F.col("raw").isNull() | _is_token(text, tokens)
+    missing = F.col("raw").isNull() | _is_token(text, tokens, by_sheet)
     negative = (number < 0) & F.col("role").isin(fixed.NON_NEGATIVE_ROLES)
     return obs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("missing"), F.count_if(~missing & number.isNull()).alias("text_contamination"),
@@ -57,10 +88,10 @@ def scan_values(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS), keys=("sourc
         F.count_if("is_estimate").alias("estimate_rows"))
 
 
-def offenders(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS)) -> DataFrame:
+def offenders(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS), by_sheet: dict | None = None) -> DataFrame:
     """The cells behind the counts of ``scan_values``."""
     text, number = F.trim("raw"), coerce.numeric_text("raw")
-    bad_text = F.col("raw").isNotNull() & ~_is_token(text, tokens) & number.isNull()
+    bad_text = F.col("raw").isNotNull() & ~_is_token(text, tokens, by_sheet) & number.isNull()
     negative = (number < 0) & F.col("role").isin(fixed.NON_NEGATIVE_ROLES)
     issue = F.when(bad_text, "text_contamination").when(negative, "negative_value")
     return obs.withColumn("issue", issue).where(F.col("issue").isNotNull()).select(*ROW, "metric", "issue", "raw")
@@ -72,10 +103,10 @@ def duplicates(rows: DataFrame, key: list, per: list) -> DataFrame:
     return sizes.groupBy(*per).agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("duplicate_rows"))
 
 
-def validation_report(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS)) -> DataFrame:
+def validation_report(obs: DataFrame, tokens=tuple(fixed.MISSING_TOKENS), by_sheet: dict | None = None) -> DataFrame:
     """Per column issue counts next to the sheet's duplicate keys."""
     keyed = duplicates(obs, ["source", "sheet", "id", "group_key", "metric"], ["source", "sheet"])
-    return scan_values(obs, tokens).join(keyed, ["source", "sheet"])
+    return scan_values(obs, tokens, by_sheet=by_sheet).join(keyed, ["source", "sheet"])
 
 
 def issue_totals(report: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from tidemark.operators.series import small_table
 
 SHEET = ["source", "sheet"]
 OBS = ["source", "sheet", "row_ref", "id", "ts", "group_key", "metric", "role", "year_label", "is_estimate", "raw"]
+OBS_SCHEMA = ("source string, sheet string, row_ref bigint, id string, ts date, group_key string, metric string, role string, year_label string, "
+              "is_estimate boolean, raw string")
 
 
 @dataclass(frozen=True)
@@ -160,10 +162,10 @@ LAYOUTS = {"long": parse_long, "wide_pivot_year_month": parse_year_month, "wide_
 
 def parse(cells: DataFrame, specs) -> DataFrame:
     """Every configured sheet of every source as one observation table."""
-    parts = [LAYOUTS[s.layout](cells.where(F.col("sheet") == s.sheet), s) for s in specs if s.layout in LAYOUTS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = cells.sparkSession.createDataFrame([], OBS_SCHEMA)
+    for s in specs:
+        if s.layout in LAYOUTS:
+            out = out.unionByName(LAYOUTS[s.layout](cells.where(F.col("sheet") == s.sheet), s))
     return out
 
 

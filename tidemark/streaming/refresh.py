@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality, reshape
+from tidemark.operators.series import small_table
 from tidemark.sources import store
 from tidemark.streaming import live
 
@@ -23,20 +24,34 @@ def refresh(spark: SparkSession, cells: DataFrame, specs, base: str, rid: str |
     """
     rid = rid or refresh_id()
     status = {"refresh_id": rid, "status": "ok"}
+    failed = []
     try:
-        obs = reshape.parse(cells, specs)
-        store.write_tier(obs, f"{base}/raw", rid)
-        raw = spark.read.schema(obs.schema).parquet(f"{base}/raw/refresh_id={rid}")
-        report = quality.validation_report(raw)
-        store.append_result(report, f"{base}/quality", rid)
-        clean = quality.cleaned(raw)
+        raw = f"{base}/raw/refresh_id={rid}"
+        store.write_tier(reshape.parse(cells, ()), f"{base}/raw", rid, None)  # an empty tier, to which the sheets are added
+        for spec in specs:
+            try:  # one bad sheet must not keep the others from being read
+                if spec.layout in reshape.LAYOUTS:
+                    reshape.parse(cells, [spec]).write.mode("append").parquet(raw)
+            except Exception as error:
+                failed.append((spec.sheet, f"failed: {type(error).__name__}: {error}"))
+        obs = spark.read.schema(reshape.OBS_SCHEMA).parquet(raw)
+        tokens = quality.sheet_tokens(specs)
+        store.append_result(quality.validation_report(obs, by_sheet=tokens), f"{base}/quality", rid)
+        clean = quality.cleaned(obs, by_sheet=tokens)
         rowwise = [s.sheet for s in specs if s.layout in ("long", "sparse_tracker")]
-        kept = quality.without_blank_rows(clean.where(F.col("sheet").isin(rowwise))).unionByName(clean.where(~F.col("sheet").isin(rowwise)))
-        store.write_tier(kept, f"{base}/clean", rid)
-        store.append_json(quality.cleaning_log(clean), f"{base}/cleaning_log", rid)
-        store.append_result(reshape.sheet_status(cells, specs), f"{base}/sheets", rid)
+        kept, dropped = quality.without_duplicate_rows(quality.without_blank_rows(clean.where(F.col("sheet").isin(rowwise))))
+        store.write_tier(kept.unionByName(clean.where(~F.col("sheet").isin(rowwise))), f"{base}/clean", rid)
+        store.append_json(quality.cleaning_log(clean).unionByName(dropped), f"{base}/cleaning_log", rid)
+        lost = quality.newly_null_dates(obs).groupBy("sheet").agg(F.sum("newly_null_dates").alias("newly_null_dates"))
+        broken = small_table(spark, "sheet string, _failure string", failed)
+        sheets = reshape.sheet_status(cells, specs).join(lost, "sheet", "left").join(broken, "sheet", "left")
+        sheets = sheets.withColumns({"newly_null_dates": F.coalesce("newly_null_dates", F.lit(0)), "reason": F.coalesce("_failure", "reason"),
+                                     "status": F.when(F.col("_failure").isNotNull(), "failed").otherwise(F.col("status"))}).drop("_failure")
+        store.append_result(sheets, f"{base}/sheets", rid)
         totals = quality.issue_totals(spark.read.parquet(f"{base}/quality/refresh_id={rid}")).first()
-        status.update(sheets_validated=totals["sheets_validated"], total_issues=totals["total_issues"])
+        status.update(sheets_validated=totals["sheets_validated"], total_issues=totals["total_issues"] or 0, failed_sheets=len(failed))
+        if failed and not totals["sheets_validated"]:
+            return {**status, "status": "failed", "error": "; ".join(f"{sheet}: {why}" for sheet, why in failed)}
     except Exception as error:  # a watching process must outlive one bad delivery
         return {**status, "status": "failed", "error": f"{type(error).__name__}: {error}"}
     for name, step in then:
