@@ -105,7 +105,7 @@ def term_disclosure(near: DataFrame, docs: DataFrame, text: str, support: int) -
     counted = land(near_counts.where(F.col("n_near") >= support).join(all_counts, "term"), "pii-terms")
     per_kind = near_counts.groupBy("kind").agg(F.sum("n_near").alias("kind_words"))  # four rows
     total = docs.select(F.sum(F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+"))).alias("words"))  # one row
-    rated = counted.join(F.broadcast(per_kind), "kind").join(F.broadcast(total))
+    rated = counted.join(F.broadcast(per_kind), "kind").withColumn("words", total.scalar())
     p_kind = F.col("kind_words") / F.col("words")
     share = F.least(F.col("n_near") / F.col("n_all"), F.lit(1.0))
     return rated.select("term", "kind", "n_near", "n_all", (F.log(share / p_kind) / -F.log(p_kind)).alias("disclosure"))
