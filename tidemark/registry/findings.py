@@ -41,7 +41,7 @@ class Inputs:
     @cached_property
     def verdicts(self):
         pairs = store.landed(S.align(S.resample(self.markets, "W"), S.all_pairs(T.MARKETS)))
-        return store.landed(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6))
+        return store.landed(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs))))
 
     def months(self, name, rows):
         both = S.resample(self.prices, "ME").unionByName(S.resample(rows, "ME"))
@@ -68,13 +68,13 @@ def seasonality(d):
 
 def exports(d):
     p = d.months("exports", T.exports(d.spark, d.sf))
-    return I.relation(stats.pair_summary(p), stats.lead_lag(stats.cross_correlation(p, 12)), stats.rolling_corr(p, 24), "Exports", "exports")
+    return I.relation(stats.pair_summary(p), stats.lead_lag(stats.cross_correlation(p)), stats.rolling_corr(p, 24), "Exports", "exports")
 
 
 def currency(d):
     rate = store.landed(T.driver(d.spark, d.sf))
     p = d.months("driver", rate)
-    return I.currency(W.coverage_gaps(rate, 4), stats.pair_summary(p), G.granger(p, 6), "driver")
+    return I.currency(W.coverage_gaps(rate, 4), stats.pair_summary(p), G.granger(p), "driver")
 
 
 def balance(d):

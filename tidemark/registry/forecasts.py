@@ -242,12 +242,12 @@ _ROLL_METRICS = f"""{_ROLL}, rm AS (SELECT series_id, model, sqrt(avg(pow(actual
  avg(CASE WHEN actual <> anchor THEN CASE WHEN sign(actual-anchor) = sign(pred-anchor) THEN 1.0 ELSE 0.0 END END)*100 AS da, count(DISTINCT cut) AS folds, count(*) AS points FROM rb GROUP BY 1, 2)"""
 
 
-@query("scoreboard", f"""{_ROLL_METRICS}, op AS (SELECT s.series_id, m.model FROM (SELECT DISTINCT series_id FROM price) s, (SELECT unnest(['holt_winters','autoregression','autoregression_drivers']) AS model) m)
+@query("scoreboard", f"""{_ROLL_METRICS}, op AS (SELECT s.series_id, m.model FROM (SELECT DISTINCT series_id FROM price) s, (SELECT unnest(['holt_winters','autoregression']) AS model) m)
  SELECT op.series_id, op.model, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('r2')} AS r2, {r('da')} AS directional_accuracy, folds, points, CASE WHEN rmse IS NOT NULL THEN row_number() OVER (PARTITION BY op.series_id ORDER BY rmse NULLS LAST, op.model) END AS rank,
  CASE WHEN rmse IS NULL THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN rmse IS NULL THEN 'too little history for this model' END AS reason FROM op LEFT JOIN rm ON rm.series_id = op.series_id AND rm.model = op.model""")
 def scoreboard(spark, sf):
     p = S.resample(T.prices(spark, sf), "ME")
-    return rounded(longs(K.scoreboard(K.pooled_metrics(_rolling(spark, sf)), p, ["holt_winters", "autoregression", "autoregression_drivers"])))
+    return rounded(longs(K.scoreboard(K.pooled_metrics(_rolling(spark, sf)), p, ["holt_winters", "autoregression"])))
 
 
 _BANDS = f"""{_ROLL.replace("tw AS (SELECT m.series_id", "tw AS (SELECT series_id, -1::BIGINT AS cut, ts, value FROM me UNION ALL SELECT m.series_id")}, sr AS (SELECT series_id, step, sqrt(avg(pow(actual-pred,2))) AS rmse FROM rb WHERE model = 'holt_winters' GROUP BY 1, 2),
@@ -337,7 +337,7 @@ def model_notes(spark, sf):
 
 @query("gbt_direct")
 def gbt_direct(spark, sf):
-    """Direct trees at one horizon over all series; fewer rounds than the default keep the check short."""
+    """Direct trees at one horizon over all series."""
     p, rows = T.prices(spark, sf), _features(spark, sf)
-    model, _ = K.boosted_trees(rows, p, 30, rounds=20)
+    model, _ = K.boosted_trees(rows, p, 30)
     return rounded(longs(K.boosted_forecast(model, rows, K.present(p))))

@@ -17,7 +17,7 @@ def _weekly_markets(spark, sf):
 
 @query("granger")
 def granger(spark, sf):
-    return rounded(G.granger(_weekly_markets(spark, sf), 6), 6)
+    return rounded(G.granger(_weekly_markets(spark, sf)), 6)
 
 
 @query("granger_lag_1", f"""WITH {MARKET}, wm AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM market GROUP BY 1, 2),
@@ -35,19 +35,19 @@ def granger_lag_1(spark, sf):
 @query("influence")
 def influence(spark, sf):
     pairs = landed(_weekly_markets(spark, sf))
-    return rounded(longs(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6)), 6)
+    return rounded(longs(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs)))), 6)
 
 
 @query("influence_edges")
 def influence_edges(spark, sf):
     pairs = landed(_weekly_markets(spark, sf))
-    return rounded(G.influence_edges(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6)), 6)
+    return rounded(G.influence_edges(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs)))), 6)
 
 
 @query("leadership")
 def leadership(spark, sf):
     pairs = landed(_weekly_markets(spark, sf))
-    return rounded(longs(G.leadership(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs, 12)), 6))), 6)
+    return rounded(longs(G.leadership(G.influence(pairs, stats.lead_lag(stats.cross_correlation(pairs))))), 6)
 
 
 @query("adf")
