@@ -15,7 +15,7 @@ HEADLINE = [
     "change_by_horizon", "shifted_target", "correlation_matrix", "spearman_pairs", "rolling_corr", "lag_correlogram", "ccf_diff", "elasticity_lags", "thresholds",
     "pair_spread", "benchmark_ratio", "seasonal_index", "decompose_classical", "adf", "kpss", "granger", "johansen", "driver_ols", "merged_header", "parse_long",
     "clean_cells", "validate_report", "score_composite", "sentiment", "features", "similar_periods", "backtest_metrics", "backtest_suppliers", "forecast",
-    "stream_daily_totals",
+    "stream_daily_totals", "parse_workbook", "insights", "leadership", "rolling_metrics",
 ]
 
 
