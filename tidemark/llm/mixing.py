@@ -41,11 +41,6 @@ def source_targets(sizes: DataFrame, cycle=(1, 2, 3), most: float = 3.0) -> Data
 RESERVE = 4  # blocks of each size class that wait for what larger classes leave
 
 
-#: The unit interval drawn from a hash: a rerun with the same rows draws the same numbers.
-def _draw(*parts, seed: int):
-    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / F.lit(float(1 << 52)))
-
-
 def _fold(block: str, round_no: int, seed: int):
     """Fold a block's units, in their order, by the pivotal rule with words as mass.
 
@@ -75,6 +70,41 @@ def _fold(block: str, round_no: int, seed: int):
     return F.expr(f"aggregate({block}, {start}, (a, x) -> {merge})")
 
 
+def _last_fold(units: str, seed: int):
+    """Fold a stratum's last units, largest first: each meets all units behind it as one partner, by the same rule.
+
+    Words move between the unit and the rest, whose probabilities shrink towards 0 or grow towards 1 by a common factor, so
+    the rest's current probabilities are u * p + v.  Against a partner that large every unit becomes integral at once;
+    only when nothing is left behind it may a small unit keep a fraction, which goes to the nearer side.
+    """
+    eps = 1e-9
+    let = lambda values, then: F.element_at(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), then), 1)
+
+    def step(a, x):
+        def moved(c):
+            up = c["draw"] * (c["alpha"] + c["beta"]) < c["beta"]
+            shrink = F.when(c["mass"] > 0, 1.0 - c["alpha"] / c["mass"]).otherwise(1.0)
+            grow = F.when(c["size"] - c["mass"] > eps, c["beta"] / (c["size"] - c["mass"])).otherwise(0.0)
+            end = F.when(up, c["p"] + c["alpha"] / x["size"]).otherwise(c["p"] - c["beta"] / x["size"])
+            return F.struct(F.when(up, a["u"] * shrink).otherwise(a["u"] * (1.0 - grow)).alias("u"), F.when(up, a["v"] * shrink).otherwise(a["v"] * (1.0 - grow) + grow).alias("v"), c["size"].alias("size"),
+                            F.greatest(F.when(up, c["mass"] - c["alpha"]).otherwise(c["mass"] + c["beta"]), F.lit(0.0)).alias("mass"),
+                            F.when(end >= 0.5, F.concat(a["won"], F.array(x["uid"]))).otherwise(a["won"]).alias("won"))
+
+        def bounds(b):
+            first = {"p": b["p"], "size": b["size"], "mass": b["mass"], "draw": F.pmod(F.xxhash64(F.lit(seed), x["print"]), F.lit(1 << 52)) / F.lit(float(1 << 52)),
+                     "alpha": F.least(x["size"] * (1.0 - b["p"]), b["mass"]), "beta": F.least(x["size"] * b["p"], F.greatest(b["size"] - b["mass"], F.lit(0.0)))}
+            return let(first, moved)
+
+        def rest(q):
+            return let({"p": q["p"], "size": a["size"] - x["size"], "mass": F.greatest(a["mass"] - x["size"] * q["p"], F.lit(0.0))}, bounds)
+        return let({"p": F.least(F.greatest(a["u"] * x["p"] + a["v"], F.lit(0.0)), F.lit(1.0))}, rest)
+
+    total = lambda f: F.aggregate(units, F.lit(0.0), lambda acc, x: acc + f(x))
+    start = F.struct(F.lit(1.0).alias("u"), F.lit(0.0).alias("v"), total(lambda x: x["size"].cast("double")).alias("size"), total(lambda x: x["size"] * x["p"]).alias("mass"),
+                     F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("won"))
+    return F.aggregate(units, start, step, lambda a: a["won"])
+
+
 def pivotal_rounding(units: DataFrame, block: int = 64, seed: int = 11) -> DataFrame:
     """Round probabilities to 0 or 1 with each stratum's sum of p * size kept: which units (``uid``, unique) become 1.
 
@@ -83,9 +113,9 @@ def pivotal_rounding(units: DataFrame, block: int = 64, seed: int = 11) -> DataF
     A reduction tree: units of a stratum and size class (powers of 4) are dealt into blocks of about ``block``; a block is
     folded by the pivotal rule and leaves at most one fraction; fractions meet in blocks again until a class has at most
     ``block``.  A round shuffles a ``block``-th of the rows before it, so the tree has log_block(n) levels.  RESERVE blocks per class
-    are set aside, and in the last fold of a stratum, largest sizes first, they take up what the larger classes leave; so
-    the one fraction that remains nearly always belongs to a small unit.  It is drawn by its probability.  No task ever holds
-    more than a block, or RESERVE + 1 blocks per size class.
+    are set aside for the last fold of a stratum, where each unit, largest first, meets all smaller ones together: they take up
+    what it leaves, so the words of a stratum are off by less than one small unit.  No task ever holds more than a block,
+    or RESERVE + 1 blocks per size class.
     """
     won, pool = [], []
     level = units.withColumn("kind", F.floor(F.log2("size") / 2).cast("int"))
@@ -111,10 +141,8 @@ def pivotal_rounding(units: DataFrame, block: int = 64, seed: int = 11) -> DataF
     gathered = pool[0]
     for part in pool[1:]:
         gathered = gathered.unionByName(part)
-    last = land(gathered.groupBy("stratum").agg(members.alias("units")).select("stratum", _fold("units", depth, seed).alias("end")), "mix-last")
-    won.append(last.select(F.explode("end.won").alias("uid")))
-    rest = last.select("stratum", "end.held.*").where("p > 1e-9")
-    won.append(rest.where(_draw("stratum", "print", seed=seed + 1) < F.col("p")).select("uid"))
+    last = gathered.groupBy("stratum").agg(members.alias("units")).select(_last_fold("units", seed + depth).alias("won"))
+    won.append(land(last, "mix-last").select(F.explode("won").alias("uid")))
     out = won[0]
     for part in won[1:]:
         out = out.unionByName(part)
