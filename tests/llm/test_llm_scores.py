@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, toxicity
@@ -166,3 +168,24 @@ def test_gradient_against_differences():
     for _ in range(5):
         net.learn(t, w, 0.02)
     assert net.log_probability(t, w).sum() > before + 1
+
+
+def test_pseudo_likelihood_of_words_in_one_bucket(spark):
+    """A frequent, a rare and an unseen word of one bucket differ by the logarithms of their counts, looked up or joined."""
+    bucket = {}
+    for i in range(200_000):
+        w = f"w{i}"
+        [(_, h)] = lm._words(pa.array([w]))
+        bucket.setdefault(int(lm._bucket(h)[0]), []).append(w)
+        if len(bucket[int(lm._bucket(h)[0])]) == 3:
+            often, seldom, never = bucket[int(lm._bucket(h)[0])]
+            break
+    docs = spark.createDataFrame([(1, " ".join([often] * 90)), (2, " ".join([seldom] * 9))], "doc_id long, text string")
+    net = lm.fit(docs)
+    asked = spark.createDataFrame([(often,), (seldom,), (never,)], "text string")
+    for common in (lm.COMMON, 2):  # with 2, the rare word is joined
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm, "COMMON", common)
+            got = {r["text"]: r["log_likelihood"] for r in lm.score(asked, net).collect()}
+        assert np.isclose(got[often] - got[seldom], np.log(90 / 9)) and np.isclose(got[seldom] - got[never], np.log(9))
+    assert {r["n"] for r in net.words.collect()} == {90, 9}

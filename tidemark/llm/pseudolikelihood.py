@@ -1,4 +1,8 @@
-"""Masked pseudo-likelihood: a window network predicts every word from both sides and scores documents."""
+"""Masked pseudo-likelihood: a window network predicts every word from both sides and scores documents.
+
+The network predicts one of a fixed number of buckets; which word of the bucket it is comes from the corpus counts of all words,
+a Spark table with a row per distinct word.
+"""
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +17,19 @@ CLASSES = 1 << CODE
 VOCABULARY = 1 << (2 * CODE)
 REACH = 3                # words on either side that a prediction sees
 EDGE = VOCABULARY        # stands for what lies beyond a text's ends
+COMMON = 1 << 18         # words with at least this part of all words are looked up in the tasks, the others by a join; there are at most so many
 
 
-def _tokens(texts):
-    """Per chunk: first text, number of texts, bucket of every word and the text of each."""
+def _words(texts):
+    """Per chunk: the chunk and the hash of every word."""
     for c in text_chunks(texts):
         c.split(~SPACE)
         c.prefix_hash(lower_ascii(c.buf))
-        yield c, (c.word_hashes() >> np.uint64(64 - 2 * CODE)).astype(np.int64)
+        yield c, c.word_hashes()
+
+
+def _bucket(hashes):
+    return (hashes >> np.uint64(64 - 2 * CODE)).astype(np.int64)
 
 
 def _windows(tokens, doc):
@@ -38,11 +47,15 @@ def _windows(tokens, doc):
 class Network:
     """Embeddings per neighbour position, a tanh layer, and two softmaxes: class, then member of the class.
 
-    p(word | both sides) = p(class | hidden) * p(member | class, hidden); both start from the corpus counts.
+    p(bucket | both sides) = p(class | hidden) * p(member | class, hidden); both start from the corpus counts.
+    ``totals`` are the words per bucket; ``fit`` sets ``words``, the table of ``word_counts`` (h, n), which stays with Spark.
     """
 
+    words = None
+
     def __init__(self, counts, width=16, seed=3):
         r = np.random.default_rng(seed)
+        self.totals = np.asarray(counts, float)
         c = (counts + 0.5).reshape(CLASSES, CLASSES).astype(np.float32)
         self.e = (r.standard_normal((VOCABULARY + 1, width)) * 0.1).astype(np.float32)
         self.mixing = (np.tile(np.eye(width), (2 * REACH, 1, 1)) * 0.6 + r.standard_normal((2 * REACH, width, width)) * 0.05).astype(np.float32)
@@ -54,6 +67,9 @@ class Network:
 
     PARTS = ("e", "mixing", "u", "ub", "v", "vb")
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
     def flat(self):
         return np.concatenate([getattr(self, p).ravel() for p in self.PARTS])
 
@@ -126,22 +142,29 @@ class Network:
             getattr(self, part)[...] += rate * g / (np.sqrt(seen) + 1e-3)
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Words of the whole table per bucket: VOCABULARY numbers."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every distinct word of the table by its hash with its number: h, n."""
     def count(batches):
-        total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            for _, t in _tokens(batch.column(0)):
-                total += np.bincount(t, minlength=VOCABULARY)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+            for _, words in _words(batch.column(0)):
+                h, n = np.unique(words, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-    got = docs.select(text).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+
+def _bucket_counts(words: DataFrame) -> np.ndarray:
+    got = words.groupBy(F.shiftrightunsigned("h", 64 - 2 * CODE).cast("int").alias("at")).agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCABULARY)
     out[got["at"]] = got["n"]
     return out
 
 
+def corpus_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Words of the whole table per bucket: VOCABULARY numbers."""
+    return _bucket_counts(word_counts(docs, text))
+
+
 def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, rate: float = 0.08, seed: int = 3, batch_words: int = 2048) -> Network:
     """Train over all texts.  Each round every partition trains its own copy from the shared start on its texts, and the
     copies are averaged, weighted by the words they saw.
@@ -150,8 +173,10 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, r
     while the neighbours shown cover every text; counts, rows and steps all grow with the table.  The average is summed by
     Spark in slices of the parameters, so the driver receives one network whatever the number of partitions.
     """
-    counts = corpus_counts(docs, text)
+    words_table = land(word_counts(docs, text), "lm-words")
+    counts = _bucket_counts(words_table)
     net = Network(counts, seed=seed)
+    net.words = words_table
     spark = docs.sparkSession
     slice_of = 4096
     for turn in range(rounds):
@@ -161,7 +186,8 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, r
             mine, words = Network(counts).load(start.value), 0
             rest_t, rest_w = [], []
             for batch in batches:
-                for c, tokens in _tokens(batch.column(0)):
+                for c, hashes in _words(batch.column(0)):
+                    tokens = _bucket(hashes)
                     w = _windows(tokens, c.doc)
                     pick = mix(np.arange(len(tokens), dtype=np.uint64) * np.uint64(31) + tokens.astype(np.uint64) + np.uint64(turn)) % np.uint64(masked) == 0
                     t, w = tokens[pick], w[pick]
@@ -201,20 +227,48 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, r
     return net
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``n_words``, ``log_likelihood`` (sum over all words of the log-probability given both sides)
-    and ``mean_log_likelihood`` (null without words).  Null and empty texts have 0 words and sum 0.  Columns of these names are replaced."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
+def score(docs: DataFrame, net: Network, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (``text`` on request) with ``n_words``, ``log_likelihood`` (sum over all words of the log-probability
+    given both sides) and ``mean_log_likelihood`` (null without words).  Null and empty texts have 0 words and sum 0.  Columns of
+    these names are replaced.
+
+    p(word | both sides) = p(bucket | both sides) * p(word | bucket).  A word seen n times in a bucket of N words has
+    p(word | bucket) = n / (N + 1); what is left, 1 / (N + 1), is that of every word not seen.  Words of at least 1 / COMMON of the
+    corpus are looked up where the text is, all others are joined with the table of words.  A network without that table
+    (not from ``fit``) has seen no words.
+    """
+    spark = docs.sparkSession
+    words = net.words if net.words is not None else spark.createDataFrame([], "h long, n long")
+    many = max(net.totals.sum() / COMMON, 1.0)
+    common = words.where(F.col("n") >= many).toPandas().sort_values("h")
+    model = spark.sparkContext.broadcast((net, common["h"].to_numpy(np.int64), np.log(common["n"].to_numpy(float))))
 
-    @F.arrow_udf("struct<n:bigint,total:double>")
+    @F.arrow_udf("struct<n:bigint,total:double,rare:array<bigint>>")
     def likelihood(texts: pa.Array) -> pa.Array:
-        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for c, tokens in _tokens(texts):
+        network, known, log_n = model.value
+        rest = np.log(network.totals + 1)
+        n, total, rare, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts)), [], np.zeros(len(texts) + 1, np.int64)
+        for c, hashes in _words(texts):
             n[c.first:c.first + c.n] = c.counts
-            if len(tokens):
-                total[c.first:c.first + c.n] = np.bincount(c.doc, weights=model.value.log_probability(tokens, _windows(tokens, c.doc)), minlength=c.n)
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(total)], names=["n", "total"])
+            if len(hashes):
+                tokens, h = _bucket(hashes), hashes.view(np.int64)
+                value = network.log_probability(tokens, _windows(tokens, c.doc)) - rest[tokens]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else np.zeros(len(h), np.int64)
+                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                value[hit] += log_n[at[hit]]
+                total[c.first:c.first + c.n] = np.bincount(c.doc, weights=value, minlength=c.n)
+                rare.append(h[~hit])
+                sizes[c.first + 1:c.first + c.n + 1] = np.bincount(c.doc[~hit], minlength=c.n)
+        flat = pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64))
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(total), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)], names=["n", "total", "rare"])
 
     new = free_name(docs, "_lm")
-    out = docs.withColumn(new, likelihood(F.col(text))).withColumn("n_words", F.col(f"{new}.n")).withColumn("log_likelihood", F.col(f"{new}.total"))
-    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop(new)
+    row, more = free_name(docs, "_lm_row"), free_name(docs, "_lm_more")
+    part = docs.withColumn(new, likelihood(F.col(text))).withColumn(row, F.monotonically_increasing_id())
+    part = land(part if keep_text else part.drop(text), "lm-scored")
+    rare = part.select(row, F.explode(F.col(f"{new}.rare")).alias("h")).groupBy(row, "h").agg(F.count(F.lit(1)).alias("k"))
+    # a word that is not in the table counts as one more of its bucket: log 1
+    seen = rare.join(words, "h").groupBy(row).agg(F.sum(F.col("k") * F.log("n")).alias(more))
+    out = part.join(seen, row, "left")
+    out = out.withColumn("n_words", F.col(f"{new}.n")).withColumn("log_likelihood", F.col(f"{new}.total") + F.coalesce(more, F.lit(0.0)))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop(new, row, more)

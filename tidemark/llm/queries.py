@@ -39,7 +39,7 @@ def op1(spark, sf_dir):
 @query("op2_pseudo_likelihood")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudolikelihood.score(docs, pseudolikelihood.fit(docs)).select("doc_id", "n_words", "log_likelihood", "mean_log_likelihood")
+    return pseudolikelihood.score(docs, pseudolikelihood.fit(docs), keep_text=False).select("doc_id", "n_words", "log_likelihood", "mean_log_likelihood")
 
 
 @query("op3_byte_shards")
