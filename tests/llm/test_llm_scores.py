@@ -1,8 +1,11 @@
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, toxicity
@@ -134,6 +137,44 @@ def test_pseudo_likelihood_prefers_order_it_has_seen(spark):
     assert good > bad + 0.3 and good > -np.log(12)  # better than guessing among twelve words
 
 
+def test_pseudo_likelihood_learns_every_word_by_default(spark, tmp_path, monkeypatch):
+    """The registered defaults learn word order, and every position is a training target once."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(600):
+        at = r.randrange(12)
+        rows.append((i, " ".join(words[(at + k) % 12] for k in range(60))))
+    docs = spark.createDataFrame([*rows, (600, None), (601, ""), (602, "w1")], "doc_id long, text string").repartition(2)
+    learn = lm.Network.learn
+
+    def noted(self, tokens, windows, rate):
+        with open(tmp_path / f"{os.getpid()}", "a") as f:
+            f.writelines(f"{t} {' '.join(map(str, w))}\n" for t, w in zip(tokens.tolist(), windows.tolist(), strict=True))
+        learn(self, tokens, windows, rate)
+    monkeypatch.setattr(lm.Network, "learn", noted)
+    cloudpickle.register_pickle_by_value(lm)  # the tasks take the noting version along
+    try:
+        net = lm.fit(docs)
+    finally:
+        cloudpickle.unregister_pickle_by_value(lm)
+    seen = Counter(line for p in tmp_path.iterdir() for line in p.read_text().splitlines())
+    want = Counter()
+    for _, text in [*rows, (602, "w1")]:
+        [(c, h)] = lm._words(pa.array([text]))
+        t = lm._bucket(h)
+        want.update(f"{a} {' '.join(map(str, w))}" for a, w in zip(t.tolist(), lm._windows(t, c.doc).tolist(), strict=True))
+    assert seen == want
+    shuffled = []
+    for i, t in rows[:40]:
+        w = t.split()
+        r.shuffle(w)
+        shuffled.append((i, " ".join(w)))
+    mean = lambda rows: lm.score(spark.createDataFrame(rows, "doc_id long, text string"), net).agg(F.avg("mean_log_likelihood")).first()[0]
+    good, bad = mean(rows[:40]), mean(shuffled)
+    assert good > bad + 0.3 and good > -np.log(12)
+
+
 def test_pseudo_likelihood_sums_to_one_and_matches_a_loop(spark):
     r = np.random.default_rng(4)
     net = lm.Network(r.integers(1, 50, lm.VOCABULARY).astype(float), width=4)

@@ -94,6 +94,13 @@ class Network:
         x -= np.log(np.exp(x).sum(1, keepdims=True))
         return x
 
+    @staticmethod
+    def _softmax(x):
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        return x
+
     def log_probability(self, tokens, windows):
         """Log-probability of each word given its neighbours."""
         out = np.empty(len(tokens))
@@ -114,32 +121,39 @@ class Network:
 
     def learn(self, tokens, windows, rate):
         """One step of gradient ascent on a batch of masked words; every part's step is scaled by its own squared gradients."""
-        x = self.e[windows]                                   # n, 2R, d
-        h = np.tanh(np.einsum("nkd,kde->ne", x, self.mixing, optimize=True))
+        order = np.argsort(tokens >> CODE, kind="stable")
+        tokens, windows = tokens[order], windows[order]       # the words of a class lie together
+        n, width = len(tokens), self.e.shape[1]
+        x = self.e[windows].reshape(n, -1)                    # n, 2R * d
+        h = np.tanh(x @ self.mixing.reshape(-1, width))
         kind, member = tokens >> CODE, tokens & (CLASSES - 1)
-        n = len(tokens)
-        top = -np.exp(self._log_softmax(h @ self.u + self.ub))
+        top = -self._softmax(h @ self.u + self.ub)
         top[np.arange(n), kind] += 1
         dh = top @ self.u.T
+        cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        classes = [(k, cut[k], cut[k + 1]) for k in range(CLASSES) if cut[k] < cut[k + 1]]
+        low = self.vb[kind]
+        for k, i, j in classes:
+            low[i:j] += h[i:j] @ self.v[k]
+        low = -self._softmax(low)
+        low[np.arange(n), member] += 1
         gv, gvb = np.zeros_like(self.v), np.zeros_like(self.vb)
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cut[k]:cut[k + 1]]
-            if len(at):
-                low = -np.exp(self._log_softmax(h[at] @ self.v[k] + self.vb[k]))
-                low[np.arange(len(at)), member[at]] += 1
-                gv[k], gvb[k] = h[at].T @ low, low.sum(0)
-                dh[at] += low @ self.v[k].T
+        for k, i, j in classes:
+            gv[k], gvb[k] = h[i:j].T @ low[i:j], low[i:j].sum(0)
+            dh[i:j] += low[i:j] @ self.v[k].T
         da = dh * (1 - h * h)
-        gm = np.einsum("nkd,ne->kde", x, da, optimize=True)
-        ge = np.zeros_like(self.e)
-        for k in range(2 * REACH):
-            np.add.at(ge, windows[:, k], da @ self.mixing[k].T)
-        for part, g in (("e", ge), ("mixing", gm), ("u", h.T @ top), ("ub", top.sum(0)), ("v", gv), ("vb", gvb)):
-            seen = self.seen.setdefault(part, np.zeros_like(g))
-            seen += g * g
-            getattr(self, part)[...] += rate * g / (np.sqrt(seen) + 1e-3)
+        gm = (x.T @ da).reshape(self.mixing.shape)
+        # rows of e that no window shows have no gradient and stay as they are
+        flat = windows.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        shown, first = np.unique(flat[order], return_index=True)
+        ge = np.add.reduceat((da @ self.mixing.reshape(-1, width).T).reshape(-1, width)[order], first)
+        for part, at, g in (("e", shown, ge), ("mixing", ..., gm), ("u", ..., h.T @ top), ("ub", ..., top.sum(0)), ("v", ..., gv), ("vb", ..., gvb)):
+            if part not in self.seen:
+                self.seen[part] = np.zeros_like(getattr(self, part))
+            seen = self.seen[part][at] + g * g
+            self.seen[part][at] = seen
+            getattr(self, part)[at] += np.float32(rate) * g / (np.sqrt(seen) + np.float32(1e-3))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,13 +179,15 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return _bucket_counts(word_counts(docs, text))
 
 
-def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, rate: float = 0.08, seed: int = 3, batch_words: int = 2048) -> Network:
-    """Train over all texts.  Each round every partition trains its own copy from the shared start on its texts, and the
-    copies are averaged, weighted by the words they saw.
+def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int | None = None, rate: float = 0.08, seed: int = 3, batch_words: int = 2048) -> Network:
+    """Train on every word of all texts.  Each round every partition trains its own copy from the shared network on its texts,
+    and the copies are averaged, weighted by the words they saw; the average is what the next round starts from.
 
-    As in masked training, a pass masks and predicts one word in ``masked`` (chosen by a hash of its place and neighbours),
-    while the neighbours shown cover every text; counts, rows and steps all grow with the table.  The average is summed by
-    Spark in slices of the parameters, so the driver receives one network whatever the number of partitions.
+    Words fall into ``masked`` classes by a hash of their place and bucket; a round masks and predicts those of one class, in
+    turn, and sees all others as neighbours.  There are as many rounds as classes unless ``rounds`` says otherwise, so every word
+    is predicted once.  Buckets are written once, two bytes a word, and read by every round.  The average is summed by
+    Spark in slices of the parameters, so the driver receives one network whatever the number of partitions.  A copy is a
+    partition's: how the table is split decides which words share one between two averages.
     """
     words_table = land(word_counts(docs, text), "lm-words")
     counts = _bucket_counts(words_table)
@@ -179,18 +195,29 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, r
     net.words = words_table
     spark = docs.sparkSession
     slice_of = 4096
-    for turn in range(rounds):
+
+    def coded(batches):
+        for batch in batches:
+            for c, hashes in _words(batch.column(0)):
+                if len(hashes):
+                    # an EDGE before every text with words
+                    tokens = np.insert(_bucket(hashes), c.word_offsets[:-1][c.counts > 0], EDGE).astype(np.uint16)
+                    yield pa.RecordBatch.from_pydict({"tokens": pa.array([tokens.tobytes()], pa.binary())})
+
+    texts = land(docs.select(text).mapInArrow(coded, "tokens binary"), "lm-tokens")
+    for turn in range(masked if rounds is None else rounds):
         start = spark.sparkContext.broadcast(net.flat())
 
         def train(batches, turn=turn, start=start):
             mine, words = Network(counts).load(start.value), 0
             rest_t, rest_w = [], []
             for batch in batches:
-                for c, hashes in _words(batch.column(0)):
-                    tokens = _bucket(hashes)
-                    w = _windows(tokens, c.doc)
-                    pick = mix(np.arange(len(tokens), dtype=np.uint64) * np.uint64(31) + tokens.astype(np.uint64) + np.uint64(turn)) % np.uint64(masked) == 0
-                    t, w = tokens[pick], w[pick]
+                for coded_text in batch.column(0):
+                    tokens = np.frombuffer(coded_text.as_py(), np.uint16).astype(np.int64)
+                    doc, inside = np.cumsum(tokens == EDGE), tokens != EDGE
+                    tokens, doc = tokens[inside], doc[inside]
+                    pick = mix(np.arange(len(tokens), dtype=np.uint64) * np.uint64(31) + tokens.astype(np.uint64)) % np.uint64(masked) == turn % masked
+                    t, w = tokens[pick], _windows(tokens, doc)[pick]
                     words += len(t)
                     rest_t, rest_w = np.concatenate([*rest_t, t]) if len(rest_t) else t, np.concatenate([*rest_w, w]) if len(rest_w) else w
                     whole = len(rest_t) // batch_words * batch_words
@@ -216,7 +243,7 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int = 1, r
                                               "w": pa.array([(sums[p] / words[p]).astype(np.float32) for p in sums], pa.list_(pa.float32()))})
 
         schema = "part int, words double, w array<float>"
-        copies = docs.select(text).mapInArrow(train, schema)
+        copies = texts.mapInArrow(train, schema)
         # sums of neighbouring copies first, then all: no task reads a slice from every partition
         some = copies.repartition(F.col("part"), F.pmod(F.hash(F.element_at("w", 1), "words"), F.lit(16))).mapInArrow(average, schema)
         whole = land(some.repartition("part").mapInArrow(average, schema), "lm-network").toPandas().sort_values("part")
