@@ -1,6 +1,6 @@
-"""Personal data: fixed patterns with positions, and terms near them that give a protected entity away."""
+"""Personal data: fixed patterns with positions, and terms that give a protected entity away."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import land
@@ -14,7 +14,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LETTERS = r"\p{L}+"
+BETWEEN = r"[^\p{L}]+"
+BORDERS = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
+COMMON = 1 << 18    # terms with at least this part of all words, at most so many, are sent to every task
 
 
 def found(text, pattern: str):
@@ -77,18 +79,8 @@ def base_spans(text):
     return out
 
 
-def _near(text, spans, width: int, words: int):
-    """Up to ``words`` whole words on either side of each span, within ``width`` characters: array<struct<s, e, term>>."""
-    def one(x):
-        left_at = F.greatest(x["s"] - width, F.lit(0))
-        left, right = F.substring(text, left_at + 1, x["s"] - left_at), F.substring(text, x["e"] + 1, F.lit(width))
-        whole_left = F.filter(F.coalesce(found(left, LETTERS), F.array()), lambda w: (w["s"] > 0) | (left_at == 0))
-        whole_right = F.filter(F.coalesce(found(right, LETTERS), F.array()), lambda w: w["e"] < width)
-        n = F.size(whole_left)
-        nearest = F.slice(whole_left, F.greatest(n - words + 1, F.lit(1)), words)
-        moved = lambda ws, by: F.transform(ws, lambda w: F.struct((w["s"] + by).alias("s"), (w["e"] + by).alias("e"), F.lower(w["m"]).alias("term")))
-        return F.concat(moved(nearest, left_at), moved(F.slice(whole_right, 1, words), x["e"]))
-    return F.flatten(F.transform(spans, one))
+def _disclosure(share, p_kind):
+    return F.log(share / p_kind) / -F.log(p_kind)
 
 
 def term_disclosure(near: DataFrame, docs: DataFrame, text: str, support: int) -> DataFrame:
@@ -108,41 +100,70 @@ def term_disclosure(near: DataFrame, docs: DataFrame, text: str, support: int) -
     rated = counted.join(F.broadcast(per_kind), "kind").withColumn("words", total.scalar())
     p_kind = F.col("kind_words") / F.col("words")
     share = F.least(F.col("n_near") / F.col("n_all"), F.lit(1.0))
-    return rated.select("term", "kind", "n_near", "n_all", (F.log(share / p_kind) / -F.log(p_kind)).alias("disclosure"))
+    return rated.select("term", "kind", "n_near", "n_all", _disclosure(share, p_kind).alias("disclosure"))
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, support: int = 5, width: int = 48, words: int = 3,
+def document_terms(words: DataFrame, pseudo: float) -> DataFrame:
+    """Every term with the kind it discloses most: term, n_all, kind, disclosure (both null where it stands with no kind).
+
+    ``words`` has a row per word: ``term``, and per kind whether its text has a span of the kind.  Counts are words of the whole
+    table: p(kind) is the share of all words, p(kind | term) that of the term's, whose text has the kind; ``disclosure`` is as in
+    ``term_disclosure``.  p(kind | term) is estimated as (n_kind + pseudo * p(kind)) / (n_all + pseudo): a term seen once or
+    twice counts, by less than one seen often.  A kind that every text has is disclosed by none.
+    """
+    seen = [F.count_if(F.col(f"has_{k}")).alias(f"n_{k}") for k in KINDS]
+    counted = land(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_all"), *seen), "pii-terms")
+    total = counted.agg(F.sum("n_all").alias("words"), *[F.sum(f"n_{k}").alias(k) for k in KINDS]).first()
+    rates = {k: total[k] / total["words"] for k in KINDS if total[k] and total[k] < total["words"]}
+    share = lambda k: (F.col(f"n_{k}") + F.lit(pseudo * rates[k])) / (F.col("n_all") + F.lit(pseudo))
+    rated = [F.when(F.col(f"n_{k}") > 0, F.struct(_disclosure(share(k), F.lit(rates[k])).alias("disclosure"), F.lit(k).alias("kind"))) for k in rates]
+    best = F.array_max(F.array(*rated, F.lit(None).cast("struct<disclosure:double,kind:string>")))
+    return counted.select("term", "n_all", best.alias("best")).select("term", "n_all", "best.kind", "best.disclosure")
+
+
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, pseudo: float = 1.0, everywhere: bool = False,
                   keep_text: bool = False) -> DataFrame:
     """Spans of personal data and of the terms that disclose it, per row: key, ``email``, ``ip``, ``card``, ``phone``
     (array<struct<s, e, m>>) and ``terms`` (array<struct<s, e, term, kind, action>>, by start); ``text`` on request.
 
-    Terms are words next to a base span.  Those whose disclosure (see ``term_disclosure``) of that kind reaches
-    ``remove`` are to be removed, those that reach ``generalise`` to be replaced by the name of the kind.  Texts without
-    a base span have no terms.  All counts cover the whole table.
+    Every word of a text that has a base span is rated, wherever in the text it stands (see ``document_terms``).  Terms whose
+    disclosure of a kind reaches ``remove`` are to be removed, those that reach ``generalise`` to be replaced by the name of the
+    kind: all their occurrences outside base spans, with ``everywhere`` in all texts, else in those with a base span.  All
+    counts cover the whole table.
 
-    A null text is empty; empty texts have no spans.  A word next to two spans is reported once, with the stronger action.
-    Repeated rows are treated row by row; null keys are kept.  An empty table gives no rows.
+    A null text is empty; empty texts have no spans.  A term that discloses several kinds is reported with the one it discloses
+    most.  Words are runs of letters, compared in lower case.  Repeated rows are treated row by row; null keys are kept.  An
+    empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     raw = docs.select(F.col(key).alias("_key"), body.alias("_text"), *[c.alias(k) for k, c in base_spans(body).items()])
-    every = F.concat(*[F.col(k) for k in KINDS])
-    clear = lambda w: ~F.exists(every, lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"]))
-    tag = lambda k: F.transform(F.filter(_near(F.col("_text"), F.col(k), width, words), clear), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["term"].alias("term"), F.lit(k).alias("kind")))
-    tagged = [tag(k) for k in KINDS]
-    empty = F.expr("cast(array() as array<struct<s:int,e:int,term:string,kind:string>>)")
-    marked = raw.withColumn("near", F.when(F.size(every) > 0, F.array_distinct(F.concat(*tagged))).otherwise(empty))
-    marked = land((marked if keep_text else marked.drop("_text")).withColumn("_row", F.monotonically_increasing_id()), "pii-spans")
-
-    near = marked.select("_row", F.explode("near").alias("w")).select("_row", "w.*")
-    level = term_disclosure(near, docs, text, support).where(F.col("disclosure") >= generalise)
+    marked = land(raw.withColumn("_row", F.monotonically_increasing_id()), "pii-spans")
+
+    # of the base spans, only addresses hold letters
+    outside = F.when(F.contains("_text", F.lit("@")), F.regexp_replace("_text", PATTERNS["email"], " ")).otherwise(F.col("_text"))
+    words = marked.select("_row", *[(F.size(k) > 0).alias(f"has_{k}") for k in KINDS], F.explode(F.split(outside, BETWEEN)).alias("form")).where("form <> ''")
+    words = words.withColumn("term", F.lower("form"))
+    rated = land(document_terms(words, pseudo), "pii-rated")
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
-    hits = near.join(level, ["term", "kind"]).select("_row", "s", F.struct("disclosure", "e", "term", "kind", action.alias("action")).alias("best"))
-    one = hits.groupBy("_row", "s").agg(F.max("best").alias("b"))
-    terms = one.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "b.e", "b.term", "b.kind", "b.action"))).alias("terms"))
+    level = rated.where(F.col("disclosure") >= generalise).select("term", "kind", action.alias("action"))
+
+    looked_at = words if everywhere else words.where(" OR ".join(f"has_{k}" for k in KINDS))
+    many = (rated.agg(F.sum("n_all")).first()[0] or 0) / COMMON
+    plain = rated.where((F.col("n_all") >= many) & ~F.coalesce(F.col("disclosure") >= generalise, F.lit(False))).select("term")
+    rest = looked_at.select("_row", "form", "term").join(F.broadcast(plain), "term", "left_anti")
+    hits = land(rest.join(level, "term").select("_row", "form", "term", "kind", "action").distinct(), "pii-hits")
+
+    # positions in the texts that have such a term: the lengths of all pieces before
+    with_hits = marked.join(hits.select("_row").distinct(), "_row", "left_semi")
+    pieces = with_hits.select("_row", F.posexplode(F.split("_text", BORDERS)).alias("i", "form"))
+    placed = pieces.withColumn("e", F.sum(F.length("form")).over(Window.partitionBy("_row").orderBy("i")).cast("int"))
+    terms = placed.join(hits, ["_row", "form"]).select("_row", F.struct((F.col("e") - F.length("form")).alias("s"), "e", "term", "kind", "action").alias("w"))
+    terms = terms.groupBy("_row").agg(F.array_sort(F.collect_list("w")).alias("all_terms"))
     out = marked.join(terms, "_row", "left")
     none = F.expr("cast(array() as array<struct<s:int,e:int,term:string,kind:string,action:string>>)")
+    clear = F.filter("all_terms", lambda w: ~F.exists("email", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
     kept = [F.col("_text").alias("text")] if keep_text else []
-    return out.select(F.col("_key").alias(key), *KINDS, F.coalesce("terms", none).alias("terms"), *kept)
+    return out.select(F.col("_key").alias(key), *KINDS, F.coalesce(clear, none).alias("terms"), *kept)
 
 
 def span_list(kinds=(*KINDS, "term")):

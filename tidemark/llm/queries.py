@@ -63,7 +63,7 @@ def op4(spark, sf_dir):
 
 @query("op5_disclosing_terms")
 def op5(spark, sf_dir):
-    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    found = pii.personal_data(table(spark, sf_dir, "documents"), everywhere=True)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(F.encode(pii.span_list(pii.KINDS), "UTF-8"), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.span_list().alias("spans"))
