@@ -89,6 +89,23 @@ def test_terms_of_the_whole_table(spark, contacts):
     assert not found[701]["terms"] and all(not found[100 + i]["terms"] for i in range(200))
 
 
+def test_seldom_terms_are_rated(spark, contacts):
+    """One to four sightings, each with an address, are enough; the estimate is the stated one."""
+    import math
+    docs = contacts.unionByName(spark.createDataFrame([(800, "please write to Quorl a@b.org soon"), *[(801 + i, "please write to Vexim c@d.org soon") for i in range(4)]], "doc_id long, text string"))
+    terms = {t["term"]: t for r in pii.personal_data(docs).collect() for t in r["terms"]}
+    assert terms["quorl"]["kind"] == terms["vexim"]["kind"] == "email" and terms["quorl"]["action"] == "generalise"
+    rows = docs.collect()
+    words = lambda r: re.findall("[a-z]+", re.sub(r"\S+@\S+", " ", r["text"].lower()))
+    p = sum(len(words(r)) for r in rows if "@" in r["text"]) / sum(len(words(r)) for r in rows)
+    flat = spark.createDataFrame([(w, "@" in r["text"]) for r in rows for w in words(r)], "term string, has_email boolean")
+    for k in ("ip", "card", "phone"):
+        flat = flat.withColumn(f"has_{k}", F.lit(False))
+    got = {r["term"]: r["disclosure"] for r in pii.document_terms(flat, 1.0).collect()}
+    for term, n in (("quorl", 1), ("vexim", 4)):
+        assert math.isclose(got[term], math.log((n + p) / (n + 1) / p) / -math.log(p))
+
+
 def test_odd_rows(spark, edge_docs, no_docs):
     got = pii.personal_data(edge_docs)
     assert got.count() == 9 and all(not r["email"] and not r["terms"] for r in got.collect())
