@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from tidemark.llm.scratch import free_name, scratch_path
+from tidemark.llm.scratch import free_name, land, scratch_path
 
 TOXIC = 0.3     # documents scored at or above this are rejected
 SHARDS = 24
@@ -18,11 +18,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity of 0.8 or more): the one with the smallest id.  Documents
-    without words are no copies of each other and stay; so do rows with a null id.  Repeated ids are one document."""
-    groups = ngram_join.jaccard_components(docs, n=5, num=80, den=100)
-    gone = groups.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies (five words, similarity of 0.8 or more): the one with the smallest id, of those the one
+    with the smallest hash of its text.  Rows count one by one, whatever their ids: repeated ids are rows of their own, null ids
+    come after all others.  Documents without words are no copies of each other and stay."""
+    row = free_name(docs, "_row")
+    landed = land(docs.withColumn(row, F.monotonically_increasing_id()), "copies-rows")
+    groups = ngram_join.jaccard_components(landed, key=row, n=5, num=80, den=100).select(row, "component_id")
+    order = landed.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row).alias("place"))
+    kept = groups.join(order, row).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col(f"place.{row}").alias(row))
+    return landed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,13 @@ def test_stages_take_odd_rows(spark, edge_docs, tmp_path):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() == (0 if df.isEmpty() else docs.count())
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Ids that repeat with different texts lose only the copies; copies under one id or a null id leave one."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(1) + " end"), (2, text(2)), (2, text(3)), (3, text(4)), (3, text(4)), (3, text(4) + " end"), (None, text(5)), (None, text(5)), (None, text(1)), (None, text(6)), (4, ""), (4, None), (None, " ")]
+    out = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    got = [(r["doc_id"], (r["text"] or "").replace(" end", "")) for r in out.collect()]
+    want = [(1, text(1)), (2, text(2)), (2, text(3)), (3, text(4)), (None, text(5)), (None, text(6)), (4, ""), (4, ""), (None, " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
