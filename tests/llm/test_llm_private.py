@@ -83,7 +83,8 @@ def test_terms_of_the_whole_table(spark, contacts):
     far = "Xénia lives by the river and people walk there all the summer long to see it and write to a@b.org"
     rows = spark.createDataFrame([(600 + i, far) for i in range(20)] + [(700, "the \U0001f600 XÉNIA, or xénia1Xénia"), (701, "river people")], "doc_id long, text string")
     docs = contacts.unionByName(rows)
-    found = {r["doc_id"]: r for r in pii.personal_data(docs, keep_text=True, everywhere=True).collect()}
+    found, shuffled = ({r["doc_id"]: r for r in pii.personal_data(docs, keep_text=True, everywhere=True, broadcast_rows=n).collect()} for n in (500_000, 0))
+    assert found == shuffled
     at = lambda i, term: [found[i]["text"][t["s"]:t["e"]] for t in found[i]["terms"] if t["term"] == term]
     assert at(600, "xénia") == ["Xénia"] and at(700, "xénia") == ["XÉNIA", "xénia", "Xénia"] and at(500, "telefax") == ["telefax"]
     assert not found[701]["terms"] and all(not found[100 + i]["terms"] for i in range(200))

@@ -122,7 +122,7 @@ def document_terms(words: DataFrame, pseudo: float) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, pseudo: float = 1.0, everywhere: bool = False,
-                  keep_text: bool = False) -> DataFrame:
+                  keep_text: bool = False, broadcast_rows: int = 500_000) -> DataFrame:
     """Spans of personal data and of the terms that disclose it, per row: key, ``email``, ``ip``, ``card``, ``phone``
     (array<struct<s, e, m>>) and ``terms`` (array<struct<s, e, term, kind, action>>, by start); ``text`` on request.
 
@@ -132,7 +132,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", gene
     counts cover the whole table.
 
     A null text is empty; empty texts have no spans.  A term that discloses several kinds is reported with the one it discloses
-    most.  Words are runs of letters, compared in lower case.  Repeated rows are treated row by row; null keys are kept.  An
+    most.  Words are runs of letters, compared in lower case.  Up to ``broadcast_rows`` disclosing terms are sent to every task,
+    more are joined by a shuffle, with the same result.  Repeated rows are treated row by row; null keys are kept.  An
     empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -141,23 +142,27 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", gene
 
     # of the base spans, only addresses hold letters
     outside = F.when(F.contains("_text", F.lit("@")), F.regexp_replace("_text", PATTERNS["email"], " ")).otherwise(F.col("_text"))
-    words = marked.select("_row", *[(F.size(k) > 0).alias(f"has_{k}") for k in KINDS], F.explode(F.split(outside, BETWEEN)).alias("form")).where("form <> ''")
-    words = words.withColumn("term", F.lower("form"))
+    words = marked.select("_row", *[(F.size(k) > 0).alias(f"has_{k}") for k in KINDS], F.explode(F.split(outside, BETWEEN)).alias("form"))
+    words = words.where("form <> ''").withColumn("term", F.lower("form"))
     rated = land(document_terms(words, pseudo), "pii-rated")
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     level = rated.where(F.col("disclosure") >= generalise).select("term", "kind", action.alias("action"))
 
     looked_at = words if everywhere else words.where(" OR ".join(f"has_{k}" for k in KINDS))
-    many = (rated.agg(F.sum("n_all")).first()[0] or 0) / COMMON
-    plain = rated.where((F.col("n_all") >= many) & ~F.coalesce(F.col("disclosure") >= generalise, F.lit(False))).select("term")
-    rest = looked_at.select("_row", "form", "term").join(F.broadcast(plain), "term", "left_anti")
-    hits = land(rest.join(level, "term").select("_row", "form", "term", "kind", "action").distinct(), "pii-hits")
+    looked_at = looked_at.select("_row", "term")
+    if level.count() <= broadcast_rows:
+        level = F.broadcast(level)
+    else:  # only what may be such a term is moved
+        many = rated.agg(F.sum("n_all")).first()[0] / COMMON
+        plain = rated.where((F.col("n_all") >= many) & ~F.coalesce(F.col("disclosure") >= generalise, F.lit(False))).select("term")
+        looked_at = looked_at.join(F.broadcast(plain), "term", "left_anti")
+    hits = land(looked_at.join(level, "term").select("_row", "term", "kind", "action").distinct(), "pii-hits")
 
     # positions in the texts that have such a term: the lengths of all pieces before
     with_hits = marked.join(hits.select("_row").distinct(), "_row", "left_semi")
     pieces = with_hits.select("_row", F.posexplode(F.split("_text", BORDERS)).alias("i", "form"))
     placed = pieces.withColumn("e", F.sum(F.length("form")).over(Window.partitionBy("_row").orderBy("i")).cast("int"))
-    terms = placed.join(hits, ["_row", "form"]).select("_row", F.struct((F.col("e") - F.length("form")).alias("s"), "e", "term", "kind", "action").alias("w"))
+    terms = placed.withColumn("term", F.lower("form")).join(hits, ["_row", "term"]).select("_row", F.struct((F.col("e") - F.length("form")).alias("s"), "e", "term", "kind", "action").alias("w"))
     terms = terms.groupBy("_row").agg(F.array_sort(F.collect_list("w")).alias("all_terms"))
     out = marked.join(terms, "_row", "left")
     none = F.expr("cast(array() as array<struct<s:int,e:int,term:string,kind:string,action:string>>)")
