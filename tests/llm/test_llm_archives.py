@@ -4,6 +4,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tidemark.llm import warc
 from tidemark.llm.scratch import scratch_path
@@ -90,3 +91,14 @@ def test_broken_archives_are_told():
     flipped[len(whole) // 2] ^= 0xFF
     assert list(warc.read_archive(bytes(flipped)))[-1][2] is not None
     assert list(warc.read_archive(b"")) == []
+
+
+def test_lost_records_do_not_pass(spark):
+    """A record with a problem, or one record too few, fails; a sound archive passes whole."""
+    df = spark.createDataFrame(pages(20), SCHEMA)
+    records = warc.archived(df)
+    assert warc.all_sound(records, df.count()).count() == df.count() and "problem" not in warc.all_sound(records, df.count()).columns
+    with pytest.raises(warc.BadArchive):
+        warc.all_sound(records.where("page_id IS NULL OR page_id <> 3"), df.count())
+    with pytest.raises(Exception, match="broken archive"):
+        warc.all_sound(records.withColumn("problem", F.when(F.col("page_id") == 3, "cut off")), df.count())

@@ -81,7 +81,8 @@ def op7(spark, sf_dir):
 
 @query("op8_warc_zstd")
 def op8(spark, sf_dir):
-    records = warc.archived(table(spark, sf_dir, "pages")).where("problem IS NULL")
+    pages = table(spark, sf_dir, "pages")
+    records = warc.all_sound(warc.archived(pages), pages.count())
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -265,3 +265,13 @@ def archived(pages: DataFrame, **options) -> DataFrame:
     write_archives(pages, path, **options)
     name_archives(spark, path)
     return read_archives(spark, path)
+
+
+def all_sound(records: DataFrame, pages: int) -> DataFrame:
+    """``records`` without ``problem``, written once; fails where one has a problem, or where there are not as many as ``pages``."""
+    said = F.raise_error(F.concat_ws(" ", F.lit("broken archive:"), "file", F.lit("at"), "at", F.lit("-"), "problem")).cast("boolean")
+    out = land(records.where(F.when(F.col("problem").isNotNull(), said).otherwise(True)).drop("problem"), "warc-records")
+    found = out.count()
+    if found != pages:
+        raise BadArchive(f"{found} records of {pages} pages")
+    return out
