@@ -496,6 +496,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     3. Families hold every link.  They are compared in blocks of at most BLOCK sets: each block with itself, then blocks with each
        other for the sets not yet in the family's main component.  A cell returns a spanning forest, so rows stay linear.
 
+    Only components are given: neither the linked pairs nor the links of a row, since pairs within a component that is already
+    known are not verified.
+
     Texts that have no words, or are null, have an empty set and link with nothing, not with each other.  Rows with equal sets
     link.  A null key takes part and never names a component unless all keys there are null.  Repeated keys are rows of their
     own.  Other columns are ignored.  An empty table gives no rows.  Sets are compared by 64-bit hashes of their shingles.
