@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, langid, mixing, ngram_join, pii, pseudolikelihood, sharding, toxicity, warc
+from . import covertree, decontaminate, langid, mixing, ngram_join, pii, pseudolikelihood, sharding, toxicity, warc, whitening
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -98,3 +98,8 @@ def op9(spark, sf_dir):
 @query("op10_ngram_jaccard")
 def op10(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query("op13_qdwh_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
