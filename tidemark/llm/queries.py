@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, langid, mixing, ngram_join, pii, pseudolikelihood, sharding, toxicity, warc, whitening
+from . import covertree, decontaminate, langid, linkgraph, mixing, ngram_join, pii, pseudolikelihood, sharding, toxicity, warc, whitening
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -103,3 +103,43 @@ def op10(spark, sf_dir):
 @query("op13_qdwh_whitening")
 def op13(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def _url_sql() -> str:
+    """The judgement of URLs as SQL: the rounds are written out one below the other, in the same whole numbers."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    last = "array_to_string(string_split(host, '.')[-{}:], '.')"
+    link = linkgraph.LINK.replace("'", "''")
+    steps = " UNION ".join(f"SELECT CASE WHEN labels > {j + 1} AND {j} < 8 THEN {last.format(j + 1)} ELSE host END AS a, {last.format(j)} AS b FROM named WHERE labels > {j}" for j in range(2, 9))
+    rounds = "".join(f"""
+r{i} AS MATERIALIZED (SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
+  SELECT f.kind, f.dst AS host, CAST(floor(r.mass * f.share) AS BIGINT) AS mass FROM flow f JOIN r{i - 1} r ON f.kind = r.kind AND f.src = r.host
+  UNION ALL SELECT kind, host, CAST(floor(mass * (1::DOUBLE - {linkgraph.DAMPING}::DOUBLE)) AS BIGINT) FROM r0) GROUP BY kind, host),""" for i in range(1, linkgraph.ROUNDS + 1))
+    return f"""
+WITH parts AS MATERIALIZED (SELECT page_id, html, {lower.format(f"regexp_extract(coalesce(url, ''), '{linkgraph.URL}', 1)")} AS host, regexp_extract(coalesce(url, ''), '{linkgraph.URL}', 2) AS path FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+keys AS MATERIALIZED (SELECT DISTINCT host, path FROM parts),
+fits AS MATERIALIZED (SELECT host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(rule_verdict ORDER BY length(rule_host || rule_path) DESC) AS verdict
+  FROM keys JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path),
+seeds AS MATERIALIZED (SELECT host, CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS n FROM parts JOIN fits USING (host, path) WHERE host <> '' GROUP BY ALL),
+links AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: {lower.format("x")}))) AS dst FROM parts) WHERE src <> '' AND src <> dst GROUP BY src, dst),
+named AS MATERIALIZED (SELECT host, len(string_split(host, '.')) AS labels FROM (SELECT host FROM keys UNION SELECT src FROM links UNION SELECT dst FROM links) WHERE NOT regexp_matches(host, '{linkgraph.NUMERIC}')),
+pairs AS MATERIALIZED ({steps}),
+every AS (SELECT * FROM links UNION ALL SELECT a, b, 1 FROM pairs UNION ALL SELECT b, a, 1 FROM pairs),
+weights AS (SELECT kind, src, dst, sum(w) AS w FROM (SELECT 'trust' AS kind, src, dst, w FROM every UNION ALL SELECT 'distrust', dst, src, w FROM every) GROUP BY kind, src, dst),
+flow AS MATERIALIZED (SELECT kind, src, dst, {linkgraph.DAMPING}::DOUBLE * (w::DOUBLE / sum(w) OVER (PARTITION BY kind, src)::DOUBLE) AS share FROM weights),
+r0 AS MATERIALIZED (SELECT kind, host, CAST(floor({linkgraph.UNIT}::DOUBLE * (n::DOUBLE / sum(n) OVER (PARTITION BY kind)::DOUBLE)) AS BIGINT) AS mass FROM seeds),{rounds}
+shares AS (SELECT host, sum(CASE kind WHEN 'trust' THEN p ELSE 0 END) AS t, sum(CASE kind WHEN 'distrust' THEN p ELSE 0 END) AS s
+  FROM (SELECT host, kind, mass::DOUBLE / sum(mass) OVER (PARTITION BY kind)::DOUBLE AS p FROM r{linkgraph.ROUNDS}) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN s / (s + t) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (host, path) LEFT JOIN shares USING (host)"""
+
+
+@query("op11_link_graph", _url_sql())
+def op11(spark, sf_dir):
+    judged = linkgraph.judged_urls(table(spark, sf_dir, "pages"), linkgraph.rule_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
