@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, langid, linkgraph, mixing, ngram_join, pii, pseudolikelihood, sharding, toxicity, warc, whitening
+from . import covertree, decontaminate, langid, linkgraph, mixing, ngram_join, pii, pseudolikelihood, sharding, spelling, toxicity, warc, whitening
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -100,6 +100,37 @@ def op10(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def _spelling_sql() -> str:
+    """Spelling variants as SQL: the checksum byte by byte over a table made by its rule, near words by what one deletion leaves."""
+    byte = list(range(256))
+    for _ in range(8):
+        byte = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in byte]
+    digit = "instr('0123456789ABCDEF', substr(hx, {}, 1)) - 1"
+    left_out = "left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2)"
+    return f"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) WHERE length(r) >= 5 GROUP BY ALL),
+coded AS (SELECT run, c, hex(CAST(doc_id AS VARCHAR) || ':' || run) AS hx FROM runs),
+summed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx), 2), lambda i: CAST(16 * ({digit.format("i")}) + {digit.format("i + 1")} AS BIGINT))),
+  lambda a, b: xor(a >> 8, CAST(list_extract({byte}, (xor(a, b) & 255) + 1) AS BIGINT))), 4294967295::BIGINT) AS h FROM coded),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM summed),
+known AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, {left_out} AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM known)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN known b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN known b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS best, max(other_n) AS best_n FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT k.word, CASE WHEN best_n >= 2 * n THEN best END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM known k LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+
+@query("op12_spelling_trie", _spelling_sql())
+def op12(spark, sf_dir):
+    return spelling.spelling_variants(spelling.letter_runs(table(spark, sf_dir, "documents")))
+
+
 @query("op13_qdwh_whitening")
 def op13(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
