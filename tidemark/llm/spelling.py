@@ -13,6 +13,7 @@ GROUPS = 32             # a letter belongs to the group code point modulo 32
 LEVELS = 4              # of the trie that deal words to tasks
 FULL = 255              # counts beyond share a branch of these levels
 LEAF = 8                # words that are compared without going deeper
+PAIRS = 4096            # or so many pairs of words and askers
 COMPARED = 1 << 22      # letters and counts that are compared at once
 DATA_LETTERS = 400_000  # in the words of one trie
 QUERY_LETTERS = 2_000_000
@@ -20,14 +21,14 @@ QUERY_LETTERS = 2_000_000
 
 def _letters(words: list[str], length: int) -> np.ndarray:
     """Code points of words of one length."""
-    return np.array(words, dtype=f"U{max(1, length)}").view(np.uint32).reshape(len(words), -1)[:, :length].astype(np.int64)
+    return np.array(words, dtype=f"U{max(1, length)}").view(np.uint32).reshape(len(words), -1)[:, :length]
 
 
 def _counts(words: list[str]) -> np.ndarray:
     """How often each letter group stands in each word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.bincount(np.repeat(np.arange(len(words)), lengths) * GROUPS + codes % GROUPS, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
+    return np.bincount(np.repeat(np.arange(len(words)), lengths) * GROUPS + codes % GROUPS, minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
 def _moves(levels: int) -> list[tuple[int, np.ndarray]]:
@@ -81,13 +82,13 @@ class CountTrie:
 
     def _descend(self, level: int, a: int, b: int, who: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
         """Depth first, all askers of a node together: a branch that has one more or one less of a group spends the budget of one each."""
-        if b - a <= LEAF or level == GROUPS:
+        if b - a <= LEAF or (b - a) * len(who) <= PAIRS or level == GROUPS:
             self._verify(level, a, b, who, surplus, deficit)
             return
         column = self.counts[a:b, level]
-        starts = a + np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+        cuts = (a + 1 + np.flatnonzero(column[1:] != column[:-1])).tolist()
         own = self.asked[who, level]
-        for start, end in zip(starts, [*starts[1:], b], strict=True):
+        for start, end in zip([a, *cuts], [*cuts, b], strict=True):
             more = self.counts[start, level] - own
             go = (more == 0) | ((more == 1) & surplus) | ((more == -1) & deficit)
             if go.any():
@@ -101,8 +102,9 @@ class CountTrie:
             few = who[at:at + step]
             left, right = np.repeat(few, b - a), np.tile(np.arange(a, b), len(few))
             if level < GROUPS:
-                more = self.counts[right, level:] - self.asked[left, level:]
-                fits = (np.maximum(more, 0).sum(1) <= np.repeat(surplus[at:at + step], b - a)) & (np.maximum(-more, 0).sum(1) <= np.repeat(deficit[at:at + step], b - a))
+                more = (self.counts[a:b, level:] - self.asked[few, None, level:]).reshape(len(left), -1)
+                moved, grown = np.abs(more).sum(1), more.sum(1)  # twice the surplus is their sum, twice the deficit their difference
+                fits = (moved + grown <= 2 * np.repeat(surplus[at:at + step], b - a)) & (moved - grown <= 2 * np.repeat(deficit[at:at + step], b - a))
                 left, right = left[fits], right[fits]
             x, y = self.asked_letters[left], self.letters[right]
             if x.shape[1] == y.shape[1]:
