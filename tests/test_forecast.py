@@ -169,15 +169,10 @@ def test_realised_accuracy_scores_only_what_has_happened(spark, series, rows):
     assert len(r) == 1 and r[0]["rmse"] == 10.0 and r[0]["mape"] == 10.0
 
 
-def test_whole_forecast_and_trees(spark, series, rows):
+def test_whole_forecast(spark, series, rows):
     p = series({"p": seasonal(365 * 5, 9), "q": seasonal(365 * 5, 10) * 2}, START)
     out = rows(K.forecast(p, (7, 30)), "series_id", "horizon")
     assert len(out) == 4 and all(r["lower"] <= r["upper"] for r in out) and all(abs(r["change_pct"]) < 40 for r in out)
-    other = flat(series, 365 * 5)
-    f = K.features(p, other, other)
-    model, data = K.boosted_trees(f, p, 30, rounds=3)
-    assert {r["series_id"] for r in rows(K.boosted_forecast(model, f, K.present(p)))} == {"p", "q"} and K.importances(spark, model).count() > 0
-    assert K.boosted_trees(f.where("ts < '2018-06-01'"), p, 30)[0] is None
 
 
 def test_companions_need_enough_shared_dates(series, rows):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.functions import linalg, paths
+from tidemark.functions import linalg, paths, trees
 from tidemark.operators import series as S, stats, windows as W
 from tidemark.operators.regress import panel_rows
 from tidemark.sources.store import landed
@@ -156,30 +156,20 @@ def vector_autoregression(series: DataFrame, names, steps: int, depth: int = 2,
     return flat.withColumn("series_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)).select("series_id", "origin", "step", "point")
 
 
-def boosted_trees(feature_rows: DataFrame, price: DataFrame, horizon: int, rounds: int = 200, least: int = 200, seed: int = 42):
-    """Direct tree ensemble for one horizon, trained over all series at once: (fitted model or None, training rows)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    rows = labelled(feature_rows, price, horizon).dropna(subset=FEATURES + ["target"])
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("series_id", "ts", "features", "target")
-    if data.limit(least).count() < least:
-        return None, data
-    gbt = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="pred", maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8,
-                       featureSubsetStrategy="0.8", seed=seed)
-    return gbt.fit(data), data
+def boosted_trees(series: DataFrame, feature_rows: DataFrame, cuts: DataFrame, horizons=tuple(fixed.HORIZONS)) -> DataFrame:
+    """Direct trees, one model per series, cut and horizon: series_id, cut, horizon, ``pred``, ``rows`` (it learned from), ``top`` features, ``share``.
 
-
-def boosted_forecast(model, feature_rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Prediction from the newest complete feature row at or before each cut."""
-    from pyspark.ml.feature import VectorAssembler
-    seen = feature_rows.join(cuts, "series_id").where(F.col("ts") <= F.col("origin"))
-    newest = seen.groupBy("series_id", "cut", "origin").agg(F.max_by(F.struct(*FEATURES), "ts").alias("_r")).select("series_id", "cut", "origin", "_r.*").dropna(subset=FEATURES)
-    return model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(newest)).select("series_id", "cut", "origin", "pred")
-
-
-def importances(spark, model, top: int = 6) -> DataFrame:
-    pairs = sorted(zip(FEATURES, (float(v) for v in model.featureImportances.toArray())), key=lambda p: (-p[1], p[0]))[:top]
-    return S.small_table(spark, "feature string, importance_pct double", [(n, 100 * v) for n, v in pairs if v > 0])
+    A model learns from the complete feature rows whose price ``horizon`` days later was known at its cut, and predicts from the
+    newest row, if that is complete.  A series is collected once (a row per day) and grows its models together.
+    """
+    known = feature_rows.dropna(subset=FEATURES).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_date("ts").alias("d"), F.array(*FEATURES).alias("x")))).alias("_f"))
+    quoted = series.where(F.col("value").isNotNull()).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_date("ts").alias("d"), "value"))).alias("_p"))
+    asked = cuts.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("cut", F.unix_date("origin").alias("o")))).alias("_c"))
+    fit = trees.direct_trees(FEATURES)
+    part = lambda c, e: F.transform(c, lambda v: v[e])
+    rows = known.join(quoted, "series_id").join(asked, "series_id")
+    out = rows.select("series_id", fit(part("_f", "d"), F.flatten(part("_f", "x")), part("_p", "d"), part("_p", "value"), part("_c", "cut"), part("_c", "o"), F.array(*[F.lit(h) for h in horizons])).alias("_m"))
+    return out.select("series_id", F.inline("_m")).withColumns({"cut": F.col("cut").cast("int"), "horizon": F.col("horizon").cast("int")})
 
 
 # ---- backtest ---------------------------------------------------------------------------------------------------
@@ -188,8 +178,8 @@ def weeks_ahead(horizon: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(horizon / 7.0).cast("int"))
 
 
-def predictions(series: DataFrame, cuts: DataFrame, horizons=tuple(fixed.HORIZONS)) -> DataFrame:
-    """Point of every model for every cut and horizon."""
+def predictions(series: DataFrame, cuts: DataFrame, horizons=tuple(fixed.HORIZONS), feature_rows: DataFrame | None = None) -> DataFrame:
+    """Point of every model for every cut and horizon; trees take part where ``feature_rows`` are given."""
     points = with_horizons(cuts, horizons).withColumn("step", weeks_ahead(F.col("horizon")))
     train = training(series, cuts, "W")
     steps = max(1, round(max(horizons) / 7)) + 1
@@ -197,14 +187,18 @@ def predictions(series: DataFrame, cuts: DataFrame, horizons=tuple(fixed.HORIZON
     hw = points.join(holt_winters(train, 52, steps).select(*KEYS, "step", "pred"), KEYS + ["step"]).withColumn("model", F.lit("holt_winters"))
     ar = points.join(autoregression(train, steps).select(*KEYS, "step", "pred"), KEYS + ["step"]).withColumn("model", F.lit("autoregression"))
     cols = ["series_id", "cut", "origin", "horizon", "target_ts", "model", "pred"]
-    return naive.select(*cols).unionByName(hw.select(*cols)).unionByName(ar.select(*cols))
+    every = naive.select(*cols).unionByName(hw.select(*cols)).unionByName(ar.select(*cols))
+    if feature_rows is None:
+        return every
+    grown = points.join(boosted_trees(series, feature_rows, cuts, horizons), [*KEYS, "horizon"]).withColumn("model", F.lit("boosted_trees"))
+    return every.unionByName(grown.select(*cols))
 
 
-def backtest(series: DataFrame, cuts: DataFrame | None = None, horizons=tuple(fixed.HORIZONS)) -> DataFrame:
+def backtest(series: DataFrame, cuts: DataFrame | None = None, horizons=tuple(fixed.HORIZONS), feature_rows: DataFrame | None = None) -> DataFrame:
     """Predictions at the origins next to what happened (nearest observation within two days of the target)."""
     cuts = origins(series) if cuts is None else cuts
     actual = S.nearest(with_horizons(cuts, horizons), series, "target_ts", 2, "actual").where("actual is not null")
-    return predictions(series, cuts, horizons).join(actual.select("series_id", "cut", "horizon", "actual"), ["series_id", "cut", "horizon"])
+    return predictions(series, cuts, horizons, feature_rows).join(actual.select("series_id", "cut", "horizon", "actual"), ["series_id", "cut", "horizon"])
 
 
 def error_metrics(points: DataFrame, keys=("series_id", "model", "horizon")) -> DataFrame:
@@ -366,19 +360,23 @@ def risks(chosen: DataFrame) -> DataFrame:
     return chosen.withColumn("risks", notes)
 
 
-def model_notes(hw: DataFrame, ar: DataFrame) -> DataFrame:
-    """Fitted structure of each model of each series."""
+def model_notes(hw: DataFrame, ar: DataFrame, grown: DataFrame | None = None) -> DataFrame:
+    """Fitted structure of each model of each series; of trees (``boosted_trees``) per horizon."""
     a = hw.select(*KEYS, "alpha", "beta", "gamma").distinct().select("series_id", "cut", F.lit("holt_winters").alias("model"), F.format_string(
         "level weight %.2f, trend weight %.2f, season weight %.2f", "alpha", "beta", "gamma").alias("structure"))
     b = ar.select(*KEYS, "lags_used", "aic").distinct().select("series_id", "cut", F.lit("autoregression").alias("model"), F.concat(
         F.lit("changes on lags "), F.array_join(F.col("lags_used").cast("array<string>"), ", "), F.format_string(", AIC %.1f", "aic")).alias("structure"))
-    return a.unionByName(b)
+    if grown is None:
+        return a.unionByName(b)
+    named = F.array_join(F.zip_with("top", "share", lambda f, p: F.concat(f, F.format_string(" %.1f %%", p))), ", ")
+    c = grown.select("series_id", "cut", F.lit("boosted_trees").alias("model"), F.concat(F.format_string("%d days ahead from %d rows: ", "horizon", "rows"), named).alias("structure"))
+    return a.unionByName(b).unionByName(c)
 
 
-def forecast(series: DataFrame, horizons=tuple(fixed.HORIZONS)) -> DataFrame:
+def forecast(series: DataFrame, horizons=tuple(fixed.HORIZONS), feature_rows: DataFrame | None = None) -> DataFrame:
     """The selected model's point per horizon with interval, probability and risks, for every series at once."""
     tests = origins(series)
-    every = landed(predictions(series, tests.unionByName(present(series)), horizons))  # read three times below
+    every = landed(predictions(series, tests.unionByName(present(series)), horizons, feature_rows))  # read three times below
     actual = S.nearest(with_horizons(tests, horizons), series, "target_ts", 2, "actual").where("actual is not null")
     points = every.where("cut >= 0").join(actual.select("series_id", "cut", "horizon", "actual"), ["series_id", "cut", "horizon"])
     chosen = select_best(error_metrics(points))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions import trees as G
 from tidemark.operators import regress, seasonal as M, series as S
 from tidemark.plans import forecast as K, modules as X, scores as Z
 from tidemark.registry import modules as _modules  # noqa: F401  (its SQL is reused below)
@@ -122,22 +123,59 @@ _POINTS = f"""st AS (SELECT *, CASE horizon WHEN 7 THEN 1 WHEN 14 THEN 2 WHEN 30
  mt AS (SELECT series_id, model, CAST(horizon AS BIGINT) AS horizon, sqrt(avg(pow(actual-pred,2))) AS rmse, avg(abs(actual-pred)) AS mae, avg(abs((actual-pred)/actual))*100 AS mape, avg(abs(actual-pred)/((abs(actual)+abs(pred))/2))*100 AS smape, count(*) AS n FROM bt GROUP BY 1, 2, 3)"""
 
 
-def _backtest(train: str) -> str:
-    return f"WITH RECURSIVE {PRICE}, {_ORIGINS}, {_NAIVE}, {train}, {_SMOOTH}, {_AR}, {_POINTS}"
+# Boosted trees for every row (series_id, cut, horizon, origin) of tm, up to their points in tp and the gain of their features in tg.
+def _trees() -> str:
+    """The rounds are written out: per depth one histogram over (model, node, feature, bin), its running sums, and the best split of each node."""
+    steps, gains = [], []
+    for k in range(G.ROUNDS):
+        steps.append(f"v{k}_0 AS MATERIALIZED (SELECT i, m, train, y, pred, y - pred AS rest, m AS node FROM p{k})")
+        for d in range(G.DEPTH):
+            steps.append(f"""c{k}_{d} AS (SELECT node, f, b, sum(n) OVER u AS ln, sum(g) OVER u AS lg, sum(n) OVER (PARTITION BY node, f) AS an, sum(g) OVER (PARTITION BY node, f) AS ag FROM (SELECT node, f, b, count(*)::DOUBLE AS n, sum(rest) AS g
+  FROM tb JOIN v{k}_{d} v USING (i) WHERE v.train GROUP BY 1, 2, 3) WINDOW u AS (PARTITION BY node, f ORDER BY b)),
+ e{k}_{d} AS (SELECT *, lg*lg/(ln+{G.RIDGE}::DOUBLE) + (ag-lg)*(ag-lg)/((an-ln)+{G.RIDGE}::DOUBLE) - ag*ag/(an+{G.RIDGE}::DOUBLE) AS gain FROM c{k}_{d} WHERE ln >= {G.SMALLEST} AND an-ln >= {G.SMALLEST}),
+ s{k}_{d} AS MATERIALIZED (SELECT node, f, b AS sb, gain FROM e{k}_{d} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) = 1),
+ v{k}_{d + 1} AS MATERIALIZED (SELECT v.i, v.m, v.train, v.y, v.pred, v.rest, 2*v.node + CASE WHEN tb.b > s.sb THEN 1 ELSE 0 END AS node FROM v{k}_{d} v LEFT JOIN s{k}_{d} s ON s.node = v.node LEFT JOIN tb ON tb.i = v.i AND tb.f = s.f)""")
+            gains.append(f"SELECT node >> {d} AS m, f, gain FROM s{k}_{d}")
+        v = f"v{k}_{G.DEPTH}"
+        steps.append(f"""p{k + 1} AS MATERIALIZED (SELECT v.i, v.m, v.train, v.y, v.pred + coalesce(floor({G.RATE}::DOUBLE*l.g/(l.n+{G.RIDGE}::DOUBLE)), 0) AS pred FROM {v} v LEFT JOIN (SELECT node, sum(rest) AS g, count(*)::DOUBLE AS n FROM {v} WHERE train GROUP BY 1) l USING (node))""")
+    return f"""tf AS MATERIALIZED (SELECT series_id, ts, [{', '.join(K.FEATURES)}]::DOUBLE[] AS x FROM ft WHERE {' AND '.join(f'{c} IS NOT NULL' for c in K.FEATURES)}),
+ tn AS MATERIALIZED (SELECT tm.series_id, cut, horizon, origin, max(p.ts) AS newest FROM tm JOIN price p ON p.series_id = tm.series_id AND p.ts <= tm.origin GROUP BY ALL),
+ t0 AS MATERIALIZED (SELECT f.series_id, cut, horizon, x, floor(p.value*{G.UNIT}::DOUBLE+0.5) AS y, true AS train FROM tn JOIN tf f ON f.series_id = tn.series_id JOIN price p ON p.series_id = f.series_id AND p.ts = f.ts + horizon::INTEGER WHERE f.ts + horizon::INTEGER <= origin
+  UNION ALL SELECT f.series_id, cut, horizon, x, 0.0::DOUBLE, false FROM tn JOIN tf f ON f.series_id = tn.series_id AND f.ts = newest),
+ tk AS MATERIALIZED (SELECT series_id, cut, horizon, count(*) FILTER (train) AS n, row_number() OVER () - 1 AS m FROM t0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (train) >= {G.LEAST} AND count(*) FILTER (NOT train) = 1),
+ tx AS MATERIALIZED (SELECT m, n, row_number() OVER () AS i, x, y, train FROM t0 JOIN tk USING (series_id, cut, horizon)),
+ tb AS MATERIALIZED (SELECT i, f, CAST(least({G.BINS - 1}, below*{G.BINS}//n) AS INTEGER) AS b FROM (SELECT i, n, f, sum(CASE WHEN train THEN 1 ELSE 0 END) OVER (PARTITION BY m, f ORDER BY v) - sum(CASE WHEN train THEN 1 ELSE 0 END) OVER (PARTITION BY m, f, v) AS below
+  FROM (SELECT i, m, n, train, unnest(x) AS v, generate_subscripts(x, 1) AS f FROM tx))),
+ p0 AS MATERIALIZED (SELECT i, m, train, y, floor(sum(CASE WHEN train THEN y END) OVER (PARTITION BY m) / n) AS pred FROM tx),
+ {', '.join(steps)},
+ tp AS (SELECT series_id, cut, horizon, pred/{G.UNIT}::DOUBLE AS pred, n FROM p{G.ROUNDS} JOIN tk USING (m) WHERE NOT train),
+ tg AS (SELECT m, f, sum(gain) AS gain FROM ({' UNION ALL '.join(gains)}) GROUP BY 1, 2)"""
+
+
+def _backtest(train: str, now: str = "") -> str:
+    asked = f"tm AS (SELECT series_id, cut, horizon, origin FROM oh{now})"
+    points = _POINTS.replace("),\n bt AS", " UNION ALL SELECT series_id, cut, horizon, 'boosted_trees', pred FROM tp),\n bt AS", 1)
+    return f"WITH RECURSIVE {PRICE}, {_ORIGINS}, {_NAIVE}, {train}, {_SMOOTH}, {_AR}, {VOLUME}, {DRIVER}, {_FEATURES}, {asked}, {_trees()}, {points}"
 
 
 _BACKTEST = _backtest(_TRAIN)
 _TRAIN_AND_NOW = _TRAIN[:-1] + " UNION ALL SELECT series_id, -1, CAST(date_trunc('week', ts) AS DATE) + 6, avg(value) FROM price GROUP BY 1, 2, 3)"
 
 
+def _contest(spark, sf):
+    """The backtest with all four models."""
+    p = landed(T.prices(spark, sf))
+    return K.backtest(p, feature_rows=landed(K.features(p, T.arrivals(spark, sf), T.driver(spark, sf))))
+
+
 @query("backtest_points", f"{_BACKTEST} SELECT series_id, CAST(cut AS BIGINT) AS cut, CAST(horizon AS BIGINT) AS horizon, origin, target_ts, model, {r('pred')} AS pred, {r('actual')} AS actual FROM bt")
 def backtest_points(spark, sf):
-    return rounded(longs(K.backtest(landed(T.prices(spark, sf)))))
+    return rounded(longs(_contest(spark, sf)))
 
 
 @query("backtest_metrics", f"{_BACKTEST} SELECT series_id, model, horizon, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('smape')} AS smape, n FROM mt")
 def backtest_metrics(spark, sf):
-    return rounded(longs(K.error_metrics(K.backtest(landed(T.prices(spark, sf))))))
+    return rounded(longs(K.error_metrics(_contest(spark, sf))))
 
 
 _SUPPLIERS = """price AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / sum(l_quantity) AS value
@@ -154,14 +192,15 @@ def backtest_suppliers(spark, sf):
 @query("select_best", f"""{_BACKTEST}, rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS k FROM mt)
  SELECT a.series_id, a.horizon, a.model, {r('a.rmse')} AS rmse, {r('a.mape')} AS mape, a.n AS n_folds, b.model AS runner_up, {r('(b.rmse-a.rmse)/a.rmse*100')} AS gap_pct FROM rk a LEFT JOIN rk b ON b.series_id = a.series_id AND b.horizon = a.horizon AND b.k = 2 WHERE a.k = 1""")
 def select_best(spark, sf):
-    return rounded(longs(K.select_best(K.error_metrics(K.backtest(landed(T.prices(spark, sf)))))))
+    return rounded(longs(K.select_best(K.error_metrics(_contest(spark, sf)))))
 
 
-_FORECAST = f"""{_backtest(_TRAIN_AND_NOW)},
+_AND_NOW = " UNION ALL SELECT series_id, -1, h, max(ts) FROM price, (SELECT unnest([7,14,30,60,90,120,180]) AS h) GROUP BY 1, 3"
+_FORECAST = f"""{_backtest(_TRAIN_AND_NOW, _AND_NOW)},
  rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY rmse, model) AS k FROM mt), lt AS (SELECT series_id, max(ts) AS as_of, arg_max(value, ts) AS current FROM price GROUP BY 1),
  oh2 AS (SELECT lt.*, h AS horizon, CAST(as_of + h AS DATE) AS target_ts, CAST(as_of + h - 365 AS DATE) AS back, CASE h WHEN 7 THEN 1 WHEN 14 THEN 2 WHEN 30 THEN 4 WHEN 60 THEN 9 WHEN 90 THEN 13 WHEN 120 THEN 17 ELSE 26 END AS step FROM lt, (SELECT unnest([7,14,30,60,90,120,180]) AS h)),
  pw AS (SELECT oh.series_id, oh.horizon, 'seasonal_naive' AS model, {_near('oh.back', 3)} AS point FROM oh2 oh UNION ALL SELECT o.series_id, o.horizon, 'holt_winters', lev+step*tre+sea[(n+step-1)%52+1] FROM oh2 o JOIN hb ON hb.series_id = o.series_id AND hb.cut = -1
-  UNION ALL SELECT o.series_id, o.horizon, 'autoregression', ap.pred FROM oh2 o JOIN ap ON ap.series_id = o.series_id AND ap.cut = -1 AND ap.step = o.step),
+  UNION ALL SELECT o.series_id, o.horizon, 'autoregression', ap.pred FROM oh2 o JOIN ap ON ap.series_id = o.series_id AND ap.cut = -1 AND ap.step = o.step UNION ALL SELECT series_id, horizon, 'boosted_trees', pred FROM tp WHERE cut = -1),
  rs AS (SELECT series_id, model, horizon, quantile_cont(actual-pred, 0.05) AS lo, quantile_cont(actual-pred, 0.95) AS hi, list(actual-pred) AS res, count(*) AS n FROM bt GROUP BY 1, 2, 3),
  fc AS (SELECT rk.series_id, as_of, rk.horizon, target_ts, rk.model, point, current, rk.rmse, rk.mape, rk.n AS n_folds, lo, hi, res, rs.n AS m FROM rk JOIN oh2 ON oh2.series_id = rk.series_id AND oh2.horizon = rk.horizon JOIN pw ON pw.series_id = rk.series_id AND pw.horizon = rk.horizon AND pw.model = rk.model
   JOIN rs ON rs.series_id = rk.series_id AND rs.horizon = rk.horizon AND rs.model = rk.model WHERE k = 1 AND point IS NOT NULL)"""
@@ -170,9 +209,10 @@ _FORECAST = f"""{_backtest(_TRAIN_AND_NOW)},
 @query("forecast", f"""{_FORECAST} SELECT series_id, as_of, horizon, target_ts, model, {r('point')} AS point, {r('current')} AS current, {r('rmse')} AS rmse, {r('mape')} AS mape, n_folds, {r('CASE WHEN m >= 3 THEN point+lo END')} AS lower, {r('CASE WHEN m >= 3 THEN point+hi END')} AS upper,
  {r('CASE WHEN m >= 5 THEN len(list_filter(res, lambda e: point+e > current))*100.0/m END')} AS bullish_pct, {r('CASE WHEN m >= 5 THEN 100-len(list_filter(res, lambda e: point+e > current))*100.0/m END')} AS bearish_pct, m AS residuals_used, {r('(point-current)/current*100')} AS change_pct,
  array_to_string(list_filter([CASE WHEN horizon >= 90 THEN horizon || ' days ahead: read the interval, not the point' END, CASE WHEN n_folds < 6 THEN 'only ' || n_folds || ' folds behind the error estimate' END, CASE WHEN mape > 10 THEN printf('past error of %.1f %% at this horizon', mape) END,
-  CASE model WHEN 'seasonal_naive' THEN 'repeats last year and cannot react to a new shock' WHEN 'holt_winters' THEN 'horizon rounded to whole weeks, up to three days off' ELSE 'models short memory only, no yearly season' END], lambda x: x IS NOT NULL), '; ') AS risks FROM fc""")
+  CASE model WHEN 'seasonal_naive' THEN 'repeats last year and cannot react to a new shock' WHEN 'holt_winters' THEN 'horizon rounded to whole weeks, up to three days off' WHEN 'boosted_trees' THEN 'importances describe past patterns, not causes' ELSE 'models short memory only, no yearly season' END], lambda x: x IS NOT NULL), '; ') AS risks FROM fc""")
 def forecast(spark, sf):
-    out = K.forecast(landed(T.prices(spark, sf)))
+    p = landed(T.prices(spark, sf))
+    out = K.forecast(p, feature_rows=landed(K.features(p, T.arrivals(spark, sf), T.driver(spark, sf))))
     return rounded(longs(out.withColumn("risks", F.array_join("risks", "; "))))
 
 
@@ -327,17 +367,26 @@ def explanation(spark, sf):
     return rounded(longs(K.explanation(K.forecast(p), M.variance_shares(M.decompose(p, "ME")), fit)))
 
 
-@query("model_notes", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_SMOOTH}, {_AR} SELECT series_id, cut, 'holt_winters' AS model, printf('level weight %.2f, trend weight %.2f, season weight %.2f', a, b, g) AS structure FROM hb
- UNION ALL SELECT series_id, cut, 'autoregression', 'changes on lags ' || array_to_string(([1,2,4]::BIGINT[])[:p], ', ') || printf(', AIC %.1f', aic) FROM af""")
-def model_notes(spark, sf):
-    p = T.prices(spark, sf)
-    train = K.training(p, K.present(p), "W")
-    return longs(K.model_notes(K.holt_winters(train, 52, 1), K.autoregression(train, 1)))
+_NOW = "tm AS (SELECT series_id, -1::BIGINT AS cut, 30::BIGINT AS horizon, max(ts) AS origin FROM price GROUP BY 1)"
 
 
-@query("gbt_direct")
+@query("gbt_direct", f"WITH {PRICE}, {VOLUME}, {DRIVER}, {_FEATURES}, {_NOW}, {_trees()} SELECT series_id, cut, horizon, {r('pred')} AS pred, n AS rows FROM tp")
 def gbt_direct(spark, sf):
-    """Direct trees at one horizon over all series."""
-    p, rows = T.prices(spark, sf), _features(spark, sf)
-    model, _ = K.boosted_trees(rows, p, 30)
-    return rounded(longs(K.boosted_forecast(model, rows, K.present(p))))
+    """Direct trees of every series at the present."""
+    p = T.prices(spark, sf)
+    return rounded(longs(K.boosted_trees(p, _features(spark, sf), K.present(p), (30,)).select("series_id", "cut", "horizon", "pred", "rows")))
+
+
+_STRUCTURE = f"""nf AS (SELECT unnest([{', '.join(f"'{c}'" for c in K.FEATURES)}]) AS name, unnest(range(1, {len(K.FEATURES) + 1})) AS f),
+ tq AS (SELECT m, name, gain, sum(gain) OVER (PARTITION BY m) AS whole, row_number() OVER (PARTITION BY m ORDER BY gain DESC, f) AS k FROM tg JOIN nf USING (f)),
+ tt AS (SELECT m, string_agg(name || printf(' %.1f %%', 100*gain/whole), ', ' ORDER BY k) AS top FROM tq WHERE k <= 3 GROUP BY 1)"""
+
+
+@query("model_notes", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_SMOOTH}, {_AR}, {VOLUME}, {DRIVER}, {_FEATURES}, {_NOW}, {_trees()}, {_STRUCTURE}
+ SELECT series_id, cut, 'holt_winters' AS model, printf('level weight %.2f, trend weight %.2f, season weight %.2f', a, b, g) AS structure FROM hb
+ UNION ALL SELECT series_id, cut, 'autoregression', 'changes on lags ' || array_to_string(([1,2,4]::BIGINT[])[:p], ', ') || printf(', AIC %.1f', aic) FROM af
+ UNION ALL SELECT series_id, cut, 'boosted_trees', printf('%d days ahead from %d rows: ', horizon, n) || top FROM tk JOIN tt USING (m)""")
+def model_notes(spark, sf):
+    p = T.prices(spark, sf)
+    train = K.training(p, K.present(p), "W")
+    return longs(K.model_notes(K.holt_winters(train, 52, 1), K.autoregression(train, 1), K.boosted_trees(p, _features(spark, sf), K.present(p), (30,))))
