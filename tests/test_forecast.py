@@ -114,6 +114,81 @@ def test_vector_forecasts_follow_the_panel(spark, series, rows):
     assert abs(first - (x[-1] + np.r_[1, dx[-1]] @ b[:, 0])) < 1e-6
 
 
+def panel_by_hand(levels, horizon, depth, correct):
+    """Paths of a panel (rows x members) by plain least squares on the rows up to its end."""
+    k, d = levels.shape[1], np.diff(levels, axis=0)
+    x = [np.r_[1, *[d[t - p] for p in range(1, depth + 1)]] for t in range(depth, len(d))]
+    if correct:
+        beta = np.linalg.lstsq(np.column_stack([np.ones(len(levels)), levels[:, 1:]]), levels[:, 0], rcond=None)[0]
+        off = lambda v: v[0] - beta[0] - v[1:] @ beta[1:]
+        x = [np.r_[row, off(levels[t])] for row, t in zip(x, range(depth, len(d)))]
+    coef = np.linalg.lstsq(np.array(x), d[depth:], rcond=None)[0]
+    level, past, out = levels[-1], list(d[::-1][:depth]), []
+    for _ in range(horizon):
+        step = np.r_[1, *past, *([off(level)] if correct else [])] @ coef
+        level, past = level + step, [step, *past][:depth]
+        out.append(level)
+    assert k == len(level)
+    return np.array(out)
+
+
+def test_every_fold_of_a_panel_equals_plain_least_squares(spark, series, rows):
+    rng = np.random.default_rng(11)
+    base = np.cumsum(rng.normal(0, 1, 90))
+    y = np.column_stack([100 + base + rng.normal(0, 1, 90), 50 + 2 * base + rng.normal(0, 1, 90), 20 + np.cumsum(rng.normal(0, 1, 90))])
+    names = ["x", "y", "z"]
+    def run(v):
+        points, skipped = K.rolling_vectors(series({n: v[:, i] for i, n in enumerate(names)}, START), names, 6)
+        return {(r["model"], r["series_id"], r["cut"], r["step"]): (r["pred"], r["actual"], r["anchor"]) for r in rows(points)}, rows(skipped, "model", "series_id", "cut")
+    got, skipped = run(y)
+    ends = [60, 66, 72, 78, 84]
+    for model, correct in K.VECTOR_MODELS.items():
+        for cut, end in enumerate(ends):
+            want = panel_by_hand(y[:end], 6, 2, correct)
+            if correct and end - 3 < 60:
+                assert (model, "x", cut, 1) not in got
+                continue
+            for i, n in enumerate(names):
+                for step in range(1, 7):
+                    pred, actual, anchor = got[model, n, cut, step]
+                    assert abs(pred - want[step - 1, i]) < 1e-7 and (actual, anchor) == (y[end + step - 1, i], y[end - 1, i])
+    assert [(r["model"], r["series_id"], r["cut"], r["reason"]) for r in skipped] == [("error_correction", n, 0, "needs 60 complete rows of the panel, has 57") for n in names]
+    later = y.copy()
+    later[72:] += 1000
+    changed, _ = run(later)
+    assert all(changed[key][0] == v[0] for key, v in got.items() if key[2] <= 2) and any(changed[key][0] != v[0] for key, v in got.items() if key[2] > 2)
+
+
+def test_scoreboard_lists_the_reason_of_each_skip(spark, series, rows):
+    p = series({"long": list(seasonal(90)), "short": list(seasonal(35)), "tiny": [1.0] * 10}, START)
+    p = p.select("series_id", F.expr("last_day(add_months(date'2010-01-01', datediff(ts, date'2018-01-01')))").alias("ts"), "value")
+    points = K.rolling_backtest(p, 6, "ME")
+    board = {(r["series_id"], r["model"]): r for r in rows(K.scoreboard(K.pooled_metrics(points), p, ["holt_winters", "autoregression", "boosted_trees"], K.rolling_skips(p, 6, "ME")))}
+    assert board["long", "holt_winters"]["status"] == "ok" and board["long", "holt_winters"]["reason"] is None and {board["long", m]["rank"] for m in ("holt_winters", "autoregression")} == {1, 2}
+    assert board["short", "autoregression"]["reason"] == "needs 30 changes after lag 4, has 24" and board["short", "autoregression"]["skipped_folds"] == 2
+    assert board["short", "holt_winters"]["status"] == "ok" and board["short", "holt_winters"]["skipped_folds"] == 1
+    assert board["tiny", "holt_winters"]["reason"] == "no fold of 6 periods leaves enough to train on, has 10" and board["long", "boosted_trees"]["reason"] == "not asked for"
+
+
+def test_sweeps_equal_separate_fits(spark, series, rows):
+    rng = np.random.default_rng(5)
+    season = rng.normal(0, 2, 12)
+    d = np.array([season[t % 12] + rng.normal(0, 0.3) for t in range(160)])
+    x = np.cumsum(rng.normal(0, 1, 161))
+    y = 100 + np.r_[0, np.cumsum(d)] + 0.5 * x
+    order = [1, 2, 4, 12]
+    n, fits = paths.lag_fits(y, [x, np.ones(161)], order)  # the second driver never moves
+    dy, dx = np.diff(y), np.diff(x)
+    for p, (used, beta, aic, sigma) in enumerate(fits, 1):
+        m = np.column_stack([np.ones(n), dx[12:], *[dy[12 - k:len(dy) - k] for k in order[:p]]])
+        b, sse, *_ = np.linalg.lstsq(m, dy[12:], rcond=None)
+        assert used == order[:p] and np.allclose(beta, np.r_[b[0], b[2:]], atol=1e-9) and abs(aic - (n * np.log(sse[0] / n) + 2 * (p + 3))) < 1e-6
+    s = series({"p": y}, START)
+    cut = spark.createDataFrame([("p", 0, START + timedelta(days=160))], "series_id string, cut int, origin date")
+    scores = rows(K.lag_orders(K.history(S.resample(s, "D"), cut), 12), "aic")
+    assert scores[0]["lags"] == order and scores[0]["chosen"] and sum(r["chosen"] for r in scores) == 1 and {r["n"] for r in scores} == {148}
+
+
 POINTS = "series_id string, model string, horizon int, cut int, actual double, pred double"
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 from tidemark.functions.linalg import VECTOR, _struct, least_squares, square
 
@@ -14,6 +14,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRID = np.array([(a, b, g) for a in (0.05, 0.1, 0.2, 0.35, 0.5, 0.8) for b in (0.0, 0.02, 0.1) for g in (0.0, 0.05, 0.2, 0.4)])
 
+LEAST_CHANGES = 30  # rows of an autoregression
+
 
 def smooth(y: np.ndarray, m: int, steps: int, grid: np.ndarray = GRID):
     """Additive trend and season for every row of ``y`` and every weight triple at once.
@@ -60,6 +62,42 @@ def holt_winters_path(values: pd.Series, period: pd.Series, steps: pd.Series) ->
     return pd.DataFrame(rows, columns=["path", "alpha", "beta", "gamma", "sse", "n"])
 
 
+def swept(g: np.ndarray, first: list, then: list):
+    """Least squares of column 0 on ``first`` and ever more of ``then``, all from one moment matrix swept column by column.
+
+    Yields (columns so far, coefficients of those columns, residual sum of squares).  A column that the earlier ones explain to
+    within rounding is left out with a coefficient of zero.
+    """
+    a, whole, used = g.copy(), np.diag(g).copy(), []
+    for i, column in enumerate([*first, *then]):
+        pivot = a[column, column]
+        if pivot > 1e-12 * whole[column]:
+            row = a[column] / pivot
+            rest = a[:, column].copy()
+            a -= np.outer(rest, row)
+            a[column], a[:, column] = row, -rest / pivot
+            a[column, column] = 1 / pivot
+            used.append(column)
+        if i + 1 > len(first):
+            x = [*first, *then][:i + 1]
+            yield x, np.array([a[c, 0] if c in used else 0.0 for c in x]), max(float(a[0, 0]), 0.0)
+
+
+def lag_fits(y, drivers, order):
+    """Nested regressions of the change on a constant, driver changes and the first 1, 2, ... lags: (rows, [(lags, [constant, lags...], aic, sigma)])."""
+    d, top = np.diff(np.asarray(y, dtype=float)), max(order)
+    count = len(d) - top
+    if count < LEAST_CHANGES:
+        return count, []
+    z = np.column_stack([d[top:], np.ones(count)] + [d[top - k:len(d) - k] for k in order] + [np.diff(np.asarray(x, dtype=float))[top:] for x in drivers])
+    fits = []
+    lags = list(range(2, 2 + len(order)))
+    for x, beta, sse in swept(z.T @ z, [1, *range(2 + len(order), z.shape[1])], lags):
+        p = sum(c in lags for c in x)
+        fits.append((order[:p], np.r_[beta[0], beta[len(x) - p:]], count * np.log(max(sse, 1e-300) / count) + 2 * len(x), np.sqrt(sse / (count - len(x)))))
+    return count, fits
+
+
 @F.pandas_udf(_struct(path=VECTOR, lags=ArrayType(LongType()), aic=DoubleType(), sigma=DoubleType()))
 def autoregressive_path(values: pd.Series, drivers: pd.Series, lags: pd.Series, steps: pd.Series) -> pd.DataFrame:
     """Changes regressed on their own lags and on driver changes; the nested lag set with the lowest AIC is iterated.
@@ -68,54 +106,70 @@ def autoregressive_path(values: pd.Series, drivers: pd.Series, lags: pd.Series,
     """
     rows = []
     for y, extra, order, h in zip(values, drivers, lags, steps):
-        d, order = np.diff(np.asarray(y, dtype=float)), [int(k) for k in order]
-        top, best = max(order), None
-        count = len(d) - top
-        if count >= 30:
-            cols = [d[top:], np.ones(count)] + [d[top - k:len(d) - k] for k in order] + [np.diff(np.asarray(x, dtype=float))[top:] for x in extra]
-            z = np.column_stack(cols)
-            g = z.T @ z
-            for p in range(1, len(order) + 1):
-                x = list(range(1, 2 + p)) + list(range(2 + len(order), z.shape[1]))
-                beta, _, sse = least_squares(g, 0, x)
-                aic = count * np.log(max(sse, 1e-300) / count) + 2 * len(x)
-                if best is None or aic < best[0]:
-                    best = (aic, beta[:1 + p], order[:p], np.sqrt(sse / (count - len(x))))
-        if best is None:
+        _, fits = lag_fits(y, extra, [int(k) for k in order])
+        if not fits:
             rows.append((None,) * 4)
             continue
-        aic, beta, used, sigma = best
-        changes = list(d[-top:])
+        used, beta, aic, sigma = min(fits, key=lambda f: f[2])
+        changes = list(np.diff(np.asarray(y, dtype=float))[-max(used):])
         for _ in range(int(h)):
             changes.append(float(beta[0] + sum(b * changes[-k] for b, k in zip(beta[1:], used))))
-        rows.append((list(float(y[-1]) + np.cumsum(changes[top:])), used, float(aic), float(sigma)))
+        rows.append((list(float(y[-1]) + np.cumsum(changes[max(used):])), used, float(aic), float(sigma)))
     return pd.DataFrame(rows, columns=["path", "lags", "aic", "sigma"])
 
 
-@F.pandas_udf(ArrayType(VECTOR))
-def vector_path(grams: pd.Series, levels: pd.Series, recent: pd.Series, size: pd.Series, depth: pd.Series, relation: pd.Series, steps: pd.Series) -> pd.Series:
-    """Joint forecast of a panel: every equation on the lagged changes of all members, cumulated back to levels.
+@F.pandas_udf(ArrayType(_struct(lags=ArrayType(LongType()), aic=DoubleType(), sigma=DoubleType(), n=LongType())))
+def lag_order_scores(values: pd.Series, drivers: pd.Series, lags: pd.Series) -> pd.Series:
+    """AIC of every nested lag set."""
+    out = []
+    for y, extra, order in zip(values, drivers, lags):
+        n, fits = lag_fits(y, extra, [int(k) for k in order])
+        out.append([{"lags": used, "aic": float(aic), "sigma": float(sigma), "n": n} for used, _, aic, sigma in fits])
+    return pd.Series(out)
+
 
-    Moment columns are changes (k), 1, lagged changes (k per lag) and, with a relation, last period's deviation from
-    it.  ``relation`` is (slope weights..., constant) of the deviation or empty.
+def up_to_class(cells, last: int):
+    """Sum of the moment matrices of the classes up to ``last``, and their rows: (None, 0) without any."""
+    parts = [(square(c["gram"]), int(c["n"])) for c in cells if c["cls"] <= last]
+    return (sum(g for g, _ in parts), sum(n for _, n in parts)) if parts else (None, 0)
+
+
+@F.pandas_udf(_struct(path=ArrayType(VECTOR), n=LongType(), reason=StringType()))
+def vector_path(cells: pd.Series, lines: pd.Series, last: pd.Series, levels: pd.Series, recent: pd.Series, size: pd.Series, depth: pd.Series, correct: pd.Series, least: pd.Series,
+                steps: pd.Series) -> pd.DataFrame:
+    """Joint forecast of a panel at a cut: every equation on the lagged changes of all members, cumulated back to levels.
+
+    Moment columns are changes (k), 1, lagged changes (k per lag) and last levels (k), by class of rows; a cut uses the classes up to
+    ``last``.  With ``correct`` last period's deviation from the line of the first member on the others joins the equations: it is
+    linear in the last levels, so its moments follow from theirs.  ``lines`` holds the moments of that line: first member, 1, others.
     """
-    out = []
-    for flat, level, past, k, p, rel, h in zip(grams, levels, recent, size, depth, relation, steps):
-        g, k, p = square(flat), int(k), int(p)
-        x = list(range(k, len(g)))
+    rows = []
+    for parts, line, c, level, past, k, p, with_line, need, h in zip(cells, lines, last, levels, recent, size, depth, correct, least, steps):
+        k, p = int(k), int(p)
+        g, n = up_to_class(parts if parts is not None else [], c)
+        if n < need:
+            rows.append((None, n, f"needs {need} complete rows of the panel, has {n}"))
+            continue
+        x, weights = list(range(k, 2 * k + 1 + (p - 1) * k)), None
+        if with_line:
+            beta = least_squares(up_to_class(line, c)[0], 0, list(range(1, k + 1)))[0]
+            weights = np.r_[1.0, -beta[1:], -beta[0]]
+            to = np.zeros((len(g), x[-1] + 2))
+            to[:x[-1] + 1, :x[-1] + 1] = np.eye(x[-1] + 1)
+            to[x[-1] + 1:, -1], to[k, -1] = weights[:-1], weights[-1]
+            g, x = to.T @ g @ to, [*x, x[-1] + 1]
         coef = np.column_stack([least_squares(g, i, x)[0] for i in range(k)])
-        level = np.asarray(level, dtype=float)
-        changes = [np.asarray(c, dtype=float) for c in past]
-        path = []
+        level, path = np.asarray(level, dtype=float), []
+        changes = [np.asarray(v, dtype=float) for v in past]
         for _ in range(int(h)):
-            z = np.concatenate([[1.0], *changes[:p], [float(np.dot(rel[:-1], level) + rel[-1])] if len(rel) else []])
+            z = np.concatenate([[1.0], *changes[:p], [] if weights is None else [weights[:-1] @ level + weights[-1]]])
             step = z @ coef
             level = level + step
             changes.insert(0, step)
             path.append(level.tolist())
-        out.append(path)
-    return pd.Series(out)
+        rows.append((path, n, None))
+    return pd.DataFrame(rows, columns=["path", "n", "reason"])
 
 
 # evaluated once per row: filters on their results are not pushed below and computed again
-holt_winters_path, autoregressive_path, vector_path = (f.asNondeterministic() for f in (holt_winters_path, autoregressive_path, vector_path))
+holt_winters_path, autoregressive_path, lag_order_scores, vector_path = (f.asNondeterministic() for f in (holt_winters_path, autoregressive_path, lag_order_scores, vector_path))

@@ -4,6 +4,8 @@ A cut is a date up to which a model may look.  The backtest origins and the pres
 so every model is fitted for all series and all cuts in one job.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tidemark.operators.regress import panel_rows
 from tidemark.sources.store import landed
 
 KEYS = ["series_id", "cut"]
+LAGS = (1, 2, 4)    # of the autoregression
 FEATURES = (["price_lag_0"] + [f"price_lag_{k}" for k in fixed.PRICE_LAGS] + [f"price_mean_{w}" for w in fixed.FEATURE_WINDOWS]
             + [f"price_sd_{w}" for w in fixed.FEATURE_WINDOWS] + ["month", "day_of_year", "is_harvest", "arrivals_lag_1", "arrivals_mean_30", "rate_lag_1", "rate_mean_30"])
 
@@ -118,7 +121,7 @@ def holt_winters(hist: DataFrame, period: int, steps: int) -> DataFrame:
         "step", F.col("step") + 1)
 
 
-def autoregression(hist: DataFrame, steps: int, lags=(1, 2, 4), drivers: int = 0) -> DataFrame:
+def autoregression(hist: DataFrame, steps: int, lags=LAGS, drivers: int = 0) -> DataFrame:
     """Regression of the change on its own lags and the changes of the carried drivers per cut, iterated forward."""
     extra = F.array(*[_values(f"x{i}") for i in range(drivers)]).cast("array<array<double>>")
     order = F.array(*[F.lit(k).cast("bigint") for k in lags])
@@ -127,33 +130,86 @@ def autoregression(hist: DataFrame, steps: int, lags=(1, 2, 4), drivers: int = 0
                                                    F.col("_f.sigma").alias("sigma")).withColumn("step", F.col("step") + 1)
 
 
+def lag_orders(hist: DataFrame, season: int, lags=LAGS, drivers: int = 0) -> DataFrame:
+    """AIC of the nested lag sets up to the season per cut, from one moment matrix each: series_id, cut, ``lags``, ``aic``, ``sigma``, ``n``, ``chosen``
+    (lowest AIC).  All sets share the rows that the season leaves, so their AIC compare."""
+    order = F.array(*[F.lit(k).cast("bigint") for k in (*lags, season)])
+    extra = F.array(*[_values(f"x{i}") for i in range(drivers)]).cast("array<array<double>>")
+    flat = hist.withColumn("_f", paths.lag_order_scores(_values("value"), extra, order)).select(*KEYS, F.explode("_f").alias("_e")).select(*KEYS, "_e.*")
+    best = F.row_number().over(Window.partitionBy(*KEYS).orderBy("aic", F.size("lags"))) == 1
+    return flat.withColumn("chosen", best)
+
+
 def with_drivers(periods: DataFrame, drivers: DataFrame, names) -> DataFrame:
     """Periods next to the drivers of the same date."""
     return periods.join(S.panel(drivers, names), "ts")
 
 
+def _numbered_by_cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows of a panel with the class of the first cut that sees them; rows after the last cut are left out."""
+    ordered = cuts.groupBy("panel").agg(F.array_sort(F.collect_list("origin")).alias("_c"))
+    cls = F.size(F.filter("_c", lambda o: o < F.col("ts")))
+    return rows.join(ordered, "panel").withColumn("cls", cls).where(F.col("cls") < F.size("_c")).drop("_c")
+
+
+def _cells(rows: DataFrame, cols) -> DataFrame:
+    return linalg.gram(rows, ["panel", "cls"], cols).groupBy("panel").agg(F.collect_list(F.struct("cls", "gram", "n")).alias("cells"))
+
+
+def vector_paths(rows: DataFrame, cuts: DataFrame, k: int, steps: int, depth: int = 2, correct: bool = False) -> DataFrame:
+    """Joint forecasts of a panel of ``k`` members at all its cuts: panel, cut, origin, ``path`` (steps x members), ``n``, ``reason`` (why there is no path).
+
+    ``rows`` is as from ``panel_rows``, ``cuts`` has panel, cut and origin (dates of rows).  Every row enters one moment matrix, that of
+    the first cut which sees it; a cut adds up the matrices before it.
+    """
+    order = Window.partitionBy("panel").orderBy("ts")
+    diff = rows.select("*", *[(F.col(f"s{i}") - F.lag(f"s{i}").over(order)).alias(f"c{i}") for i in range(k)])
+    lagged = diff.select("*", F.lit(1.0).alias("one"), *[F.lag(f"c{i}", p).over(order).alias(f"p{p}_{i}") for p in range(1, depth + 1) for i in range(k)],
+                         *[F.lag(f"s{i}").over(order).alias(f"l{i}") for i in range(k)])
+    cols = [f"c{i}" for i in range(k)] + ["one"] + [f"p{p}_{i}" for p in range(1, depth + 1) for i in range(k)] + [f"l{i}" for i in range(k)]
+    moments = _cells(_numbered_by_cut(lagged.dropna(), cuts), cols)
+    lines = _cells(_numbered_by_cut(rows.withColumn("one", F.lit(1.0)), cuts), ["s0", "one"] + [f"s{i}" for i in range(1, k)]).withColumnRenamed("cells", "lines")
+    recent = F.array(F.array(*[f"c{i}" for i in range(k)]), *[F.array(*[f"p{p}_{i}" for i in range(k)]) for p in range(1, depth)])
+    state = lagged.select("panel", F.col("ts").alias("origin"), F.array(*[f"s{i}" for i in range(k)]).alias("_level"), recent.alias("_recent"))
+    last = F.dense_rank().over(Window.partitionBy("panel").orderBy("origin")) - 1
+    asked = cuts.withColumn("_last", last).join(state, ["panel", "origin"]).join(lines, "panel").join(moments, "panel", "left")
+    number = lambda v: F.lit(v).cast("bigint")
+    fit = paths.vector_path("cells", "lines", "_last", "_level", "_recent", number(k), number(depth), F.lit(correct), number(60 if correct else 40), number(steps))
+    return asked.withColumn("_f", fit).select("panel", "cut", "origin", "_f.path", "_f.n", "_f.reason")
+
+
+def _members(paths_: DataFrame, names) -> DataFrame:
+    """One row per cut, step and member, with the member's name as series_id."""
+    flat = paths_.where("path is not null").select("cut", "origin", F.posexplode("path").alias("step", "_v")).select("cut", "origin", (F.col("step") + 1).alias("step"), F.posexplode("_v").alias("_i", "pred"))
+    return flat.withColumn("series_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)).drop("_i")
+
+
 def vector_autoregression(series: DataFrame, names, steps: int, depth: int = 2, correct: bool = False) -> DataFrame:
     """Joint forecast of a named panel; ``correct`` adds last period's deviation of the first member from the others."""
-    k, order = len(names), Window.partitionBy("panel").orderBy("ts")
     rows = panel_rows(series, names)
-    diff = rows.select("*", *[(F.col(f"s{i}") - F.lag(f"s{i}").over(order)).alias(f"c{i}") for i in range(k)])
-    lagged = diff.select("*", F.lit(1.0).alias("one"), *[F.lag(f"c{i}", p).over(order).alias(f"p{p}_{i}") for p in range(1, depth + 1) for i in range(k)])
-    cols = [f"c{i}" for i in range(k)] + ["one"] + [f"p{p}_{i}" for p in range(1, depth + 1) for i in range(k)]
-    rel = F.array().cast("array<double>")
-    if correct:
-        line = linalg.gram(rows.withColumn("one", F.lit(1.0)), ["panel"], ["s0", "one"] + [f"s{i}" for i in range(1, k)]).withColumn("_b", linalg.ols("gram", "n")["beta"])
-        weights = F.concat(F.array(F.lit(1.0)), F.transform(F.slice("_b", 2, k - 1), lambda v: -v), F.array(-F.col("_b")[0]))
-        lagged = lagged.join(line.select("panel", weights.alias("_rel")), "panel")
-        dev = sum((F.col(f"s{i}") * F.col("_rel")[i] for i in range(k)), F.lit(0.0)) + F.col("_rel")[k]
-        lagged = lagged.withColumn("_dev", dev).withColumn("e", F.lag("_dev").over(order))
-        cols, rel = cols + ["e"], F.col("_rel")
-    recent = F.array(F.array(*[f"c{i}" for i in range(k)]), *[F.array(*[f"p{p}_{i}" for i in range(k)]) for p in range(1, depth)])
-    state = lagged.groupBy("panel").agg(F.max_by(F.array(*[f"s{i}" for i in range(k)]), "ts").alias("_level"), F.max_by(recent, "ts").alias("_recent"),
-                                        F.max(rel).alias("_relation"), F.max("ts").alias("origin"))
-    g = linalg.gram(lagged.dropna(), ["panel"], cols).where(F.col("n") >= (60 if correct else 40))
-    fit = g.join(state, "panel").withColumn("_f", paths.vector_path("gram", "_level", "_recent", F.lit(k).cast("bigint"), F.lit(depth).cast("bigint"), "_relation", F.lit(steps).cast("bigint")))
-    flat = fit.select("origin", F.posexplode("_f").alias("step", "_v")).select("origin", (F.col("step") + 1).alias("step"), F.posexplode("_v").alias("_i", "point"))
-    return flat.withColumn("series_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)).select("series_id", "origin", "step", "point")
+    now = rows.groupBy("panel").agg(F.max("ts").alias("origin")).withColumn("cut", F.lit(-1))
+    return _members(vector_paths(rows, now, len(names), steps, depth, correct), names).select("series_id", "origin", "step", F.col("pred").alias("point"))
+
+
+VECTOR_MODELS = {"vector_autoregression": False, "error_correction": True}
+
+
+def rolling_vectors(periods: DataFrame, names, horizon: int, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Held-out steps of every fold of a panel, as ``rolling_backtest``, for both vector models; and the folds that have none:
+    series_id, model, cut, reason."""
+    rows = landed(panel_rows(periods, names))
+    by_panel = folds(rows.select(F.col("panel").alias("series_id"), "ts", F.col("s0").alias("value")), horizon).select(F.col("series_id").alias("panel"), "cut", "origin")
+    cuts = landed(by_panel)
+    long = rows.unpivot(["panel", "ts"], [f"s{i}" for i in range(len(names))], "_s", "value").withColumn("series_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("_s", 2, 9).cast("int") + 1))
+    numbered = long.withColumn("_i", F.row_number().over(S.by_series()))
+    ends = cuts.select("cut", "origin").join(numbered.select("series_id", F.col("ts").alias("origin"), F.col("_i").alias("_e"), F.col("value").alias("anchor")), "origin")
+    tests = numbered.join(ends, "series_id").withColumn("step", F.col("_i") - F.col("_e")).where(F.col("step").between(1, horizon)).select(*KEYS, "anchor", "step", F.col("value").alias("actual"))
+    points, skipped = [], []
+    for model, correct in VECTOR_MODELS.items():
+        fit = landed(vector_paths(rows, cuts, len(names), horizon, depth, correct))
+        points.append(tests.join(_members(fit, names).select(*KEYS, "step", "pred"), KEYS + ["step"]).withColumn("model", F.lit(model)))
+        skipped.append(fit.where("path is null").select(F.explode(F.array(*[F.lit(n) for n in names])).alias("series_id"), F.lit(model).alias("model"), "cut", "reason"))
+    return points[0].unionByName(points[1]), skipped[0].unionByName(skipped[1])
 
 
 def boosted_trees(series: DataFrame, feature_rows: DataFrame, cuts: DataFrame, horizons=tuple(fixed.HORIZONS)) -> DataFrame:
@@ -238,6 +294,27 @@ def rolling_backtest(periods: DataFrame, horizon: int, freq: str, drivers: DataF
     return tests.join(both, KEYS + ["step"])
 
 
+def rolling_skips(periods: DataFrame, horizon: int, freq: str, drivers: DataFrame | None = None, names=()) -> DataFrame:
+    """Folds of ``rolling_backtest`` that a model does not get, and why: series_id, model, cut, reason.  A series too short for any fold
+    has one row per model, with a null cut."""
+    f = folds(periods, horizon).select(*KEYS, "origin")
+    m = fixed.PERIODS_PER_YEAR[freq]
+    known = periods.where(F.col("value").isNotNull())
+    have = known.join(f, "series_id").groupBy(*KEYS).agg(F.count_if(F.col("ts") <= F.col("origin")).alias("n"))
+    changes = F.col("n") - 1 - max(LAGS)
+    reasons = [(have, "holt_winters", F.when(F.col("n") < 2 * m, F.format_string(f"needs {2 * m} periods, has %d", "n"))),
+               (have, "autoregression", F.when(changes < paths.LEAST_CHANGES, F.format_string(f"needs {paths.LEAST_CHANGES} changes after lag {max(LAGS)}, has %d", F.greatest(changes, F.lit(0)))))]
+    if names:
+        driven = with_drivers(known, drivers, names).dropna(subset=["value", *names]).join(f, "series_id").groupBy(*KEYS).agg(F.count_if(F.col("ts") <= F.col("origin")).alias("n"))
+        driven = f.select(*KEYS).join(driven, KEYS, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        reasons.append((driven, "autoregression_drivers", F.when(changes < paths.LEAST_CHANGES, F.format_string(f"needs {paths.LEAST_CHANGES} changes beside its drivers after lag {max(LAGS)}, has %d", F.greatest(changes, F.lit(0))))))
+    out = [t.select(*KEYS, F.lit(model).alias("model"), why.alias("reason")).where("reason is not null") for t, model, why in reasons]
+    short = known.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).join(f, "series_id", "left_anti")
+    models = F.explode(F.array(*[F.lit(model) for _, model, _ in reasons])).alias("model")
+    out.append(short.select("series_id", F.lit(None).cast("int").alias("cut"), models, F.format_string(f"no fold of {horizon} periods leaves enough to train on, has %d", "n").alias("reason")))
+    return reduce(DataFrame.unionByName, [o.select("series_id", "model", "cut", "reason") for o in out])
+
+
 def select_best(metrics: DataFrame, keys=("series_id", "horizon"), by: str = "rmse") -> DataFrame:
     """Model with the lowest error per key, its runner-up and the gap between them."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(by, "model"))
@@ -251,13 +328,16 @@ def select_best(metrics: DataFrame, keys=("series_id", "horizon"), by: str = "rm
     return out.withColumn("gap_pct", F.try_divide(F.col("_second") - F.col(by), F.col(by)) * 100).drop("_second")
 
 
-def scoreboard(metrics: DataFrame, series: DataFrame, models) -> DataFrame:
-    """Every candidate ranked by error; one that could not run is listed with the reason."""
+def scoreboard(metrics: DataFrame, series: DataFrame, models, skipped: DataFrame) -> DataFrame:
+    """Every candidate ranked by error; one that scored in no fold is listed with the reason of its newest skip (``rolling_skips``,
+    ``rolling_vectors``)."""
     options = series.select("series_id").distinct().select("series_id", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    rows = options.join(metrics, ["series_id", "model"], "left")
+    why = skipped.groupBy("series_id", "model").agg(F.max_by("reason", F.struct(F.coalesce("cut", F.lit(-1)), "reason")).alias("_why"), F.count("cut").alias("skipped_folds"))
+    rows = options.join(metrics, ["series_id", "model"], "left").join(why, ["series_id", "model"], "left")
     order = Window.partitionBy("series_id").orderBy(F.col("rmse").asc_nulls_last(), "model")
-    return rows.withColumn("rank", F.when(F.col("rmse").isNotNull(), F.row_number().over(order))).withColumn(
-        "status", F.when(F.col("rmse").isNotNull(), "ok").otherwise("skipped")).withColumn("reason", F.when(F.col("rmse").isNull(), "too little history for this model"))
+    ran = F.col("rmse").isNotNull()
+    return rows.withColumns({"rank": F.when(ran, F.row_number().over(order)), "status": F.when(ran, "ok").otherwise("skipped"),
+                             "reason": F.when(~ran, F.coalesce("_why", F.lit("not asked for"))), "skipped_folds": F.coalesce("skipped_folds", F.lit(0))}).drop("_why")
 
 
 # ---- intervals, probability --------------------------------------------------------------------------------------

@@ -229,21 +229,103 @@ def ar_ols(spark, sf):
     return rounded(longs(K.autoregression(K.training(p, K.present(p), "W"), 26)))
 
 
-@query("ar_ols_drivers")
+# Least squares in SQL: Gauss-Jordan steps over the moments of rows z = [x..., y...] by key; out has the coefficients cf[x][y].
+def _solve(out: str, rows: str, keys: str, p: str) -> str:
+    """CTEs up to ``out`` (keys, p, n, cf, G: moments of z) from ``rows`` (keys, z, p: how many of z are x)."""
+    return f"""{out}_c AS (SELECT {keys}, {p} AS p, a, b, sum(z[a]*z[b]) AS s FROM {rows}, LATERAL (SELECT unnest(range(1, len(z)+1)) AS a), LATERAL (SELECT unnest(range(1, len(z)+1)) AS b) GROUP BY ALL),
+ {out}_g AS MATERIALIZED (SELECT {keys}, p, list(r ORDER BY a) AS G FROM (SELECT {keys}, p, a, list(s ORDER BY b) AS r FROM {out}_c GROUP BY ALL) GROUP BY ALL),
+ {out}_n AS (SELECT {keys}, {p} AS p, count(*) AS n FROM {rows} GROUP BY ALL),
+ {out}_s AS (SELECT {keys}, p, 0::BIGINT AS j, G[:p] AS M FROM {out}_g UNION ALL SELECT {keys}, p, j+1, list_transform(M, lambda r, i: CASE WHEN i = j+1 THEN list_transform(r, lambda v: v/M[j+1][j+1]) ELSE list_transform(r, lambda v, c: v - r[j+1]*(M[j+1][c]/M[j+1][j+1])) END) FROM {out}_s WHERE j < p),
+ {out} AS MATERIALIZED (SELECT s.*, G, n FROM (SELECT {keys}, p, list_transform(M, lambda r: r[p+1:]) AS cf FROM {out}_s WHERE j = p) s JOIN {out}_g USING ({keys}, p) JOIN {out}_n USING ({keys}, p))"""
+
+
+def _vectors(names, cuts: str, source: str, steps: int) -> str:
+    """Vector autoregression and error correction of a panel at the cuts (cut, origin), up to vq (model, cut, step, level)."""
+    k = len(names)
+    wide = ", ".join(f"max(value) FILTER (series_id = '{n}')" for n in names)
+    zero = f"list_transform(range({k}), lambda i: 0.0::DOUBLE)"
+    minus = "list_transform({0}, lambda v, i: v - {1}[i])"
+    return f"""pl AS MATERIALIZED (SELECT ts, [{wide}] AS l FROM {source} WHERE value IS NOT NULL GROUP BY ts HAVING count(*) = {k}),
+ pd AS (SELECT ts, l, lag(l) OVER (ORDER BY ts) AS l1 FROM pl), pe AS (SELECT ts, l, l1, CASE WHEN l1 IS NOT NULL THEN {minus.format("l", "l1")} END AS c FROM pd),
+ pz AS MATERIALIZED (SELECT ts, l, l1, c, lag(c, 1) OVER (ORDER BY ts) AS c1, lag(c, 2) OVER (ORDER BY ts) AS c2 FROM pe),
+ vl AS (SELECT cut, [1.0::DOUBLE] || l[2:] || l[:1] AS z, {k}::BIGINT AS p FROM pl, {cuts} WHERE ts <= origin), {_solve("li", "vl", "cut", "p")},
+ vw AS (SELECT cut, [1.0::DOUBLE] || list_transform(cf[2:], lambda r: -r[1]) AS w, -cf[1][1] AS w0 FROM li),
+ vz AS (SELECT 'vector_autoregression' AS model, cut, [1.0::DOUBLE] || c1 || c2 || c AS z, {1 + 2 * k}::BIGINT AS p FROM pz, {cuts} WHERE ts <= origin AND c2 IS NOT NULL
+  UNION ALL SELECT 'error_correction', cut, [1.0::DOUBLE] || c1 || c2 || [list_inner_product(l1, w) + w0] || c, {2 + 2 * k}::BIGINT FROM pz, {cuts} JOIN vw USING (cut) WHERE ts <= origin AND c2 IS NOT NULL), {_solve("vs", "vz", "model, cut", "p")},
+ vf AS (SELECT model, cut, cf, n, l, c, c1, w, w0 FROM vs JOIN {cuts} USING (cut) JOIN vw USING (cut) JOIN pz ON ts = origin WHERE n >= CASE model WHEN 'error_correction' THEN 60 ELSE 40 END),
+ vq AS (SELECT model, cut, 0::BIGINT AS step, l AS level, c AS d1, c1 AS d2 FROM vf UNION ALL
+  SELECT model, cut, step+1, list_transform(level, lambda v, i: v + d[i]), d, d1 FROM (SELECT q.*, list_transform(range(1, {k + 1}), lambda q_: list_sum(list_transform(x, lambda v, a: v*cf[a][q_]))) AS d
+   FROM (SELECT vq.*, cf, [1.0::DOUBLE] || d1 || d2 || CASE vq.model WHEN 'error_correction' THEN [list_inner_product(level, w) + w0] ELSE [] END AS x FROM vq JOIN vf USING (model, cut) WHERE step < {steps}) q)),
+ vm AS (SELECT model, cut, step, names.i, names.s AS series_id, level[names.i] AS pred FROM vq, (SELECT unnest([{", ".join(f"'{n}'" for n in names)}]) AS s, unnest(range(1, {k + 1})) AS i) names WHERE step > 0)"""
+
+
+# Autoregression with drivers for every (series_id, cut) of dw (ts, value, u: drivers), up to its path in dp.
+def _driven(steps: int) -> str:
+    minus = "list_transform({0}, lambda v, i: v - {1}[i])"
+    return f"""da AS (SELECT series_id, cut, ts, value, value - lag(value) OVER {_KW} AS d, u, lag(u) OVER {_KW} AS u1 FROM dw), db AS (SELECT * EXCLUDE (u, u1), CASE WHEN u1 IS NOT NULL THEN {minus.format("u", "u1")} END AS x FROM da),
+ dc AS MATERIALIZED (SELECT *, lag(d,1) OVER {_KW} AS x1, lag(d,2) OVER {_KW} AS x2, lag(d,3) OVER {_KW} AS x3, lag(d,4) OVER {_KW} AS x4 FROM db),
+ dz AS (SELECT series_id, cut, q, [1.0::DOUBLE] || [x1, x2, x4][:q] || x || [d] AS z, 1+q+len(x) AS p FROM dc, (SELECT unnest([1,2,3]::BIGINT[]) AS q) WHERE x4 IS NOT NULL), {_solve("ds", "dz", "series_id, cut, q", "p")},
+ dk AS (SELECT *, greatest(G[p+1][p+1] - list_sum(list_transform(cf, lambda r, i: r[1]*G[i][p+1])), 1e-300) AS sse FROM ds WHERE n >= 30),
+ df AS MATERIALIZED (SELECT *, n*ln(sse/n)+2*p AS aic, sqrt(sse/(n-p)) AS sigma FROM dk QUALIFY row_number() OVER (PARTITION BY series_id, cut ORDER BY n*ln(sse/n)+2*p, q) = 1),
+ dn AS (SELECT series_id, cut, arg_max(value, ts) AS lev, arg_max([x3, x2, x1, d], ts) AS ch FROM dc GROUP BY 1, 2),
+ dp AS (SELECT series_id, cut, 0::BIGINT AS step, lev AS pred, ch FROM dn UNION ALL SELECT series_id, cut, step+1, pred + v, [ch[2], ch[3], ch[4], v] FROM (
+  SELECT dp.*, cf[1][1] + cf[2][1]*ch[4] + CASE WHEN q > 1 THEN cf[3][1]*ch[3] ELSE 0 END + CASE WHEN q > 2 THEN cf[4][1]*ch[1] ELSE 0 END AS v FROM dp JOIN df USING (series_id, cut) WHERE step < {steps}))"""
+
+
+# Nested lag sets up to the season for every (series_id, cut) of tw, up to their AIC in of and the path of the best in op.
+def _seasonal(m: int, steps: int) -> str:
+    return f"""oa AS (SELECT series_id, cut, ts, value, value - lag(value) OVER {_KW} AS d FROM tw), ob AS MATERIALIZED (SELECT *, lag(d,1) OVER {_KW} AS x1, lag(d,2) OVER {_KW} AS x2, lag(d,4) OVER {_KW} AS x4, lag(d,{m}) OVER {_KW} AS xm FROM oa),
+ oz AS (SELECT series_id, cut, q, [1.0::DOUBLE] || [x1, x2, x4, xm][:q] || [d] AS z, 1+q AS p FROM ob, (SELECT unnest([1,2,3,4]::BIGINT[]) AS q) WHERE xm IS NOT NULL), {_solve("os", "oz", "series_id, cut, q", "p")},
+ od AS (SELECT *, G[p+1][p+1] - list_sum(list_transform(cf, lambda r, i: r[1]*G[i][p+1])) AS sse FROM os WHERE n >= 30), oo AS (SELECT *, n*ln(sse/n)+2*p AS aic, sqrt(sse/(n-p)) AS sigma FROM od),
+ of_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id, cut ORDER BY aic, q) = 1 AS chosen FROM oo),
+ oc AS (SELECT series_id, cut, arg_max(value, ts) AS lev, list(d ORDER BY ts) AS ch FROM ob WHERE d IS NOT NULL GROUP BY 1, 2),
+ op AS (SELECT series_id, cut, 0::BIGINT AS step, lev AS pred, ch FROM oc UNION ALL SELECT series_id, cut, step+1, pred + v, ch || [v] FROM (SELECT op.*, list_sum(list_transform(cf, lambda r, i: r[1]*CASE i WHEN 1 THEN 1.0 WHEN 2 THEN ch[-1] WHEN 3 THEN ch[-2] WHEN 4 THEN ch[-4] ELSE ch[-{m}] END)) AS v
+  FROM op JOIN of_ USING (series_id, cut) WHERE chosen AND step < {steps}))"""
+
+
+@query("lag_orders", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_seasonal(52, 1)} SELECT series_id, cut, array_to_string(([1,2,4,52]::BIGINT[])[:q], ',') AS lags, {r('aic')} AS aic, {r('sigma')} AS sigma, n, chosen FROM of_""")
+def lag_orders(spark, sf):
+    p = T.prices(spark, sf)
+    out = K.lag_orders(K.training(p, K.present(p), "W"), 52)
+    return rounded(longs(out.withColumn("lags", F.array_join(F.col("lags").cast("array<string>"), ","))))
+
+
+@query("ar_seasonal", f"""WITH RECURSIVE {PRICE}, {_PRESENT}, {_seasonal(52, 26)} SELECT op.series_id, op.cut, step, {r('pred')} AS pred, ([1,2,4,52]::BIGINT[])[:q] AS lags_used, {r('aic')} AS aic, {r('sigma')} AS sigma FROM op JOIN of_ USING (series_id, cut) WHERE chosen AND step > 0""")
+def ar_seasonal(spark, sf):
+    p = T.prices(spark, sf)
+    return rounded(longs(K.autoregression(K.training(p, K.present(p), "W"), 26, (*K.LAGS, 52))))
+
+
+def _side(freq: str) -> str:
+    label = {"W": "CAST(date_trunc('week', ts) AS DATE) + 6", "ME": "last_day(ts)"}[freq]
+    return f"""sd AS (SELECT t AS ts, [a, d] AS u FROM (SELECT {label} AS t, sum(value) AS a FROM volume WHERE series_id = 'arrivals' GROUP BY 1) JOIN (SELECT {label} AS t, avg(value) AS d FROM driver GROUP BY 1) USING (t) WHERE a IS NOT NULL AND d IS NOT NULL)"""
+
+
+def _drivers(spark, sf, freq: str):
+    return S.resample(T.arrivals(spark, sf), freq, "sum").unionByName(S.resample(T.driver(spark, sf), freq))
+
+
+DRIVER_NAMES = ["arrivals", "driver"]
+
+
+@query("ar_ols_drivers", f"""WITH RECURSIVE {PRICE}, {VOLUME}, {DRIVER}, {_side("W")}, tw AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM price GROUP BY 1, 2),
+ dw AS (SELECT series_id, -1::BIGINT AS cut, ts, value, u FROM tw JOIN sd USING (ts)), {_driven(26)} SELECT series_id, cut, step, {r('pred')} AS pred, ([1,2,4]::BIGINT[])[:q] AS lags_used, {r('aic')} AS aic, {r('sigma')} AS sigma FROM dp JOIN df USING (series_id, cut) WHERE step > 0""")
 def ar_ols_drivers(spark, sf):
     p = T.prices(spark, sf)
-    drivers = S.resample(T.volumes(spark, sf), "W", "sum").unionByName(S.resample(T.driver(spark, sf), "W"))
-    names = ["arrivals", "driver"]
-    hist = K.history(K.with_drivers(S.resample(p, "W"), drivers, names), K.present(p).withColumn("origin", F.date_add("origin", 6)), names)
-    return rounded(longs(K.autoregression(hist, 26, drivers=len(names))))
+    hist = K.history(K.with_drivers(S.resample(p, "W"), _drivers(spark, sf, "W"), DRIVER_NAMES), K.present(p).withColumn("origin", F.date_add("origin", 6)), DRIVER_NAMES)
+    return rounded(longs(K.autoregression(hist, 26, drivers=len(DRIVER_NAMES))))
 
 
-@query("var_ols")
+_MARKET_NOW = f"""WITH RECURSIVE {MARKET}, mw AS (SELECT series_id, CAST(date_trunc('week', ts) AS DATE) + 6 AS ts, avg(value) AS value FROM market GROUP BY 1, 2),
+ vc AS (SELECT -1::BIGINT AS cut, max(ts) AS origin FROM (SELECT ts FROM mw GROUP BY 1 HAVING count(*) = {len(T.MARKETS)})), {_vectors(T.MARKETS, "vc", "mw", 12)}"""
+
+
+@query("var_ols", f"{_MARKET_NOW} SELECT series_id, origin, step, {r('pred')} AS point FROM vm, vc WHERE model = 'vector_autoregression'")
 def var_ols(spark, sf):
     return rounded(longs(K.vector_autoregression(S.resample(T.market_prices(spark, sf), "W"), T.MARKETS, 12)))
 
 
-@query("error_correction")
+@query("error_correction", f"{_MARKET_NOW} SELECT series_id, origin, step, {r('pred')} AS point FROM vm, vc WHERE model = 'error_correction'")
 def error_correction(spark, sf):
     return rounded(longs(K.vector_autoregression(S.resample(T.market_prices(spark, sf), "W"), T.MARKETS, 12, correct=True)))
 
@@ -278,16 +360,47 @@ def rolling_metrics(spark, sf):
     return rounded(longs(K.pooled_metrics(_rolling(spark, sf))))
 
 
-_ROLL_METRICS = f"""{_ROLL}, rm AS (SELECT series_id, model, sqrt(avg(pow(actual-pred,2))) AS rmse, avg(abs(actual-pred)) AS mae, avg(abs((actual-pred)/actual))*100 AS mape, 1-sum(pow(actual-pred,2))/(var_pop(actual)*count(*)) AS r2,
- avg(CASE WHEN actual <> anchor THEN CASE WHEN sign(actual-anchor) = sign(pred-anchor) THEN 1.0 ELSE 0.0 END END)*100 AS da, count(DISTINCT cut) AS folds, count(*) AS points FROM rb GROUP BY 1, 2)"""
+MODELS = ["holt_winters", "autoregression", "autoregression_drivers", *K.VECTOR_MODELS]
+
+
+def _five(spark, sf):
+    """Held-out steps of all five models over monthly prices, and what each model skipped."""
+    p = landed(S.resample(T.prices(spark, sf), "ME"))
+    drivers = landed(_drivers(spark, sf, "ME"))
+    vectors, skipped = K.rolling_vectors(p, T.VARIETIES, 6)
+    points = K.rolling_backtest(p, 6, "ME", drivers, DRIVER_NAMES).unionByName(vectors)
+    return p, points, K.rolling_skips(p, 6, "ME", drivers, DRIVER_NAMES).unionByName(skipped)
+
+
+_FIVE = f"""{_ROLL}, {VOLUME}, {DRIVER}, {_side("ME")}, dw AS (SELECT tw.series_id, cut, tw.ts, value, u FROM tw JOIN sd USING (ts)), {_driven(6)},
+ pm AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM (SELECT ts FROM me GROUP BY ts HAVING count(*) = {len(T.VARIETIES)})), pu AS (SELECT *, least(5, greatest(0, floor((n-greatest(20, floor(n*0.5)))/6))) AS u, (n-i)/6.0 AS b FROM pm),
+ vc AS MATERIALIZED (SELECT CAST(u-b AS BIGINT) AS cut, ts AS origin, i AS e FROM pu WHERE b = floor(b) AND b BETWEEN 1 AND u AND i >= greatest(20, floor(n*0.5))), {_vectors(T.VARIETIES, "vc", "me", 6)},
+ vt AS (SELECT me.series_id, cut, a.value AS anchor, pm.i - e AS step, me.value AS actual FROM me JOIN pm USING (ts) JOIN vc ON pm.i - e BETWEEN 1 AND 6 JOIN me a ON a.series_id = me.series_id AND a.ts = origin),
+ r5 AS (SELECT series_id, cut, anchor, step, actual, model, pred FROM rb UNION ALL SELECT ts.series_id, ts.cut, anchor, ts.step, actual, 'autoregression_drivers', dp.pred FROM ts JOIN dp ON dp.series_id = ts.series_id AND dp.cut = ts.cut AND dp.step = ts.step JOIN df ON df.series_id = ts.series_id AND df.cut = ts.cut
+  UNION ALL SELECT vt.series_id, vt.cut, anchor, vt.step, actual, model, pred FROM vt JOIN vm ON vm.series_id = vt.series_id AND vm.cut = vt.cut AND vm.step = vt.step)"""
 
 
-@query("scoreboard", f"""{_ROLL_METRICS}, op AS (SELECT s.series_id, m.model FROM (SELECT DISTINCT series_id FROM price) s, (SELECT unnest(['holt_winters','autoregression']) AS model) m)
- SELECT op.series_id, op.model, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('r2')} AS r2, {r('da')} AS directional_accuracy, folds, points, CASE WHEN rmse IS NOT NULL THEN row_number() OVER (PARTITION BY op.series_id ORDER BY rmse NULLS LAST, op.model) END AS rank,
- CASE WHEN rmse IS NULL THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN rmse IS NULL THEN 'too little history for this model' END AS reason FROM op LEFT JOIN rm ON rm.series_id = op.series_id AND rm.model = op.model""")
+@query("rolling_five", f"{_FIVE} SELECT series_id, cut, step, {r('anchor')} AS anchor, {r('actual')} AS actual, {r('pred')} AS pred, model FROM r5")
+def rolling_five(spark, sf):
+    return rounded(longs(_five(spark, sf)[1]))
+
+
+_ROLL_METRICS = f"""{_FIVE}, rm AS (SELECT series_id, model, sqrt(avg(pow(actual-pred,2))) AS rmse, avg(abs(actual-pred)) AS mae, avg(abs((actual-pred)/actual))*100 AS mape, 1-sum(pow(actual-pred,2))/(var_pop(actual)*count(*)) AS r2,
+ avg(CASE WHEN actual <> anchor THEN CASE WHEN sign(actual-anchor) = sign(pred-anchor) THEN 1.0 ELSE 0.0 END END)*100 AS da, count(DISTINCT cut) AS folds, count(*) AS points FROM r5 GROUP BY 1, 2)"""
+
+
+@query("scoreboard", f"""{_ROLL_METRICS}, op AS (SELECT s.series_id, m.model FROM (SELECT DISTINCT series_id FROM price) s, (SELECT unnest([{', '.join(f"'{m}'" for m in MODELS)}]) AS model) m),
+ nf AS (SELECT series_id, cut, count(*) AS n FROM tw GROUP BY 1, 2), nd AS (SELECT series_id, cut, count(*) FILTER (u IS NOT NULL) AS n FROM tw LEFT JOIN sd USING (ts) GROUP BY 1, 2),
+ nv AS (SELECT vc.cut, count(*) FILTER (c2 IS NOT NULL) AS n FROM vc JOIN pz ON ts <= origin GROUP BY 1),
+ sk AS (SELECT series_id, 'holt_winters' AS model, cut, 'needs 24 periods, has ' || n AS reason FROM nf WHERE n < 24 UNION ALL SELECT series_id, 'autoregression', cut, 'needs 30 changes after lag 4, has ' || greatest(n-5, 0) FROM nf WHERE n-5 < 30
+  UNION ALL SELECT series_id, 'autoregression_drivers', cut, 'needs 30 changes beside its drivers after lag 4, has ' || greatest(n-5, 0) FROM nd WHERE n-5 < 30
+  UNION ALL SELECT s.series_id, m.model, cut, 'needs ' || need || ' complete rows of the panel, has ' || n FROM nv, (SELECT DISTINCT series_id FROM price) s, (VALUES ('vector_autoregression', 40), ('error_correction', 60)) m(model, need) WHERE n < need),
+ sw AS (SELECT series_id, model, arg_max(reason, cut) AS why, count(*) AS k FROM sk GROUP BY 1, 2)
+ SELECT op.series_id, op.model, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('mape')} AS mape, {r('r2')} AS r2, {r('da')} AS directional_accuracy, folds, points, coalesce(k, 0) AS skipped_folds, CASE WHEN rmse IS NOT NULL THEN row_number() OVER (PARTITION BY op.series_id ORDER BY rmse NULLS LAST, op.model) END AS rank,
+ CASE WHEN rmse IS NULL THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN rmse IS NULL THEN why END AS reason FROM op LEFT JOIN rm ON rm.series_id = op.series_id AND rm.model = op.model LEFT JOIN sw ON sw.series_id = op.series_id AND sw.model = op.model""")
 def scoreboard(spark, sf):
-    p = S.resample(T.prices(spark, sf), "ME")
-    return rounded(longs(K.scoreboard(K.pooled_metrics(_rolling(spark, sf)), p, ["holt_winters", "autoregression"])))
+    p, points, skipped = _five(spark, sf)
+    return rounded(longs(K.scoreboard(K.pooled_metrics(points), p, MODELS, skipped)))
 
 
 _BANDS = f"""{_ROLL.replace("tw AS (SELECT m.series_id", "tw AS (SELECT series_id, -1::BIGINT AS cut, ts, value FROM me UNION ALL SELECT m.series_id")}, sr AS (SELECT series_id, step, sqrt(avg(pow(actual-pred,2))) AS rmse FROM rb WHERE model = 'holt_winters' GROUP BY 1, 2),
