@@ -1,12 +1,15 @@
 """Landed grids to tidy observations.
 
 ``cells(source, sheet, r, c, v)`` holds the used range of every sheet of every file, blank cells with a null ``v``.
-A parser never orders a whole sheet: header cells are picked by row number, row labels by column number, and the
-body meets them through equi-joins on (source, sheet, c) and (source, sheet, r), so a sheet holding a third of all
-cells is spread over its rows.  Windows only run along a row, whose width a spreadsheet bounds.
+All configured sheets are parsed in one pass, whatever their layouts: the columns of a sheet's header become a small table that says
+what each column holds, body cells meet it, and a window along the row, whose width a spreadsheet bounds, gives them their row label.  A sheet
+holding a third of all cells is spread over its rows; the columns are broadcast while they are few, else adaptive execution
+splits what one column has too much of.
 """
 
-from dataclasses import dataclass, field
+import json
+
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,100 +78,117 @@ def unpivot(cells: DataFrame, spec: SheetSpec) -> DataFrame:
             .join(row_labels(cells, spec), SHEET + ["r"]))
 
 
-def _obs(rows: DataFrame, **cols) -> DataFrame:
-    kinds = {"ts": "date", "is_estimate": "boolean", "row_ref": "bigint"}
-    filled = {c: cols.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in OBS if c not in ("source", "sheet")}
-    filled["is_estimate"] = F.coalesce(cols.get("is_estimate", F.lit(False)), F.lit(False)).alias("is_estimate")
-    return rows.select(*SHEET, *[filled[c] for c in OBS if c not in ("source", "sheet")])
-
-
-def _column_spec(cells: DataFrame, spec: SheetSpec) -> DataFrame:
-    rows = [(h.strip().lower(), name, role) for h, (name, role) in spec.columns.items()]
-    return small_table(cells.sparkSession, "_key string, metric string, role string", rows)
-
-
-def parse_long(cells: DataFrame, spec: SheetSpec) -> DataFrame:
-    """One row per id, configured columns picked by header text; rows without id are trimmed."""
-    named = header_cells(cells, spec.header_row).withColumn("_key", F.lower("label")).join(_column_spec(cells, spec), "_key")
-    rows = body(cells, spec).join(named, SHEET + ["c"]).join(row_labels(cells, spec), SHEET + ["r"])
-    ts = coerce.to_day("id") if spec.id_role == "date" else F.lit(None)
-    return _obs(rows, row_ref=F.col("r"), id=F.col("id"), ts=ts, metric=F.col("metric"), role=F.col("role"), raw=F.col("raw"))
-
-
-def first_gap(labels: DataFrame, start: int) -> DataFrame:
-    """Row at which the labels of a sheet first stop, found by an anti-join on the next row."""
-    following = labels.select(*SHEET, (F.col("r") - 1).alias("r"))
-    ends = labels.join(following, SHEET + ["r"], "left_anti").where(F.col("r") >= start)
-    return ends.groupBy(*SHEET).agg((F.min("r") + 1).alias("stop_row"))
-
-
-def parse_year_month(cells: DataFrame, spec: SheetSpec) -> DataFrame:
-    """Year by month matrix in either orientation to month-start observations."""
-    rows = unpivot(cells, spec)
-    if "stop_at_blank_id" in spec.filters:
-        rows = rows.join(first_gap(row_labels(cells, spec), spec.data_start), SHEET).where(F.col("r") < F.col("stop_row"))
-    if "id_is_4digit_year" in spec.filters:
-        rows = rows.where(F.col("id").try_cast("int").between(1900, 2100))
-    if "exclude_total_row" in spec.filters:
-        rows = rows.where(F.lower("id") != "total")
-    year, month = ("id", "label") if spec.id_role == "year" else ("label", "id")
-    ts = coerce.month_start(F.col(year).try_cast("int"), coerce.parse_month(month))
-    return _obs(rows, row_ref=F.col("r"), id=F.col("id"), ts=ts, metric=F.lit(spec.value_name), role=F.lit(spec.value_role),
-                year_label=F.col(year), raw=F.col("raw"))
-
-
-def parse_year_columns(cells: DataFrame, spec: SheetSpec) -> DataFrame:
-    """Category by year; columns listed as estimates are flagged."""
-    return _obs(unpivot(cells, spec), row_ref=F.col("r"), id=F.col("id"), group_key=F.col("id"), metric=F.lit(spec.value_name),
-                role=F.lit(spec.value_role), year_label=F.col("label"), is_estimate=F.col("label").isin(list(spec.estimate_labels)), raw=F.col("raw"))
-
-
-def parse_merged_header(cells: DataFrame, spec: SheetSpec) -> DataFrame:
-    """Two header rows (group over metric) to (group, metric, value); single columns can be overridden."""
-    groups = filled_header(cells, spec.header_row)
-    metrics = filled_header(cells, spec.metric_row, "metric_label") if spec.metric_row != spec.header_row else groups.withColumnRenamed("group_key", "metric_label")
-    plan = groups.join(metrics, SHEET + ["c"], "full").where(F.col("c") != spec.id_col).withColumn("_key", F.lower(F.trim("metric_label")))
-    over = small_table(cells.sparkSession, "c int, _n string, _ro string, _g string", [(c, n, ro, g) for c, (n, ro, g) in spec.overrides.items()])
-    plan = plan.join(_column_spec(cells, spec), "_key", "left").join(over, "c", "left")
-    chosen = F.col("_n").isNotNull()
-    plan = plan.select(
-        *SHEET, "c", F.when(chosen, F.col("_g")).otherwise(F.col("group_key")).alias("group_key"),
-        F.coalesce("_n", "metric", F.trim("metric_label"), "group_key").alias("metric"), F.coalesce("_ro", "role", F.lit("unknown")).alias("role"),
-        (~chosen & F.coalesce(F.col("group_key").isin(list(spec.estimate_labels)), F.lit(False))).alias("is_estimate"))
-    rows = body(cells, spec).join(plan, SHEET + ["c"]).join(row_labels(cells, spec), SHEET + ["r"])
-    ts = coerce.to_day("id") if spec.id_role == "date" else F.lit(None)
-    return _obs(rows, row_ref=F.col("r"), id=F.col("id"), ts=ts, group_key=F.col("group_key"), metric=F.col("metric"), role=F.col("role"),
-                is_estimate=F.col("is_estimate"), raw=F.col("raw"))
-
-
-def parse_tracker(cells: DataFrame, spec: SheetSpec) -> DataFrame:
-    """Year and month columns next to sparse value columns."""
-    heads = header_cells(cells, spec.header_row).withColumn("_key", F.lower("label"))
-    picked = heads.where(F.col("_key").isin(spec.year_column.lower(), spec.month_column.lower()))
-    parts = cells.where(F.col("r") >= spec.data_start).join(picked, SHEET + ["c"]).groupBy(*SHEET, "r").agg(
-        F.max(F.when(F.col("_key") == spec.year_column.lower(), F.col("v"))).alias("year_label"),
-        F.max(F.when(F.col("_key") == spec.month_column.lower(), F.col("v"))).alias("month_label")).where(
-        F.col("year_label").isNotNull() | F.col("month_label").isNotNull())
-    named = heads.join(_column_spec(cells, spec), "_key")
-    rows = cells.where(F.col("r") >= spec.data_start).select(*SHEET, "r", "c", F.col("v").alias("raw")).join(named, SHEET + ["c"]).join(parts, SHEET + ["r"])
-    ts = coerce.month_start(F.col("year_label").try_cast("int"), coerce.parse_month("month_label"))
-    return _obs(rows, row_ref=F.col("r"), id=F.concat_ws(" ", "year_label", "month_label"), ts=ts, metric=F.col("metric"), role=F.col("role"),
-                year_label=F.col("year_label"), raw=F.col("raw"))
-
-
-LAYOUTS = {"long": parse_long, "wide_pivot_year_month": parse_year_month, "wide_pivot_year_cols": parse_year_columns,
-           "wide_pivot_merged_header": parse_merged_header, "sparse_tracker": parse_tracker}
+def first_gap(labels: DataFrame) -> DataFrame:
+    """Row at which the labels of a sheet (r, k, start) first stop, found by an anti-join on the next row."""
+    keys = [*SHEET, "k"]
+    ends = labels.join(labels.select(*keys, (F.col("r") - 1).alias("r")), [*keys, "r"], "left_anti").where(F.col("r") >= F.col("start"))
+    return ends.groupBy(*keys).agg((F.min("r") + 1).alias("stop_row"))
+
+
+_NAMED = "struct<name:string,role:string,group:string>"
+_SPEC = (f"layout string, id_col int, header_row int, metric_row int, data_start int, max_col int, id_role string, value_name string, value_role string, year_column string, "
+         f"month_column string, filters array<string>, estimates array<string>, columns map<string,{_NAMED}>, overrides map<string,{_NAMED}>")
+NATIVE = ("long", "wide_pivot_year_month", "wide_pivot_year_cols", "wide_pivot_merged_header", "sparse_tracker")
+
+
+def spec_table(spark, specs) -> DataFrame:
+    """Specs as rows: sheet, ``k`` (its number) and ``s``, a struct of its layout; an inline table, whose size the optimiser knows."""
+    def row(x):
+        named = {h.strip().lower(): {"name": n, "role": ro} for h, (n, ro) in x.columns.items()}
+        over = {str(c): {"name": n, "role": ro, "group": g} for c, (n, ro, g) in x.overrides.items()}
+        return json.dumps({"layout": x.layout, "id_col": x.id_col, "header_row": x.header_row, "metric_row": x.metric_row or x.header_row, "data_start": x.data_start, "max_col": x.max_col,
+                           "id_role": x.id_role, "value_name": x.value_name, "value_role": x.value_role, "year_column": x.year_column.lower(), "month_column": x.month_column.lower(),
+                           "filters": list(x.filters), "estimates": list(x.estimate_labels), "columns": named, "overrides": over})
+    rows = small_table(spark, "sheet string, k int, spec string", [(x.sheet, k, row(x)) for k, x in enumerate(specs)])
+    return rows.select("sheet", "k", F.from_json("spec", _SPEC).alias("s"))
+
+
+def _columns(placed: DataFrame) -> DataFrame:
+    """What each column of a sheet holds by its header: label, group_key, metric, role, is_estimate and whether it is read (``used``)."""
+    along = Window.partitionBy(*SHEET, "k", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    text = F.when(_has(), F.trim("v"))
+    rows = placed.where((F.col("r") == F.col("s.header_row")) | (F.col("r") == F.col("s.metric_row")))
+    filled = rows.select(*SHEET, "k", "s", "r", "c", text.alias("t"), F.last(text, ignorenulls=True).over(along).alias("fill"))
+    of = lambda row, value: F.max(F.when(F.col("r") == F.col(f"s.{row}"), F.col(value)))
+    heads = filled.groupBy(*SHEET, "k", "c").agg(of("header_row", "t").alias("label"), of("header_row", "fill").alias("grp"), of("metric_row", "fill").alias("low"), F.any_value("s").alias("s"))
+    layout = F.col("s.layout")
+    merged, pivot = layout == "wide_pivot_merged_header", layout.isin("wide_pivot_year_month", "wide_pivot_year_cols")
+    header = F.when(merged, F.trim("low")).otherwise(F.col("label"))
+    named = F.coalesce(F.try_element_at("s.columns", F.lower(header)), F.try_element_at("s.columns", F.lower(coerce.without_unit_clause(header))))
+    heads = heads.withColumns({"n": named, "o": F.when(merged, F.try_element_at("s.overrides", F.col("c").cast("string")))})
+    used = F.when(merged, F.coalesce("grp", "low").isNotNull()).when(pivot, F.col("label").isNotNull()).otherwise(F.col("n").isNotNull())
+    inside = ((layout == "sparse_tracker") | (F.col("c") != F.col("s.id_col"))) & (F.col("s.max_col").isNull() | (F.col("c") <= F.col("s.max_col")))
+    is_estimate = F.when(merged, F.col("o").isNull() & F.array_contains("s.estimates", F.col("grp"))).when(layout == "wide_pivot_year_cols", F.array_contains("s.estimates", F.col("label")))
+    return heads.select(
+        *SHEET, "k", "c", "label", (used & inside).alias("used"), F.when(merged, F.when(F.col("o").isNotNull(), F.col("o.group")).otherwise(F.col("grp"))).alias("group_key"),
+        F.when(merged, F.coalesce("o.name", "n.name", F.trim("low"), "grp")).when(pivot, F.col("s.value_name")).otherwise(F.col("n.name")).alias("metric"),
+        F.when(merged, F.coalesce("o.role", "n.role", F.lit("unknown"))).when(pivot, F.col("s.value_role")).otherwise(F.col("n.role")).alias("role"), F.coalesce(is_estimate, F.lit(False)).alias("is_estimate"))
+
+
+def parse_tagged(cells: DataFrame, specs) -> DataFrame:
+    """Body cells of the sheets that ``specs`` lay out, as observations with a ``tag``: observation, or what a filter of the sheet's spec sets
+    apart: ``total`` (a supplied total row), ``legend`` (a label that is no year) or ``below`` (what follows the first gap).
+
+    A header is matched as it stands, else without its unit clause.  Years whose label marks them as projected are estimates.  A sheet
+    with several specs is parsed by each; other layouts, and sheets without a spec, give no rows.
+    """
+    known = [x for x in specs if x.layout in NATIVE]
+    layouts = {x.layout for x in known}
+
+    def laid_out(*names):
+        """Whether the sheet has one of these layouts; decided here where all specs agree."""
+        if layouts <= set(names):
+            return F.lit(True)
+        return F.col("layout").isin(list(names)) if layouts & set(names) else F.lit(False)
+    table = spec_table(cells.sparkSession, known)
+    placed = cells.join(table, "sheet")
+    columns = _columns(placed)
+    asked = {f: F.array_contains("s.filters", F.lit(f)).alias(f) for f in ("stop_at_blank_id", "id_is_4digit_year", "exclude_total_row")}
+    body = placed.where(F.col("r") >= F.col("s.data_start")).select(*SHEET, "k", "r", "c", "v", "s.layout", "s.id_col", "s.id_role", "s.data_start", "s.year_column", "s.month_column", *asked.values())
+    body = body.join(columns, [*SHEET, "k", "c"], "left")
+    tracker, pivot, by_month = laid_out("sparse_tracker"), laid_out("wide_pivot_year_month", "wide_pivot_year_cols"), laid_out("wide_pivot_year_month")
+    row = Window.partitionBy(*SHEET, "k", "r")
+    filled = lambda here: F.max(F.when(here & _has(), F.trim("v"))).over(row)
+    body = body.withColumns({"_id": F.when(~tracker, filled(F.col("c") == F.col("id_col"))), "_y": F.when(tracker, filled(F.lower("label") == F.col("year_column"))),
+                             "_m": F.when(tracker, filled(F.lower("label") == F.col("month_column")))})
+    body = body.where(F.coalesce("_id", "_y", "_m").isNotNull())
+    tag = F.when(F.col("exclude_total_row") & (F.lower("_id") == "total"), "total").when(F.col("id_is_4digit_year") & ~F.coalesce(F.col("_id").try_cast("int").between(1900, 2100), F.lit(False)), "legend")
+    if any("stop_at_blank_id" in x.filters for x in known):
+        ids = placed.where(F.array_contains("s.filters", F.lit("stop_at_blank_id")) & (F.col("c") == F.col("s.id_col")) & (F.col("r") >= F.col("s.data_start")) & _has())
+        body = body.join(first_gap(ids.select(*SHEET, "k", "r", F.col("s.data_start").alias("start"))), [*SHEET, "k"], "left")
+        tag = F.when(F.col("stop_at_blank_id") & F.coalesce(F.col("r") >= F.col("stop_row"), F.lit(True)), "below").otherwise(tag)
+    body = body.where("used").withColumn("tag", F.coalesce(F.when(by_month, tag), F.lit("observation")))
+    by_id = F.col("id_role") == "year"
+    year = F.when(tracker, F.col("_y")).when(by_month & by_id, F.col("_id")).when(pivot, F.col("label"))
+    month = F.when(tracker, F.col("_m")).when(by_id, F.col("label")).otherwise(F.col("_id"))
+    ts = F.when(laid_out("long", "wide_pivot_merged_header"), F.when(F.col("id_role") == "date", coerce.to_day("_id"))).when(tracker | by_month, coerce.month_start(year.try_cast("int"), coerce.parse_month(month)))
+    return body.select(*SHEET, F.col("r").cast("bigint").alias("row_ref"), F.when(tracker, F.concat_ws(" ", "_y", "_m")).otherwise(F.col("_id")).alias("id"), ts.alias("ts"),
+                       F.when(laid_out("wide_pivot_year_cols"), F.col("_id")).otherwise(F.col("group_key")).alias("group_key"), "metric", "role", year.alias("year_label"),
+                       F.when(by_month, F.coalesce(coerce.is_projection_label(year), F.lit(False))).otherwise(F.col("is_estimate")).alias("is_estimate"), F.col("v").alias("raw"), "tag")
 
 
 def parse(cells: DataFrame, specs) -> DataFrame:
-    """Every configured sheet of every source as one observation table."""
-    out = cells.sparkSession.createDataFrame([], OBS_SCHEMA)
-    for s in specs:
-        if s.layout in LAYOUTS:
-            out = out.unionByName(LAYOUTS[s.layout](cells.where(F.col("sheet") == s.sheet), s))
+    """Every configured sheet of every source as one observation table.  Layouts added to ``LAYOUTS`` are parsed by their own functions."""
+    out = parse_tagged(cells, specs).where("tag = 'observation'").select(*OBS)
+    for x in specs:
+        if x.layout not in NATIVE and x.layout in LAYOUTS:
+            out = out.unionByName(LAYOUTS[x.layout](cells.where(F.col("sheet") == x.sheet), x))
     return out
 
 
+def _one_sheet(layout: str):
+    def parsed(cells: DataFrame, spec: SheetSpec) -> DataFrame:
+        return parse(cells, [replace(spec, layout=layout)])
+    parsed.__doc__ = f"The sheet of one spec, laid out as {layout}."
+    return parsed
+
+
+#: Parsers by layout: of one row per id under named columns, year by month in either orientation, category by year, two header rows
+#: (group over metric), year and month columns next to sparse values.
+LAYOUTS = {layout: _one_sheet(layout) for layout in NATIVE}
+parse_long, parse_year_month, parse_year_columns, parse_merged_header, parse_tracker = (LAYOUTS[layout] for layout in NATIVE)
+
+
 def sheet_status(cells: DataFrame, specs) -> DataFrame:
     """Each configured or found sheet with what happened to it: parsed, skipped with a reason, or unconfigured."""
     rows = [(s.sheet, s.layout, s.reason or "derived sheet, not read as a source") for s in specs]

@@ -69,13 +69,25 @@ def _book(spark, sf):
 SPECS = [YEAR_MONTH, DAILY, QUOTES, BALANCES, STOCK, R.SheetSpec("Correlations", "derived_skip"), R.SheetSpec("Missing sheet", "long")]
 
 
-@query("parse_workbook", """SELECT 'Monthly price' AS sheet, (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate))) AS observations
- UNION ALL SELECT 'Daily', (SELECT 2*count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_linestatus, CAST(l_shipdate AS DATE)))
- UNION ALL SELECT 'Varieties', (SELECT 3*count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)))
- UNION ALL SELECT 'Balance', (SELECT count(*) FROM (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type, year(l_shipdate))) + 2*(SELECT count(DISTINCT year(l_shipdate)) FROM lineitem)
- UNION ALL SELECT 'Stock', (SELECT 2*count(*) FROM (SELECT 1 FROM lineitem GROUP BY date_trunc('month', l_shipdate)))""")
+@query("parse_workbook", f"""WITH {PRICE}, {BALANCE}, d AS (SELECT CAST(l_shipdate AS DATE) AS ts, l_linestatus AS source, sum(l_quantity) AS q, max(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2),
+ o AS (SELECT o_orderpriority AS g, CAST(o_orderdate AS DATE) AS ts, min(o_totalprice) AS low_price, max(o_totalprice) AS high_price, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS avg_price FROM orders GROUP BY 1, 2),
+ u AS (SELECT 'Monthly price' AS sheet, series_id AS source, CAST(date_trunc('month', ts) AS DATE) AS ts, NULL AS group_key, 'value' AS metric, 'price' AS role, CAST(year(ts) AS VARCHAR) AS year_label, false AS is_estimate, avg(value) AS value FROM price GROUP BY ALL
+  UNION ALL SELECT 'Daily', source, ts, NULL, 'arrivals', 'arrival', NULL, false, CASE WHEN isodow(ts) <> 7 THEN q END FROM d UNION ALL SELECT 'Daily', source, ts, NULL, 'price', 'price', NULL, false, p FROM d
+  UNION ALL SELECT 'Varieties', 'quotes', ts, g, m, 'price', NULL, false, v FROM (UNPIVOT o ON low_price, high_price, avg_price INTO NAME m VALUE v)
+  UNION ALL SELECT 'Balance', 'balance', NULL, category, 'value', 'production', year_label, is_estimate AND year_label = '2001(exp)', value FROM balance
+  UNION ALL SELECT 'Stock', 'tracker', CAST(date_trunc('month', ts) AS DATE), NULL, CASE source WHEN 'F' THEN 'north' ELSE 'south' END, 'storage_stock', CAST(year(ts) AS VARCHAR), false, sum(q) FROM d GROUP BY ALL)
+ SELECT sheet, source, ts, group_key, metric, role, year_label, is_estimate, {r('value')} AS value FROM u WHERE value IS NOT NULL""")
 def parse_workbook(spark, sf):
-    return R.parse(_book(spark, sf), SPECS).groupBy("sheet").agg(F.count(F.lit(1)).alias("observations"))
+    obs = R.parse(_book(spark, sf), SPECS).withColumn("value", coerce.to_number("raw")).where("value is not null")
+    return rounded(obs.select("sheet", "source", "ts", "group_key", "metric", "role", "year_label", "is_estimate", "value"))
+
+
+@query("parse_tags", f"""WITH {PRICE}, m AS (SELECT series_id, month(ts) AS mo, CAST(date_trunc('month', ts) AS DATE) AS ts, avg(value) AS v FROM price GROUP BY ALL), s AS (SELECT DISTINCT series_id FROM price)
+ SELECT series_id AS source, 'observation' AS tag, count(*) AS cells, {r('sum(v)', 2)} AS total FROM m GROUP BY 1 UNION ALL SELECT series_id, 'total', count(DISTINCT mo), {r('sum(v)', 2)} FROM m GROUP BY 1 UNION ALL SELECT series_id, 'legend', 1, 100.0::DOUBLE FROM s""")
+def parse_tags(spark, sf):
+    """Observations, supplied totals and legend of the monthly sheets."""
+    tagged = R.parse_tagged(landed(G.year_month_sheet(spark, sf)), [YEAR_MONTH]).withColumn("value", coerce.to_number("raw")).where("value is not null")
+    return rounded(tagged.groupBy("source", "tag").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total")), 2)
 
 
 @query("sheet_status", """SELECT * FROM (VALUES ('Monthly price','wide_pivot_year_month',(SELECT count(DISTINCT o_orderpriority) FROM orders),'parsed',NULL), ('Daily','long',(SELECT count(DISTINCT l_linestatus) FROM lineitem),'parsed',NULL),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.operators.series import resample
 from tidemark.sources import tables as T
+from tidemark.sources.store import landed
 
 
 def _cells(rows: DataFrame, source, sheet: str, r: Column, c: Column, v: Column) -> DataFrame:
@@ -15,6 +16,14 @@ def _cells(rows: DataFrame, source, sheet: str, r: Column, c: Column, v: Column)
                        r.cast("bigint").alias("r"), c.cast("int").alias("c"), v.cast("string").alias("v"))
 
 
+def _spread(rows: DataFrame, source, sheet: str, r: Column, values: list, first: Column | int = 1) -> DataFrame:
+    """Neighbouring cells of each row, from column ``first``, in one pass."""
+    base = F.lit(first) if isinstance(first, int) else first
+    cells = F.array(*[F.struct((base + i).cast("int").alias("c"), v.cast("string").alias("v")) for i, v in enumerate(values)])
+    own = F.col(source) if isinstance(source, str) else source
+    return rows.select(own.alias("source"), F.lit(sheet).alias("sheet"), r.cast("bigint").alias("r"), F.inline(cells))
+
+
 def _header(sources: DataFrame, sheet: str, r: int, labels: dict) -> DataFrame:
     """Fixed header labels repeated for every source; keys are columns."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in labels.items()]))
@@ -27,7 +36,7 @@ def union(parts) -> DataFrame:
 
 def year_month_sheet(spark, sf_dir) -> DataFrame:
     """One workbook per variety: years down, months across, a total row and a legend below."""
-    m = resample(T.prices(spark, sf_dir), "MS").select(F.col("series_id").alias("source"), F.year("ts").alias("y"), F.month("ts").alias("m"), "value")
+    m = landed(resample(T.prices(spark, sf_dir), "MS").select(F.col("series_id").alias("source"), F.year("ts").alias("y"), F.month("ts").alias("m"), "value"))
     sources = m.select("source").distinct()
     body = _cells(m, "source", "Monthly price", F.col("y") - 1990, F.col("m") + 1, F.col("value"))
     ids = _cells(m.select("source", "y").distinct(), "source", "Monthly price", F.col("y") - 1990, F.lit(1), F.col("y"))
@@ -39,35 +48,34 @@ def year_month_sheet(spark, sf_dir) -> DataFrame:
 def daily_sheet(spark, sf_dir) -> DataFrame:
     """Date, price-like and volume columns under one header, one workbook for each line status."""
     li = T.read(spark, sf_dir, "lineitem")
-    d = li.groupBy(F.col("l_linestatus").alias("source"), F.to_date("l_shipdate").alias("ts")).agg(
-        F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("p"))
+    d = landed(li.groupBy(F.col("l_linestatus").alias("source"), F.to_date("l_shipdate").alias("ts")).agg(
+        F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("p")))
     r = F.datediff("ts", F.lit("1990-01-01").cast("date"))
     sources = d.select("source").distinct()
     return union([_header(sources, "Daily", 1, {1: "Date", 2: "Arrivals (bags)", 3: "Price", 4: "Remark"}),
-                  _cells(d, "source", "Daily", r, F.lit(1), F.date_format("ts", "dd-MMM-yyyy")),
-                  _cells(d, "source", "Daily", r, F.lit(2), F.when(F.dayofweek("ts") == 1, "Closed").otherwise(F.col("q").cast("string"))),
-                  _cells(d, "source", "Daily", r, F.lit(3), F.concat(F.lit(" "), F.format_string("%.2f", "p"))), _cells(d, "source", "Daily", r, F.lit(4), F.lit("x"))])
+                  _spread(d, "source", "Daily", r, [F.date_format("ts", "dd-MMM-yyyy"), F.when(F.dayofweek("ts") == 1, "Closed").otherwise(F.col("q").cast("string")),
+                                                    F.concat(F.lit(" "), F.format_string("%.2f", "p")), F.lit("x")])])
 
 
 def quote_sheet(spark, sf_dir) -> DataFrame:
     """Low, high and average per variety under a merged variety header."""
-    q = T.quotes(spark, sf_dir).select("series_id", "ts", "low", "high", "avg")
+    q = landed(T.quotes(spark, sf_dir).select("series_id", "ts", "low", "high", "avg"))
     r = F.datediff("ts", F.lit("1990-01-01").cast("date"))
     spot = F.create_map(*[F.lit(x) for i, v in enumerate(T.VARIETIES) for x in (v, 2 + 3 * i)])
     base = F.try_element_at(spot, F.col("series_id"))
-    parts = [_cells(q, F.lit("quotes"), "Varieties", r, base + i, F.col(c)) for i, c in enumerate(("low", "high", "avg"))]
+    quoted = _spread(q, F.lit("quotes"), "Varieties", r, [F.col(c) for c in ("low", "high", "avg")], base)
     one = q.select(F.lit("quotes").alias("source")).distinct()
     group = {c: (T.VARIETIES[(c - 2) // 3] if (c - 2) % 3 == 0 else None) for c in range(2, 2 + 3 * len(T.VARIETIES))}
     metric = {c: ("Low", "High", "Avg")[(c - 2) % 3] for c in group}
     ids = _cells(q.select("ts").distinct(), F.lit("quotes"), "Varieties", r, F.lit(1), F.col("ts"))
-    return union([_header(one, "Varieties", 1, {1: "Date", **group}), _header(one, "Varieties", 2, metric), ids, *parts])
+    return union([_header(one, "Varieties", 1, {1: "Date", **group}), _header(one, "Varieties", 2, metric), ids, quoted])
 
 
 def balance_sheet(spark, sf_dir) -> DataFrame:
     """Lines by year with an expected last year, a title row above the header."""
     b = T.balance(spark, sf_dir)
     r = F.dense_rank().over(Window.partitionBy("year_label").orderBy("category")) + 3
-    rows = b.withColumn("_r", r).withColumn("source", F.lit("balance"))
+    rows = landed(b.withColumn("_r", r).withColumn("source", F.lit("balance")))
     one = rows.select("source").distinct()
     return union([_header(one, "Balance", 1, {1: "Supply and demand"}), _header(one, "Balance", 3, {1: "Particulars"}),
                   _cells(rows.select("source", "year", "year_label").distinct(), "source", "Balance", F.lit(3), F.col("year") - 1993, F.col("year_label")),
@@ -81,16 +89,15 @@ def tracker_sheet(spark, sf_dir) -> DataFrame:
     m = li.groupBy(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).agg(
         F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("f"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("o"))
     r = (F.col("y") - 1990) * 12 + F.col("m")
-    m = m.withColumn("source", F.lit("tracker"))
+    m = landed(m.withColumn("source", F.lit("tracker")))
     names = F.element_at(F.array(*[F.lit(x.title()) for x in fixed.MONTHS]), F.col("m"))
     return union([_header(m.select("source").distinct(), "Stock", 1, {1: "Year", 2: "Month", 3: "North stock", 4: "South stock"}),
-                  _cells(m, "source", "Stock", r, F.lit(1), F.col("y")), _cells(m, "source", "Stock", r, F.lit(2), names),
-                  _cells(m, "source", "Stock", r, F.lit(3), F.col("f")), _cells(m, "source", "Stock", r, F.lit(4), F.col("o"))])
+                  _spread(m, "source", "Stock", r, [F.col("y"), names, F.col("f"), F.col("o")])])
 
 
 def stacked_sheet(spark, sf_dir) -> DataFrame:
     """Months down, years across, twice: the second block is the first in another unit."""
-    e = T.exports(spark, sf_dir).select(F.year("ts").alias("y"), F.month("ts").alias("m"), "value").withColumn("source", F.lit("exports"))
+    e = landed(T.exports(spark, sf_dir).select(F.year("ts").alias("y"), F.month("ts").alias("m"), "value").withColumn("source", F.lit("exports")))
     names = F.element_at(F.array(*[F.lit(x.title()) for x in fixed.MONTHS]), F.col("m"))
     parts = []
     for top, factor in ((1, 1.0), (20, 0.045)):
