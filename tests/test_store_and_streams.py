@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import reshape as R
 from tidemark.plans import insights as I
 from tidemark.sources import store
-from tidemark.streaming import live, refresh as job
+from tidemark.streaming import live, refresh as job, runner
 
 SPECS = [R.SheetSpec("Daily", "long", columns={"Price": ("price", "price")})]
 
@@ -34,6 +34,9 @@ def test_refresh_writes_every_tier_and_reports(spark, folder, rows):
     with pytest.raises(FileNotFoundError):
         store.read_clean(spark, f"{folder}/clean", "Nothing")
     assert job.refresh(spark, c.drop("v"), SPECS, folder, "r2")["status"] == "failed"
+    broken = c.withColumn("v", F.when(F.col("r") > 1, F.raise_error(F.lit("unreadable cell")).cast("string")).otherwise(F.col("v")))
+    assert "unreadable cell" in job.refresh(spark, broken, SPECS, folder, "r3")["error"]
+    assert store.finished(spark, f"{folder}/raw") == ["r1"] and store.read_tier(spark, f"{folder}/raw").count() == 2  # never a version without its sheets
 
 
 def test_watching_two_deliveries_equals_one(spark, folder, rows):
@@ -73,9 +76,11 @@ def test_tokens_duplicates_and_broken_sheets(spark, folder, monkeypatch):
     def sheet(name, *rows):
         grid = [("Date", "Price"), *rows]
         return [("w", name, r + 1, c + 1, v) for r, row in enumerate(grid) for c, v in enumerate(row)]
-    data = sheet("A", ("2024-01-01", "#DIV/0!"), ("2024-01-02", "5"), ("2024-01-02", "5"), ("soon", "7")) + sheet("B", ("2024-01-01", "#DIV/0!")) + sheet("C", ("2024-01-01", "1"))
+    years = [("w", "Y", 1, 1, "Year"), ("w", "Y", 1, 2, "Price"), ("w", "Y", 2, 1, "FY 24"), ("w", "Y", 2, 2, "3")]  # its labels are no dates
+    data = years + sheet("A", ("2024-01-01", "#DIV/0!"), ("2024-01-02", "5"), ("2024-01-02", "5"), ("soon", "7")) + sheet("B", ("2024-01-01", "#DIV/0!")) + sheet("C", ("2024-01-01", "1"))
     columns = {"Price": ("price", "price")}
-    specs = [R.SheetSpec("A", "long", columns=columns, tokens=("#DIV/0!",)), R.SheetSpec("B", "long", columns=columns), R.SheetSpec("C", "broken", columns=columns)]
+    specs = [R.SheetSpec("A", "long", columns=columns, tokens=("#DIV/0!",)), R.SheetSpec("B", "long", columns=columns), R.SheetSpec("C", "broken", columns=columns),
+             R.SheetSpec("Y", "long", columns=columns, id_role="year")]
 
     def broken(cells, spec):
         raise ValueError("unreadable")
@@ -88,7 +93,7 @@ def test_tokens_duplicates_and_broken_sheets(spark, folder, monkeypatch):
     log = spark.read.json(f"{folder}/cleaning_log")
     assert [(r["row_ref"], r["new_value"]) for r in log.where("action = 'duplicate_row_dropped'").collect()] == [(4, "row 3")]
     sheets = {r["sheet"]: (r["status"], r["newly_null_dates"]) for r in spark.read.parquet(f"{folder}/sheets").collect()}
-    assert sheets == {"A": ("parsed", 1), "B": ("parsed", 0), "C": ("failed", 0)}
+    assert sheets == {"A": ("parsed", 1), "B": ("parsed", 0), "C": ("failed", 0), "Y": ("parsed", 0)}
 
 
 def test_out_of_order_files_lose_nothing(spark, folder, rows):
@@ -125,7 +130,26 @@ def test_results_keep_refreshes_and_gate_training(spark, folder, series, rows):
 
 def test_one_failing_generator_does_not_hide_the_rest(spark, rows):
     notes = spark.createDataFrame([("s", "n")], "series_id string, note string")
-    found, failed = I.generate_all({"good": lambda: I.data_quality(notes), "bad": lambda: 1 / 0})
-    assert found.count() == 1 and failed[0][0] == "bad"
+    late = notes.withColumn("note", F.raise_error(F.lit("x" * 400)).cast("string"))  # fails in a task
+    found, failed = I.generate_all({"good": lambda: I.data_quality(notes), "bad": lambda: 1 / 0, "late": lambda: I.data_quality(late)})
+    assert found.count() == 1 and [f[0] for f in failed] == ["bad", "late"] and "x" * 400 in failed[1][1]
+    every = I.with_failures(spark, found, failed).collect()
+    assert [r["category"] for r in every] == ["Data quality", "bad", "late"] and every[2]["strength"] == "not available" and I.with_failures(spark, None, failed).count() == 2
     mixed = I.data_quality(notes).unionByName(I.finding(notes, "A", F.lit("h"), F.lit("d"), "strong")).unionByName(I.finding(notes, "B", F.lit("h"), F.lit("d"), "weak"))
     assert [r["strength"] for r in I.ranked(mixed).collect()] == ["strong", "weak", "data gap"] and I.highlights(mixed).count() == 1
+
+
+def test_a_failing_module_leaves_its_status_and_the_other_results(spark, folder, series, rows):
+    p = series({"a": [1, 2], "b": [3]})
+    fail = {"on": True}
+    steps = [runner.Module("sums", lambda t: t["p"].groupBy("series_id").agg(F.sum("value").alias("s")), ("p",)),
+             runner.Module("in_a_task", lambda t: t["p"].withColumn("value", F.raise_error(F.lit("bad row"))) if fail["on"] else t["p"], ("p",)),
+             runner.Module("planned_wrong", lambda t: t["p"].select("no_such_column"), ("p",)), runner.Module("needs_it", lambda t: t["in_a_task"], ("in_a_task",)),
+             runner.Module("from_a_module", lambda t: t["sums"].where("s > 2"), ("sums",))]
+    got = {r["module"]: (r["status"], r["rows"], r["reason"] or "") for r in rows(runner.run_modules(spark, steps, {"p": p}, folder, "r1"))}
+    assert got["sums"] == ("ok", 2, "") and got["from_a_module"] == ("ok", 2, "") and got["needs_it"] == ("skipped", None, "needs in_a_task")
+    assert got["in_a_task"][0] == "failed" and "bad row" in got["in_a_task"][2] and got["planned_wrong"][0] == "failed" and "no_such_column" in got["planned_wrong"][2]
+    assert store.read_result(spark, f"{folder}/sums").count() == 2 and store.finished(spark, f"{folder}/in_a_task") == []
+    fail["on"] = False
+    again = {r["module"]: r["status"] for r in rows(runner.run_modules(spark, steps, {"p": p}, folder, "r1"))}
+    assert again["needs_it"] == "ok" and spark.read.parquet(f"{folder}/module_runs").count() == 5

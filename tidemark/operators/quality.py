@@ -71,9 +71,10 @@ def without_duplicate_rows(clean: DataFrame):
     return clean.join(kept, ROW, "left_semi"), log
 
 
-def newly_null_dates(obs: DataFrame) -> DataFrame:
-    """Rows per sheet whose label is no date although it should be one."""
-    rows = obs.where(F.col("id").isNotNull() & F.col("ts").isNull()).select(*ROW).distinct()
+def newly_null_dates(obs: DataFrame, sheets) -> DataFrame:
+    """Rows per sheet whose label is no date although it should be one.  ``sheets`` names those that promise dates; a sheet of years,
+    categories or plain ids has none to lose."""
+    rows = obs.where(F.col("sheet").isin(list(sheets)) & F.col("id").isNotNull() & F.col("ts").isNull()).select(*ROW).distinct()
     return rows.groupBy("source", "sheet").agg(F.count(F.lit(1)).alias("newly_null_dates"))
 
 

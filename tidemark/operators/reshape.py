@@ -91,6 +91,11 @@ _SPEC = (f"layout string, id_col int, header_row int, metric_row int, data_start
 NATIVE = ("long", "wide_pivot_year_month", "wide_pivot_year_cols", "wide_pivot_merged_header", "sparse_tracker")
 
 
+def promises_dates(spec: SheetSpec) -> bool:
+    """Whether every row of a sheet has to have a date."""
+    return spec.layout in ("wide_pivot_year_month", "sparse_tracker") or spec.layout in ("long", "wide_pivot_merged_header") and spec.id_role == "date"
+
+
 def spec_table(spark, specs) -> DataFrame:
     """Specs as rows: sheet, ``k`` (its number) and ``s``, a struct of its layout; an inline table, whose size the optimiser knows."""
     def row(x):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.config import GATES
 from tidemark.functions.coerce import strength_label
 from tidemark.fixed import MONTHS
+from tidemark.operators.series import small_table
+from tidemark.sources.store import landed
 
 # Order of strengths in a ranked list.
 STRENGTHS = ["strong", "moderate", "weak", "informational", "data gap"]
@@ -186,11 +188,19 @@ def highlights(findings: DataFrame, limit: int = 6) -> DataFrame:
 
 
 def generate_all(generators: dict):
-    """Run every generator; one that fails is reported and does not stop the others: (findings, failures)."""
+    """Run every generator; one that fails, while it is planned or in a task, is reported and does not stop the others: (findings, failures)."""
     done, failed = [], []
     for name, build in generators.items():
         try:
-            done.append(build())
+            done.append(landed(build()))
         except Exception as error:  # a missing input must not hide the other findings
-            failed.append((name, f"{type(error).__name__}: {error}"[:300]))
+            failed.append((name, f"{type(error).__name__}: {error}"))
     return ranked(together(done)) if done else None, failed
+
+
+def with_failures(spark, findings: DataFrame | None, failed) -> DataFrame:
+    """Findings with a row for each generator that failed, after all others."""
+    rows = small_table(spark, "category string, why string", failed)
+    lost = ranked(rows.select("category", F.lit("could not be computed").alias("headline"), F.col("why").alias("detail"), F.lit("not available").alias("strength"), F.lit("n/a").alias("direction"),
+                              F.array().cast("array<string>").alias("evidence")))
+    return lost if findings is None else findings.unionByName(lost) if failed else findings

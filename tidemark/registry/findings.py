@@ -5,11 +5,11 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q, regress as G, reshape, seasonal as M, series as S, stats, windows as W
-from tidemark.plans import insights as I, modules as X
+from tidemark.plans import insights as I, modules as X, scores as Z
 from tidemark.registry.base import DRIVER, MARKET, PAIRS, PRICE, longs, query
 from tidemark.registry.landing import STOCK
 from tidemark.sources import grids, store, tables as T
-from tidemark.streaming import live
+from tidemark.streaming import live, runner
 
 
 class Inputs:
@@ -132,18 +132,26 @@ def insights_storage_premium(spark, sf):
 def insights(spark, sf):
     d = Inputs(spark, sf)
     found, failed = I.generate_all({n: (lambda f=f: f(d)) for n, f in GENERATORS.items()})
-    if failed:
-        raise RuntimeError(str(failed))
-    return longs(_flat(found))
+    return longs(_flat(I.with_failures(spark, found, failed)))
 
 
 @query("executive_highlights")
 def executive_highlights(spark, sf):
     d = Inputs(spark, sf)
     found, failed = I.generate_all({n: (lambda f=f: f(d)) for n, f in GENERATORS.items()})
-    if failed:
-        raise RuntimeError(str(failed))
-    return longs(_flat(I.highlights(found)))
+    return longs(_flat(I.highlights(I.with_failures(spark, found, failed))))
+
+
+@query("module_runs", f"""WITH {PRICE}, s AS (SELECT count(DISTINCT series_id) AS n FROM price) SELECT * FROM (VALUES ('price', 'ok', (SELECT n FROM s)), ('arrivals', 'ok', 2), ('broken', 'failed', NULL), ('after_broken', 'skipped', NULL), ('votes', 'ok', (SELECT n FROM s)))
+ AS t(module, status, rows)""")
+def module_runs(spark, sf):
+    """A run over modules of which one fails in a task: its own status says so, the one that needs it is skipped, the others have results."""
+    p = T.prices(spark, sf)
+    steps = [runner.Module("price", lambda t: X.price_module(t["prices"]), ("prices",)), runner.Module("arrivals", lambda t: X.arrival_module(t["volumes"]), ("volumes",)),
+             runner.Module("broken", lambda t: t["prices"].withColumn("value", F.raise_error(F.concat(F.lit("no value for "), "series_id"))), ("prices",)),
+             runner.Module("after_broken", lambda t: t["broken"], ("broken",)),
+             runner.Module("votes", lambda t: Z.votes(t["price"], M.same_month_comparison(t["prices"]), t["arrivals"]), ("price", "prices", "arrivals"))]
+    return runner.run_modules(spark, steps, {"prices": p, "volumes": T.volumes(spark, sf)}, live.workspace(spark, "modules"), "r1").drop("reason")
 
 
 # ---- streaming --------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """One refresh: parse, validate, clean, persist, report.  It returns a status instead of raising."""
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,16 @@ def refresh(spark: SparkSession, cells: DataFrame, specs, base: str, rid: str |
     status = {"refresh_id": rid, "status": "ok"}
     failed = []
     try:
-        raw = f"{base}/raw/refresh_id={rid}"
-        store.write_tier(reshape.parse(cells, ()), f"{base}/raw", rid, None)  # an empty tier, to which the sheets are added
+        parts = [reshape.parse(cells, [x for x in specs if x.layout in reshape.NATIVE])]
         for spec in specs:
-            try:  # one bad sheet must not keep the others from being read
-                if spec.layout in reshape.LAYOUTS:
-                    reshape.parse(cells, [spec]).write.mode("append").parquet(raw)
-            except Exception as error:
-                failed.append((spec.sheet, f"failed: {type(error).__name__}: {error}"))
-        obs = spark.read.schema(reshape.OBS_SCHEMA).parquet(raw)
+            if spec.layout in reshape.LAYOUTS and spec.layout not in reshape.NATIVE:
+                try:  # a sheet with a parser of its own is read apart: a bad one must not keep the others from being read
+                    parts.append(store.landed(reshape.parse(cells, [spec])))
+                except Exception as error:
+                    failed.append((spec.sheet, f"failed: {type(error).__name__}: {error}"))
+        # one write of all sheets: readers never see the raw tier without them
+        store.write_tier(reduce(DataFrame.unionByName, parts), f"{base}/raw", rid, None)
+        obs = spark.read.schema(reshape.OBS_SCHEMA).parquet(f"{base}/raw/refresh_id={rid}")
         tokens = quality.sheet_tokens(specs)
         store.append_result(quality.validation_report(obs, by_sheet=tokens), f"{base}/quality", rid)
         clean = quality.cleaned(obs, by_sheet=tokens)
@@ -42,7 +44,7 @@ def refresh(spark: SparkSession, cells: DataFrame, specs, base: str, rid: str |
         kept, dropped = quality.without_duplicate_rows(quality.without_blank_rows(clean.where(F.col("sheet").isin(rowwise))))
         store.write_tier(kept.unionByName(clean.where(~F.col("sheet").isin(rowwise))), f"{base}/clean", rid)
         store.append_json(quality.cleaning_log(clean).unionByName(dropped), f"{base}/cleaning_log", rid)
-        lost = quality.newly_null_dates(obs).groupBy("sheet").agg(F.sum("newly_null_dates").alias("newly_null_dates"))
+        lost = quality.newly_null_dates(obs, [x.sheet for x in specs if reshape.promises_dates(x)]).groupBy("sheet").agg(F.sum("newly_null_dates").alias("newly_null_dates"))
         broken = small_table(spark, "sheet string, _failure string", failed)
         sheets = reshape.sheet_status(cells, specs).join(lost, "sheet", "left").join(broken, "sheet", "left")
         sheets = sheets.withColumns({"newly_null_dates": F.coalesce("newly_null_dates", F.lit(0)), "reason": F.coalesce("_failure", "reason"),
