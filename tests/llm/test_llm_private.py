@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 
 import pytest
@@ -5,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii
+from tidemark.llm import pii, queries
 
 # the contract's own patterns
 CONTRACT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -65,17 +67,52 @@ def test_disclosing_terms(spark, contacts):
     assert clean[100] == "the mailing hall and please write soon to all of the river people"
 
 
-def test_disclosure_equals_counts(spark, contacts):
-    import math
-    near = pii.personal_data(contacts, keep_text=True)
-    raw = spark.createDataFrame([("mailbox", "email")] * 40 + [("soon", "email")] * 40, "term string, kind string")
-    got = {r["term"]: r["disclosure"] for r in pii.term_disclosure(raw, contacts, "text", 5).collect()}
-    words = [w for r in contacts.collect() for w in re.split(r"[^a-zA-Z]+", r["text"].lower()) if w]
-    total = sum(len(re.split(r"[^a-zA-Z]+", r["text"])) for r in contacts.collect())
-    p = 80 / total
-    for term in ("mailbox", "soon"):
-        assert math.isclose(got[term], math.log(40 / words.count(term) / p) / -math.log(p))
-    assert near.count() == contacts.count()
+def wilson(k, n, z=1.96):
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def rated_by_hand(docs):
+    """Disclosure of each term, from sets of words per text."""
+    texts = [({w for w in re.findall(r"[^\W\d_]+", re.sub(CONTRACT["email"], " ", t or "").lower())}, {k for k, v in plain(t).items() if v}) for t in docs]
+    rates = {k: sum(k in kinds for _, kinds in texts) / len(texts) for k in pii.KINDS}
+    out = {}
+    for term in {w for words, _ in texts for w in words}:
+        kinds = [kinds for words, kinds in texts if term in words]
+        both = [(math.log(wilson(n, len(kinds)) / rates[k]) / -math.log(rates[k]), k) for k in pii.KINDS if (n := sum(k in x for x in kinds)) and rates[k] < 1]
+        out[term] = (len(kinds), *(max(both) if both else (None, None)))
+    return out
+
+
+def test_disclosure_equals_counts_of_texts(spark, contacts):
+    docs = [r["text"] for r in contacts.collect()] + ["mailbox " * 30 + "x@y.org", "mailbox mailbox", None, ""]  # repeats within a text prove nothing
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    spans = pii.personal_data(df, keep_text=True)
+    has = [(F.size(k) > 0).alias(f"has_{k}") for k in pii.KINDS]
+    words = spans.select(*has, F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", CONTRACT["email"], " ")), r"[^\p{L}]+"))).alias("term")).where("term <> ''")
+    got = {r["term"]: r for r in pii.document_terms(words, spans.select(*has), 1.96).collect()}
+    want = rated_by_hand(docs)
+    assert set(got) == set(want) and got["mailbox"]["n_all"] == 42
+    for term, (n, disclosure, kind) in want.items():
+        assert got[term]["n_all"] == n and (got[term]["disclosure"] is None) == (disclosure is None)
+        assert disclosure is None or math.isclose(got[term]["disclosure"], disclosure, rel_tol=1e-9, abs_tol=1e-12) and got[term]["kind"] == kind
+
+
+def test_registered_query(spark, contacts, tmp_path):
+    """Digest columns against the contract, terms against the hand-made rating and a plain search."""
+    docs = [(r["doc_id"], r["text"]) for r in contacts.collect()] + [(900 + i, t) for i, t in enumerate(HARD[:21])]
+    spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, terms string, email int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_disclosing_terms"](spark, str(tmp_path)).collect()}
+    flagged = {t for t, (_, v, _) in rated_by_hand([t for _, t in docs]).items() if v is not None and v >= 0.75}
+    assert len(got) == len(docs) and {"mailbox", "telefax"} <= flagged
+    for i, t in docs:
+        base = plain(t)
+        spans = [f"{k}:{s}:{e}" for k in pii.KINDS for s, e in base[k]]
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [len(base[k]) for k in pii.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        inside = lambda m: any(s < m.end() and m.start() < e for s, e in base["email"])  # noqa: E731,B023
+        words = [m for m in re.finditer(r"[^\W\d_]+", t or "") if m[0].lower() in flagged and not inside(m)]
+        assert got[i]["spans"] == ",".join(spans + [f"term:{m.start()}:{m.end()}" for m in words])
 
 
 def test_terms_of_the_whole_table(spark, contacts):
@@ -90,21 +127,21 @@ def test_terms_of_the_whole_table(spark, contacts):
     assert not found[701]["terms"] and all(not found[100 + i]["terms"] for i in range(200))
 
 
-def test_seldom_terms_are_rated(spark, contacts):
-    """One to four sightings, each with an address, are enough; the estimate is the stated one."""
-    import math
-    docs = contacts.unionByName(spark.createDataFrame([(800, "please write to Quorl a@b.org soon"), *[(801 + i, "please write to Vexim c@d.org soon") for i in range(4)]], "doc_id long, text string"))
+def test_seldom_terms_need_a_rare_kind(spark, contacts):
+    """A word seen once with an address proves little where addresses are common, a name seen often with its owner's much; both are rated."""
+    docs = contacts.unionByName(spark.createDataFrame([(800, "please write to Quorl a@b.org soon"), *[(801 + i, "please write to Vexim c@d.org soon") for i in range(30)]], "doc_id long, text string"))
     terms = {t["term"]: t for r in pii.personal_data(docs).collect() for t in r["terms"]}
-    assert terms["quorl"]["kind"] == terms["vexim"]["kind"] == "email" and terms["quorl"]["action"] == "generalise"
-    rows = docs.collect()
-    words = lambda r: re.findall("[a-z]+", re.sub(r"\S+@\S+", " ", r["text"].lower()))
-    p = sum(len(words(r)) for r in rows if "@" in r["text"]) / sum(len(words(r)) for r in rows)
-    flat = spark.createDataFrame([(w, "@" in r["text"]) for r in rows for w in words(r)], "term string, has_email boolean")
-    for k in ("ip", "card", "phone"):
-        flat = flat.withColumn(f"has_{k}", F.lit(False))
-    got = {r["term"]: r["disclosure"] for r in pii.document_terms(flat, 1.0).collect()}
-    for term, n in (("quorl", 1), ("vexim", 4)):
-        assert math.isclose(got[term], math.log((n + p) / (n + 1) / p) / -math.log(p))
+    assert "quorl" not in terms and terms["vexim"]["kind"] == "email" and terms["vexim"]["action"] == "generalise"
+    want = rated_by_hand([r["text"] for r in docs.collect()])
+    assert want["quorl"][1] < 0.75 <= want["vexim"][1]
+
+
+def test_many_disclosing_words_in_one_text(spark, contacts):
+    """Positions in a long text of which every second word is a disclosing one."""
+    docs = contacts.unionByName(spark.createDataFrame([(900, "Mailbox 😀 " * 3000), (901, "mailboxes mailbox's MAILBOX")], "doc_id long, text string"))
+    found = {r["doc_id"]: r["terms"] for r in pii.personal_data(docs, everywhere=True).collect()}
+    assert [(t["s"], t["e"]) for t in found[900]] == [(10 * i, 10 * i + 7) for i in range(3000)]
+    assert [(t["s"], t["e"]) for t in found[901]] == [(10, 17), (20, 27)]
 
 
 def test_odd_rows(spark, edge_docs, no_docs):

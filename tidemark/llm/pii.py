@@ -1,6 +1,8 @@
 """Personal data: fixed patterns with positions, and terms that give a protected entity away."""
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import land
@@ -79,49 +81,46 @@ def base_spans(text):
     return out
 
 
-def _disclosure(share, p_kind):
-    return F.log(share / p_kind) / -F.log(p_kind)
-
+def surely(k, n, z: float):
+    """Lower end of Wilson's interval of a share seen as k of n: 1 of 1 proves little, 10 of 10 much."""
+    p, zz = k / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
-def term_disclosure(near: DataFrame, docs: DataFrame, text: str, support: int) -> DataFrame:
-    """Disclosure of a kind by a term, from counts over the whole corpus: term, kind, n_near, n_all, disclosure.
 
-    With p(kind) the share of all words that stand next to a span of the kind and p(kind | term) the share of the term's
-    occurrences that do, the term's information about the kind is log(p(kind | term) / p(kind)), at most the
-    information content -log p(kind) of the entity itself.  ``disclosure`` is the quotient: 1 means that whoever sees
-    the term knows that an entity was there.  Terms seen near a kind fewer than ``support`` times tell nothing.
-    """
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")).alias("term")).where("term <> ''")
-    all_counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
-    near_counts = near.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n_near"))
-    counted = land(near_counts.where(F.col("n_near") >= support).join(all_counts, "term"), "pii-terms")
-    per_kind = near_counts.groupBy("kind").agg(F.sum("n_near").alias("kind_words"))  # four rows
-    total = docs.select(F.sum(F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+"))).alias("words"))  # one row
-    rated = counted.join(F.broadcast(per_kind), "kind").withColumn("words", total.scalar())
-    p_kind = F.col("kind_words") / F.col("words")
-    share = F.least(F.col("n_near") / F.col("n_all"), F.lit(1.0))
-    return rated.select("term", "kind", "n_near", "n_all", _disclosure(share, p_kind).alias("disclosure"))
-
-
-def document_terms(words: DataFrame, pseudo: float) -> DataFrame:
+def document_terms(words: DataFrame, texts: DataFrame, z: float) -> DataFrame:
     """Every term with the kind it discloses most: term, n_all, kind, disclosure (both null where it stands with no kind).
 
-    ``words`` has a row per word: ``term``, and per kind whether its text has a span of the kind.  Counts are words of the whole
-    table: p(kind) is the share of all words, p(kind | term) that of the term's, whose text has the kind; ``disclosure`` is as in
-    ``term_disclosure``.  p(kind | term) is estimated as (n_kind + pseudo * p(kind)) / (n_all + pseudo): a term seen once or
-    twice counts, by less than one seen often.  A kind that every text has is disclosed by none.
+    ``words`` has a row per text and distinct term, ``texts`` one per text, both with whether the text has a span of each kind.  Counts are
+    texts of the whole table, so a text that repeats a word proves nothing more.  With p(kind) the share of all texts, a term's
+    information about the kind is log(p(kind | term) / p(kind)), at most the information content -log p(kind) of the entity itself.
+    ``disclosure`` is the quotient: 1 means that whoever sees the term knows that an entity was there.  p(kind | term) is taken at the lower
+    end of its Wilson interval of ``z`` deviations: terms of few texts are rated, by what their few texts prove.  A kind that every text has
+    is disclosed by none.
     """
     seen = [F.count_if(F.col(f"has_{k}")).alias(f"n_{k}") for k in KINDS]
-    counted = land(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_all"), *seen), "pii-terms")
-    total = counted.agg(F.sum("n_all").alias("words"), *[F.sum(f"n_{k}").alias(k) for k in KINDS]).first()
-    rates = {k: total[k] / total["words"] for k in KINDS if total[k] and total[k] < total["words"]}
-    share = lambda k: (F.col(f"n_{k}") + F.lit(pseudo * rates[k])) / (F.col("n_all") + F.lit(pseudo))
-    rated = [F.when(F.col(f"n_{k}") > 0, F.struct(_disclosure(share(k), F.lit(rates[k])).alias("disclosure"), F.lit(k).alias("kind"))) for k in rates]
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_all"), *seen)
+    total = texts.agg(F.count(F.lit(1)).alias("texts"), *[F.count_if(F.col(f"has_{k}")).alias(k) for k in KINDS]).first()
+    rates = {k: total[k] / total["texts"] for k in KINDS if total[k] and total[k] < total["texts"]}
+    share = lambda k: surely(F.col(f"n_{k}").cast("double"), F.col("n_all").cast("double"), z)
+    rated = [F.when(F.col(f"n_{k}") > 0, F.struct((F.log(share(k) / F.lit(rates[k])) / F.lit(-math.log(rates[k]))).alias("disclosure"), F.lit(k).alias("kind"))) for k in rates]
     best = F.array_max(F.array(*rated, F.lit(None).cast("struct<disclosure:double,kind:string>")))
     return counted.select("term", "n_all", best.alias("best")).select("term", "n_all", "best.kind", "best.disclosure")
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, pseudo: float = 1.0, everywhere: bool = False,
+def _placed(text, terms):
+    """Where the given terms (array<struct<term, kind, action>>) stand in a text, found by a walk over its runs of letters and others."""
+    none = F.expr("cast(array() as array<struct<s:int,e:int,term:string,kind:string,action:string>>)")
+    names = F.transform(terms, lambda t: t["term"])
+
+    def step(a, piece):
+        end = (a["at"] + F.length(piece)).cast("int")
+        spot = F.array_position(names, F.lower(piece)).cast("int")
+        hit = F.get(terms, spot - 1)
+        return F.struct(end.alias("at"), F.when(spot > 0, F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), end.alias("e"), hit["term"].alias("term"), hit["kind"].alias("kind"), hit["action"].alias("action"))))).otherwise(a["out"]).alias("out"))
+    return F.aggregate(F.split(text, BORDERS), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = 0.75, remove: float = 0.95, z: float = 1.96, everywhere: bool = False,
                   keep_text: bool = False, broadcast_rows: int = 500_000) -> DataFrame:
     """Spans of personal data and of the terms that disclose it, per row: key, ``email``, ``ip``, ``card``, ``phone``
     (array<struct<s, e, m>>) and ``terms`` (array<struct<s, e, term, kind, action>>, by start); ``text`` on request.
@@ -129,7 +128,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", gene
     Every word of a text that has a base span is rated, wherever in the text it stands (see ``document_terms``).  Terms whose
     disclosure of a kind reaches ``remove`` are to be removed, those that reach ``generalise`` to be replaced by the name of the
     kind: all their occurrences outside base spans, with ``everywhere`` in all texts, else in those with a base span.  All
-    counts cover the whole table.
+    counts cover the whole table.  Texts are written once, and moved once unless the disclosing terms' rows are few enough to be broadcast; a text's words never
+    become rows with positions.
 
     A null text is empty; empty texts have no spans.  A term that discloses several kinds is reported with the one it discloses
     most.  Words are runs of letters, compared in lower case.  Up to ``broadcast_rows`` disclosing terms are sent to every task,
@@ -142,9 +142,10 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", gene
 
     # of the base spans, only addresses hold letters
     outside = F.when(F.contains("_text", F.lit("@")), F.regexp_replace("_text", PATTERNS["email"], " ")).otherwise(F.col("_text"))
-    words = marked.select("_row", *[(F.size(k) > 0).alias(f"has_{k}") for k in KINDS], F.explode(F.split(outside, BETWEEN)).alias("form"))
-    words = words.where("form <> ''").withColumn("term", F.lower("form"))
-    rated = land(document_terms(words, pseudo), "pii-rated")
+    has = [(F.size(k) > 0).alias(f"has_{k}") for k in KINDS]
+    every_word = F.array_distinct(F.transform(F.split(outside, BETWEEN), F.lower))
+    words = marked.select("_row", *has, F.explode(every_word).alias("term")).where("term <> ''")
+    rated = land(document_terms(words, marked.select(*has), z), "pii-rated")
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     level = rated.where(F.col("disclosure") >= generalise).select("term", "kind", action.alias("action"))
 
@@ -156,19 +157,15 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", gene
         many = rated.agg(F.sum("n_all")).first()[0] / COMMON
         plain = rated.where((F.col("n_all") >= many) & ~F.coalesce(F.col("disclosure") >= generalise, F.lit(False))).select("term")
         looked_at = looked_at.join(F.broadcast(plain), "term", "left_anti")
-    hits = land(looked_at.join(level, "term").select("_row", "term", "kind", "action").distinct(), "pii-hits")
-
-    # positions in the texts that have such a term: the lengths of all pieces before
-    with_hits = marked.join(hits.select("_row").distinct(), "_row", "left_semi")
-    pieces = with_hits.select("_row", F.posexplode(F.split("_text", BORDERS)).alias("i", "form"))
-    placed = pieces.withColumn("e", F.sum(F.length("form")).over(Window.partitionBy("_row").orderBy("i")).cast("int"))
-    terms = placed.withColumn("term", F.lower("form")).join(hits, ["_row", "term"]).select("_row", F.struct((F.col("e") - F.length("form")).alias("s"), "e", "term", "kind", "action").alias("w"))
-    terms = terms.groupBy("_row").agg(F.array_sort(F.collect_list("w")).alias("all_terms"))
-    out = marked.join(terms, "_row", "left")
-    none = F.expr("cast(array() as array<struct<s:int,e:int,term:string,kind:string,action:string>>)")
+    hits = looked_at.join(level, "term").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("term", "kind", "action"))).alias("hit_terms"))
+    hits = land(hits, "pii-hits")
+
+    found_terms = marked.select("_row", "_text", "email").join(hits, "_row").select("_row", "email", _placed(F.col("_text"), F.col("hit_terms")).alias("all_terms"))
     clear = F.filter("all_terms", lambda w: ~F.exists("email", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
+    out = marked.select("_row", "_key", *KINDS, *(["_text"] if keep_text else [])).join(found_terms.select("_row", clear.alias("terms")), "_row", "left")
+    none = F.expr("cast(array() as array<struct<s:int,e:int,term:string,kind:string,action:string>>)")
     kept = [F.col("_text").alias("text")] if keep_text else []
-    return out.select(F.col("_key").alias(key), *KINDS, F.coalesce(clear, none).alias("terms"), *kept)
+    return out.select(F.col("_key").alias(key), *KINDS, F.coalesce("terms", none).alias("terms"), *kept)
 
 
 def span_list(kinds=(*KINDS, "term")):
