@@ -87,3 +87,14 @@ JOHANSEN_TRACE = [[2.7055, 3.8415, 6.6349], [13.4294, 15.4943, 19.9349], [27.066
                   [44.4929, 47.8545, 54.6815], [65.8202, 69.8189, 77.8202], [91.109, 95.7542, 104.9637]]
 JOHANSEN_MAX_EIGEN = [[2.7055, 3.8415, 6.6349], [12.2971, 14.2639, 18.52], [18.8928, 21.1314, 25.865],
                       [25.1236, 27.5858, 32.7172], [31.2379, 33.8777, 39.3693], [37.2786, 40.0763, 45.8662]]
+
+# Labels of the changes over fixed look-backs, with the days a reference may lie before its target.
+CHANGE_HORIZONS = [("Previous observation", 0), ("Week on week (WoW)", 5), ("Fortnight on fortnight", 6), ("Month on month (MoM)", 10),
+                   ("Quarter on quarter (QoQ)", 15), ("Year on year (YoY)", 20)]
+
+# Labels of an influence test and of variance inflation (above the bound, the highest first, else the last).
+INFLUENCE_LABELS = {"untested": "Not testable", "both": "Feedback", "one": "One-way", "none": "Independent"}
+COLLINEARITY_LABELS = [(10, "Severe collinearity"), (5, "Moderate collinearity"), (None, "Acceptable")]
+
+# Sentiment labels with their lower bounds (the last without one).
+SENTIMENT_LABELS = [(0.45, "Strongly bullish"), (0.15, "Mildly bullish"), (-0.15, "Neutral"), (-0.45, "Mildly bearish"), (None, "Strongly bearish")]

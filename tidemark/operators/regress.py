@@ -53,7 +53,8 @@ def influence(pairs: DataFrame, readings: DataFrame, max_lag: int = GATES.grange
     rows = names.join(fwd, ["a", "b"], "left").join(back, ["a", "b"], "left").join(readings, ["a", "b"], "left")
     ab, ba = F.coalesce("sig_ab", F.lit(False)), F.coalesce("sig_ba", F.lit(False))
     testable = F.col("p_ab").isNotNull() & F.col("p_ba").isNotNull()
-    verdict = F.when(~testable, "Not testable").when(ab & ba, "Feedback").when(ab | ba, "One-way").otherwise("Independent")
+    said = fixed.INFLUENCE_LABELS
+    verdict = F.when(~testable, said["untested"]).when(ab & ba, said["both"]).when(ab | ba, said["one"]).otherwise(said["none"])
     a_first = (ab & ~ba) | (ab & ba & (F.col("p_ab") < F.col("p_ba")))
     return rows.select(
         "a", "b", ab.alias("a_to_b"), ba.alias("b_to_a"), "p_ab", "p_ba", verdict.alias("verdict"),
@@ -308,5 +309,7 @@ def variance_inflation(drivers: DataFrame, names) -> DataFrame:
     g = linalg.gram(rows, ["panel"], ["one"] + [f"s{i}" for i in range(k)]).where(F.col("n") > k + 1)
     flat = g.withColumn("v", linalg.inflation("gram")).select("n", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("variable"), F.col("v").alias("vif"))).alias("z"))
     vif = F.col("z.vif")
-    label = F.when(vif.isNull(), "constant").when(vif > 10, "Severe collinearity").when(vif > 5, "Moderate collinearity").otherwise("Acceptable")
+    label = F.when(vif.isNull(), "constant")
+    for bound, text in fixed.COLLINEARITY_LABELS:
+        label = label.otherwise(text) if bound is None else label.when(vif > bound, text)
     return flat.select(F.col("z.variable").alias("variable"), vif.alias("vif"), label.alias("interpretation"), "n")

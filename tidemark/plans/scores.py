@@ -112,6 +112,9 @@ def sentiment(price: DataFrame, arrivals: DataFrame) -> DataFrame:
         "season_ahead": clipped((F.col("season_index") - 1.0) / 0.10, -1, 1)}
     out = joined.select("series_id", "as_of", *[c.alias(k) for k, c in parts.items()])
     score = mean_present(*parts)
-    label = (F.when(score >= 0.45, "Strongly bullish").when(score >= 0.15, "Mildly bullish").when(score > -0.15, "Neutral").when(score > -0.45, "Mildly bearish")
-             .otherwise("Strongly bearish"))
+    (top, first), *rest, (_, lowest) = fixed.SENTIMENT_LABELS
+    label = F.when(score >= top, first)
+    for bound, text in rest:  # a bound belongs to the label farther from neutral
+        label = label.when(score >= bound if bound > 0 else score > bound, text)
+    label = label.otherwise(lowest)
     return out.select("series_id", "as_of", *parts, score.alias("score"), present(*parts).cast("bigint").alias("parts_used"), label.alias("label"))
