@@ -218,3 +218,26 @@ def test_welch_and_buckets(series, rows):
     assert len(b) == 5 and b[-1]["next_change_pct"] < b[0]["next_change_pct"] and sum(r["n"] for r in b) == n
     assert rows(stats.threshold_test(p))[0]["p_value"] < 0.01
     assert stats.thresholds(S.align(series({"q": q[:20], "y": y[:20]}), [("q", "y")])).count() == 0
+
+
+def test_battery_of_every_series_from_one_shuffle(series, rows):
+    rng = np.random.default_rng(8)
+    y = 100 + np.cumsum(rng.normal(0, 1, 800))
+    df = series({"a": y.tolist(), "few": [1.0, None, 3.0], "flat": [5.0] * 40})
+    out = stats.battery(df)
+    got = {(r["series_id"], r["section"], r["statistic"]): r for r in rows(out)}
+    value = lambda section, name: got["a", section, name]["value"]
+    d = y - y.mean()
+    ch = np.diff(y) / y[:-1] * 100
+    top = np.maximum.accumulate(y)
+    want = {("descriptive", "mean"): y.mean(), ("descriptive", "median"): np.median(y), ("rolling", "sd"): y[-30:].std(ddof=1), ("rolling", "z"): (y[-1] - y[-30:].mean()) / y[-30:].std(ddof=1),
+            ("changes", "mean_abs_pct"): np.abs(ch).mean(), ("changes", "up_share_pct"): (ch > 0).mean() * 100, ("outliers", "beyond_3_sd"): (np.abs(d / y.std(ddof=1)) > 3).sum(),
+            ("autocorrelation", "lag_10"): (d[10:] * d[:-10]).sum() / (d * d).sum(), ("drawdown", "deepest_pct"): ((y - top) / top).min() * 100,
+            ("trend", "slope_pct"): np.polyfit(np.arange(800), y, 1)[0] / y.mean() * 100, ("trend", "r_squared"): np.corrcoef(np.arange(800), y)[0, 1] ** 2}
+    for key, v in want.items():
+        assert abs(value(*key) - v) < 1e-9, key
+    assert abs(value("seasonal_index", "month_3") - np.mean([v for i, v in enumerate(y) if (date(2020, 1, 1) + timedelta(days=i)).month == 3]) / y.mean()) < 1e-12
+    assert got["few", "descriptive", "mean"]["status"] == "insufficient_evidence" and got["few", "descriptive", "mean"]["value"] is None and got["few", "changes", "longest_gap_days"]["value"] == 2.0
+    assert got["flat", "trend", "r_squared"]["value"] is None and got["flat", "rolling", "z"]["value"] is None and got["flat", "seasonal_index", "month_1"]["status"] == "insufficient_evidence"
+    plan = stats.battery(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(series_id") == 1 and rows(stats.battery(df.where("false"))) == []

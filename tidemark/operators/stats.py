@@ -106,6 +106,48 @@ def trend(series: DataFrame, window: int | None = 90, gate: int = GATES.trend, k
                       F.when(ok, regime).alias("regime"), *refusal("_n", gate, "too few observations in the window"))
 
 
+BATTERY_LAGS = (1, 2, 3, 5, 10)
+
+
+def battery(series: DataFrame, window: int = GATES.rolling_window) -> DataFrame:
+    """The standard battery of every series as rows: series_id, section, statistic, ``value``, ``status``.
+
+    Sections: descriptive, rolling (at the newest observation), changes, outliers (rule of three deviations over the full sample),
+    autocorrelation (biased, full-sample mean), drawdown, trend (per observation, in % of the mean) and seasonal index (month mean over
+    mean).  Everything comes from one sort of the series and one aggregate on the same partitioning, so the rows move once.
+    A section below its minimum sample is refused: null values and the status insufficient_evidence.  Null values are not observations.
+    """
+    whole, order = Window.partitionBy("series_id"), by_series()
+    upto, last_n = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1 - window, 0)
+    v, dev = F.col("value"), F.col("_d")
+    rows = series.where(v.isNotNull()).select("series_id", "ts", "value", F.avg(v).over(whole).alias("_mu"), F.stddev_samp(v).over(whole).alias("_sd"), F.row_number().over(order).cast("double").alias("_x"),
+                                              F.max(v).over(upto).alias("_top"), F.lag(v).over(order).alias("_p"), F.lag("ts").over(order).alias("_pt"), F.avg(v).over(last_n).alias("_rm"),
+                                              F.stddev_samp(v).over(last_n).alias("_rs"), F.count(v).over(last_n).alias("_rn")).withColumn("_d", v - F.col("_mu"))
+    rows = rows.select("*", *[(dev * F.lag("_d", k).over(order)).alias(f"_g{k}") for k in BATTERY_LAGS])
+    change = F.try_divide(v - F.col("_p"), F.col("_p")) * 100
+    newest = lambda c: F.max_by(c, "ts")
+    full = F.col("_rn") >= window
+    parts = {
+        "descriptive": {"mean": F.avg(v), "sd": F.stddev_samp(v), "cv": F.try_divide(F.stddev_samp(v), F.avg(v)), "minimum": F.min(v), "median": F.percentile(v, 0.5), "maximum": F.max(v)},
+        "rolling": {"mean": newest(F.when(full, F.col("_rm"))), "sd": newest(F.when(full, F.col("_rs"))), "z": newest(F.when(full, F.try_divide(v - F.col("_rm"), F.col("_rs"))))},
+        "changes": {"latest_pct": newest(change), "mean_abs_pct": F.avg(F.abs(change)), "up_share_pct": F.avg((v > F.col("_p")).cast("double")) * 100, "largest_rise_pct": F.max(change), "largest_fall_pct": F.min(change),
+                    "longest_gap_days": F.max(F.datediff("ts", "_pt")).cast("double")},
+        "outliers": {"beyond_3_sd": F.count_if(F.abs(F.try_divide(dev, F.col("_sd"))) > GATES.outlier_z).cast("double"), "latest_z": newest(F.try_divide(dev, F.col("_sd")))},
+        "autocorrelation": {f"lag_{k}": F.try_divide(F.sum(f"_g{k}"), F.sum(dev * dev)) for k in BATTERY_LAGS},
+        "drawdown": {"deepest_pct": F.min(F.try_divide(v - F.col("_top"), F.col("_top"))) * 100, "latest_pct": newest(F.try_divide(v - F.col("_top"), F.col("_top"))) * 100},
+        "trend": {"slope_pct": F.try_divide(F.regr_slope(v, F.col("_x")), F.avg(v)) * 100, "r_squared": F.when(F.min(v) < F.max(v), F.regr_r2(v, F.col("_x")))},
+        "seasonal_index": {f"month_{m}": F.try_divide(F.avg(F.when(F.month("ts") == m, v)), F.avg(v)) for m in range(1, 13)},
+    }
+    n, span = F.col("_n"), F.col("_span")
+    enough = {"descriptive": n >= GATES.describe, "rolling": n >= window, "changes": n >= 2, "outliers": n >= GATES.outliers, "autocorrelation": n >= 20, "drawdown": n >= 2, "trend": n >= GATES.trend,
+              "seasonal_index": span >= 365 * GATES.seasonal_years}
+    flat = [(section, name, f"{section}__{name}", c) for section, cols in parts.items() for name, c in cols.items()]
+    wide = rows.groupBy("series_id").agg(F.count(v).alias("_n"), F.datediff(F.max("ts"), F.min("ts")).alias("_span"), *[c.alias(key) for _, _, key, c in flat])
+    cells = [F.struct(F.lit(section).alias("section"), F.lit(name).alias("statistic"), F.when(enough[section], F.col(key)).alias("value"),
+                      F.when(enough[section], "ok").otherwise("insufficient_evidence").alias("status")) for section, name, key, _ in flat]
+    return wide.select("series_id", F.inline(F.array(*cells)))
+
+
 # ---- pairs -------------------------------------------------------------------------------------------------------
 
 def pearson(pairs: DataFrame, gate: int = GATES.correlation, keys=("a", "b")) -> DataFrame:

@@ -234,6 +234,29 @@ def describe(spark, sf):
     return rounded(stats.describe(T.prices(spark, sf)), 4, cv=6, skewness=6, excess_kurtosis=6)
 
 
+_LAGS = stats.BATTERY_LAGS
+_BATTERY = {
+    "descriptive": {"mean": "avg(value)", "sd": "stddev_samp(value)", "cv": "stddev_samp(value)/avg(value)", "minimum": "min(value)", "median": "quantile_cont(value, 0.5)", "maximum": "max(value)"},
+    "rolling": {"mean": "arg_max(rm, ts)", "sd": "arg_max(rs, ts)", "z": "arg_max((value-rm)/rs, ts)"},
+    "changes": {"latest_pct": "arg_max(ch, ts)", "mean_abs_pct": "avg(abs(ch))", "up_share_pct": "avg(CASE WHEN p IS NOT NULL THEN CASE WHEN value > p THEN 1.0 ELSE 0.0 END END)*100", "largest_rise_pct": "max(ch)", "largest_fall_pct": "min(ch)",
+                "longest_gap_days": "max(date_diff('day', pt, ts))"},
+    "outliers": {"beyond_3_sd": "count(*) FILTER (abs(d/sd) > 3)", "latest_z": "arg_max(d/sd, ts)"},
+    "autocorrelation": {f"lag_{k}": f"sum(g{k})/sum(d*d)" for k in _LAGS},
+    "drawdown": {"deepest_pct": "min((value-top)/top)*100", "latest_pct": "arg_max((value-top)/top, ts)*100"},
+    "trend": {"slope_pct": "regr_slope(value, x)/avg(value)*100", "r_squared": "regr_r2(value, x)"},
+    "seasonal_index": {f"month_{m}": f"avg(value) FILTER (month(ts) = {m})/avg(value)" for m in range(1, 13)},
+}
+
+
+@query("battery", f"""WITH {PRICE}, a AS (SELECT *, avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sd, row_number() OVER o AS x, max(value) OVER (o ROWS UNBOUNDED PRECEDING) AS top, lag(value) OVER o AS p, lag(ts) OVER o AS pt,
+  CASE WHEN count(*) OVER (o ROWS 29 PRECEDING) >= 30 THEN avg(value) OVER (o ROWS 29 PRECEDING) END AS rm, CASE WHEN count(*) OVER (o ROWS 29 PRECEDING) >= 30 THEN stddev_samp(value) OVER (o ROWS 29 PRECEDING) END AS rs
+  FROM price WINDOW w AS (PARTITION BY series_id), o AS (PARTITION BY series_id ORDER BY ts)), b AS (SELECT *, value-mu AS d, (value-p)/p*100 AS ch FROM a),
+ c AS (SELECT *, {', '.join(f'd*lag(d, {k}) OVER (PARTITION BY series_id ORDER BY ts) AS g{k}' for k in _LAGS)} FROM b)
+ {' UNION ALL '.join(f"SELECT series_id, '{section}' AS section, '{name}' AS statistic, {r(sql, 6)} AS value, 'ok' AS status FROM c GROUP BY series_id" for section, cols in _BATTERY.items() for name, sql in cols.items())}""")
+def battery(spark, sf):
+    return rounded(stats.battery(T.prices(spark, sf)), 6)
+
+
 @query("percentile_rank", f"""WITH {PRICE}, t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS k FROM price),
  l AS (SELECT series_id, value AS latest FROM t WHERE k = 1), w AS (SELECT t.*, latest, v.scope, v.n FROM t JOIN l USING (series_id), (VALUES ('trailing_1y', 365), ('full_history', 1000000)) AS v(scope, n))
  SELECT series_id, w.scope, {r('max(latest)')} AS latest, {r('avg(CASE WHEN value <= latest THEN 1.0 ELSE 0.0 END)*100')} AS percentile, {r('min(value)')} AS minimum,
