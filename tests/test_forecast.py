@@ -159,6 +159,37 @@ def test_every_fold_of_a_panel_equals_plain_least_squares(spark, series, rows):
     assert all(changed[key][0] == v[0] for key, v in got.items() if key[2] <= 2) and any(changed[key][0] != v[0] for key, v in got.items() if key[2] > 2)
 
 
+def test_relations_and_their_correction_against_plain_algebra(spark, series, rows):
+    from tidemark.operators import regress
+    rng = np.random.default_rng(21)
+    base = np.cumsum(rng.normal(0, 1, 300))
+    y = np.column_stack([10 + base + rng.normal(0, 0.5, 300), 5 + 0.5 * base + rng.normal(0, 0.5, 300), np.cumsum(rng.normal(0, 1, 300))])
+    names = ["x", "y", "z"]
+    s = series({n: y[:, i] for i, n in enumerate(names)}, START)
+    d = np.diff(y, axis=0)
+    given = np.column_stack([np.ones(298), d[:-1]])
+    off = lambda m: m - given @ np.linalg.lstsq(given, m, rcond=None)[0]
+    r0, r1 = off(d[1:]), off(y[1:-1])
+    roots, vectors = np.linalg.eig(np.linalg.inv(r1.T @ r1) @ (r1.T @ r0) @ np.linalg.inv(r0.T @ r0) @ (r0.T @ r1))
+    best = vectors.real[:, roots.real.argmax()]
+    got = rows(regress.cointegrating_vectors(s, names), "relation", "member")
+    assert [(g["relation"], g["member"], g["rank"]) for g in got] == [(1, n, 1) for n in names]
+    assert np.allclose([g["weight"] for g in got], best / best[0], atol=1e-8) and abs(got[0]["root"] - roots.real.max()) < 1e-10 and abs(got[1]["weight"] + 2) < 0.2
+    w = best / best[0]
+    coef = np.linalg.lstsq(np.column_stack([given, y[1:-1] @ w]), d[1:], rcond=None)[0]
+    level, change, want = y[-1], d[-1], []
+    for _ in range(4):
+        change = np.r_[1, change, level @ w] @ coef
+        level = level + change
+        want += level.tolist()
+    out = rows(K.cointegrated_forecast(s, names, 4), "step", "series_id")
+    assert np.allclose([r["point"] for r in out], want, atol=1e-7) and {r["status"] for r in out} == {"ok"}
+    apart = series({n: np.cumsum(np.random.default_rng(30 + i).normal(0, 1, 300)) for i, n in enumerate(names)}, START)
+    refused = rows(K.cointegrated_forecast(apart, names, 4))
+    assert [r["point"] for r in refused] == [None] * 3 and {r["reason"] for r in refused} == {"the trace test finds no relation between the members"}
+    assert [(r["rank"], r["status"], r["weight"]) for r in rows(regress.cointegrating_vectors(apart, names))] == [(0, "no_relation", None)]
+
+
 def test_scoreboard_lists_the_reason_of_each_skip(spark, series, rows):
     p = series({"long": list(seasonal(90)), "short": list(seasonal(35)), "tiny": [1.0] * 10}, START)
     p = p.select("series_id", F.expr("last_day(add_months(date'2010-01-01', datediff(ts, date'2018-01-01')))").alias("ts"), "value")

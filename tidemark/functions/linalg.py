@@ -176,20 +176,34 @@ def partial_autocorrelation(acfs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(VECTOR)
-def johansen_roots(grams: pd.Series, n: pd.Series, series: pd.Series) -> pd.Series:
-    """Squared canonical correlations, largest first, of changes and lagged levels given the lagged changes.
-
-    Columns are changes, lagged levels, lagged changes and 1.
-    """
-    out = []
-    for flat, count, k in zip(grams, n, series):
-        g, k = square(flat), int(k)
-        given = list(range(2 * k, 3 * k + 1))
-        a, b = g[np.ix_(given, given)], g[np.ix_(given, range(2 * k))]
-        scale = np.sqrt(np.diag(a))
-        s = (g[:2 * k, :2 * k] - b.T @ (np.linalg.pinv(a / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)) @ b) / count
-        s00, s01, s11 = s[:k, :k], s[:k, k:], s[k:, k:]
-        roots = np.linalg.eigvals(np.linalg.solve(s11, s01.T @ np.linalg.solve(s00, s01))).real
-        out.append(sorted((float(v) for v in roots), reverse=True))
-    return pd.Series(out)
+def canonical(g: np.ndarray, changes: list, levels: list, given: list):
+    """Squared canonical correlations of changes and lagged levels given other columns, largest first, and the weights of the levels as
+    columns, the first member's weight 1 (where it has one)."""
+    cols = [*changes, *levels]
+    a, b = g[np.ix_(given, given)], g[np.ix_(given, cols)]
+    scale = np.sqrt(np.diag(a))
+    s = g[np.ix_(cols, cols)] - b.T @ (np.linalg.pinv(a / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)) @ b
+    k = len(changes)
+    s00, s01, s11 = s[:k, :k], s[:k, k:], s[k:, k:]
+    roots, vectors = np.linalg.eig(np.linalg.solve(s11, s01.T @ np.linalg.solve(s00, s01)))
+    order = np.argsort(-roots.real, kind="stable")
+    vectors = vectors.real[:, order]
+    first = np.where(np.abs(vectors[0]) > 1e-12 * np.abs(vectors).max(0), vectors[0], 1.0)
+    return roots.real[order], vectors / first
+
+
+def trace_rank(roots: np.ndarray, n: int, critical: list) -> int:
+    """Number of relations by the trace test: the first rank that is not rejected.  ``critical[r]`` belongs to the null 'at most r'."""
+    logs = -n * np.log(1 - roots)
+    return next((r for r in range(len(roots)) if logs[r:].sum() <= critical[r]), len(roots))
+
+
+@F.pandas_udf(_struct(roots=VECTOR, vectors=ArrayType(VECTOR)))
+def johansen_vectors(grams: pd.Series, series: pd.Series) -> pd.DataFrame:
+    """Roots, largest first, and one weight vector of the levels for each.  Columns are changes, lagged levels, lagged changes and 1."""
+    rows = []
+    for flat, k in zip(grams, series):
+        k = int(k)
+        roots, vectors = canonical(square(flat), list(range(k)), list(range(k, 2 * k)), list(range(2 * k, 3 * k + 1)))
+        rows.append(([float(r) for r in roots], [[float(w) for w in v] for v in vectors.T]))
+    return pd.DataFrame(rows, columns=["roots", "vectors"])

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
-from tidemark.functions.linalg import VECTOR, _struct, least_squares, square
+from tidemark.functions.linalg import VECTOR, _struct, canonical, least_squares, square, trace_rank
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -136,33 +136,43 @@ def up_to_class(cells, last: int):
 
 @F.pandas_udf(_struct(path=ArrayType(VECTOR), n=LongType(), reason=StringType()))
 def vector_path(cells: pd.Series, lines: pd.Series, last: pd.Series, levels: pd.Series, recent: pd.Series, size: pd.Series, depth: pd.Series, correct: pd.Series, least: pd.Series,
-                steps: pd.Series) -> pd.DataFrame:
+                steps: pd.Series, critical: pd.Series) -> pd.DataFrame:
     """Joint forecast of a panel at a cut: every equation on the lagged changes of all members, cumulated back to levels.
 
     Moment columns are changes (k), 1, lagged changes (k per lag) and last levels (k), by class of rows; a cut uses the classes up to
-    ``last``.  With ``correct`` last period's deviation from the line of the first member on the others joins the equations: it is
-    linear in the last levels, so its moments follow from theirs.  ``lines`` holds the moments of that line: first member, 1, others.
+    ``last``.  ``correct`` is 0, 1 or 2.  With 1 last period's deviation from the line of the first member on the others joins the equations: it is
+    linear in the last levels, so its moments follow from theirs.  ``lines`` holds the moments of that line: first member, 1, others.  With 2
+    the relations are the canonical vectors of changes and last levels, as many as the trace test finds against ``critical``; none, no path.
     """
     rows = []
-    for parts, line, c, level, past, k, p, with_line, need, h in zip(cells, lines, last, levels, recent, size, depth, correct, least, steps):
+    for parts, line, c, level, past, k, p, mode, need, h, bounds in zip(cells, lines, last, levels, recent, size, depth, correct, least, steps, critical):
         k, p = int(k), int(p)
         g, n = up_to_class(parts if parts is not None else [], c)
         if n < need:
             rows.append((None, n, f"needs {need} complete rows of the panel, has {n}"))
             continue
-        x, weights = list(range(k, 2 * k + 1 + (p - 1) * k)), None
-        if with_line:
+        x, weights, base = list(range(k, 2 * k + 1 + (p - 1) * k)), np.zeros((k, 0)), np.zeros(0)
+        if mode == 1:
             beta = least_squares(up_to_class(line, c)[0], 0, list(range(1, k + 1)))[0]
-            weights = np.r_[1.0, -beta[1:], -beta[0]]
-            to = np.zeros((len(g), x[-1] + 2))
-            to[:x[-1] + 1, :x[-1] + 1] = np.eye(x[-1] + 1)
-            to[x[-1] + 1:, -1], to[k, -1] = weights[:-1], weights[-1]
-            g, x = to.T @ g @ to, [*x, x[-1] + 1]
+            weights, base = np.r_[1.0, -beta[1:]][:, None], -beta[:1]
+        elif mode == 2:
+            roots, vectors = canonical(g, list(range(k)), list(range(x[-1] + 1, len(g))), x)
+            rank = trace_rank(roots, n, bounds)
+            if not rank:
+                rows.append((None, n, "the trace test finds no relation between the members"))
+                continue
+            weights, base = vectors[:, :rank], np.zeros(rank)
+        if len(base):
+            kept, more = x[-1] + 1, len(base)
+            to = np.zeros((len(g), kept + more))
+            to[:kept, :kept] = np.eye(kept)
+            to[kept:, kept:], to[k, kept:] = weights, base
+            g, x = to.T @ g @ to, [*x, *range(kept, kept + more)]
         coef = np.column_stack([least_squares(g, i, x)[0] for i in range(k)])
         level, path = np.asarray(level, dtype=float), []
         changes = [np.asarray(v, dtype=float) for v in past]
         for _ in range(int(h)):
-            z = np.concatenate([[1.0], *changes[:p], [] if weights is None else [weights[:-1] @ level + weights[-1]]])
+            z = np.concatenate([[1.0], *changes[:p], level @ weights + base])
             step = z @ coef
             level = level + step
             changes.insert(0, step)

@@ -241,19 +241,25 @@ def panel_rows(series: DataFrame, names) -> DataFrame:
     return wide.dropna().select(F.lit("panel").alias("panel"), "ts", *[F.col(f"`{n}`").alias(f"s{i}") for i, n in enumerate(names)])
 
 
-def johansen(series: DataFrame, names) -> DataFrame:
-    """Trace and max-eigenvalue statistics of a panel, one row per null hypothesis 'rank <= r'.
-
-    The panel has one row per common day, so its window is bounded by the calendar.
-    """
+def _johansen_moments(series: DataFrame, names) -> DataFrame:
+    """Moments of changes, last levels, last changes and 1 over the complete rows of a panel, if they are enough."""
     k, order = len(names), Window.partitionBy("panel").orderBy("ts")
     rows = panel_rows(series, names)
     diff = rows.select("*", *[(F.col(f"s{i}") - F.lag(f"s{i}").over(order)).alias(f"c{i}") for i in range(k)])
     full = diff.select("panel", *[f"c{i}" for i in range(k)], *[F.lag(f"s{i}").over(order).alias(f"l{i}") for i in range(k)],
                        *[F.lag(f"c{i}").over(order).alias(f"p{i}") for i in range(k)], F.lit(1.0).alias("one")).dropna()
     cols = [f"{p}{i}" for p in "clp" for i in range(k)] + ["one"]
-    g = linalg.gram(full, ["panel"], cols).where(F.col("n") >= GATES.cointegration)
-    roots = g.withColumn("roots", linalg.johansen_roots("gram", "n", F.lit(k).cast("bigint")))
+    return linalg.gram(full, ["panel"], cols).where(F.col("n") >= GATES.cointegration)
+
+
+def johansen(series: DataFrame, names) -> DataFrame:
+    """Trace and max-eigenvalue statistics of a panel, one row per null hypothesis 'rank <= r'.
+
+    The panel has one row per common day, so its window is bounded by the calendar.
+    """
+    k = len(names)
+    g = _johansen_moments(series, names)
+    roots = g.withColumn("roots", linalg.johansen_vectors("gram", F.lit(k).cast("bigint"))["roots"])
     logs = roots.withColumn("g", F.transform("roots", lambda v: -F.col("n") * F.ln(1 - v)))
     crit = F.array(*[F.struct(F.array(*[F.lit(c) for c in fixed.JOHANSEN_TRACE[k - 1 - r]]).alias("t"), F.lit(fixed.JOHANSEN_MAX_EIGEN[k - 1 - r][1]).alias("m"))
                      for r in range(k)])
@@ -263,6 +269,22 @@ def johansen(series: DataFrame, names) -> DataFrame:
                        (trace > F.col("z.crit.t")[1]).alias("rejected"), F.col("z.g").alias("max_eigen"), F.col("z.crit.m").alias("max_eigen_95"), "n")
 
 
+def cointegrating_vectors(series: DataFrame, names) -> DataFrame:
+    """Weights of the relations that the trace test finds in a panel: relation (from 1), member, ``weight`` (1 for the first member), ``root``, ``rank``,
+    ``status``.  Without a relation there is one row without weights and the status no_relation."""
+    k = len(names)
+    fit = _johansen_moments(series, names).withColumn("v", linalg.johansen_vectors("gram", F.lit(k).cast("bigint")))
+    logs = F.transform("v.roots", lambda r: -F.col("n") * F.ln(1 - r))
+    tails_ = [F.aggregate(F.slice(logs, r + 1, k), F.lit(0.0), lambda acc, x: acc + x) for r in range(k)]
+    kept = [F.when(t <= fixed.JOHANSEN_TRACE[k - 1 - r][1], r) for r, t in enumerate(tails_)]
+    ranked = fit.withColumn("rank", F.coalesce(*kept, F.lit(k)))
+    flat = ranked.where("rank > 0").select("rank", "v.roots", F.posexplode("v.vectors").alias("i", "w")).where("i < rank").select("rank", "roots", "i", F.posexplode("w").alias("j", "weight"))
+    found = flat.select((F.col("i") + 1).alias("relation"), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1).alias("member"), "weight", F.get("roots", "i").alias("root"), "rank", F.lit("ok").alias("status"))
+    none = ranked.where("rank = 0").select(F.lit(None).cast("int").alias("relation"), F.lit(None).cast("string").alias("member"), F.lit(None).cast("double").alias("weight"), F.get("v.roots", F.lit(0)).alias("root"), "rank",
+                                           F.lit("no_relation").alias("status"))
+    return found.unionByName(none)
+
+
 # ---- drivers -----------------------------------------------------------------------------------------------------
 
 def _driver_rows(targets: DataFrame, drivers: DataFrame, names, on_changes: bool) -> DataFrame:

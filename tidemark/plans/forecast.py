@@ -156,11 +156,12 @@ def _cells(rows: DataFrame, cols) -> DataFrame:
     return linalg.gram(rows, ["panel", "cls"], cols).groupBy("panel").agg(F.collect_list(F.struct("cls", "gram", "n")).alias("cells"))
 
 
-def vector_paths(rows: DataFrame, cuts: DataFrame, k: int, steps: int, depth: int = 2, correct: bool = False) -> DataFrame:
+def vector_paths(rows: DataFrame, cuts: DataFrame, k: int, steps: int, depth: int = 2, correct: int = 0) -> DataFrame:
     """Joint forecasts of a panel of ``k`` members at all its cuts: panel, cut, origin, ``path`` (steps x members), ``n``, ``reason`` (why there is no path).
 
     ``rows`` is as from ``panel_rows``, ``cuts`` has panel, cut and origin (dates of rows).  Every row enters one moment matrix, that of
-    the first cut which sees it; a cut adds up the matrices before it.
+    the first cut which sees it; a cut adds up the matrices before it.  ``correct`` is 1 for the deviation of the first member from its line on
+    the others, 2 for the cointegrating relations that the trace test finds at the cut.
     """
     order = Window.partitionBy("panel").orderBy("ts")
     diff = rows.select("*", *[(F.col(f"s{i}") - F.lag(f"s{i}").over(order)).alias(f"c{i}") for i in range(k)])
@@ -174,7 +175,8 @@ def vector_paths(rows: DataFrame, cuts: DataFrame, k: int, steps: int, depth: in
     last = F.dense_rank().over(Window.partitionBy("panel").orderBy("origin")) - 1
     asked = cuts.withColumn("_last", last).join(state, ["panel", "origin"]).join(lines, "panel").join(moments, "panel", "left")
     number = lambda v: F.lit(v).cast("bigint")
-    fit = paths.vector_path("cells", "lines", "_last", "_level", "_recent", number(k), number(depth), F.lit(correct), number(60 if correct else 40), number(steps))
+    fit = paths.vector_path("cells", "lines", "_last", "_level", "_recent", number(k), number(depth), number(correct), number(60 if correct else 40), number(steps),
+                            F.array(*[F.lit(fixed.JOHANSEN_TRACE[k - 1 - r][1]) for r in range(k)]) if correct == 2 else F.array().cast("array<double>"))
     return asked.withColumn("_f", fit).select("panel", "cut", "origin", "_f.path", "_f.n", "_f.reason")
 
 
@@ -188,10 +190,24 @@ def vector_autoregression(series: DataFrame, names, steps: int, depth: int = 2,
     """Joint forecast of a named panel; ``correct`` adds last period's deviation of the first member from the others."""
     rows = panel_rows(series, names)
     now = rows.groupBy("panel").agg(F.max("ts").alias("origin")).withColumn("cut", F.lit(-1))
-    return _members(vector_paths(rows, now, len(names), steps, depth, correct), names).select("series_id", "origin", "step", F.col("pred").alias("point"))
+    return _members(vector_paths(rows, now, len(names), steps, depth, int(correct)), names).select("series_id", "origin", "step", F.col("pred").alias("point"))
 
 
-VECTOR_MODELS = {"vector_autoregression": False, "error_correction": True}
+def cointegrated_forecast(series: DataFrame, names, steps: int, depth: int = 1) -> DataFrame:
+    """Joint forecast with a correction term for each relation that the trace test finds: series_id, origin, step, ``point``, ``status``, ``reason``.
+
+    Without a relation, or with too few rows, the forecast is refused: one row per member with the reason and no point.
+    """
+    rows = panel_rows(series, names)
+    now = rows.groupBy("panel").agg(F.max("ts").alias("origin")).withColumn("cut", F.lit(-1))
+    fit = landed(vector_paths(rows, now, len(names), steps, depth, 2))
+    done = _members(fit, names).select("series_id", "origin", "step", F.col("pred").alias("point"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
+    refused = fit.where("path is null").select(F.explode(F.array(*[F.lit(n) for n in names])).alias("series_id"), "origin", F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("point"),
+                                               F.lit("insufficient_evidence").alias("status"), "reason")
+    return done.unionByName(refused)
+
+
+VECTOR_MODELS = {"vector_autoregression": 0, "error_correction": 1}
 
 
 def rolling_vectors(periods: DataFrame, names, horizon: int, depth: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -330,6 +330,17 @@ def error_correction(spark, sf):
     return rounded(longs(K.vector_autoregression(S.resample(T.market_prices(spark, sf), "W"), T.MARKETS, 12, correct=True)))
 
 
+@query("vecm")
+def vecm(spark, sf):
+    """Markets with a correction term per relation of the trace test, or the reason why there is none."""
+    return rounded(longs(K.cointegrated_forecast(S.resample(T.market_prices(spark, sf), "W"), T.MARKETS, 12)))
+
+
+@query("cointegrating_vectors")
+def cointegrating_vectors(spark, sf):
+    return rounded(longs(regress.cointegrating_vectors(S.resample(T.market_prices(spark, sf), "W"), T.MARKETS)), 6)
+
+
 _FOLD = f"""me AS (SELECT series_id, last_day(ts) AS ts, avg(value) AS value FROM price GROUP BY 1, 2), nm AS (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY series_id) AS n FROM me),
  us AS (SELECT *, least(5, greatest(0, floor((n-greatest(20, floor(n*0.5)))/6))) AS u, (n-i)/6.0 AS b FROM nm)"""
 
