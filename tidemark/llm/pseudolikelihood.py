@@ -32,15 +32,18 @@ def _bucket(hashes):
     return (hashes >> np.uint64(64 - 2 * CODE)).astype(np.int64)
 
 
-def _windows(tokens, doc):
-    """The 2 * REACH neighbours of every word, EDGE beyond its text."""
+def _windows(tokens, doc, at=None):
+    """The 2 * REACH neighbours of every word (or of those at the positions ``at``), EDGE beyond its text."""
     n = len(tokens)
-    out = np.full((n, 2 * REACH), EDGE, np.int64)
-    for k in range(1, REACH + 1):
-        if n > k:
-            same = doc[k:] == doc[:-k]
-            out[k:, REACH - k] = np.where(same, tokens[:-k], EDGE)
-            out[:-k, REACH + k - 1] = np.where(same, tokens[k:], EDGE)
+    at = np.arange(n) if at is None else at
+    # words of one text lie together, so the edges of a row of texts are REACH more words of a text of their own
+    around = np.concatenate([np.full(REACH, EDGE), tokens, np.full(REACH, EDGE)])
+    text = np.concatenate([np.full(REACH, -1), doc, np.full(REACH, -1)])
+    out, at = np.empty((len(at), 2 * REACH), np.int64), at + REACH
+    mine = text.take(at)
+    for column, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
+        beside = at + step
+        out[:, column] = np.where(text.take(beside) == mine, around.take(beside), EDGE)
     return out
 
 
@@ -81,50 +84,54 @@ class Network:
             at += old.size
         return self
 
-    def hidden(self, windows):
-        h = np.zeros((len(windows), self.e.shape[1]), np.float32)
-        for k in range(2 * REACH):
-            # the table is small: mapping it once is cheaper than mapping every word
-            h += (self.e @ self.mixing[k])[windows[:, k]] if len(windows) > VOCABULARY else self.e[windows[:, k]] @ self.mixing[k]
-        return np.tanh(h)
+    def hidden(self, windows, mapped):
+        """``mapped``: the table of embeddings as each neighbour position maps it."""
+        h = mapped[0].take(windows[:, 0], axis=0)
+        for k in range(1, 2 * REACH):
+            h += mapped[k].take(windows[:, k], axis=0)
+        return np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax(x):
+    def _log_softmax_at(x, which):
+        """The entry ``which`` of every row's log-softmax; ``x`` is used up."""
         x -= x.max(1, keepdims=True)
-        x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return x
+        got = x[np.arange(len(x)), which]
+        return got - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
     @staticmethod
     def _softmax(x):
         x -= x.max(1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
         return x
 
     def log_probability(self, tokens, windows):
         """Log-probability of each word given its neighbours."""
         out = np.empty(len(tokens))
-        step = 1 << 16
+        mapped = [self.e @ m for m in self.mixing]
+        step = 1 << 13                                        # what a step works on stays in the cache
         for a in range(0, len(tokens), step):
             t = tokens[a:a + step]
-            h = self.hidden(windows[a:a + step])
+            order = np.argsort((t >> CODE).astype(np.uint8), kind="stable")
+            t, h = t[order], self.hidden(windows[a:a + step].take(order, axis=0), mapped)
             kind, member = t >> CODE, t & (CLASSES - 1)
-            got = self._log_softmax(h @ self.u + self.ub)[np.arange(len(t)), kind].astype(float)
-            order = np.argsort(kind, kind="stable")
-            cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-            for k in range(CLASSES):
-                at = order[cut[k]:cut[k + 1]]
-                if len(at):
-                    got[at] += self._log_softmax(h[at] @ self.v[k] + self.vb[k])[np.arange(len(at)), member[at]]
-            out[a:a + step] = got
+            got = self._log_softmax_at(h @ self.u + self.ub, kind)
+            sizes = np.bincount(kind, minlength=CLASSES)
+            low = np.repeat(self.vb, sizes, axis=0)
+            i = 0
+            for k in np.flatnonzero(sizes).tolist():
+                j = i + int(sizes[k])
+                low[i:j] += h[i:j] @ self.v[k]
+                i = j
+            out[a + order] = got + self._log_softmax_at(low, member).astype(float)
         return out
 
     def learn(self, tokens, windows, rate):
         """One step of gradient ascent on a batch of masked words; every part's step is scaled by its own squared gradients."""
-        order = np.argsort(tokens >> CODE, kind="stable")
-        tokens, windows = tokens[order], windows[order]       # the words of a class lie together
+        order = np.argsort((tokens >> CODE).astype(np.uint8), kind="stable")
+        tokens, windows = tokens[order], windows.take(order, axis=0)  # the words of a class lie together
         n, width = len(tokens), self.e.shape[1]
-        x = self.e[windows].reshape(n, -1)                    # n, 2R * d
+        x = self.e.take(windows, axis=0).reshape(n, -1)       # n, 2R * d
         h = np.tanh(x @ self.mixing.reshape(-1, width))
         kind, member = tokens >> CODE, tokens & (CLASSES - 1)
         top = -self._softmax(h @ self.u + self.ub)
@@ -132,7 +139,7 @@ class Network:
         dh = top @ self.u.T
         cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
         classes = [(k, cut[k], cut[k + 1]) for k in range(CLASSES) if cut[k] < cut[k + 1]]
-        low = self.vb[kind]
+        low = np.repeat(self.vb, np.diff(cut), axis=0)
         for k, i, j in classes:
             low[i:j] += h[i:j] @ self.v[k]
         low = -self._softmax(low)
@@ -147,13 +154,18 @@ class Network:
         flat = windows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         shown, first = np.unique(flat[order], return_index=True)
-        ge = np.add.reduceat((da @ self.mixing.reshape(-1, width).T).reshape(-1, width)[order], first)
+        ge = np.add.reduceat((da @ self.mixing.reshape(-1, width).T).reshape(-1, width).take(order, axis=0), first)
         for part, at, g in (("e", shown, ge), ("mixing", ..., gm), ("u", ..., h.T @ top), ("ub", ..., top.sum(0)), ("v", ..., gv), ("vb", ..., gvb)):
             if part not in self.seen:
                 self.seen[part] = np.zeros_like(getattr(self, part))
-            seen = self.seen[part][at] + g * g
+            seen = g * g
+            seen += self.seen[part][at]
             self.seen[part][at] = seen
-            getattr(self, part)[at] += np.float32(rate) * g / (np.sqrt(seen) + np.float32(1e-3))
+            np.sqrt(seen, out=seen)
+            seen += np.float32(1e-3)
+            g *= np.float32(rate)
+            g /= seen
+            getattr(self, part)[at] += g
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -216,8 +228,8 @@ def fit(docs: DataFrame, text: str = "text", masked: int = 8, rounds: int | None
                     tokens = np.frombuffer(coded_text.as_py(), np.uint16).astype(np.int64)
                     doc, inside = np.cumsum(tokens == EDGE), tokens != EDGE
                     tokens, doc = tokens[inside], doc[inside]
-                    pick = mix(np.arange(len(tokens), dtype=np.uint64) * np.uint64(31) + tokens.astype(np.uint64)) % np.uint64(masked) == turn % masked
-                    t, w = tokens[pick], _windows(tokens, doc)[pick]
+                    pick = np.flatnonzero(mix(np.arange(len(tokens), dtype=np.uint64) * np.uint64(31) + tokens.astype(np.uint64)) % np.uint64(masked) == turn % masked)
+                    t, w = tokens[pick], _windows(tokens, doc, pick)
                     words += len(t)
                     rest_t, rest_w = np.concatenate([*rest_t, t]) if len(rest_t) else t, np.concatenate([*rest_w, w]) if len(rest_w) else w
                     whole = len(rest_t) // batch_words * batch_words
