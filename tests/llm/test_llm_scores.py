@@ -184,6 +184,9 @@ def test_pseudo_likelihood_sums_to_one_and_matches_a_loop(spark):
     for w in windows:
         every = net.log_probability(np.arange(lm.VOCABULARY), np.tile(w, (lm.VOCABULARY, 1)))
         assert np.isclose(np.exp(every).sum(), 1, atol=1e-3)
+    t, d = np.arange(50), np.sort(np.random.default_rng(2).integers(0, 9, 50))
+    for at in (np.arange(0), np.arange(50), np.array([0, 7, 49])):
+        assert lm._windows(t, d, at).tolist() == lm._windows(t, d)[at].tolist()
     assert lm._windows(np.array([1, 2, 3]), np.array([0, 0, 1])).tolist() == [[lm.EDGE] * 3 + [2] + [lm.EDGE] * 2, [lm.EDGE] * 2 + [1] + [lm.EDGE] * 3, [lm.EDGE] * 6]
 
 

@@ -35,15 +35,20 @@ def _bucket(hashes):
 def _windows(tokens, doc, at=None):
     """The 2 * REACH neighbours of every word (or of those at the positions ``at``), EDGE beyond its text."""
     n = len(tokens)
-    at = np.arange(n) if at is None else at
-    # words of one text lie together, so the edges of a row of texts are REACH more words of a text of their own
-    around = np.concatenate([np.full(REACH, EDGE), tokens, np.full(REACH, EDGE)])
-    text = np.concatenate([np.full(REACH, -1), doc, np.full(REACH, -1)])
-    out, at = np.empty((len(at), 2 * REACH), np.int64), at + REACH
-    mine = text.take(at)
+    if at is None:
+        out = np.full((n, 2 * REACH), EDGE, np.int64)
+        for k in range(1, REACH + 1):
+            if n > k:
+                same = doc[k:] == doc[:-k]
+                out[k:, REACH - k] = np.where(same, tokens[:-k], EDGE)
+                out[:-k, REACH + k - 1] = np.where(same, tokens[k:], EDGE)
+        return out
+    out, mine = np.empty((len(at), 2 * REACH), np.int64), doc.take(at)
     for column, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         beside = at + step
-        out[:, column] = np.where(text.take(beside) == mine, around.take(beside), EDGE)
+        inside = (beside >= 0) & (beside < n)
+        beside *= inside                                      # a place beyond the row of texts reads the first word and is not taken
+        out[:, column] = np.where(inside & (doc.take(beside) == mine), tokens.take(beside), EDGE)
     return out
 
 
@@ -145,8 +150,9 @@ class Network:
         low = -self._softmax(low)
         low[np.arange(n), member] += 1
         gv, gvb = np.zeros_like(self.v), np.zeros_like(self.vb)
+        gvb[[k for k, _, _ in classes]] = np.add.reduceat(low, [i for _, i, _ in classes])
         for k, i, j in classes:
-            gv[k], gvb[k] = h[i:j].T @ low[i:j], low[i:j].sum(0)
+            gv[k] = h[i:j].T @ low[i:j]
             dh[i:j] += low[i:j] @ self.v[k].T
         da = dh * (1 - h * h)
         gm = (x.T @ da).reshape(self.mixing.shape)
@@ -158,13 +164,13 @@ class Network:
         for part, at, g in (("e", shown, ge), ("mixing", ..., gm), ("u", ..., h.T @ top), ("ub", ..., top.sum(0)), ("v", ..., gv), ("vb", ..., gvb)):
             if part not in self.seen:
                 self.seen[part] = np.zeros_like(getattr(self, part))
-            seen = g * g
-            seen += self.seen[part][at]
-            self.seen[part][at] = seen
-            np.sqrt(seen, out=seen)
-            seen += np.float32(1e-3)
+            root = g * g
+            root += self.seen[part][at]
+            self.seen[part][at] = root
+            np.sqrt(root, out=root)
+            root += np.float32(1e-3)
             g *= np.float32(rate)
-            g /= seen
+            g /= root
             getattr(self, part)[at] += g
 
 
