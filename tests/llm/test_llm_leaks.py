@@ -36,6 +36,22 @@ def test_planted_items_are_found_and_nothing_else(spark):
     assert {r["doc_id"] for r in dc.without_contaminated(d, b, index_bytes=500).collect()} == kept
 
 
+def test_hits_on_the_border_do_not_depend_on_the_parts_of_the_index(spark):
+    docs, bench, _ = make(5, items=40)
+    r = random.Random(9)
+    bench += [(100, None), (101, ""), (None, bench[3][1]), (102, " ".join(r.choice(WORDS[:9]) for _ in range(400)))]
+    # pieces of items: from a few words to nearly all, so that scores lie on both sides of the threshold
+    for n, (_, text) in enumerate(bench[:40]):
+        words = text.split()
+        docs.append((1000 + n, " ".join(words[r.randrange(1, len(words) // 2):r.randrange(len(words) // 2 + 1, len(words))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")
+    runs = [sorted([tuple(x) for x in dc.contaminated(d, b, threshold=0.35, overlap=0.2, index_bytes=n).collect()], key=lambda x: (x[0], x[1] is None, x[1])) for n in (64 << 20, 3000, 400)]
+    assert len(runs[0]) > 35 and any(x[2] < 0.6 for x in runs[0])
+    for other in runs[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in runs[0]]
+        assert np.allclose([x[2:] for x in other], [x[2:] for x in runs[0]], atol=1e-9)
+
+
 def test_search_equals_scoring_every_item():
     docs, bench, _ = make(3, items=45)
     index = dc.Index.build([i for i, _ in bench], [t for _, t in bench])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_name
+from .scratch import free_name, land
 from .textvec import WORD, lower_ascii, ngram_hashes, text_chunks
 
 BLOCK = 8       # items per block of a posting list
@@ -43,6 +43,18 @@ def _ranges(first, last):
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n), of
 
 
+@dataclass
+class Corpus:
+    """What all items of the benchmark say, in whatever parts they are indexed: scores and passages depend on nothing else."""
+
+    items: int
+    worded: int              # items with words
+    words: int
+    longest: int             # words of the longest item
+    terms: np.ndarray        # sorted word hashes, those of a part at least
+    holders: np.ndarray      # items that hold the term
+
+
 @dataclass
 class Index:
     """Postings of the items, sorted by term, then item; items are numbered in blocks of BLOCK.
@@ -64,16 +76,19 @@ class Index:
     stride: int
 
     @classmethod
-    def build(cls, ids, texts, k1=1.2, b=0.75):
+    def build(cls, ids, texts, corpus=None, k1=1.2, b=0.75):
+        """``corpus``: what the whole benchmark says, where ``texts`` are a part of it; see ``Corpus``."""
         h, d = _words(texts)
         n = len(texts)
         length = np.bincount(d, minlength=n).astype(float)
         terms, t = np.unique(h, return_inverse=True)
         pair, tf = np.unique(t.astype(np.int64) * max(n, 1) + d, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * length / max(length[length > 0].mean() if (length > 0).any() else 1.0, 1.0))
+        if corpus is None:
+            corpus = Corpus(n, int((length > 0).sum()), int(length.sum()), int(length.max() if n else 0), terms, np.bincount(term, minlength=len(terms)))
+        df = corpus.holders[np.searchsorted(corpus.terms, terms)]
+        idf = np.log(1 + (corpus.items - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * length / max(corpus.words / max(corpus.worded, 1), 1.0))
         gain = idf[term] * tf * (k1 + 1) / (tf + norm[item])
         impact = gain / np.bincount(item, weights=gain, minlength=n)[item]
         # a list's blocks are the numbers of BLOCK items in a row
@@ -94,7 +109,7 @@ class Index:
                 size = min(GRAM, len(w))
                 sides.append((np.unique(ngram_hashes(w, np.zeros(len(w), np.int64), size)[0]) if size else np.zeros(0, np.uint64), size))
             grams.append(sides)
-        return cls(np.asarray(ids, np.int64), terms, first, item, impact, bfirst, blocks % (n // BLOCK + 1), block_max, term_max, flt, grams, int(max(length.max() if n else 1, 8)))
+        return cls(np.asarray(ids, np.int64), terms, first, item, impact, bfirst, blocks % (n // BLOCK + 1), block_max, term_max, flt, grams, max(corpus.longest, 8))
 
     def lookup(self, words):
         """Term number of every word, -1 for words of no item."""
@@ -188,17 +203,57 @@ def _finder(shared, threshold: float, overlap: float):
     return find
 
 
+def _item_terms(items: DataFrame) -> DataFrame:
+    """The distinct words of every item of column t, by their hash: h."""
+    def terms(batches):
+        for batch in batches:
+            for c in text_chunks(batch.column(0)):
+                c.split(WORD)
+                c.prefix_hash(lower_ascii(c.buf))
+                h = c.word_hashes()
+                order = np.lexsort((h, c.doc))
+                h, doc = h[order], c.doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[new].view(np.int64), pa.int64())})
+    return items.select("t").mapInArrow(terms, "h long")
+
+
+def _item_lengths(items: DataFrame) -> DataFrame:
+    """The number of words of every item of column t: n."""
+    def lengths(batches):
+        for batch in batches:
+            for c in text_chunks(batch.column(0)):
+                c.split(WORD)
+                yield pa.RecordBatch.from_pydict({"n": pa.array(c.counts, pa.int64())})
+    return items.select("t").mapInArrow(lengths, "n long")
+
+
 def finders(benchmark: DataFrame, item: str, item_text: str, threshold: float, overlap: float, index_bytes: int) -> list:
-    """A function per part of the benchmark that maps a text column to its hits; a part holds at most about ``index_bytes`` of text."""
+    """A function per part of the benchmark that maps a text column to its hits; a part holds at most about ``index_bytes`` of text.
+
+    Document frequencies, the number of items, their mean length and the length of passages are those of the whole benchmark, counted
+    by Spark, so that the hits do not depend on the parts.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // index_bytes))
+    if parts > 1:  # one part is the whole benchmark and counts itself
+        holders = land(_item_terms(items).groupBy("h").agg(F.count(F.lit(1)).alias("n")), "leak-terms")
+        facts = _item_lengths(items).agg(F.count(F.lit(1)), F.count_if(F.col("n") > 0), F.sum("n"), F.max("n")).first()
     out = []
     for part in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
         rows = sorted(mine.collect(), key=lambda r: (r["i"] is None, r["i"], r["t"]))  # bounded by index_bytes
-        index = Index.build([-1 if r["i"] is None else r["i"] for r in rows], [r["t"] for r in rows])
+        corpus = None
+        if parts > 1:
+            # the terms of this part alone come to the driver: they are bounded with its text
+            known = holders.join(_item_terms(mine).distinct(), "h", "left_semi").toPandas()
+            terms = known["h"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(terms)
+            corpus = Corpus(*map(int, facts), terms[order], known["n"].to_numpy(np.int64)[order])
+        index = Index.build([-1 if r["i"] is None else r["i"] for r in rows], [r["t"] for r in rows], corpus)
         shared = spark.sparkContext.broadcast((index, np.array([r["i"] is None for r in rows], bool)))
         out.append(_finder(shared, threshold, overlap))
     return out
@@ -213,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     answer must stand in the passage.  The best passage of a text speaks for it.
 
     The index is broadcast in parts of at most ``index_bytes`` of item text: one part for most benchmarks, more for larger
-    ones, each a pass over the texts (document frequencies are those of a part).  Null and empty texts hold nothing; items without
+    ones, each a pass over the texts; scores and hits are the same for any number of parts.  Null and empty texts hold nothing; items without
     words match nothing; a null item id is kept as null.  Rows with the same key are searched one by one, and items repeated
     in the benchmark are reported each.  Without items or texts there are no rows.
     """
