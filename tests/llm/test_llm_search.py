@@ -58,3 +58,37 @@ def test_tree_covers_its_rows():
         assert abs(norm - np.sqrt(centre @ centre)) < 1e-9
         if children:
             assert sorted((t.nodes[c][3], t.nodes[c][4]) for c in children)[0][0] == a and sum(t.nodes[c][4] - t.nodes[c][3] for c in children) == b - a
+
+
+def scattered(n, clusters, width, spread, seed):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((clusters, width))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return np.floor(256 * (centres[r.integers(0, clusters, n)] + spread * r.standard_normal((n, width))))
+
+
+@pytest.mark.parametrize("clusters, spread, most", [(60, 0.005, 0.25), (60, 0.02, 0.5), (1, 1.0, 1.0)])
+def test_pruned_share(clusters, spread, most):
+    x = scattered(4000, clusters, 32, spread, 4)
+    x[50:90] = x[50]
+    ids, q = np.arange(4000), np.arange(0, 4000, 10)
+    s, i, computed = ct.dual_search(x[q], x, ids, q, ids, 5)
+    every = x[q] @ x.T
+    every[np.arange(len(q)), q] = -np.inf
+    pick = np.lexsort((np.broadcast_to(ids, every.shape), -every), axis=1)[:, :5]
+    assert (i == pick).all() and (s == np.take_along_axis(every, pick, 1)).all()
+    assert computed <= most * len(q) * 4000
+
+
+def test_children_are_separated_and_halve_the_radius():
+    x = scattered(2000, 20, 6, 0.05, 1)
+    t = ct.CoverTree(x)
+    split = 0
+    for centre, _, radius, a, b, children in t.nodes:
+        if children:
+            half = 2.0 ** (np.ceil(np.log2(radius)) - 1)
+            own = [t.nodes[c] for c in children if t.nodes[c][2] <= half and t.nodes[c][4] - t.nodes[c][3] >= ct.FEW]
+            gaps = [np.linalg.norm(m[0] - n[0]) for j, m in enumerate(own) for n in own[:j] if not (m[0] == n[0]).all()]
+            assert all(g > half for g in gaps) and len(children) - len(own) <= 1
+            split += len(own) > 1
+    assert split

@@ -8,29 +8,38 @@ from pyspark.sql import functions as F
 from .scratch import land
 
 LEAF = 48
+AHEAD = 64      # centres that are measured at once
+FEW = 8         # children of fewer rows stay rows of their parent
 
 
 class CoverTree:
-    """Nodes over rows of ``x``: a centre, its norm, the distance of its farthest row, and children or a slice of rows.
+    """Nodes over rows of ``x``: a centre, its norm, the distance of its farthest row, a slice of ``order``, and children.
 
     A node at scale s holds rows within 2**s of its centre.  Its children's centres are more than 2**(s-1) apart and each child holds
-    rows within 2**(s-1) of its centre, so every step down halves the radius.  Equal rows end in one leaf.
+    rows within 2**(s-1) of its centre, so every step down halves the radius.  Equal rows end in one leaf.  Children of fewer than
+    FEW rows are not worth a node: their rows together are one leaf of their parent, about the parent's centre; rows without any
+    structure make one such leaf.
     """
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
         self.x = x
         self.order = np.arange(len(x))
-        self.nodes = []  # (centre, norm, radius, first, last, children)
+        self.nodes = []  # [centre, norm, radius, first, last, children]
         if len(x):
-            self._build(0, len(x))
-
-    def _build(self, first, last):
-        """Iteratively: a stack of slices of ``order`` whose first row is the centre."""
-        stack = [(first, last, None)]
+            self._build(leaf)
+        pick = lambda k: np.array([n[k] for n in self.nodes])
+        self.centres, self.norms, self.radii = pick(0), pick(1), pick(2)
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        self.longest = np.array([size[self.order[n[3]:n[4]]].max() for n in self.nodes])  # norm of a node's longest row
+
+    def _build(self, leaf):
+        """Iteratively: a stack of slices of ``order`` whose first row is the centre (None) or whose centre is given."""
+        stack, square = [(0, len(self.x), None, None)], np.einsum("ij,ij->i", self.x, self.x)
         while stack:
-            a, b, parent = stack.pop()
-            rows = self.order[a:b]
-            centre = self.x[rows[0]]
+            a, b, parent, centre = stack.pop()
+            rows, loose = self.order[a:b], centre is not None
+            if not loose:
+                centre = self.x[rows[0]]
             gap = self.x[rows] - centre
             dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
             radius = float(dist.max())
@@ -38,61 +47,80 @@ class CoverTree:
             self.nodes.append([centre, float(np.sqrt(centre @ centre)), radius, a, b, []])
             if parent is not None:
                 self.nodes[parent][5].append(me)
-            if b - a <= LEAF or radius == 0.0:
+            if loose or b - a <= leaf or radius == 0.0:
                 continue
             half = 2.0 ** (np.ceil(np.log2(radius)) - 1)
             groups, left = [rows[dist <= half]], rows[dist > half]
-            while len(left):
-                gap = self.x[left] - self.x[left[0]]
-                near = np.einsum("ij,ij->i", gap, gap) <= half * half
-                groups.append(left[near])
-                left = left[~near]
-            # children of a few rows are joined in leaves: one centre whose radius covers them all
-            small = [g for g in groups if len(g) <= LEAF // 4]
-            groups = [g for g in groups if len(g) > LEAF // 4]
-            if small:
-                rest = np.concatenate(small)
-                groups += [rest[i:i + LEAF] for i in range(0, len(rest), LEAF)]
-            if len(groups) == 1 and len(groups[0]) == b - a:
-                groups = [groups[0][:(b - a) // 2], groups[0][(b - a) // 2:]]
+            while len(left):  # the first rows left become centres in turn, unless an earlier one is near; AHEAD of them are measured at once
+                x, ahead = self.x[left], min(AHEAD, len(left))
+                near = square[left][:, None] + square[left[:ahead]] - 2 * (x @ x[:ahead].T) <= half * half
+                free = np.ones(len(left), bool)
+                for c in range(ahead):
+                    if free[c]:
+                        mine = near[:, c] & free
+                        mine[c] = True
+                        free &= ~mine
+                        groups.append(left[mine])
+                left = left[free]
             at = a
             for g in groups:
-                self.order[at:at + len(g)] = g
-                stack.append((at, at + len(g), me))
-                at += len(g)
+                if len(g) >= FEW:
+                    self.order[at:at + len(g)] = g
+                    stack.append((at, at + len(g), me, None))
+                    at += len(g)
+            if at < b:
+                self.order[at:b] = np.concatenate([g for g in groups if len(g) < FEW])
+                stack.append((at, b, me, centre))
 
 
 def dual_search(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int):
-    """For each query the ``k`` best rows of ``data`` by inner product, ties to the smaller id, without the query's own row.
+    """For each query the ``k`` best rows of ``data`` by inner product, ties to the smaller id, without the query's own row;
+    and how many products were computed.
 
     A pair of nodes is dropped when no inner product between them can reach the worst k-th score in the query node:
-    q.p <= cq.cp + rq |cp| + rp |cq| + rq rp.
+    q.p <= cq.cp + rq |cp| + rp |cq| + rq rp, and <= (|cq| + rq) max |p|.  At a leaf of queries each query has a bound of its own
+    (rq = 0), and only those that the data node may still serve go on.
     """
     best = np.full((len(queries), k), -np.inf)
     best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
     if not len(queries) or not len(data):
-        return best, best_id
-    qt, dt = CoverTree(queries), CoverTree(data)
-    worst = np.full(len(qt.nodes), -np.inf)
-
-    def bound(a, b):
-        qn, dn = qt.nodes[a], dt.nodes[b]
-        v = float(qn[0] @ dn[0]) + qn[2] * dn[1] + dn[2] * qn[1] + qn[2] * dn[2]
-        return v + 1e-9 * abs(v) + 1e-6
-
-    stack = [(bound(0, 0), 0, 0)]
+        return best, best_id, 0
+    qt, dt = CoverTree(queries, 16), CoverTree(data)
+    norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    worst, computed = np.full(len(qt.nodes), -np.inf), 0
+
+    def reach(a, b):
+        """What each query of the leaf ``a`` (or the node ``a`` as a whole) can score at most in each data node of ``b``."""
+        n = qt.nodes[a]
+        if n[5]:
+            v = dt.centres[b] @ n[0] + n[2] * dt.norms[b] + dt.radii[b] * n[1] + n[2] * dt.radii[b]
+            v = np.minimum(v, (n[1] + n[2]) * dt.longest[b])[None]
+        else:
+            q = qt.order[n[3]:n[4]]
+            v = np.minimum(queries[q] @ dt.centres[b].T + norm[q, None] * dt.radii[b], norm[q, None] * dt.longest[b])
+        return v + 1e-9 * np.abs(v) + 1e-6
+
+    def known(a):
+        """The k-th scores that ``a``'s queries have to beat, one for the whole node unless it is a leaf."""
+        n = qt.nodes[a]
+        if n[5]:
+            worst[a] = max(worst[a], min(worst[c] for c in n[5]))
+            return worst[a:a + 1]
+        kth = best[qt.order[n[3]:n[4]], k - 1]
+        worst[a] = kth.min()
+        return kth
+
+    stack = [(0, 0)]
     while stack:
-        top, a, b = stack.pop()
+        a, b = stack.pop()
         qn, dn = qt.nodes[a], dt.nodes[b]
-        if not qn[5]:
-            worst[a] = best[qt.order[qn[3]:qn[4]], k - 1].min()
-        else:
-            worst[a] = max(worst[a], min(worst[c] for c in qn[5]))
-        if top < worst[a]:
+        live = reach(a, [b])[:, 0] >= known(a)
+        if not live.any():
             continue
         if not qn[5] and not dn[5]:
-            q, d = qt.order[qn[3]:qn[4]], dt.order[dn[3]:dn[4]]
+            q, d = qt.order[qn[3]:qn[4]][live], dt.order[dn[3]:dn[4]]
             s = queries[q] @ data[d].T
+            computed += s.size
             s[own[q][:, None] == rows[d][None, :]] = -np.inf
             hit = np.flatnonzero((s >= best[q, k - 1][:, None]).any(1))
             if len(hit):
@@ -102,14 +130,13 @@ def dual_search(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, own: np.
                 pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
                 best[q[hit]] = np.take_along_axis(all_s, pick, 1)
                 best_id[q[hit]] = np.take_along_axis(all_i, pick, 1)
-            continue
-        if dn[5] and (not qn[5] or dn[4] - dn[3] >= qn[4] - qn[3]):
-            pairs = [(bound(a, c), a, c) for c in dn[5]]
+        elif dn[5] and (not qn[5] or dn[2] * qn[1] >= qn[2] * dn[1]):
+            v = reach(a, dn[5])
+            may = np.where(v >= known(a)[:, None], v, -np.inf).max(0)
+            stack.extend((a, dn[5][c]) for c in np.argsort(may, kind="stable") if may[c] > -np.inf)  # the most promising pair is taken first
         else:
-            pairs = [(bound(c, b), c, b) for c in qn[5]]
-        pairs.sort(key=lambda p: p[0])  # the most promising pair is taken first
-        stack.extend(pairs)
-    return best, best_id
+            stack.extend((c, b) for c in sorted(qn[5], key=lambda c: float(reach(c, [b]).max())))
+    return best, best_id, computed
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -154,7 +181,7 @@ def top_inner_products(vectors: DataFrame, is_query, key: str = "vec_id", embedd
         side, ids, uid = (table.column(c).to_numpy() for c in ("asks", "vid", "uid"))
         q, d = np.flatnonzero(side), np.flatnonzero(~side)
         if exact:
-            s, i = dual_search(v[q], v[d], ids[d], uid[q], uid[d], k)
+            s, i, _ = dual_search(v[q], v[d], ids[d], uid[q], uid[d], k)
         else:  # products beyond 2**53: whole numbers of any length, every pair
             s, i = _long_products(v[q], v[d], ids[d], uid[q], uid[d], k)
         have = np.isfinite(s) if exact else i != np.iinfo(np.int64).max
