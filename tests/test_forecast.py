@@ -292,3 +292,40 @@ def test_each_model_runs_once(spark):
     from tidemark.sources import tables as T
     plan = K.backtest(T.prices(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_cuts_of_a_series_share_one_recursion(monkeypatch):
+    """Cuts of a series, each with a begun last period of its own, are smoothed in one row, as if each were alone; only one that ends
+    within the two seasons the recursion starts from needs a row of its own."""
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    values = []
+    for n in (60, 75, 90):
+        y = 100 + 10 * np.sin(np.arange(n) / 2) + rng.normal(0, 2, n)
+        values += [np.r_[y[:k - 1], y[k - 1] + rng.normal()] for k in (30, 24, 23, n - 20, n - 1, n)]
+    values.append(np.arange(24.0))
+    seen, one = [], paths.smooth_cuts
+    monkeypatch.setattr(paths, "smooth_cuts", lambda y, *rest: seen.append(len(y)) or one(y, *rest))
+    got = paths.holt_winters_path.func(pd.Series(values), pd.Series([12] * 19), pd.Series([30] * 19))
+    assert sum(seen) == 3 + 3 + 1
+    for y, row in zip(values, got.itertuples()):
+        if len(y) < 24:
+            assert row.path is None
+            continue
+        path, weights, sse = paths.smooth(y[None], 12, 30)
+        assert row.path == path[0].tolist() and (row.alpha, row.beta, row.gamma) == tuple(weights[0]) and row.sse == sse[0] and row.n == len(y) - 12
+
+
+def test_autoregressions_together_are_those_alone():
+    import pandas as pd
+    rng = np.random.default_rng(9)
+    values = [np.cumsum(rng.normal(0, 1, n)) for n in (20, 40, 60, 61, 200)] + [np.full(50, 3.0), np.arange(50.0)]
+    args = lambda ys: (pd.Series(ys), pd.Series([[]] * len(ys)), pd.Series([[1, 2, 4]] * len(ys)), pd.Series([9] * len(ys)))
+    got = paths.autoregressive_path.func(*args(values))
+    assert got["path"].isna().tolist() == [True] + [False] * 6
+    for i, y in enumerate(values[1:], 1):
+        alone = paths.autoregressive_path.func(*args([y])).iloc[0]
+        assert alone["lags"] == got["lags"][i] and np.allclose(alone["path"], got["path"][i]) and np.isclose(alone["aic"], got["aic"][i])
+        used, beta, aic, _ = min(paths.lag_fits(y, [], [1, 2, 4])[1], key=lambda f: f[2])
+        d = np.diff(y)
+        assert used == got["lags"][i] and np.isclose(got["path"][i][0], y[-1] + beta[0] + sum(b * d[-k] for b, k in zip(beta[1:], used)))

@@ -17,104 +17,198 @@ GRID = np.array([(a, b, g) for a in (0.05, 0.1, 0.2, 0.35, 0.5, 0.8) for b in (0
 LEAST_CHANGES = 30  # rows of an autoregression
 
 
+ROWS_AT_ONCE = 128
+
+
 def smooth(y: np.ndarray, m: int, steps: int, grid: np.ndarray = GRID):
     """Additive trend and season for every row of ``y`` and every weight triple at once.
 
     Returns the path, the weights and the squared error of the best triple of each row.
     """
+    return smooth_cuts(y, m, steps, np.arange(len(y)), np.full(len(y), y.shape[1]), y[:, -1], grid)
+
+
+def smooth_cuts(y: np.ndarray, m: int, steps: int, row: np.ndarray, size: np.ndarray, last: np.ndarray, grid: np.ndarray = GRID):
+    """``smooth`` of cuts of the rows of ``y``: cut ``i`` holds the first ``size[i] - 1`` values of row ``row[i]`` and then ``last[i]``.
+
+    A row is smoothed once, up to its longest cut; where a cut ends its last value is added to what the recursion holds then.
+    """
     first = y[:, :m].mean(axis=1)
-    shape = (len(y), len(grid))
-    level = np.broadcast_to(first[:, None], shape)
-    trend = np.broadcast_to(((y[:, m:2 * m].mean(axis=1) - first) / m)[:, None], shape)
-    season = np.repeat((y[:, :m] - first[:, None])[:, None, :], len(grid), axis=1)
+    level = np.repeat(first[:, None], len(grid), axis=1)
+    trend = np.repeat(((y[:, m:2 * m].mean(axis=1) - first) / m)[:, None], len(grid), axis=1)
+    season = np.repeat(np.ascontiguousarray((y[:, :m] - first[:, None]).T)[:, :, None], len(grid), axis=2)    # m, rows, triples
+    sse, err, gap, ahead = (np.zeros(level.shape) for _ in range(4))
     a, b, g = grid.T
-    sse = np.zeros(shape)
-    for t in range(m, y.shape[1]):
-        i, now = t % m, y[:, t:t + 1]
-        past = season[:, :, i]
-        ahead = level + trend
-        err = now - ahead - past
-        sse += err * err
-        last, level = level, ahead + a * (now - past - ahead)
-        trend = trend + b * (level - last - trend)
-        season[:, :, i] = past + g * (now - level - past)
-    k, rows = sse.argmin(axis=1), np.arange(len(y))
     h = np.arange(1, steps + 1)
-    path = level[rows, k][:, None] + h * trend[rows, k][:, None] + season[rows, k][:, (y.shape[1] + h - 1) % m]
-    return path, grid[k], sse[rows, k]
+    path, best, error = np.empty((len(row), steps)), np.zeros(len(row), int), np.empty(len(row))
+    order = np.argsort(size, kind="stable")
+    ended = np.searchsorted(size[order], np.arange(int(size.max()) + 2))
+    for t in range(m, int(size.max())):
+        i = t % m
+        at = order[ended[t + 1]:ended[t + 2]]
+        if len(at):
+            r, each, now = row[at], np.arange(len(at)), last[at][:, None]
+            past, old, up = season[i, r], level[r], trend[r]
+            to = old + up
+            miss = now - to - past
+            total = sse[r] + miss * miss
+            k = total.argmin(axis=1)
+            to, past, old, up, now = to[each, k], past[each, k], old[each, k], up[each, k], now[:, 0]
+            new = to + a[k] * (now - past - to)
+            up = up + b[k] * (new - old - up)
+            coming = (t + h) % m
+            seasons = np.where(coming == i, (past + g[k] * (now - new - past))[:, None], season[coming, r[:, None], k[:, None]])
+            path[at] = new[:, None] + h * up[:, None] + seasons
+            best[at], error[at] = k, total[each, k]
+        now, past = y[:, t:t + 1], season[i]
+        np.add(level, trend, out=ahead)
+        np.subtract(now, ahead, out=err)
+        err -= past
+        err *= err
+        sse += err
+        np.subtract(now, past, out=gap)
+        gap -= ahead
+        gap *= a
+        ahead += gap
+        np.subtract(ahead, level, out=err)                    # the level moves from level to ahead
+        err -= trend
+        err *= b
+        trend += err
+        np.subtract(now, ahead, out=gap)
+        gap -= past
+        gap *= g
+        past += gap
+        level, ahead = ahead, level
+    return path, grid[best], error
+
+
+def _families(values: list, start: int) -> list:
+    """Rows that begin alike, as lists of places: all but the last value of each are the first ones of the longest.  Rows that agree in
+    ``start`` values are compared with the latest few lists only."""
+    out, alike = [], {}
+    for i, y in enumerate(values):
+        near = alike.setdefault(y[:start].tobytes(), [])
+        for family in near[-4:]:
+            n = min(len(y), len(family[0])) - 1
+            if np.array_equal(y[:n], family[0][:n]):
+                family[0] = y if len(y) > len(family[0]) else family[0]
+                family[1].append(i)
+                break
+        else:
+            near.append([y, [i]])
+            out.append(near[-1])
+    return out
 
 
 @F.pandas_udf(_struct(path=VECTOR, alpha=DoubleType(), beta=DoubleType(), gamma=DoubleType(), sse=DoubleType(), n=LongType()))
 def holt_winters_path(values: pd.Series, period: pd.Series, steps: pd.Series) -> pd.DataFrame:
-    """Forecast paths from the ordered values of each series; series of the same length are smoothed together."""
+    """Forecast paths from the ordered values of each series; series of like length are smoothed together, and rows that begin alike
+    (the cuts of a series, which differ in their last, begun period) in one recursion."""
     rows = [(None,) * 6] * len(values)
     m, h = int(period.iloc[0]) if len(period) else 1, int(steps.iloc[0]) if len(steps) else 1
-    sizes = {}
-    for i, y in enumerate(values):
-        if len(y) >= 2 * m:
-            sizes.setdefault(len(y), []).append(i)
-    for n, members in sizes.items():
-        for at in range(0, len(members), 64):
-            part = members[at:at + 64]
-            path, weights, sse = smooth(np.stack([np.asarray(values.iloc[i], dtype=float) for i in part]), m, h)
-            for i, p, w, e in zip(part, path, weights, sse):
-                rows[i] = (p.tolist(), *map(float, w), float(e), n - m)
+    enough = [i for i, y in enumerate(values) if len(y) >= 2 * m]
+    whole = [np.asarray(values.iloc[i], dtype=float) for i in enough]
+    families = sorted(_families(whole, 2 * m), key=lambda f: len(f[0]))
+    for at in range(0, len(families), ROWS_AT_ONCE):
+        part = families[at:at + ROWS_AT_ONCE]
+        y = np.zeros((len(part), len(part[-1][0])))
+        for r, (longest, _) in enumerate(part):
+            y[r, :len(longest)] = longest
+        members = [(r, i) for r, (_, places) in enumerate(part) for i in places]
+        row, size = np.array([r for r, _ in members]), np.array([len(whole[i]) for _, i in members])
+        path, weights, sse = smooth_cuts(y, m, h, row, size, np.array([whole[i][-1] for _, i in members]))
+        for (_, i), p, w, e, n in zip(members, path, weights, sse, size):
+            rows[enough[i]] = (p.tolist(), *map(float, w), float(e), int(n) - m)
     return pd.DataFrame(rows, columns=["path", "alpha", "beta", "gamma", "sse", "n"])
 
 
 def swept(g: np.ndarray, first: list, then: list):
-    """Least squares of column 0 on ``first`` and ever more of ``then``, all from one moment matrix swept column by column.
+    """Least squares of column 0 on ``first`` and ever more of ``then`` for a stack of moment matrices, swept column by column.
 
-    Yields (columns so far, coefficients of those columns, residual sum of squares).  A column that the earlier ones explain to
-    within rounding is left out with a coefficient of zero.
+    Yields (columns so far, coefficients of those columns, residual sum of squares), the last two with a row per matrix.  A column that
+    the earlier ones explain to within rounding is left out with a coefficient of zero.
     """
-    a, whole, used = g.copy(), np.diag(g).copy(), []
+    a, whole, used = g.copy(), np.diagonal(g, axis1=1, axis2=2).copy(), np.zeros(g.shape[:2], bool)
     for i, column in enumerate([*first, *then]):
-        pivot = a[column, column]
-        if pivot > 1e-12 * whole[column]:
-            row = a[column] / pivot
-            rest = a[:, column].copy()
-            a -= np.outer(rest, row)
-            a[column], a[:, column] = row, -rest / pivot
-            a[column, column] = 1 / pivot
-            used.append(column)
+        pivot = a[:, column, column]
+        ok = pivot > 1e-12 * whole[:, column]
+        pivot = np.where(ok, pivot, 1.0)[:, None]
+        row, rest = a[:, column] / pivot, a[:, :, column].copy()
+        swept_one = a - rest[:, :, None] * row[:, None, :]
+        swept_one[:, column], swept_one[:, :, column] = row, -rest / pivot
+        swept_one[:, column, column] = 1 / pivot[:, 0]
+        a = np.where(ok[:, None, None], swept_one, a)
+        used[:, column] = ok
         if i + 1 > len(first):
             x = [*first, *then][:i + 1]
-            yield x, np.array([a[c, 0] if c in used else 0.0 for c in x]), max(float(a[0, 0]), 0.0)
+            yield x, np.where(used[:, x], a[:, x, 0], 0.0), np.maximum(a[:, 0, 0], 0.0)
 
 
-def lag_fits(y, drivers, order):
-    """Nested regressions of the change on a constant, driver changes and the first 1, 2, ... lags: (rows, [(lags, [constant, lags...], aic, sigma)])."""
+def lag_moments(y, drivers, order):
+    """Moments of the change, a constant, its lags and the driver changes: (rows, matrix, or None with too few rows)."""
     d, top = np.diff(np.asarray(y, dtype=float)), max(order)
     count = len(d) - top
     if count < LEAST_CHANGES:
-        return count, []
-    z = np.column_stack([d[top:], np.ones(count)] + [d[top - k:len(d) - k] for k in order] + [np.diff(np.asarray(x, dtype=float))[top:] for x in drivers])
-    fits = []
+        return count, None
+    z = np.empty((2 + len(order) + len(drivers), count))
+    z[0], z[1] = d[top:], 1.0
+    for i, k in enumerate(order, 2):
+        z[i] = d[top - k:len(d) - k]
+    for i, x in enumerate(drivers, 2 + len(order)):
+        z[i] = np.diff(np.asarray(x, dtype=float))[top:]
+    return count, z @ z.T
+
+
+def stacked_lag_fits(grams: np.ndarray, count: np.ndarray, order) -> list:
+    """Per nested lag set of a stack of moments: (lags, [constant, lags...], aic, sigma), the last three with a row per matrix."""
     lags = list(range(2, 2 + len(order)))
-    for x, beta, sse in swept(z.T @ z, [1, *range(2 + len(order), z.shape[1])], lags):
+    fits = []
+    for x, beta, sse in swept(grams, [1, *range(2 + len(order), grams.shape[1])], lags):
         p = sum(c in lags for c in x)
-        fits.append((order[:p], np.r_[beta[0], beta[len(x) - p:]], count * np.log(max(sse, 1e-300) / count) + 2 * len(x), np.sqrt(sse / (count - len(x)))))
-    return count, fits
+        fits.append((order[:p], np.column_stack([beta[:, :1], beta[:, len(x) - p:]]), count * np.log(np.maximum(sse, 1e-300) / count) + 2 * len(x), np.sqrt(sse / (count - len(x)))))
+    return fits
+
+
+def lag_fits(y, drivers, order):
+    """Nested regressions of the change on a constant, driver changes and the first 1, 2, ... lags: (rows, [(lags, [constant, lags...], aic, sigma)])."""
+    count, gram = lag_moments(y, drivers, order)
+    if gram is None:
+        return count, []
+    return count, [(used, beta[0], aic[0], sigma[0]) for used, beta, aic, sigma in stacked_lag_fits(gram[None], np.array([count]), order)]
 
 
 @F.pandas_udf(_struct(path=VECTOR, lags=ArrayType(LongType()), aic=DoubleType(), sigma=DoubleType()))
 def autoregressive_path(values: pd.Series, drivers: pd.Series, lags: pd.Series, steps: pd.Series) -> pd.DataFrame:
     """Changes regressed on their own lags and on driver changes; the nested lag set with the lowest AIC is iterated.
 
-    Drivers are held at their last value over the horizon, so their future changes are zero.
+    Drivers are held at their last value over the horizon, so their future changes are zero.  Rows with the same lags and as many
+    drivers are solved and iterated together.
     """
-    rows = []
-    for y, extra, order, h in zip(values, drivers, lags, steps):
-        _, fits = lag_fits(y, extra, [int(k) for k in order])
-        if not fits:
-            rows.append((None,) * 4)
-            continue
-        used, beta, aic, sigma = min(fits, key=lambda f: f[2])
-        changes = list(np.diff(np.asarray(y, dtype=float))[-max(used):])
-        for _ in range(int(h)):
-            changes.append(float(beta[0] + sum(b * changes[-k] for b, k in zip(beta[1:], used))))
-        rows.append((list(float(y[-1]) + np.cumsum(changes[max(used):])), used, float(aic), float(sigma)))
+    rows, alike = [(None,) * 4] * len(values), {}
+    for i, (y, extra, order, h) in enumerate(zip(values, drivers, lags, steps)):
+        order = tuple(int(k) for k in order)
+        count, gram = lag_moments(y, extra, order)
+        if gram is not None:
+            alike.setdefault((order, len(extra), int(h)), []).append((i, count, gram))
+    for (order, _, h), members in alike.items():
+        at = np.array([i for i, _, _ in members])
+        fits = stacked_lag_fits(np.stack([g for _, _, g in members]), np.array([n for _, n, _ in members]), list(order))
+        best, aic = np.zeros(len(at), int), fits[0][2]
+        for p, fit in enumerate(fits):
+            best, aic = np.where(fit[2] < aic, p, best), np.where(fit[2] < aic, fit[2], aic)
+        for p, (used, beta, _, sigma) in enumerate(fits):
+            mine = np.flatnonzero(best == p)
+            if not len(mine):
+                continue
+            past, beta = max(used), beta[mine]
+            ys = [np.asarray(values.iloc[i], dtype=float) for i in at[mine]]
+            changes = np.empty((len(mine), past + h))
+            changes[:, :past] = [np.diff(y[-past - 1:]) for y in ys]
+            for t in range(past, past + h):
+                changes[:, t] = beta[:, 0] + sum(beta[:, j] * changes[:, t - k] for j, k in enumerate(used, 1))
+            path = np.array([y[-1] for y in ys])[:, None] + np.cumsum(changes[:, past:], axis=1)
+            for i, w, e, s in zip(at[mine], path.tolist(), aic[mine], sigma[mine]):
+                rows[i] = (w, used, float(e), float(s))
     return pd.DataFrame(rows, columns=["path", "lags", "aic", "sigma"])
 
 

@@ -93,12 +93,15 @@ def training(series: DataFrame, cuts: DataFrame, freq: str) -> DataFrame:
     """Period means of what lies before each cut, as ``history``; the last period only holds the days up to the cut."""
     label = S.period_label("ts", freq)
     cut_label = cuts.withColumn("_p", S.period_label("origin", freq))
-    before = history(S.resample(series, freq), cut_label.select("series_id", "cut", F.date_sub("_p", 1).alias("origin"))).select("series_id", "cut", "hist")
+    before = S.resample(series, freq).dropna(subset=["value"]).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("_all"))
     days = series.where(F.col("value").isNotNull()).withColumn("_p", label).join(cut_label, ["series_id", "_p"]).where(F.col("ts") <= F.col("origin"))
     partial = days.groupBy("series_id", "cut", F.col("_p").alias("ts")).agg(F.avg("value").alias("value"))
-    rows = cuts.select("series_id", "cut", "origin").join(before, KEYS, "left").join(partial, KEYS, "left")
-    last = F.when(F.col("value").isNotNull(), F.array(F.struct("ts", "value"))).otherwise(F.filter(F.array(F.struct("ts", "value")), lambda e: F.lit(False)))
-    return rows.select("series_id", "cut", "origin", F.concat(F.coalesce("hist", F.filter(F.array(F.struct("ts", "value")), lambda e: F.lit(False))), last).alias("hist"))
+    begun = partial.groupBy("series_id").agg(F.collect_list(F.struct("cut", "ts", "value")).alias("_begun"))
+    rows = cut_label.select("series_id", "cut", "origin", "_p").join(before, "series_id", "left").join(begun, "series_id", "left")
+    none = F.expr("cast(array() as array<struct<ts:date,value:double>>)")
+    last = F.transform(F.filter("_begun", lambda e: e["cut"] == F.col("cut")), lambda e: F.struct(e["ts"].alias("ts"), e["value"].alias("value")))
+    hist = F.concat(F.coalesce(F.filter("_all", lambda e: e["ts"] < F.col("_p")), none), F.coalesce(last, none))
+    return rows.select("series_id", "cut", "origin", hist.alias("hist"))
 
 
 # ---- models ------------------------------------------------------------------------------------------------------
@@ -253,7 +256,7 @@ def weeks_ahead(horizon: Column) -> Column:
 def predictions(series: DataFrame, cuts: DataFrame, horizons=tuple(fixed.HORIZONS), feature_rows: DataFrame | None = None) -> DataFrame:
     """Point of every model for every cut and horizon; trees take part where ``feature_rows`` are given."""
     points = with_horizons(cuts, horizons).withColumn("step", weeks_ahead(F.col("horizon")))
-    train = training(series, cuts, "W")
+    train = landed(training(series, cuts, "W"))              # read by two models
     steps = max(1, round(max(horizons) / 7)) + 1
     naive = seasonal_naive(series, points).where("pred is not null").withColumn("model", F.lit("seasonal_naive"))
     hw = points.join(holt_winters(train, 52, steps).select(*KEYS, "step", "pred"), KEYS + ["step"]).withColumn("model", F.lit("holt_winters"))
