@@ -233,3 +233,39 @@ def test_pseudo_likelihood_of_words_in_one_bucket(spark):
             got = {r["text"]: r["log_likelihood"] for r in lm.score(asked, net).collect()}
         assert np.isclose(got[often] - got[seldom], np.log(90 / 9)) and np.isclose(got[seldom] - got[never], np.log(9))
     assert {r["n"] for r in net.words.collect()} == {90, 9}
+
+
+def test_step_and_softmax_without_shift_match_a_plain_one():
+    """One training step against the formulas in double precision; rows beyond single precision are shifted, others are not."""
+    r = np.random.default_rng(6)
+    net = lm.Network(r.integers(1, 50, lm.VOCABULARY).astype(float), width=4)
+    net.v += r.standard_normal(net.v.shape).astype(np.float32) * 0.2
+    net.u += r.standard_normal(net.u.shape).astype(np.float32) * 0.2
+    t, w = r.integers(0, 300, 50), r.integers(0, 40, (50, 2 * lm.REACH))
+    e, m, u, ub, v, vb = (getattr(net, p).astype(float) for p in net.PARTS)
+    g = {p: np.zeros_like(x) for p, x in zip(net.PARTS, (e, m, u, ub, v, vb))}
+    soft = lambda x: np.exp(x) / np.exp(x).sum()
+    for word, beside in zip(t, w):
+        k, i = word >> lm.CODE, word & (lm.CLASSES - 1)
+        h = np.tanh(sum(e[b] @ m[c] for c, b in enumerate(beside)))
+        top, low = -soft(h @ u + ub), -soft(h @ v[k] + vb[k])
+        top[k], low[i] = top[k] + 1, low[i] + 1
+        da = (u @ top + v[k] @ low) * (1 - h * h)
+        g["u"] += np.outer(h, top)
+        g["ub"] += top
+        g["v"][k] += np.outer(h, low)
+        g["vb"][k] += low
+        for c, b in enumerate(beside):
+            g["mixing"][c] += np.outer(e[b], da)
+            g["e"][b] += m[c] @ da
+    net.learn(t, w, 0.08)
+    for p, old in zip(net.PARTS, (e, m, u, ub, v, vb)):
+        assert np.allclose(getattr(net, p), old + 0.08 * g[p] / (np.abs(g[p]) + 1e-3), atol=2e-3), p
+    for scale in (1, 300):
+        x = (r.standard_normal((9, lm.CLASSES)) * scale).astype(np.float32)
+        shifted = x.astype(float) - x.max(1, keepdims=True)
+        want = np.exp(shifted) / np.exp(shifted).sum(1, keepdims=True)
+        assert np.allclose(lm.Network._softmax(x.copy(), -1), -want, atol=1e-5)
+        logs = shifted - np.log(np.exp(shifted).sum(1, keepdims=True))
+        assert np.allclose(lm.Network._log_softmax_at(x.copy(), np.arange(9)), logs[np.arange(9), np.arange(9)], rtol=1e-4, atol=1e-4)
+        assert np.ndim(lm.Network._exp(x.copy())[1]) == (2 if scale == 300 else 0)

@@ -17,6 +17,8 @@ CLASSES = 1 << CODE
 VOCABULARY = 1 << (2 * CODE)
 REACH = 3                # words on either side that a prediction sees
 EDGE = VOCABULARY        # stands for what lies beyond a text's ends
+SAFE = 80.0              # exponents between -SAFE and SAFE, and sums of CLASSES of them, fit single precision
+COUNTED = 1 << 21        # words that a task counts at once
 COMMON = 1 << 18         # words with at least this part of all words are looked up in the tasks, the others by a join; there are at most so many
 
 
@@ -97,23 +99,35 @@ class Network:
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax_at(x, which):
+    def _exp(x):
+        """``x`` becomes its exponentials; rows that could leave the range of single precision are shifted by their maximum first."""
+        shift = 0
+        if not (x.max(initial=-SAFE) < SAFE and x.min(initial=SAFE) > -SAFE):
+            shift = x.max(1, keepdims=True)
+            x -= shift
+        return np.exp(x, out=x), shift
+
+    @classmethod
+    def _log_softmax_at(cls, x, which):
         """The entry ``which`` of every row's log-softmax; ``x`` is used up."""
-        x -= x.max(1, keepdims=True)
         got = x[np.arange(len(x)), which]
-        return got - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+        e, shift = cls._exp(x)
+        return got - np.ravel(shift) - np.log(e @ np.ones(x.shape[1], x.dtype))
 
-    @staticmethod
-    def _softmax(x):
-        x -= x.max(1, keepdims=True)
-        np.exp(x, out=x)
-        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    @classmethod
+    def _softmax(cls, x, sign=1):
+        x, _ = cls._exp(x)
+        x *= (np.float32(sign) / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
         return x
 
+    def _with_bias(self):
+        """Weights of the members with their offsets as one more row: classes, width + 1, members."""
+        return np.concatenate([self.v, self.vb[:, None]], axis=1)
+
     def log_probability(self, tokens, windows):
         """Log-probability of each word given its neighbours."""
         out = np.empty(len(tokens))
-        mapped = [self.e @ m for m in self.mixing]
+        mapped, members = [self.e @ m for m in self.mixing], self._with_bias()
         step = 1 << 13                                        # what a step works on stays in the cache
         for a in range(0, len(tokens), step):
             t = tokens[a:a + step]
@@ -122,11 +136,12 @@ class Network:
             kind, member = t >> CODE, t & (CLASSES - 1)
             got = self._log_softmax_at(h @ self.u + self.ub, kind)
             sizes = np.bincount(kind, minlength=CLASSES)
-            low = np.repeat(self.vb, sizes, axis=0)
+            h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+            low = np.empty((len(h), CLASSES), h.dtype)
             i = 0
             for k in np.flatnonzero(sizes).tolist():
                 j = i + int(sizes[k])
-                low[i:j] += h[i:j] @ self.v[k]
+                np.matmul(h[i:j], members[k], out=low[i:j])
                 i = j
             out[a + order] = got + self._log_softmax_at(low, member).astype(float)
         return out
@@ -137,33 +152,39 @@ class Network:
         tokens, windows = tokens[order], windows.take(order, axis=0)  # the words of a class lie together
         n, width = len(tokens), self.e.shape[1]
         x = self.e.take(windows, axis=0).reshape(n, -1)       # n, 2R * d
-        h = np.tanh(x @ self.mixing.reshape(-1, width))
+        wide = np.ones((n, width + 1), np.float32)            # the hidden values and a one for the offsets
+        h = np.tanh(x @ self.mixing.reshape(-1, width), out=wide[:, :width])
         kind, member = tokens >> CODE, tokens & (CLASSES - 1)
-        top = -self._softmax(h @ self.u + self.ub)
+        top = self._softmax(wide @ np.concatenate([self.u, self.ub[None]]), -1)
         top[np.arange(n), kind] += 1
         dh = top @ self.u.T
         cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
         classes = [(k, cut[k], cut[k + 1]) for k in range(CLASSES) if cut[k] < cut[k + 1]]
-        low = np.repeat(self.vb, np.diff(cut), axis=0)
+        members, low = self._with_bias(), np.empty((n, CLASSES), np.float32)
         for k, i, j in classes:
-            low[i:j] += h[i:j] @ self.v[k]
-        low = -self._softmax(low)
+            np.matmul(wide[i:j], members[k], out=low[i:j])
+        low = self._softmax(low, -1)
         low[np.arange(n), member] += 1
-        gv, gvb = np.zeros_like(self.v), np.zeros_like(self.vb)
-        gvb[[k for k, _, _ in classes]] = np.add.reduceat(low, [i for _, i, _ in classes])
+        gv, back = np.zeros_like(members), np.empty((n, width), np.float32)
         for k, i, j in classes:
-            gv[k] = h[i:j].T @ low[i:j]
-            dh[i:j] += low[i:j] @ self.v[k].T
+            np.matmul(wide[i:j].T, low[i:j], out=gv[k])
+            np.matmul(low[i:j], self.v[k].T, out=back[i:j])
+        dh += back
+        gu = wide.T @ top
         da = dh * (1 - h * h)
         gm = (x.T @ da).reshape(self.mixing.shape)
         # rows of e that no window shows have no gradient and stay as they are
         flat = windows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        shown, first = np.unique(flat[order], return_index=True)
-        ge = np.add.reduceat((da @ self.mixing.reshape(-1, width).T).reshape(-1, width).take(order, axis=0), first)
-        for part, at, g in (("e", shown, ge), ("mixing", ..., gm), ("u", ..., h.T @ top), ("ub", ..., top.sum(0)), ("v", ..., gv), ("vb", ..., gvb)):
+        flat = flat.take(order)
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        shown, mapped = flat[first], (da @ self.mixing.reshape(-1, width).T).reshape(-1, width).take(order, axis=0)
+        # two numbers at a time, as the sums of rows are many and short
+        ge = np.add.reduceat(mapped.view(np.complex64), first).view(np.float32) if width % 2 == 0 else np.add.reduceat(mapped, first)
+        for part, at, g in (("e", shown, ge), ("mixing", ..., gm), ("u", ..., gu[:-1]), ("ub", ..., gu[-1]), ("v", ..., gv[:, :-1]), ("vb", ..., gv[:, -1])):
+            whole = getattr(self, part)
             if part not in self.seen:
-                self.seen[part] = np.zeros_like(getattr(self, part))
+                self.seen[part] = np.zeros_like(whole)
             root = g * g
             root += self.seen[part][at]
             self.seen[part][at] = root
@@ -171,16 +192,26 @@ class Network:
             root += np.float32(1e-3)
             g *= np.float32(rate)
             g /= root
-            getattr(self, part)[at] += g
+            whole[at] += g
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every distinct word of the table by its hash with its number: h, n."""
+    def counted(parts):
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+
     def count(batches):
+        parts, held = [], 0
         for batch in batches:
             for _, words in _words(batch.column(0)):
-                h, n = np.unique(words, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+                parts.append(words)
+                held += len(words)
+                if held >= COUNTED:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if held:
+            yield counted(parts)
 
     return docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
